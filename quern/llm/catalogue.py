@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from quern.llm import quality_rules
+from quern.llm import byte_bpe, quality_rules, url_filter
 
 
 def queries() -> dict:
-    return {"op10_quality_rules": quality_rules.op10_quality_rules}
+    return {
+        "op7_byte_bpe": byte_bpe.op7_byte_bpe,
+        "op8_url_filter": url_filter.op8_url_filter,
+        "op10_quality_rules": quality_rules.op10_quality_rules,
+    }
 
 
 def oracle_sql() -> dict:
-    return {"op10_quality_rules": quality_rules.OP10_SQL}
+    return {"op8_url_filter": url_filter.OP8_SQL, "op10_quality_rules": quality_rules.OP10_SQL}
