@@ -16,14 +16,18 @@ def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> No
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
-def arrow_map(df: DataFrame, make: Callable[..., dict], schema: str, *args) -> DataFrame:
-    """``make(batch, *args)`` turns each record batch into a dict of columns of ``schema``."""
-    small_batches(df.sparkSession)
+def arrow_schema(schema: str) -> pa.Schema:
+    """The Arrow schema of a DDL string."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
-    kind = _parse_datatype_string(schema)
-    want = to_arrow_schema(kind)
+    return to_arrow_schema(_parse_datatype_string(schema))
+
+
+def arrow_map(df: DataFrame, make: Callable[..., dict], schema: str, *args) -> DataFrame:
+    """``make(batch, *args)`` turns each record batch into a dict of columns of ``schema``."""
+    small_batches(df.sparkSession)
+    want = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -32,3 +36,17 @@ def arrow_map(df: DataFrame, make: Callable[..., dict], schema: str, *args) -> D
                 yield pa.RecordBatch.from_arrays([got[f.name] if isinstance(got[f.name], pa.Array) and got[f.name].type == f.type else pa.array(got[f.name], f.type) for f in want], schema=want)
 
     return df.mapInArrow(run, schema)
+
+
+def runs(batches: Iterator[pa.RecordBatch], key: int = 0) -> Iterator[list[tuple]]:
+    """Rows of sorted batches as tuples, one list for each run of equal values in column ``key``; also across batches."""
+    held, last = [], object()
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if held and row[key] != last:
+                yield held
+                held = []
+            last = row[key]
+            held.append(row)
+    if held:
+        yield held
