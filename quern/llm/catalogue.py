@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from quern.llm import byte_bpe, quality_rules, url_filter
+from quern.llm import byte_bpe, quality_model, quality_rules, toxicity, url_filter
 
 
 def queries() -> dict:
     return {
+        "op5_toxicity": toxicity.op5_toxicity,
+        "op6_quality_model": quality_model.op6_quality_model,
         "op7_byte_bpe": byte_bpe.op7_byte_bpe,
         "op8_url_filter": url_filter.op8_url_filter,
         "op10_quality_rules": quality_rules.op10_quality_rules,

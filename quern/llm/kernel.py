@@ -22,6 +22,12 @@ _GRAM = _rng.integers(1 << 32, 1 << 63, 64, dtype=np.uint64) | U(1)
 _BASE = U(0x9E3779B97F4A7C15)
 
 
+#: For tokens without punctuation: all ASCII but letters and digits separates, and A-Z count as a-z.
+PUNCTUATION = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
+FOLDED = _BYTE.copy()
+FOLDED[65:91] = _BYTE[97:123]
+
+
 def powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     out[:1] = 1
@@ -90,13 +96,13 @@ def _cuts(data: np.ndarray, offs: np.ndarray, segment: int) -> list[int]:
     return cuts
 
 
-def words(data: np.ndarray, offs: np.ndarray, segment: int = SEGMENT) -> Words:
-    """Runs of bytes that are no separators, within each text."""
+def words(data: np.ndarray, offs: np.ndarray, segment: int = SEGMENT, separator: np.ndarray = SEPARATOR, byte: np.ndarray = _BYTE) -> Words:
+    """Runs of bytes that are no separators, within each text; ``byte`` gives each byte's part in the hash."""
     starts, ends, hashes, low = [], [], [], 0
     with np.errstate(over="ignore"):
         for high in _cuts(data, offs, segment):
             a = data[low:high]
-            inner = ~SEPARATOR[a]
+            inner = ~separator[a]
             first = inner.copy()
             first[1:] &= ~inner[:-1]
             edge = offs[np.searchsorted(offs, low, "left") : np.searchsorted(offs, high, "left")] - low
@@ -108,7 +114,7 @@ def words(data: np.ndarray, offs: np.ndarray, segment: int = SEGMENT) -> Words:
                 k = np.searchsorted(inside, s)
                 size = np.diff(k, append=len(inside))
                 place = np.arange(len(inside)) - np.repeat(k, size)
-                hashes.append(mix(np.add.reduceat(_BYTE[a[inside]] * _POW[place & 0xFFFF], k) ^ (size.astype(np.uint64) * _BASE)))
+                hashes.append(mix(np.add.reduceat(byte[a[inside]] * _POW[place & 0xFFFF], k) ^ (size.astype(np.uint64) * _BASE)))
                 starts.append(s + low)
                 ends.append(s + low + size)
             low = high
