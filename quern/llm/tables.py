@@ -10,9 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from quern.session import drop_staged, parquet, shared_dir, stage  # noqa: F401
 
 
-def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
-    """Bound what a Python worker holds at once, by rows and by bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Bound what a Python worker is handed at once by bytes, so that long texts come in small batches."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
