@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.llm import byte_bpe, ngram_join, packing, quality_model, quality_rules, toxicity, url_filter
+from quern.llm import byte_bpe, line_dedup, ngram_join, packing, quality_model, quality_rules, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op6_quality_model": quality_model.op6_quality_model,
         "op7_byte_bpe": byte_bpe.op7_byte_bpe,
         "op8_url_filter": url_filter.op8_url_filter,
+        "op9_line_dedup": line_dedup.op9_line_dedup,
         "op10_quality_rules": quality_rules.op10_quality_rules,
     }
 
