@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from quern.llm import byte_bpe, line_dedup, ngram_join, packing, quality_model, quality_rules, toxicity, url_filter
+from quern.llm import byte_bpe, fingerprint, line_dedup, ngram_join, packing, quality_model, quality_rules, toxicity, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_best_fit_packing": packing.op1_best_fit_packing,
         "op3_ngram_join": ngram_join.op3_ngram_join,
+        "op4_fingerprint": fingerprint.op4_fingerprint,
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_quality_model": quality_model.op6_quality_model,
         "op7_byte_bpe": byte_bpe.op7_byte_bpe,
