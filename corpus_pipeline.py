@@ -1,0 +1,65 @@
+"""From raw documents to packed training sequences.
+
+Five stages, each of which works on all that the one before has kept: quality rules, toxicity, fuzzy line deduplication,
+near-duplicate documents, best-fit packing. All but the last return the columns of ``documents``; the last returns a row for
+each packed piece. Between stages the rows are written to the shared folder as Parquet and read again.
+
+Defined results: null and empty texts fall to the quality rules; a document that line deduplication leaves without any text
+goes, as each of its lines stands elsewhere; rows that repeat an id are kept or dropped together by near-duplicate removal;
+an empty table gives an empty result; columns beyond those of ``documents`` are kept until packing.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quern.llm import line_dedup, ngram_join, packing, quality_rules, toxicity
+from quern.llm.tables import parquet, stage
+
+#: SQL can't express the learnt and the approximate stages; tests compare them with brute force.
+ORACLE_SQL = None
+
+
+def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that every quality rule keeps."""
+    return quality_rules.filter_documents(docs)
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below 0.5; the model learns from this stage's own labelled documents."""
+    return toxicity.filter_documents(docs, *toxicity.model(spark, docs, sf_dir))
+
+
+def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that repeat an earlier one, exactly or nearly; n_chars follows the text."""
+    out = line_dedup.clean(docs).where("text is not null or n_lines_removed = 0")
+    changed = F.col("n_lines_removed") > 0
+    return out.select(*[F.when(changed, F.char_length("text").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+
+
+def duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates."""
+    return ngram_join.deduplicate(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document goes."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality rules", rules_stage),
+    ("toxicity", toxicity_stage),
+    ("line dedup", lines_stage),
+    ("near duplicates", duplicates_stage),
+    ("packing", packing_stage),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on ``documents``."""
+    docs = parquet(spark, sf_dir, "documents")
+    for name, apply in STAGES[:-1]:
+        docs = stage(apply(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quern.llm import byte_bpe, fingerprint, line_dedup, ngram_join, packing, quality_model, quality_rules, toxicity, url_filter
+from quern.llm import byte_bpe, fingerprint, html_extract, line_dedup, ngram_join, packing, quality_model, quality_rules, toxicity, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_best_fit_packing": packing.op1_best_fit_packing,
+        "op2_html_extraction": html_extract.op2_html_extraction,
         "op3_ngram_join": ngram_join.op3_ngram_join,
         "op4_fingerprint": fingerprint.op4_fingerprint,
         "op5_toxicity": toxicity.op5_toxicity,

@@ -72,7 +72,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold:
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One document of each class, the one with the least id, with all columns. Rows with a null id stay."""
     gone = join(docs, id_col, text, threshold).where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == F.col("_gone"), "left_anti")
+    gone = stage(gone, "gone")
+    return docs.join(small_side(gone), docs[id_col].cast("long") == F.col("_gone"), "left_anti")
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
