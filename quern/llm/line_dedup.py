@@ -176,11 +176,10 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text: str = "text", gone: Dat
             cols[at] = pa.array(new, pa.string())
             yield pa.RecordBatch.from_arrays([*cols, pa.array(count, pa.int64())], names=[*names, "n_lines_removed"])
 
-    from pyspark.sql.types import LongType, StructType
+    from pyspark.sql.types import LongType, StructField, StructType
 
     small_batches(docs.sparkSession)
-    schema = StructType(docs.schema.fields).add("n_lines_removed", LongType())
-    schema[text].nullable = True
+    schema = StructType([StructField(f.name, f.dataType, f.nullable or f.name == text) for f in docs.schema.fields]).add("n_lines_removed", LongType())
     return joined.mapInArrow(run, schema)
 
 
