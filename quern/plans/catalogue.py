@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from quern.plans import aggregate_plans, chunk_plans, dml_plans, graph_plans, memory_plans, ranking_plans, retrieval_plans, stream_plans  # noqa: F401
+from quern.plans.registry import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(SQL)
