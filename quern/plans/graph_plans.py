@@ -1 +1,172 @@
-"""..."""
+"""Graph queries: the star schema as a graph (customer -> nation -> region, supplier -> nation, supplier - part)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from quern.operators import graph as G
+from quern.plans.registry import query
+
+
+def edges(t):
+    e = lambda df, s, rel, d: df.select(s.alias("src"), F.lit(rel).alias("rel"), d.alias("dst"))
+    tag = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    return e(t.customer, tag("c", "c_custkey"), "DEPENDS_ON", tag("n", "c_nationkey")).union(e(t.supplier, tag("s", "s_suppkey"), "OWNS", tag("n", "s_nationkey"))).union(e(t.nation, tag("n", "n_nationkey"), "CALLS", tag("r", "n_regionkey")))
+
+
+def supplied(t):
+    return t.lineitem.where("l_orderkey % 20 = 0").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("src"), F.lit("CALLS").alias("rel"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst"))
+
+
+E = """e AS (SELECT 'c' || c_custkey AS src, 'DEPENDS_ON' AS rel, 'n' || c_nationkey AS dst FROM customer UNION ALL SELECT 's' || s_suppkey, 'OWNS', 'n' || s_nationkey FROM supplier UNION ALL SELECT 'n' || n_nationkey, 'CALLS', 'r' || n_regionkey FROM nation)"""
+SP = """sp AS (SELECT 's' || l_suppkey AS src, 'CALLS' AS rel, 'p' || l_partkey AS dst FROM lineitem WHERE l_orderkey % 20 = 0)"""
+
+
+def walk_sql(seeds, table, hops, reverse=False):
+    a, b = ("dst", "src") if reverse else ("src", "dst")
+    parts = [f"h0 AS ({seeds})"]
+    for d in range(1, hops + 1):
+        parts.append(f"h{d} AS (SELECT DISTINCT seed, {b} AS node FROM h{d - 1} JOIN {table} ON {a} = node)")
+    parts.append("w AS (SELECT seed, node, min(d)::INT AS distance FROM (" + " UNION ALL ".join(f"SELECT seed, node, {d} AS d FROM h{d}" for d in range(1, hops + 1)) + ") GROUP BY seed, node)")
+    return ", ".join(parts)
+
+
+_SEED = "SELECT 'c' || c_custkey AS seed, 'c' || c_custkey AS node FROM customer WHERE c_custkey <= 20"
+
+
+@query("g1_expand", f"WITH {E}, {walk_sql(_SEED, 'e', 3)} SELECT seed, node, distance FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY distance, node) AS rn FROM w WHERE node <> seed) WHERE rn <= 15 UNION ALL SELECT seed, node, 0 FROM h0")
+def g1(t):
+    seeds = t.customer.where("c_custkey <= 20").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("seed"))
+    return G.expand(seeds, edges(t))
+
+
+@query("g3_centrality", f"WITH {E}, d AS (SELECT node, count(*) AS degree FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e) GROUP BY node) SELECT node, degree, round(degree / (SELECT max(degree) FROM d), 6) AS centrality FROM d WHERE node LIKE 'n%' OR node LIKE 'r%'")
+def g3(t):
+    return G.degree(edges(t)).where("node like 'n%' or node like 'r%'")
+
+
+@query("g4_pagerank_sim", f"WITH {E}, {SP}, a AS (SELECT * FROM e UNION ALL SELECT * FROM sp), d AS (SELECT node, count(*) AS degree FROM (SELECT src AS node FROM a UNION ALL SELECT dst FROM a) GROUP BY node) SELECT node, degree, round(degree / (SELECT max(degree) FROM d), 6) AS centrality FROM d")
+def g4(t):
+    return G.degree(edges(t).union(supplied(t)))
+
+
+@query("g5_communities", f"WITH {SP}, b AS (SELECT DISTINCT node, other FROM (SELECT src AS node, dst AS other FROM sp UNION ALL SELECT dst, src FROM sp) WHERE node <> other) SELECT node, count(*) AS size FROM b GROUP BY node HAVING count(*) > 1 ORDER BY size DESC, node LIMIT 10")
+def g5(t):
+    return G.communities(supplied(t))
+
+
+@query("g6_skeleton", "SELECT r_name AS module, n_name AS class, string_agg(DISTINCT s_name, '|' ORDER BY s_name) AS functions FROM region LEFT JOIN nation ON n_regionkey = r_regionkey LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY ALL")
+def g6(t):
+    j = t.region.join(t.nation, F.col("n_regionkey") == F.col("r_regionkey"), "left").join(t.supplier, F.col("s_nationkey") == F.col("n_nationkey"), "left")
+    g = j.groupBy(F.col("r_name").alias("module"), F.col("n_name").alias("class")).agg(F.array_sort(F.collect_set("s_name")).alias("f"))
+    return g.select("module", "class", F.when(F.size("f") > 0, F.array_join("f", "|")).alias("functions"))
+
+
+@query("g7_repomap", """SELECT r_name AS module, count(DISTINCT n_nationkey) AS n_dependencies, array_to_string(list_sort(list_distinct(list(n_name) FILTER (ends_with(n_name, '0'))))::VARCHAR[], '|') AS entry_points, array_to_string(list_sort(list_distinct(list(n_name)))[1:5], '|') AS public_functions FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name""")
+def g7(t):
+    j = t.region.join(t.nation, F.col("n_regionkey") == F.col("r_regionkey"), "left").groupBy(F.col("r_name").alias("module"))
+    g = j.agg(F.countDistinct("n_nationkey").alias("n_dependencies"), F.array_sort(F.collect_set("n_name")).alias("names"))
+    ends = F.filter("names", lambda x: x.endswith("0"))
+    return g.select("module", "n_dependencies", F.when(F.size(ends) > 0, F.array_join(ends, "|")).alias("entry_points"), F.array_join(F.slice("names", 1, 5), "|").alias("public_functions"))
+
+
+@query("g8_edge_weights", "SELECT n.n_name AS src, l_returnflag AS rel, l_linestatus AS dst, count(*) AS n FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation n ON n_nationkey = s_nationkey GROUP BY ALL ORDER BY n DESC, src, rel, dst LIMIT 20")
+def g8(t):
+    j = t.lineitem.join(t.supplier, F.col("s_suppkey") == F.col("l_suppkey")).join(t.nation, F.col("n_nationkey") == F.col("s_nationkey"))
+    return G.edge_weights(j.select(F.col("n_name").alias("src"), F.col("l_returnflag").alias("rel"), F.col("l_linestatus").alias("dst")))
+
+
+@query("g9_render", "SELECT r_name AS module, r_name || ': ' || string_agg(n_name, ', ' ORDER BY n_name) AS line FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name")
+def g9(t):
+    g = t.region.join(t.nation, F.col("n_regionkey") == F.col("r_regionkey")).groupBy(F.col("r_name").alias("module")).agg(F.array_sort(F.collect_list("n_name")).alias("names"))
+    return g.select("module", F.concat("module", F.lit(": "), F.array_join("names", ", ")).alias("line"))
+
+
+_RSEED = "SELECT 'r' || r_regionkey AS seed, 'r' || r_regionkey AS node FROM region"
+_CALLERS = f"WITH {E}, {walk_sql(_RSEED, 'e', 3, True)}"
+
+
+def region_seeds(t):
+    return t.region.select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("seed"))
+
+
+@query("g10_callers", _CALLERS + " SELECT seed, node, distance, rn FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY distance, node) AS rn FROM w) WHERE rn <= 50")
+def g10(t):
+    return G.nearest(G.walk(region_seeds(t), edges(t), 3, reverse=True), 50)
+
+
+@query("g11_deps", f"WITH {E}, {walk_sql(_SEED, 'e', 2)} SELECT seed, node, distance, rn FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY distance, node) AS rn FROM w) WHERE rn <= 30")
+def g11(t):
+    seeds = t.customer.where("c_custkey <= 20").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("seed"))
+    return G.nearest(G.walk(seeds, edges(t), 2), 30)
+
+
+@query("g12_entities", "SELECT doc_id, source FROM documents WHERE source = 'src3'")
+def g12(t):
+    return t.documents.where("source = 'src3'").select("doc_id", "source")
+
+
+_NSEED = "SELECT 'n' || n_nationkey AS seed, 'n' || n_nationkey AS node FROM nation"
+_IMPACT = f"WITH {E}, {walk_sql(_NSEED, 'e', 3, True)}, cal AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY distance, node) AS rn FROM w) WHERE rn <= 50), f1 AS (SELECT DISTINCT seed, dst AS node FROM h0 JOIN e ON src = node), sc AS (SELECT seed, round(sum(x), 2) AS score FROM (SELECT seed, 1.0::DOUBLE / distance AS x FROM cal UNION ALL SELECT seed, 0.2::DOUBLE FROM f1) GROUP BY seed)"
+
+
+def nation_impact(t):
+    seeds = t.nation.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("seed"))
+    return G.impact(G.nearest(G.walk(seeds, edges(t), 3, reverse=True), 50), G.walk(seeds, edges(t), 1))
+
+
+@query("g13_impact", _IMPACT + " SELECT seed, score, CASE WHEN score > 10 THEN 'high' WHEN score > 3 THEN 'medium' ELSE 'low' END AS risk FROM sc")
+def g13(t):
+    return nation_impact(t)
+
+
+@query("g14_report", f"WITH {E}, {walk_sql(_NSEED, 'e', 3, True)} SELECT seed, count(DISTINCT node) AS n_affected, string_agg(node, '|' ORDER BY node) AS affected FROM w GROUP BY seed")
+def g14(t):
+    seeds = t.nation.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("seed"))
+    w = G.walk(seeds, edges(t), 3, reverse=True)
+    return w.groupBy("seed").agg(F.countDistinct("node").alias("n_affected"), F.array_join(F.array_sort(F.collect_list("node")), "|").alias("affected"))
+
+
+@query("g15_review", _IMPACT + " SELECT seed, round(score / 10, 4) AS risk, round(score / 10, 4) > 0.7 AS needs_approval FROM sc")
+def g15(t):
+    r, a = G.review(F.col("score"))
+    return nation_impact(t).select("seed", r.alias("risk"), a.alias("needs_approval"))
+
+
+@query("g16_summary", "SELECT doc_id, concat_ws(' | ', 'File', source, CASE WHEN doc_id % 2 = 0 THEN lang END) AS summary FROM documents")
+def g16(t):
+    return t.documents.select("doc_id", G.summary(F.lit("File"), F.col("source"), F.when(F.col("doc_id") % 2 == 0, F.col("lang"))).alias("summary"))
+
+
+@query("g17_labels", f"WITH {E} SELECT rel, count(*) AS n, count(*) FILTER (rel IN ('CALLS', 'DEPENDS_ON', 'OWNS')) AS known FROM (SELECT rel FROM e UNION ALL SELECT 'KNOWS' FROM region) GROUP BY rel")
+def g17(t):
+    more = edges(t).select("rel").union(t.region.select(F.lit("KNOWS")))
+    checked = G.check_labels(more.withColumn("src_label", F.lit("Class")).withColumn("dst_label", F.lit("Function")))
+    return checked.groupBy("rel").agg(F.count("*").alias("n"), F.count_if("ok").alias("known"))
+
+
+_CHUNKS = """SELECT p_partkey, p_name AS name, CASE WHEN p_partkey % 2 = 0 THEN 'function' ELSE 'class' END AS chunk_type, p_brand AS file_path, CASE WHEN p_partkey % 3 = 0 THEN p_brand END AS parent, p_type AS imp, CASE WHEN p_size > 25 THEN p_type END AS cal, p_size FROM part"""
+
+
+def part_chunks(t):
+    one = lambda c: F.when(c.isNotNull(), F.array(c)).otherwise(F.array().cast("array<string>"))
+    kind = F.when(F.col("p_partkey") % 2 == 0, "function").otherwise("class")
+    name = F.concat(F.when(F.col("p_size") % 3 == 0, "create").when(F.col("p_size") % 3 == 1, "find").otherwise(""), F.col("p_partkey").cast("string"))
+    return t.part.select(kind.alias("chunk_type"), name.alias("name"), F.col("p_brand").alias("file_path"), F.when(F.col("p_partkey") % 3 == 0, F.col("p_brand")).alias("parent_class"), one(F.col("p_type")).alias("imports"), one(F.when(F.col("p_size") > 25, F.col("p_type"))).alias("calls"), one(F.lit(None).cast("string")).alias("bases"), one(F.lit(None).cast("string")).alias("config_keys"), one(F.lit(None).cast("string")).alias("endpoints"), (F.col("p_size") == 1).alias("is_dto"), (F.col("p_size") == 2).alias("is_migration"), (F.col("p_size") == 3).alias("is_ui_component"), (F.col("p_size") == 4).alias("is_business_rule"), (F.col("p_size") >= 40).alias("is_entity"))
+
+
+@query("t17_relations", """WITH p AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN 'Function' ELSE 'Class' END AS label, CASE p_size % 3 WHEN 0 THEN 'create' WHEN 1 THEN 'find' ELSE '' END || p_partkey AS name, p_brand, p_type, p_size, p_partkey FROM part), r AS (
+SELECT 'Module' AS src_label, p_brand AS src, 'CONTAINS' AS rel, label AS dst_label, name AS dst FROM p UNION ALL SELECT 'Class', p_brand, 'OWNS', 'Function', name FROM p WHERE p_partkey % 3 = 0 UNION ALL SELECT 'Module', p_brand, 'DEPENDS_ON', 'Import', p_type FROM p UNION ALL SELECT label, name, 'CALLS', 'Function', p_type FROM p WHERE p_size > 25
+UNION ALL SELECT label, name, 'OWNS', 'DTO', name FROM p WHERE p_size = 1 UNION ALL SELECT label, name, 'OWNS', 'Migration', name FROM p WHERE p_size = 2 UNION ALL SELECT label, name, 'OWNS', 'UIComponent', name FROM p WHERE p_size = 3 UNION ALL SELECT label, name, 'RELATES_TO_RULE', 'BusinessRule', name FROM p WHERE p_size = 4 UNION ALL SELECT label, name, 'OWNS', 'Entity', name FROM p WHERE p_size >= 40
+UNION ALL SELECT label, name, CASE p_size % 3 WHEN 0 THEN 'MUTATES_ENTITY' ELSE 'READS_ENTITY' END, 'Entity', name FROM p WHERE p_size >= 40 AND p_size % 3 < 2) SELECT DISTINCT * FROM r""")
+def t17(t):
+    return G.relations(part_chunks(t))
+
+
+@query("k6_merge_edges", "SELECT src, rel, dst, max_by(props, v) AS props FROM (SELECT 'c' || c_custkey AS src, 'OWNS' AS rel, 'n' || c_nationkey AS dst, 'old' AS props, 0 AS v FROM customer UNION ALL SELECT 'c' || c_custkey, 'OWNS', 'n' || c_nationkey, c_mktsegment, 1 FROM customer WHERE c_custkey % 2 = 0) GROUP BY ALL HAVING true")
+def k6(t):
+    key = [F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("src"), F.lit("OWNS").alias("rel"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("dst")]
+    old = t.customer.select(*key, F.lit("old").alias("props"))
+    new = t.customer.where("c_custkey % 2 = 0").select(*key, F.col("c_mktsegment").alias("props")).union(t.customer.select(key[0], F.lit("KNOWS"), key[2], F.lit("x")))
+    return G.merge_edges(old, new)
