@@ -1,7 +1,9 @@
 """Fuzzy line deduplication.
 
-Lines are sets of runs of ``K_CHARS`` characters. Signatures are one-permutation MinHashes (one hash a shingle, the least in
-each of ``BANDS * ROWS`` bins, empty bins filled from the next full one); the bands aim at a recall of ``RECALL`` at the threshold.
+Lines are sets of runs of ``K_CHARS`` characters. Signatures of lines with at least ``SHORT`` shingles are one-permutation
+MinHashes (one hash a shingle, the least in each of BINS bins, empty bins filled from the next full one); shorter lines get
+MinHashes of as many functions, and lines near the limit get both, so that every pair at the threshold shares a kind. The
+bands aim at a recall of ``RECALL`` at the threshold.
 Candidates are verified by the exact Jaccard similarity of their shingle sets, and distributed union-find joins the verified
 links. Of each component the first line (least id, then place) stays, all others go; so do exact repeats.
 
@@ -23,16 +25,25 @@ from pyspark.sql import functions as F
 
 from quern.llm import kernel as K
 from quern.llm.components import components
-from quern.llm.similar import band_edges, classes, local_stars, small_side, verified
+from quern.llm.similar import band_edges, bucket_count, classes, packed_stars, small_side, verified
 from quern.llm.tables import parquet, small_batches, stage
 
-K_CHARS, THRESHOLD, RECALL, ROWS = 9, 0.8, 0.998, 5
+K_CHARS, THRESHOLD, RECALL, ROWS, SHORT = 9, 0.8, 0.99, 5, 64
 BANDS = K.choose_bands(THRESHOLD, RECALL, ROWS)
-_N = 1 << 18
+#: A power of two, at least BANDS * ROWS.
+BINS = 64
+_N = 1 << 17
 _POW = K.powers(0x9E3779B97F4A7C15, _N + 64)
 _BACK = K.powers(pow(0x9E3779B97F4A7C15, -1, 1 << 64), _N + 64)
 
 
+def _scatter(x: np.ndarray) -> np.ndarray:
+    x *= K.U(0xD6E8FEB86659FD93)
+    x ^= x >> K.U(32)
+    x *= K.U(0x9FB21C651E98DF25)
+    return x
+
+
 def shingles(chars: np.ndarray, at: np.ndarray, k: int = K_CHARS) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of k code points, line by line, and each line's first; a shorter line has one run, all of it."""
     size = np.diff(at)
@@ -53,7 +64,7 @@ def shingles(chars: np.ndarray, at: np.ndarray, k: int = K_CHARS) -> tuple[np.nd
         for d in short:
             part = value[at[d] : at[d + 1]]
             out[out_at[d]] = np.sum(part * _POW[: len(part)], dtype=np.uint64) + K.U(len(part))
-        return K.mix(out), out_at
+        return _scatter(out), out_at
 
 
 def code_units(texts: bytes) -> np.ndarray:
@@ -61,30 +72,44 @@ def code_units(texts: bytes) -> np.ndarray:
     return np.frombuffer(texts.decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
 
 
-def signatures(h: np.ndarray, at: np.ndarray, bins: int) -> np.ndarray:
-    """(lines, bins) one-permutation MinHashes; empty bins take the next full bin's value, marked by the distance."""
+def signatures(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """(lines, BINS) one-permutation MinHashes; empty bins take the next full bin's value, marked by the distance."""
     n = len(at) - 1
-    sig = np.full(n * bins, ~K.U(0))
-    line = np.repeat(np.arange(n), np.diff(at))
+    top = ~K.U(0)
+    sig = np.full(n * BINS, top)
     with np.errstate(over="ignore"):
-        place = ((h >> K.U(40)) * K.U(bins)) >> K.U(24)
-        np.minimum.at(sig, line * bins + place.astype(np.int64), h * K.U(0x9E3779B97F4A7C15))
-        sig = sig.reshape(n, bins)
-        empty = sig == ~K.U(0)
-        if empty.any():
-            some = np.flatnonzero(empty.any(axis=1) & ~empty.all(axis=1))
-            part, hole = sig[some], empty[some]
-            base = part.copy()
-            for d in range(1, bins):
-                take = hole & ~np.roll(empty[some], -d, axis=1)
-                part[take] = np.roll(base, -d, axis=1)[take] + K.U(d) * K.U(0xD6E8FEB86659FD93)
-                hole &= ~take
-                if not hole.any():
-                    break
-            sig[some] = part
+        place = (h >> K.U(58)).view(np.int64)
+        place += np.repeat(np.arange(0, n * BINS, BINS), np.diff(at))
+        np.minimum.at(sig, place, h << K.U(6))
+        sig = sig.reshape(n, BINS)
+        hollow = np.flatnonzero((sig == top).any(axis=1))
+        if len(hollow):
+            part = sig[hollow]
+            full = part != top
+            spot = np.where(np.concatenate([full, full], axis=1), np.arange(2 * BINS), 3 * BINS)
+            after = np.minimum.accumulate(spot[:, ::-1], axis=1)[:, ::-1][:, :BINS]
+            far = np.minimum(after - np.arange(BINS), BINS)
+            sig[hollow] = np.take_along_axis(part, after % BINS, axis=1) + far.astype(np.uint64) * K.U(0xD6E8FEB86659FD93)
     return sig
 
 
+def line_keys(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(band keys, line numbers) of both kinds of signature."""
+    size = np.diff(at)
+    keys, lines = [], []
+    for kind, part in enumerate((np.flatnonzero((size > 0) & (size < SHORT / THRESHOLD)), np.flatnonzero(size >= SHORT))):
+        if not len(part):
+            continue
+        take = np.zeros(len(size), bool)
+        take[part] = True
+        own, own_at = h[np.repeat(take, size)], np.concatenate([[0], np.cumsum(size[part])])
+        sig = signatures(own, own_at) if kind else K.minhash(own, own_at, BANDS * ROWS)
+        keys.append((K.band_keys(sig, BANDS, ROWS) ^ K.U(kind * 0x632BE59BD9B4E019)).ravel())
+        lines.append(np.repeat(part, BANDS))
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(keys).view(np.int64), np.concatenate(lines)) if keys else (none, none)
+
+
 def line_sets(texts: pa.Array) -> list[np.ndarray]:
     """The different shingle hashes of each line."""
     data, offs = K.utf8(texts)
@@ -93,9 +118,8 @@ def line_sets(texts: pa.Array) -> list[np.ndarray]:
     return [np.unique(h[at[i] : at[i + 1]]) for i in range(len(at) - 1)]
 
 
-def candidate_bands(docs: DataFrame) -> DataFrame:
-    """``local_stars`` rows of all lines; each different line of a task's batch is hashed once."""
-    bins = BANDS * ROWS
+def candidate_bands(docs: DataFrame, buckets: int) -> DataFrame:
+    """``packed_stars`` rows of all lines; each different line of a task's batch is hashed once."""
 
     def keyed(batches):
         for b in batches:
@@ -118,12 +142,12 @@ def candidate_bands(docs: DataFrame) -> DataFrame:
                 bytes_ = np.frombuffer(raw_part, np.uint8)
                 lead = np.concatenate([[0], np.cumsum((bytes_ & 0xC0) != 0x80)])
                 ends = lead[np.concatenate([[0], np.cumsum([len(x) for x in part])])]
-                keys = K.band_keys(signatures(*shingles(code_units(raw_part), ends), bins), BANDS, ROWS)
-                yield keys.ravel().view(np.int64), np.repeat(node[low:high], BANDS)
+                keys, line = line_keys(*shingles(code_units(raw_part), ends))
+                yield keys, node[low:high][line]
                 low = high
 
     small_batches(docs.sparkSession)
-    return docs.mapInArrow(lambda it: local_stars(keyed(it)), "kind byte, key long, node long")
+    return docs.mapInArrow(lambda it: packed_stars(keyed(it), buckets), "bucket int, edges boolean, a binary, b binary")
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -137,8 +161,10 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text: str = "text", thresh
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     small_batches(docs.sparkSession)
     lines = lines_of(base)
-    nodes = stage(lines.groupBy("node").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("n")), "lines")
-    comps = components(band_edges(candidate_bands(base.select("text"))))
+    spots = stage(lines.select("doc_id", "place", "node"), "spots")
+    nodes = stage(spots.groupBy("node").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("n")), "lines")
+    buckets = bucket_count(docs.sparkSession, nodes.count() * BANDS)
+    comps = components(band_edges(candidate_bands(base.select("text"), buckets), buckets))
     chosen = stage(comps.join(nodes, "node").select("comp", "node", F.col("first.doc_id").alias("doc_id"), F.col("first.place").alias("place")), "chosen")
     text_of = lines.join(small_side(chosen), ["node", "doc_id", "place"]).select("comp", "node", F.lit(1).cast("long").alias("weight"), F.col("line").alias("text"))
     found = classes(verified(text_of, line_sets, threshold))
@@ -147,8 +173,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text: str = "text", thresh
     fuzzy = linked.join(keepers, "comp").select("node", "comp", "keeper")
     copies = nodes.where("n > 1").join(found.select("node"), "node", "left_anti").select("node", F.col("node").alias("comp"), F.col("first").alias("keeper"))
     decided = stage(fuzzy.union(copies), "decided")
-    spots = lines.select("doc_id", "place", "node").join(small_side(decided), "node")
-    return spots.where(F.struct("doc_id", "place") != F.col("keeper")).where("doc_id is not null").select("doc_id", "place", "node", "comp")
+    return spots.join(small_side(decided), "node").where(F.struct("doc_id", "place") != F.col("keeper")).where("doc_id is not null").select("doc_id", "place", "node", "comp")
 
 
 def clean(docs: DataFrame, id_col: str = "doc_id", text: str = "text", gone: DataFrame | None = None) -> DataFrame:

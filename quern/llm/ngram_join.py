@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from quern.llm import kernel as K
 from quern.llm.components import components
-from quern.llm.similar import band_edges, classes, local_stars, small_side, verified
+from quern.llm.similar import band_edges, bucket_count, classes, packed_stars, small_side, verified
 from quern.llm.tables import parquet, small_batches, stage
 
 N, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.995, 5
@@ -33,8 +33,8 @@ def ngram_sets(texts: pa.Array, n: int = N) -> list[np.ndarray]:
     return [np.unique(g[at[i] : at[i + 1]]) for i in range(len(at) - 1)]
 
 
-def candidate_bands(rows: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, band_rows: int = ROWS) -> DataFrame:
-    """``local_stars`` rows from (node, text)."""
+def candidate_bands(rows: DataFrame, buckets: int, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, band_rows: int = ROWS) -> DataFrame:
+    """``packed_stars`` rows from (node, text)."""
     bands = K.choose_bands(threshold, recall, band_rows)
 
     def keyed(batches):
@@ -48,7 +48,7 @@ def candidate_bands(rows: DataFrame, n: int = N, threshold: float = THRESHOLD, r
                 yield keys.ravel().view(np.int64), np.repeat(node[full], bands)
 
     small_batches(rows.sparkSession)
-    return rows.mapInArrow(lambda it: local_stars(keyed(it)), "kind byte, key long, node long")
+    return rows.mapInArrow(lambda it: packed_stars(keyed(it), buckets), "bucket int, edges boolean, a binary, b binary")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -58,7 +58,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold:
     base = base.withColumn("node", F.when(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.xxhash64("text")))
     some = base.where("node is not null")
     nodes = stage(some.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight")), "nodes")
-    comps = components(band_edges(stage(candidate_bands(some.select("node", "text"), threshold=threshold, recall=recall), "bands")))
+    buckets = bucket_count(docs.sparkSession, nodes.count() * K.choose_bands(threshold, recall, ROWS))
+    comps = components(band_edges(candidate_bands(some.select("node", "text"), buckets, threshold=threshold, recall=recall), buckets))
     chosen = stage(comps.join(nodes, "node"), "chosen")
     members = some.join(small_side(chosen.select("node", "comp", "weight", F.col("rep").alias("doc_id"))), ["node", "doc_id"]).select("comp", "node", "weight", "text").dropDuplicates(["node"])
     found = stage(verified(members, ngram_sets, threshold), "found")

@@ -1,7 +1,8 @@
 """Near-duplicate machinery: candidates by MinHash bands, exact verification by blocks, classes by union-find.
 
-* ``band_edges``: nodes that share a band key become a star around the least of them. Stars are first built within each map
-  task's batches, so a hot key reaches the shuffle with one row per flush, not one per node.
+* ``packed_stars`` and ``band_edges``: nodes that share a band key become a star around the least of them. Stars are first
+  built within each map task, so a hot key reaches the shuffle with one entry per flush, not one per node; entries travel as
+  packed arrays, one row per task and bucket of keys.
 * ``verified``: candidate components are cut into blocks of bounded rows and bytes. Each pair of blocks of one component is a
   unit of work for one task, which counts the exact intersections of shingle sets with matrix products. A unit gives one row
   per node (its links) and a spanning edge, never all pairs; blocks cover all pairs, so no link is lost.
@@ -19,7 +20,8 @@ from pyspark.sql import functions as F
 from quern.llm.components import components
 from quern.llm.tables import runs, small_batches, stage
 
-FLUSH = 400_000
+#: (band key, node) entries that a map task sorts at once, and that a bucket of keys should hold at most.
+FLUSH, BUCKET = 600_000, 1_000_000
 BLOCK_ROWS, BLOCK_CHARS = 256, 4_000_000
 #: Broadcast a table of ids only up to so many rows (under 16 MB).
 BROADCAST_ROWS = 400_000
@@ -31,29 +33,38 @@ def small_side(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
-_EDGE = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("node", pa.int64())])
+_PACKED = pa.schema([("bucket", pa.int32()), ("edges", pa.bool_()), ("a", pa.binary()), ("b", pa.binary())])
 
 
 def _star(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Least node by key, and for the other nodes (node, least of its key) as local edges."""
-    turn = np.lexsort((node, key))
+    """Keys and the least node of each, and for the other nodes (node, least of its key) as edges."""
+    turn = np.argsort(key, kind="stable")
     key, node = key[turn], node[turn]
-    head = np.concatenate([[True], key[1:] != key[:-1]])
-    least = node[head][np.cumsum(head) - 1]
-    other = ~head & (node != least)
-    return key[head], node[head], np.stack([node[other], least[other]])
+    head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    first = np.minimum.reduceat(node, head)
+    least = np.repeat(first, np.diff(head, append=len(key)))
+    other = node != least
+    edges = np.stack([node[other], least[other]])
+    return key[head], first, np.unique(edges, axis=1) if edges.size else edges
 
 
-def local_stars(rows: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    """From (keys, nodes) of a task's batches: kind 0 (band key, least node) and kind 1 (node, least node) rows."""
+def packed_stars(rows: Iterator[tuple[np.ndarray, np.ndarray]], buckets: int) -> Iterator[pa.RecordBatch]:
+    """From (keys, nodes) of a task's batches: for each bucket of keys one row of packed (key, least node) arrays, and one
+    row of packed local edges. A hot key leaves a task with one entry per flush."""
     keys: list[np.ndarray] = []
     nodes: list[np.ndarray] = []
 
     def flush() -> pa.RecordBatch:
         k, n, edges = _star(np.concatenate(keys), np.concatenate(nodes))
-        edges = np.unique(edges, axis=1) if edges.size else edges
-        kind = np.concatenate([np.zeros(len(k), np.int8), np.ones(edges.shape[1], np.int8)])
-        return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate([k, edges[0]])), pa.array(np.concatenate([n, edges[1]]))], schema=_EDGE)
+        bucket = ((k.view(np.uint64) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+        turn = np.argsort(bucket, kind="stable")
+        k, n, bucket = k[turn], n[turn], bucket[turn]
+        at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        spans = list(zip(at, [*at[1:], len(k)]))
+        ids, a, b = bucket[at].tolist(), [k[i:j].tobytes() for i, j in spans], [n[i:j].tobytes() for i, j in spans]
+        if edges.size:
+            ids, a, b = [*ids, int(edges[0, 0] % buckets)], [*a, edges[0].tobytes()], [*b, edges[1].tobytes()]
+        return pa.RecordBatch.from_pydict({"bucket": ids, "edges": [False] * len(spans) + [True] * (len(ids) - len(spans)), "a": a, "b": b}, schema=_PACKED)
 
     for k, n in rows:
         keys.append(k)
@@ -66,26 +77,39 @@ def local_stars(rows: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.Re
         yield flush()
 
 
-def band_edges(bands: DataFrame) -> DataFrame:
-    """Candidate edges (a, b) from rows of ``local_stars``: one exchange by band key, then a star per key."""
+def bucket_count(spark, entries: int) -> int:
+    """Buckets of keys: at least the shuffle partitions, and enough for BUCKET entries each."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-entries // BUCKET))
+
+
+def band_edges(bands: DataFrame, buckets: int) -> DataFrame:
+    """Candidate edges (a, b) from rows of ``packed_stars``: one exchange by bucket, then a star around each key's least node."""
 
     def star(batches):
-        last_key, last_node = None, None
+        keys: list[np.ndarray] = []
+        nodes: list[np.ndarray] = []
+        last = None
+
+        def out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            key, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            head = np.concatenate([[key[0] != last_key], key[1:] != key[:-1]])
-            group = np.cumsum(head)
-            firsts = np.concatenate([[0 if last_node is None else last_node], node[head]])
-            least = firsts[group]
-            last_key, last_node = key[-1], least[-1]
-            other = node != least
-            yield pa.RecordBatch.from_arrays([pa.array(node[other]), pa.array(least[other])], names=["a", "b"])
+            for bucket, edges, a, b in zip(*(c.to_pylist() for c in batch.columns)):
+                a, b = np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)
+                if edges:
+                    yield out(a, b)
+                    continue
+                if bucket != last and keys:
+                    yield out(*_star(np.concatenate(keys), np.concatenate(nodes))[2])
+                    keys, nodes = [], []
+                last = bucket
+                keys.append(a)
+                nodes.append(b)
+        if keys:
+            yield out(*_star(np.concatenate(keys), np.concatenate(nodes))[2])
 
     small_batches(bands.sparkSession)
-    keyed = bands.where("kind = 0").select("key", "node").repartition("key").sortWithinPartitions("key", "node")
-    return keyed.mapInArrow(star, "a long, b long").union(bands.where("kind = 1").select(F.col("key").alias("a"), F.col("node").alias("b"))).distinct()
+    return bands.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(star, "a long, b long").distinct()
 
 
 def links(sets: list[np.ndarray], left: int, threshold: float, within: bool) -> tuple[np.ndarray, np.ndarray]:
