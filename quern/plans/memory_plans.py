@@ -1 +1,100 @@
-"""..."""
+"""Memory, code and task queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quern.operators import memory as M
+from quern.operators import retrieval as R
+from quern.plans.registry import query
+
+_MEM = """m AS (SELECT conv_id, turn, role, text AS content, ['general','architecture_decision','semantic','odd'][turn % 4 + 1] AS memory_type, CASE WHEN turn % 3 = 0 THEN 'archived' ELSE 'active' END AS status, CASE WHEN conv_id % 2 = 0 THEN conv_id + turn END AS valid_to FROM conversations),
+l AS (SELECT *, CASE memory_type WHEN 'architecture_decision' THEN 'decision' WHEN 'semantic' THEN 'semantic' ELSE 'episodic' END AS layer FROM m)"""
+
+
+def memories(t):
+    kinds = F.array(*[F.lit(x) for x in ("general", "architecture_decision", "semantic", "odd")])
+    m = t.conversations.select("conv_id", "turn", "role", F.col("text").alias("content"), F.get(kinds, (F.col("turn") % 4).cast("int")).alias("memory_type"), F.when(F.col("turn") % 3 == 0, "archived").otherwise("active").alias("status"), F.when(F.col("conv_id") % 2 == 0, F.col("conv_id") + F.col("turn")).alias("valid_to"))
+    return m.withColumn("layer", M.layer(F.col("memory_type")))
+
+
+@query("h5_entry", f"WITH {_MEM} SELECT conv_id, turn, substr(sha256(role || ':' || substr(content, 1, 200)), 1, 16) AS entry_id, layer FROM l")
+def h5(t):
+    return memories(t).select("conv_id", "turn", M.entry_id(F.col("role"), F.col("content")).alias("entry_id"), "layer")
+
+
+@query("h1_store", "SELECT conv_id, turn, conv_id * 86400 + 7 * 86400 AS valid_to, 'semantic' AS layer FROM conversations WHERE role = 'user'")
+def h1(t):
+    return t.conversations.where("role = 'user'").select("conv_id", "turn", (F.col("conv_id") * 86400 + 7 * 86400).alias("valid_to"), F.lit("semantic").alias("layer"))
+
+
+@query("r14_memory", f"WITH {_MEM} SELECT conv_id, turn, substr(content, 1, 600) AS content FROM l WHERE status = 'active' AND (valid_to IS NULL OR valid_to >= 40) AND layer IN ('decision', 'episodic')")
+def r14(t):
+    return M.recall(memories(t), F.lit(40), ["decision", "episodic"]).select("conv_id", "turn", F.substring("content", 1, 600).alias("content"))
+
+
+@query("r15_patches", "SELECT query_id, id, rn FROM (SELECT lang AS query_id, doc_id AS id, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS rn FROM documents WHERE source = 'src5') WHERE rn <= 3")
+def r15(t):
+    rows = t.documents.where("source = 'src5'").select(F.col("lang").alias("query_id"), F.col("doc_id").alias("id"), F.col("n_chars").alias("score"))
+    return R.top_k(rows, 3).select("query_id", "id", "rn")
+
+
+@query("x8_compact", f"WITH {_MEM}, f AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, content) AS rn FROM l WHERE status = 'active') SELECT conv_id, string_agg(content, chr(10) ORDER BY rn) AS content, count(*) AS merged, 'semantic' AS layer FROM f WHERE rn <= 5 GROUP BY conv_id")
+def x8(t):
+    return M.compact(memories(t), "conv_id", ["turn", "role", "content"])
+
+
+@query("x9_facts", r"""WITH l AS (SELECT doc_id AS id, unnest(string_split(t, chr(10))) AS line, (generate_subscripts(string_split(t, chr(10)), 1) - 1)::INT AS at_ FROM (SELECT doc_id, '- ' || replace(text, '. ', chr(10) || '2) ') AS t FROM documents)),
+f AS (SELECT id, at_, trim(regexp_replace(line, '^\s*(?:[-*•]|\d+[.)])\s+', '')) AS fact FROM l) SELECT id, at_ AS "at", fact FROM f WHERE fact <> ''""")
+def x9(t):
+    d = t.documents.select("doc_id", F.concat(F.lit("- "), F.replace("text", F.lit(". "), F.lit("\n2) "))).alias("c"))
+    return M.facts(d, "doc_id", "c")
+
+
+@query("x10_prune", f"WITH {_MEM} SELECT conv_id, turn, CASE WHEN status = 'active' AND valid_to < 40 THEN 'expired' ELSE status END AS status FROM l")
+def x10(t):
+    return M.prune(memories(t), F.lit(40)).select("conv_id", "turn", "status")
+
+
+@query("x13_states")
+def x13(t):
+    steps = t.lineitem.where("l_orderkey % 50 = 0").select(F.col("l_orderkey").alias("task_id"), F.col("l_linenumber").alias("step"), (F.col("l_returnflag") != "R").alias("ok"))
+    return M.task_states(steps)
+
+
+@query("x15_commands", "SELECT event_id, event_type IN ('view', 'signup') AS allowed FROM events")
+def x15(t):
+    command = F.when(F.col("event_type") == "view", "pytest -q tests").when(F.col("event_type") == "signup", "Git status").when(F.col("event_type") == "click", "git clean && rm -rf /").otherwise("bash x")
+    return t.events.select("event_id", M.command_allowed(command).alias("allowed"))
+
+
+def project_files(t):
+    names = F.array(*[F.lit(x) for x in ("src/main.py", "pyproject.toml", "web/package.json", "a.sln", "Dockerfile", "lib/x.py", "app/angular.json")])
+    return t.documents.select(F.col("source").alias("project"), F.get(names, (F.col("doc_id") % F.col("n_chars") % 7).cast("int")).alias("path"))
+
+
+_FILES = "p AS (SELECT source AS project, ['src/main.py','pyproject.toml','web/package.json','a.sln','Dockerfile','lib/x.py','app/angular.json'][doc_id % n_chars % 7 + 1] AS path FROM documents)"
+
+
+@query("x6_profile", f"""WITH {_FILES}, f AS (SELECT project, path, CASE path WHEN 'pyproject.toml' THEN 'Python' WHEN 'web/package.json' THEN 'Node.js' WHEN 'a.sln' THEN '.NET' WHEN 'Dockerfile' THEN 'Docker' WHEN 'app/angular.json' THEN 'Angular' END AS fw, CASE path WHEN 'pyproject.toml' THEN 'pip' WHEN 'web/package.json' THEN 'npm' WHEN 'a.sln' THEN 'nuget' END AS pm FROM p)
+SELECT project, coalesce(string_agg(DISTINCT fw, '|' ORDER BY fw), '') AS frameworks, coalesce(string_agg(DISTINCT pm, '|' ORDER BY pm), '') AS package_managers, coalesce(string_agg(DISTINCT CASE WHEN path = 'src/main.py' THEN 'main.py' END, '|'), '') AS entry_points, count(*) AS n_files FROM f GROUP BY project""")
+def x6(t):
+    return M.profile(project_files(t))
+
+
+@query("x17_verification", f"WITH {_FILES} SELECT project, CASE WHEN bool_or(path = 'a.sln') THEN 'dotnet' WHEN bool_or(path = 'web/package.json') THEN 'node' WHEN bool_or(path = 'pyproject.toml') THEN 'python' ELSE 'none' END AS profile FROM p GROUP BY project")
+def x17(t):
+    return M.verification(project_files(t))
+
+
+@query("t1_code_chunks")
+def t1(t):
+    body = F.concat(F.lit("import os\nclass C"), F.col("p_partkey").cast("string"), F.lit("(Base):\n    def run(self):\n        return os.getenv('X')\n\ndef helper(a):\n    return len(a)\n"))
+    return M.code_chunks(t.part.select(F.concat(F.lit("m"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), body.alias("content"))).select("path", "chunk_type", "name", "start_line", "end_line", "parent_class")
+
+
+@query("x4_untested")
+def x4(t):
+    body = F.lit("def public(a):\n    return a\n\ndef _hidden():\n    pass\n")
+    name = F.concat(F.when(F.col("p_partkey") % 8 == 0, "test_").otherwise(""), F.lit("m"), F.floor(F.col("p_partkey") / 4).cast("string"), F.lit(".py"))
+    return M.untested(M.code_chunks(t.part.select(name.alias("path"), body.alias("content"))))

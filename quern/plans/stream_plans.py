@@ -1 +1,87 @@
-"""..."""
+"""Streaming queries: each runs what is there to its end and returns the table it has written."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from quern.plans.registry import query
+from quern.session import shared_dir
+from quern.streaming import events as S
+
+
+def _finished(t, stream: DataFrame, mode: str) -> DataFrame:
+    """Run a stream over the events table and read back its last state (complete) or all its rows (append)."""
+    base = f"{shared_dir(t.spark)}/{t.spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{base}/out")
+
+    S.run_to_table(stream, f"{base}/checkpoint", mode, write)
+    return t.spark.read.schema(stream.schema).parquet(f"{base}/out")
+
+
+def _events(t) -> DataFrame:
+    return S.event_stream(t.spark, t.folder)
+
+
+@query("y1_stream_counts", "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY event_type")
+def y1(t):
+    return _finished(t, S.counts(_events(t)), "complete").select("event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("y2_stream_windows", "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
+def y2(t):
+    return _finished(t, S.windowed(_events(t), "1 day"), "complete").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+
+
+@query("y1_tail", "SELECT event_id, event_type FROM events WHERE event_type IN ('error', 'purchase')")
+def y1_tail(t):
+    return _finished(t, S.tail(_events(t), ["error", "purchase"]), "append").select("event_id", "event_type")
+
+
+@query("y7_stream_sync", "SELECT user_id, max(event_id) AS event_id FROM events GROUP BY user_id")
+def y7(t):
+    base = f"{shared_dir(t.spark)}/{t.spark.sparkContext.applicationId}/sync-{uuid.uuid4().hex}"
+    versions: list[str] = []
+
+    def write(batch: DataFrame, n: int) -> None:
+        newest = batch.groupBy("user_id").agg(F.max("event_id").alias("event_id"))
+        out = f"{base}/v{n}"
+        if versions:
+            old = batch.sparkSession.read.parquet(versions[-1])
+            newest = S.sync_batch(old, newest, "user_id", "event_id")
+        newest.write.mode("overwrite").parquet(out)
+        versions.append(out)
+
+    S.run_to_table(_events(t), f"{base}/checkpoint", "append", write)
+    return t.spark.read.parquet(versions[-1])
+
+
+@query("y4_ttl", "SELECT event_id, ts + INTERVAL 1 HOUR > TIMESTAMP '2024-01-15 12:00:00' AND ts <= TIMESTAMP '2024-01-15 12:00:00' AS live FROM events")
+def y4(t):
+    now = F.expr("timestamp_ntz '2024-01-15 12:00:00'")
+    return t.events.select("event_id", ((F.col("ts") + F.expr("interval 1 hour") > now) & (F.col("ts") <= now)).alias("live"))
+
+
+@query("z_sliding", "WITH s AS (SELECT unnest(range(0, 2)) AS k), e AS (SELECT time_bucket(INTERVAL 12 HOURS, ts, TIMESTAMP '2024-01-01') - k * INTERVAL 12 HOURS AS start, event_type FROM events, s) SELECT strftime(start, '%Y-%m-%d %H') AS start, event_type, count(*) AS n FROM e GROUP BY ALL")
+def z_sliding(t):
+    rows = t.events.withColumn("ts", F.col("ts").cast("timestamp")).groupBy(F.window("ts", "24 hours", "12 hours").alias("w"), "event_type").agg(F.count("*").alias("n"))
+    return rows.select(F.date_format("w.start", "yyyy-MM-dd HH").alias("start"), "event_type", "n")
+
+
+@query("z_sessions", "WITH g AS (SELECT *, (lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 6 HOURS)::INT AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS no FROM g) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM s GROUP BY user_id, no")
+def z_sessions(t):
+    rows = t.events.withColumn("ts", F.col("ts").cast("timestamp")).groupBy(F.session_window("ts", "6 hours").alias("w"), "user_id").agg(F.count("*").alias("n"))
+    return rows.select("user_id", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+
+
+@query("z_asof", "SELECT e.event_id, max(p.event_id) AS last_purchase FROM events e ASOF LEFT JOIN (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase') p ON e.user_id = p.user_id AND e.ts >= p.ts WHERE e.event_type = 'error' GROUP BY e.event_id")
+def z_asof(t):
+    """Last purchase of the user at each error: one sort by user and time instead of a range join."""
+    w = Window.partitionBy("user_id").orderBy("ts", F.when(F.col("event_type") == "purchase", 0).otherwise(1), "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = t.events.withColumn("last_purchase", F.last(F.when(F.col("event_type") == "purchase", F.col("event_id")), ignorenulls=True).over(w))
+    return rows.where("event_type = 'error'").select("event_id", "last_purchase")
