@@ -26,6 +26,12 @@ def build_session(app: str = "quern", master: str | None = None, shuffle: int |
     return b.getOrCreate()
 
 
+def plain_unions(spark: SparkSession) -> None:
+    """Keep unions from zipping the partitions of equally partitioned inputs: AQE may have coalesced one of them, and the
+    query then fails with "Can't zip RDDs with unequal numbers of partitions" (seen with Spark 4.1.2)."""
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``, which the driver and all executors see.
 
