@@ -7,11 +7,12 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.session import drop_staged, parquet, shared_dir, stage  # noqa: F401
+from quern.session import drop_staged, parquet, plain_unions, shared_dir, stage  # noqa: F401
 
 
-def small_batches(spark: SparkSession, size: str = "4m") -> None:
+def small_batches(spark: SparkSession, size: str = "2m") -> None:
     """Bound what a Python worker is handed at once by bytes, so that long texts come in small batches."""
+    plain_unions(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 

@@ -63,26 +63,27 @@ def _softplus(z: np.ndarray) -> np.ndarray:
     return np.maximum(z, 0) + np.log1p(np.exp(-np.abs(z)))
 
 
+def screen(n1: np.ndarray, n0: np.ndarray, ones: int, zeros: int) -> np.ndarray:
+    """Buckets that take part, from their numbers of positive and negative documents: MIN_DOCS positive ones and a z-score of
+    MIN_Z between the classes."""
+    ones, zeros = max(1, ones), max(1, zeros)
+    share = (n1 + n0) / (ones + zeros)
+    z = (n1 / ones - n0 / zeros) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / ones + 1 / zeros))
+    return (n1 >= MIN_DOCS) & (z >= MIN_Z)
+
+
 def fit(sentence: np.ndarray, bucket: np.ndarray, first: np.ndarray, y: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
     """Weights by bucket and the bias, by accelerated proximal gradient steps on the noisy-or log-likelihood.
 
-    sentence, bucket: the features; first: each document's first sentence, one entry more; y: labels. Only buckets in at
-    least MIN_DOCS positive documents and with a z-score of MIN_Z between the classes take part; an L1 term keeps rare ones
-    at zero, so that single documents aren't learnt by heart. Newton steps move the bias.
+    sentence, bucket: the screened features; first: each document's first sentence, one entry more; y: labels. An L1 term
+    keeps rare buckets at zero, so that single documents aren't learnt by heart. Newton steps move the bias.
     """
     n, size = int(first[-1]), 1 << BITS
     w, b, ones = np.zeros(size), -6.0, max(1, int(y.sum()))
     if not n or not y.any():
         return w, -60.0
-    zeros = max(1, len(y) - ones)
     doc = np.repeat(np.arange(len(y)), np.diff(first))
-    seen = np.unique((doc[sentence] << BITS) | bucket)
-    positive = y[seen >> BITS] > 0
-    n1, n0 = (np.bincount(seen[m] & (size - 1), minlength=size) for m in (positive, ~positive))
-    share = (n1 + n0) / (ones + zeros)
-    z = (n1 / ones - n0 / zeros) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / ones + 1 / zeros))
-    use = ((n1 >= MIN_DOCS) & (z >= MIN_Z))[bucket]
-    sentence, (slot, place) = sentence[use], np.unique(bucket[use], return_inverse=True)
+    slot, place = np.unique(bucket, return_inverse=True)
     x = ahead = np.zeros(len(slot))
     pace = 1.0
     for _ in range(rounds):
@@ -111,25 +112,35 @@ def train(docs: DataFrame, labels: DataFrame, label: str, id_col: str = "doc_id"
     want = arrow_schema("weights binary, bias double")
 
     def run(batches):
-        ids, ys, toks, sents, counts, base = [], [], [], [], [], 0
+        ids, ys, toks, sents, counts = [], [], [], [], []
+        seen = np.zeros((2, 1 << BITS), np.int64)
         for b in batches:
-            data, offs = K.utf8(b.column(1))
-            w, sent, first = sentences(data, offs)
-            sent, bucket = _features(data, w, sent)
-            at = np.searchsorted(sent, first)
-            for i in range(b.num_rows):
-                part = slice(at[i], at[i + 1])
-                toks.append(bucket[part].astype(np.int32))
-                sents.append((sent[part] - first[i]).astype(np.int32))
-                counts.append(int(first[i + 1] - first[i]))
+            label = b.column(2).to_pylist()
+            # a few documents at a time, so that memory is bounded by what is kept: 8 bytes a feature
+            for low in range(0, b.num_rows, 64):
+                data, offs = K.utf8(b.column(1).slice(low, 64))
+                w, sent, first = sentences(data, offs)
+                sent, bucket = _features(data, w, sent)
+                at = np.searchsorted(sent, first)
+                for i in range(len(offs) - 1):
+                    part = slice(at[i], at[i + 1])
+                    toks.append(bucket[part].astype(np.int32))
+                    sents.append((sent[part] - first[i]).astype(np.int32))
+                    counts.append(int(first[i + 1] - first[i]))
+                    seen[int(label[low + i] > 0), np.unique(toks[-1])] += 1
             ids += b.column(0).to_pylist()
-            ys += b.column(2).to_pylist()
-        turn = sorted(range(len(ids)), key=lambda i: (ids[i], len(toks[i]), ys[i]))
+            ys += label
+        y = np.array(ys)
+        use = screen(seen[1], seen[0], int((y > 0).sum()), int((y <= 0).sum()))
+        for i in range(len(toks)):
+            keep = use[toks[i]]
+            toks[i], sents[i] = toks[i][keep], sents[i][keep]
+        turn = sorted(range(len(ids)), key=lambda i: (ids[i], counts[i], ys[i], sents[i].tobytes(), toks[i].tobytes()))
         first = np.concatenate([[0], np.cumsum([counts[i] for i in turn])]).astype(np.int64)
         none = [np.zeros(0, np.int64)]
         token = np.concatenate([toks[i] for i in turn] or none)
         sentence = np.concatenate([sents[i] + first[k] for k, i in enumerate(turn)] or none)
-        w, bias = fit(sentence.astype(np.int64), token.astype(np.int64), first, np.array([ys[i] for i in turn]))
+        w, bias = fit(sentence.astype(np.int64), token.astype(np.int64), first, y[turn] if turn else y)
         yield pa.RecordBatch.from_pydict({"weights": [w.astype(np.float32).tobytes()], "bias": [bias]}, schema=want)
 
     small_batches(docs.sparkSession)
