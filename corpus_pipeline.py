@@ -11,6 +11,8 @@ an empty table gives an empty result; columns beyond those of ``documents`` are
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,9 +35,13 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that repeat an earlier one, exactly or nearly; n_chars follows the text."""
-    out = line_dedup.clean(docs).where("text is not null or n_lines_removed = 0")
-    changed = F.col("n_lines_removed") > 0
-    return out.select(*[F.when(changed, F.char_length("text").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    removed = f"_{uuid.uuid4().hex}"
+    out = line_dedup.clean(docs, count_col=removed)
+    out = out.where(F.col("text").isNotNull() | (F.col(removed) == 0))
+    if "n_chars" in docs.columns:
+        size = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+        out = out.withColumn("n_chars", F.when(F.col(removed) > 0, size).otherwise(F.col("n_chars")))
+    return out.drop(removed)
 
 
 def duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

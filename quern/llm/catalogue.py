@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op8_url_filter": url_filter.OP8_SQL, "op10_quality_rules": quality_rules.OP10_SQL}
+    return {"op3_ngram_join": ngram_join.OP3_SQL, "op8_url_filter": url_filter.OP8_SQL, "op9_line_dedup": line_dedup.OP9_SQL, "op10_quality_rules": quality_rules.OP10_SQL}

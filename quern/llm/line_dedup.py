@@ -17,11 +17,14 @@ table gives an empty result; ``clean`` keeps further columns.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from quern.llm import kernel as K
 from quern.llm.components import components
@@ -176,16 +179,16 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text: str = "text", thresh
     return spots.join(small_side(decided), "node").where(F.struct("doc_id", "place") != F.col("keeper")).where("doc_id is not null").select("doc_id", "place", "node", "comp")
 
 
-def clean(docs: DataFrame, id_col: str = "doc_id", text: str = "text", gone: DataFrame | None = None) -> DataFrame:
-    """``docs`` without the lines to remove, all columns kept, plus n_lines_removed.
+def clean(docs: DataFrame, id_col: str = "doc_id", text: str = "text", gone: DataFrame | None = None, count_col: str = "n_lines_removed") -> DataFrame:
+    """``docs`` without the lines to remove, all columns kept, plus ``count_col``: the lines removed.
 
     A text that loses all its lines but blank ones becomes null, as nothing of it is left.
     """
     gone = removals(docs, id_col, text) if gone is None else gone
-    per_doc = gone.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("place").alias("_gone"))
-    at, last = docs.columns.index(text), len(docs.columns)
-    joined = docs.join(per_doc, docs[id_col].cast("long") == F.col("_id"), "left").select(*[docs[c] for c in docs.columns], "_gone")
-    names = docs.columns
+    key, places = f"_{uuid.uuid4().hex}", f"_{uuid.uuid4().hex}"
+    per_doc = gone.groupBy(F.col("doc_id").alias(key)).agg(F.collect_set("place").alias(places))
+    at, last, names = docs.columns.index(text), len(docs.columns), docs.columns
+    joined = docs.join(per_doc, F.col(id_col).cast("long") == F.col(key), "left").drop(key)
 
     def run(batches):
         for b in batches:
@@ -199,16 +202,34 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text: str = "text", gone: Dat
                 count.append(len(g) if g else 0)
             cols = [b.column(i) for i in range(last)]
             cols[at] = pa.array(new, pa.string())
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(count, pa.int64())], names=[*names, "n_lines_removed"])
-
-    from pyspark.sql.types import LongType, StructField, StructType
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(count, pa.int64())], names=[*names, count_col])
 
     small_batches(docs.sparkSession)
-    schema = StructType([StructField(f.name, f.dataType, f.nullable or f.name == text) for f in docs.schema.fields]).add("n_lines_removed", LongType())
-    return joined.mapInArrow(run, schema)
+    fields = [StructField(f.name, f.dataType, f.nullable or f.name == text) for f in docs.schema.fields]
+    return joined.mapInArrow(run, StructType([*fields, StructField(count_col, LongType())]))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the text that is left of it."""
     out = clean(parquet(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines_removed", "text")
+
+
+OP9_SQL = r"""
+WITH RECURSIVE o AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS place FROM documents),
+f AS (SELECT *, regexp_matches(line, '[^\x20\x09-\x0D]') AS full_line FROM o),
+u AS (SELECT line, min({'d': doc_id, 'p': place}) AS first_at, row_number() OVER (ORDER BY min({'d': doc_id, 'p': place})) AS id FROM f WHERE full_line GROUP BY line),
+s AS (SELECT DISTINCT id, unnest(CASE WHEN length(line) >= 9 THEN list_transform(range(1, length(line) - 7), lambda i: substr(line, i, 9)) ELSE [line] END) AS g FROM u),
+n AS (SELECT id, count(*) AS c FROM s GROUP BY id),
+h AS (SELECT s.*, n.c, row_number() OVER (PARTITION BY s.id ORDER BY m.k, s.g) AS r FROM s JOIN n USING (id) JOIN (SELECT g, count(*) AS k FROM s GROUP BY g) m USING (g)),
+x AS (SELECT id, g, c FROM h WHERE r <= c - ceil(0.8 * c) + 1),
+k AS (SELECT DISTINCT a.id AS a, b.id AS b FROM x a JOIN x b ON a.g = b.g AND a.id < b.id WHERE a.c >= 0.8 * b.c AND b.c >= 0.8 * a.c),
+p AS (SELECT k.a, k.b, count(*) AS k FROM k JOIN s x ON x.id = k.a JOIN s y ON y.id = k.b AND y.g = x.g GROUP BY ALL),
+l AS (SELECT p.a, p.b FROM p JOIN n x ON x.id = p.a JOIN n y ON y.id = p.b WHERE 5 * k >= 4 * (x.c + y.c - k)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT id AS node, id AS low FROM u UNION SELECT e.b, r.low FROM r JOIN e ON e.a = r.node WHERE r.low < e.b),
+keep AS (SELECT u.line, (SELECT v.first_at FROM u v WHERE v.id = (SELECT min(low) FROM r WHERE node = u.id)) AS at_ FROM u),
+j AS (SELECT f.*, NOT f.full_line OR {'d': doc_id, 'p': place} = keep.at_ AS stays FROM f LEFT JOIN keep USING (line)),
+t AS (SELECT doc_id, count(*) FILTER (NOT stays) AS gone, bool_or(stays AND full_line) AS any_left, string_agg(line, chr(10) ORDER BY place) FILTER (stays) AS rest FROM j GROUP BY doc_id)
+SELECT d.doc_id, t.gone::BIGINT AS n_lines_removed, CASE WHEN gone = 0 THEN d.text WHEN any_left THEN rest END AS text FROM documents d JOIN t USING (doc_id)
+"""

@@ -13,6 +13,8 @@ columns are kept by ``deduplicate`` and ignored by ``join``.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -72,10 +74,23 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold:
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One document of each class, the one with the least id, with all columns. Rows with a null id stay."""
-    gone = join(docs, id_col, text, threshold).where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("_gone")).distinct()
+    key = f"_{uuid.uuid4().hex}"
+    gone = join(docs, id_col, text, threshold).where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias(key)).distinct()
     gone = stage(gone, "gone")
-    return docs.join(small_side(gone), docs[id_col].cast("long") == F.col("_gone"), "left_anti")
+    return docs.join(small_side(gone), F.col(id_col).cast("long") == F.col(key), "left_anti")
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(parquet(spark, sf_dir, "documents"))
+
+
+OP3_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS c FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 5 * k >= 4 * (x.c + y.c - k)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS node, doc_id AS low FROM documents UNION SELECT e.b, r.low FROM r JOIN e ON e.a = r.node WHERE r.low < e.b)
+SELECT doc_id, (SELECT min(low) FROM r WHERE node = doc_id) AS class_id, (SELECT count(*) FROM e WHERE a = doc_id) AS n_links FROM documents
+"""

@@ -145,6 +145,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str, id_col: str = "doc_id"
 
     small_batches(docs.sparkSession)
     got = rows.repartition(1).mapInArrow(run, "weights binary, bias double").collect()
+    if not got:
+        return np.zeros(1 << BITS, np.float32), -60.0
     return np.frombuffer(got[0].weights, np.float32), got[0].bias
 
 
