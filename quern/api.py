@@ -49,7 +49,7 @@ class Engine:
         plain_unions(spark)
         self.spark, self.chunks, self.edges, self.memories, self.score = spark, chunks, edges, memories, score
         self.vectors = vectors if vectors is not None else chunks.select("id", embed_column(F.col("text")).alias("vec"))
-        self.posts = retrieval.postings(chunks)
+        self.posts = chunks.select("id", "text")
 
     def _queries(self, queries: DataFrame) -> DataFrame:
         return queries if "vec" in queries.columns else queries.withColumn("vec", embed_column(F.col("text")))

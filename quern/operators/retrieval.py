@@ -72,10 +72,13 @@ def dense(queries: DataFrame, vectors: DataFrame, k: int = 20, threshold: float
     return top_k(found, k)
 
 
-def postings(docs: DataFrame, id_col: str = "id", text: str = "text") -> DataFrame:
-    """id, term, tf, doc_len."""
+def postings(docs: DataFrame, id_col: str = "id", text: str = "text", terms: DataFrame | None = None) -> DataFrame:
+    """id, term, tf, doc_len; only of the terms in ``terms`` (term), if given: others are dropped before anything is shuffled."""
     t = docs.select(F.col(id_col).alias("id"), tokens(F.col(text)).alias("t"))
-    return t.select("id", F.size("t").alias("doc_len"), F.explode("t").alias("term")).groupBy("id", "doc_len", "term").agg(F.count("*").alias("tf"))
+    rows = t.select("id", F.size("t").alias("doc_len"), F.explode("t").alias("term"))
+    if terms is not None:
+        rows = rows.join(terms.select("term").distinct(), "term", "left_semi")
+    return rows.groupBy("id", "doc_len", "term").agg(F.count("*").alias("tf"))
 
 
 def query_terms(queries: DataFrame, text: str = "text") -> DataFrame:
@@ -84,8 +87,14 @@ def query_terms(queries: DataFrame, text: str = "text") -> DataFrame:
 
 
 def bm25(queries: DataFrame, posts: DataFrame, k: int = 20, k1: float = 1.2, b: float = 0.75, avg_len: float = 256.0, n_docs: int | None = None) -> DataFrame:
-    """query_id, id, score, rn: saturated term frequencies of the query's terms, with idf if ``n_docs`` is given."""
-    hit = posts.join(query_terms(queries), "term")
+    """query_id, id, score, rn: saturated term frequencies of the query's terms, with idf if ``n_docs`` is given.
+
+    ``posts`` is a table of postings, or documents (id, text), whose postings are then made for the queries' terms only.
+    """
+    terms = query_terms(queries)
+    if "term" not in posts.columns:
+        posts = postings(posts, terms=terms)
+    hit = posts.join(terms, "term")
     part = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / avg_len))
     if n_docs is not None:
         df = posts.groupBy("term").agg(F.count("*").alias("df"))

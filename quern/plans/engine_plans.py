@@ -53,7 +53,7 @@ def a13(t):
     from quern.plans.retrieval_plans import docs
     from pyspark.sql.window import Window
 
-    hits = retrieval.bm25(item_queries(t, 20), retrieval.postings(docs(t)), 10).drop("rn").join(docs(t), "id").join(item_queries(t, 20).withColumnRenamed("text", "query_text"), "query_id")
+    hits = retrieval.bm25(item_queries(t, 20), docs(t), 10).drop("rn").join(docs(t), "id").join(item_queries(t, 20).withColumnRenamed("text", "query_text"), "query_id")
     hits = hits.withColumn("r", ranking.rerank_score(F.col("query_text"), F.col("text"), F.col("source")))
     w = Window.partitionBy("query_id").orderBy(F.desc("r"), F.desc("score"), "id")
     hits = hits.select("query_id", F.row_number().over(w).alias("rn"), F.when(F.col("id") % 2 == 0, "even").otherwise("odd").alias("path"))

@@ -13,7 +13,7 @@ from quern.plans.retrieval_plans import TOK, docs, item_queries, sparse_sql
 
 
 def candidates(t, n=5, k=30):
-    hits = R.bm25(item_queries(t, n), R.postings(docs(t)), k)
+    hits = R.bm25(item_queries(t, n), docs(t), k)
     return hits.join(docs(t), "id").join(item_queries(t, n).withColumnRenamed("text", "query_text"), "query_id")
 
 
@@ -112,7 +112,7 @@ _HITS = f"WITH {sparse_sql(20, 10)}, {_RERANK}, h AS (SELECT query_id, rn, id, s
 SELECT query_id, top1, avg_score, CASE WHEN avg_score > 0 THEN round(top1 / avg_score, 6) ELSE 0 END AS precision, sources, chars, round(sources / greatest(n, 1), 6) AS diversity,
 CASE WHEN top1 < 0.3 OR chars < 200 THEN 'insufficient' WHEN rer < 0.15 OR (query_id % 2 = 0 AND sources / n < 0.4) OR (sources < 2 AND top1 < 0.55) OR (avg_score < 0.2 AND sources >= 2) THEN 'weak' ELSE 'answerable' END AS verdict FROM m""")
 def c1(t):
-    hits = R.bm25(item_queries(t, 20), R.postings(docs(t)), 10).join(docs(t), "id").join(item_queries(t, 20).withColumnRenamed("text", "query_text"), "query_id")
+    hits = R.bm25(item_queries(t, 20), docs(t), 10).join(docs(t), "id").join(item_queries(t, 20).withColumnRenamed("text", "query_text"), "query_id")
     hits = hits.drop("rn").withColumn("rerank_score", N.rerank_score(F.col("query_text"), F.col("text"), F.col("source")))
     w = Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), F.desc("score"), "id")
     hits = hits.withColumn("rn", F.row_number().over(w)).withColumn("score", F.col("score") / 40).withColumn("kind", F.when(F.col("query_id") % 2 == 0, "broad_summary").otherwise("factual_doc"))
@@ -223,5 +223,5 @@ def x11(t):
     starts = items.select("query_id", F.col("text").alias("passage"))
     found = t.documents.select("doc_id", "text").join(F.broadcast(starts), F.col("text").contains(F.col("passage")))
     cases = found.groupBy("query_id").agg(F.collect_set(F.concat(F.lit("/"), F.col("doc_id").cast("string"), F.lit("/"))).alias("expected"))
-    hits = R.bm25(items, R.postings(docs(t)), 5).withColumn("path", F.concat(F.lit("/"), F.col("id").cast("string"), F.lit("/")))
+    hits = R.bm25(items, docs(t), 5).withColumn("path", F.concat(F.lit("/"), F.col("id").cast("string"), F.lit("/")))
     return N.evaluate(cases, hits)

@@ -62,27 +62,27 @@ def r1(t):
 
 @query("r2_bm25_topk", f"WITH {sparse_sql()} SELECT query_id, id, score, rn FROM sparse")
 def r2(t):
-    return R.bm25(item_queries(t), R.postings(docs(t)))
+    return R.bm25(item_queries(t), docs(t))
 
 
 @query("r2_bm25_idf", f"WITH {sparse_sql(idf=True)} SELECT query_id, id, score, rn FROM sparse")
 def r2_idf(t):
-    return R.bm25(item_queries(t), R.postings(docs(t)), n_docs=t.documents.count())
+    return R.bm25(item_queries(t), docs(t), n_docs=t.documents.count())
 
 
 @query("r3_rrf", f"WITH {dense_sql(4)}, {sparse_sql(4)}, {fuse_sql()} SELECT query_id, id, score, rn FROM fused")
 def r3(t):
-    return R.hybrid(mixed_queries(t), vectors(t), R.postings(docs(t)))
+    return R.hybrid(mixed_queries(t), vectors(t), docs(t))
 
 
 @query("r4_local", f"WITH {dense_sql(4, 20, 'e.vec_id IN (SELECT doc_id FROM documents WHERE lang = chr(101) || chr(110))')}, {sparse_sql(4, 20, 'lang = chr(101) || chr(110)')}, {fuse_sql(15)} SELECT query_id, id, score, rn FROM fused")
 def r4(t):
-    return R.hybrid(mixed_queries(t), vectors(t), R.postings(docs(t)), docs(t).where("lang = 'en'").select("id"), k=15)
+    return R.hybrid(mixed_queries(t), vectors(t), docs(t), docs(t).where("lang = 'en'").select("id"), k=15)
 
 
 @query("r5_global", f"WITH {dense_sql(4, 20, 'e.vec_id IN (SELECT doc_id FROM documents WHERE source IN (chr(115)||chr(114)||chr(99)||chr(49), chr(115)||chr(114)||chr(99)||chr(50)))')}, {sparse_sql(4, 20, 'source IN (chr(115)||chr(114)||chr(99)||chr(49), chr(115)||chr(114)||chr(99)||chr(50))')}, {fuse_sql(12)} SELECT query_id, id, score, rn FROM fused")
 def r5(t):
-    return R.hybrid(mixed_queries(t), vectors(t), R.postings(docs(t)), docs(t).where("source in ('src1', 'src2')").select("id"), k=12)
+    return R.hybrid(mixed_queries(t), vectors(t), docs(t), docs(t).where("source in ('src1', 'src2')").select("id"), k=12)
 
 
 def _any(terms, col="low"):
@@ -122,13 +122,13 @@ s1 AS (SELECT query_id, id, h, h[1].score AS s FROM f), s2 AS (SELECT query_id,
 s3 AS (SELECT query_id, id, CASE WHEN len(h) > 2 AND h[3].score * 0.7::DOUBLE > s THEN h[3].score ELSE s END AS s FROM s2)
 SELECT query_id::BIGINT AS query_id, id, round(s, 6) AS score, rn FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 6) DESC, id) AS rn FROM s3) WHERE rn <= 20""")
 def r8(t):
-    hits = R.bm25(sub_queries(t), R.postings(docs(t)))
+    hits = R.bm25(sub_queries(t), docs(t))
     return R.multi_query(hits.select(F.floor(F.col("query_id") / 3).alias("query_id"), (F.col("query_id") % 3).alias("sub"), "id", "score"))
 
 
 @query("r9_union", f"WITH {_SUB} SELECT query_id::BIGINT AS query_id, id, score, rn FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rn FROM (SELECT q AS query_id, id, max(score) AS score FROM hits GROUP BY q, id)) WHERE rn <= 20")
 def r9(t):
-    hits = R.bm25(sub_queries(t), R.postings(docs(t)))
+    hits = R.bm25(sub_queries(t), docs(t))
     return R.best_of(hits.select(F.floor(F.col("query_id") / 3).alias("query_id"), "id", "score"))
 
 
@@ -148,12 +148,12 @@ def r11(t):
 @query("r13_filtered", f"WITH {dense_sql(4, 20, 'e.vec_id IN (SELECT doc_id FROM documents WHERE lang <> chr(101) || chr(110) OR lang IS NULL)')}, {sparse_sql(4, 20, '(lang <> chr(101) || chr(110) OR lang IS NULL)')}, {fuse_sql(8)} SELECT query_id, id, score, rn FROM fused")
 def r13(t):
     keep = docs(t).where(F.coalesce(~F.col("lang").isin("en"), F.lit(True))).select("id")
-    return R.hybrid(mixed_queries(t), vectors(t), R.postings(docs(t)), keep, k=8)
+    return R.hybrid(mixed_queries(t), vectors(t), docs(t), keep, k=8)
 
 
 @query("r18_fanin", f"WITH {sparse_sql(2, 5)}, s AS (SELECT s.*, lang FROM sparse s JOIN documents ON doc_id = id) SELECT CASE WHEN lang = 'en' THEN 'main' ELSE 'other' END AS block, query_id, id, score, rn FROM s UNION ALL SELECT 'architecture', query_id, id, score, rn FROM s WHERE rn <= 2")
 def r18(t):
-    hits = R.bm25(item_queries(t, 2), R.postings(docs(t)), k=5).join(docs(t).select("id", "lang"), "id")
+    hits = R.bm25(item_queries(t, 2), docs(t), k=5).join(docs(t).select("id", "lang"), "id")
     main = hits.select(F.when(F.col("lang") == "en", "main").otherwise("other").alias("block"), "query_id", "id", "score", "rn")
     return main.unionByName(hits.where("rn <= 2").select(F.lit("architecture").alias("block"), "query_id", "id", "score", "rn"))
 
