@@ -35,6 +35,8 @@ K_CHARS, THRESHOLD, RECALL, ROWS, SHORT = 9, 0.8, 0.99, 5, 64
 BANDS = K.choose_bands(THRESHOLD, RECALL, ROWS)
 #: A power of two, at least BANDS * ROWS.
 BINS = 64
+#: Characters of lines in a block that is verified at once.
+LINE_BLOCK = 1_000_000
 _N = 1 << 17
 _POW = K.powers(0x9E3779B97F4A7C15, _N + 64)
 _BACK = K.powers(pow(0x9E3779B97F4A7C15, -1, 1 << 64), _N + 64)
@@ -168,9 +170,10 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text: str = "text", thresh
     nodes = stage(spots.groupBy("node").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("n")), "lines")
     buckets = bucket_count(docs.sparkSession, nodes.count() * BANDS)
     comps = components(band_edges(candidate_bands(base.select("text"), buckets), buckets))
-    chosen = stage(comps.join(nodes, "node").select("comp", "node", F.col("first.doc_id").alias("doc_id"), F.col("first.place").alias("place")), "chosen")
-    text_of = lines.join(small_side(chosen), ["node", "doc_id", "place"]).select("comp", "node", F.lit(1).cast("long").alias("weight"), F.col("line").alias("text"))
-    found = classes(verified(text_of, line_sets, threshold))
+    chosen = stage(comps.join(nodes, "node").select("comp", F.col("node").alias("_node"), "first"), "chosen")
+    here = (F.col("node") == F.col("_node")) & F.struct("doc_id", "place").eqNullSafe(F.col("first"))
+    text_of = lines.join(small_side(chosen), here).select("comp", "node", F.lit(1).cast("long").alias("weight"), F.col("line").alias("text"))
+    found = classes(verified(text_of, line_sets, threshold, LINE_BLOCK))
     linked = found.join(nodes, "node").select("node", "comp", "first", "n")
     keepers = linked.groupBy("comp").agg(F.min("first").alias("keeper"))
     fuzzy = linked.join(keepers, "comp").select("node", "comp", "keeper")

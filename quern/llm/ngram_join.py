@@ -63,7 +63,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold:
     buckets = bucket_count(docs.sparkSession, nodes.count() * K.choose_bands(threshold, recall, ROWS))
     comps = components(band_edges(candidate_bands(some.select("node", "text"), buckets, threshold=threshold, recall=recall), buckets))
     chosen = stage(comps.join(nodes, "node"), "chosen")
-    members = some.join(small_side(chosen.select("node", "comp", "weight", F.col("rep").alias("doc_id"))), ["node", "doc_id"]).select("comp", "node", "weight", "text").dropDuplicates(["node"])
+    side = small_side(chosen.select(F.col("node").alias("_node"), "comp", "weight", "rep"))
+    members = some.join(side, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("comp", "node", "weight", "text").dropDuplicates(["node"])
     found = stage(verified(members, ngram_sets, threshold), "found")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     labelled = stage(nodes.join(links, "node", "left").join(classes(found), "node", "left").select("node", "rep", "weight", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("comp", "node").alias("comp")), "labelled")

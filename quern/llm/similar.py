@@ -158,14 +158,14 @@ def _unite(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return root
 
 
-def verified(members: DataFrame, shingles: Callable[[pa.Array], list[np.ndarray]], threshold: float) -> DataFrame:
+def verified(members: DataFrame, shingles: Callable[[pa.Array], list[np.ndarray]], threshold: float, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(node, links, root) for every node of ``members`` (comp, node, weight, text) and each unit that holds it.
 
     links: weights of the similar nodes that the unit found; root: the least node that it is joined to in the unit.
     """
     members = stage(members, "members")
     # exact number of blocks a component needs, by rows and by code points
-    need = members.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum(F.length("text")) / BLOCK_CHARS), F.lit(1)).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1")
+    need = members.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum(F.length("text")) / block_chars), F.lit(1)).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1")
     placed = members.join(small_side(need), "comp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     units = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(F.xxhash64("comp", F.least("block", "other"), F.greatest("block", "other")).alias("unit"), "comp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "weight", "text")
     want = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
