@@ -134,3 +134,10 @@ def test_dense_blocks_agree_with_one_pass(spark, monkeypatch):
     whole = sorted(map(tuple, retrieval.dense(q, v, 5).collect()))
     monkeypatch.setattr(retrieval, "BLOCK", 3)
     assert sorted(map(tuple, retrieval.dense(q, v, 5).collect())) == whole
+
+
+def test_nothing_else_imports_the_training_data_package():
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent / "quern"
+    assert not [p for p in root.rglob("*.py") if "llm" not in p.parts and "quern.llm" in p.read_text()]
