@@ -205,6 +205,64 @@ def h33(t):
     return t.documents.where("n_chars > 0").select("doc_id", F.sha2(safe, 256).alias("checksum"), C.chunk_id(F.lit("doc"), F.col("doc_id").cast("string"), F.lit("0")).alias("chunk_id"), risk.alias("risk")).where("risk <= 0.8").drop("risk")
 
 
+@query("s12_log_lines", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'INFO' ELSE upper(event_type) END AS level, CASE WHEN event_id % 4 = 0 THEN 'not json ' || event_id ELSE 'took ' || event_id END AS msg FROM events")
+def s12(t):
+    """JSON lines parsed; a malformed line becomes an INFO record."""
+    from quern.sources.tables import parse_log
+
+    line = F.when(F.col("event_id") % 4 == 0, F.format_string("not json %d", "event_id")).otherwise(F.to_json(F.struct(F.upper("event_type").alias("level"), F.format_string("took %d", "event_id").alias("msg"))))
+    r = t.events.select("event_id", parse_log(line, F.lit("2024-01-01")).alias("r"))
+    return r.select("event_id", "r.level", "r.msg")
+
+
+@query("k2_doc_upsert", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 1 END AS schema_version, coalesce(CASE WHEN doc_id % 2 = 0 THEN 'code' END, lang) AS source_type FROM documents")
+def k2(t):
+    old = t.documents.select("doc_id", F.lit(1).alias("schema_version"), F.col("lang").alias("source_type"))
+    new = t.documents.where("doc_id % 2 = 0").select("doc_id", F.lit(2).alias("schema_version"), F.coalesce(F.lit(None).cast("string"), F.lit("code")).alias("source_type"))
+    return D.upsert(old, new, "doc_id")
+
+
+@query("h2_decisions", f"WITH {_MEM} SELECT conv_id, turn, 'architectural_decision' AS memory_type, 'decision' AS layer FROM l WHERE role = 'assistant'")
+def h2(t):
+    kind = F.lit("architectural_decision")
+    return memories(t).where("role = 'assistant'").select("conv_id", "turn", kind.alias("memory_type"), M.layer(kind).alias("layer"))
+
+
+@query("h3_recall", f"WITH {_MEM}, r AS (SELECT conv_id, turn, substr(content, 1, 600) AS content, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role, content) AS rn FROM l WHERE status = 'active' AND (valid_to IS NULL OR valid_to >= 40)) SELECT conv_id, turn, content, rn FROM r WHERE rn <= 3")
+def h3(t):
+    rows = M.recall(memories(t), F.lit(40))
+    return A.last_n(rows, "conv_id", [F.desc("turn"), F.col("role"), F.col("content")], 3).select("conv_id", "turn", F.substring("content", 1, 600).alias("content"), "rn")
+
+
+@query("h17_router", "SELECT event_id, CASE WHEN value >= 70 THEN 'reason' WHEN value >= 30 OR user_id % 5 = 0 THEN 'cheap' ELSE 'local' END AS tier FROM events")
+def h17(t):
+    """Tier by score; an unhealthy local model hands its share to the cheap one."""
+    score, healthy = F.col("value") / 100, F.col("user_id") % 5 != 0
+    tier = ladder([(score >= 0.70, "reason"), (score >= 0.30, "cheap"), (~healthy, "cheap")], "local")
+    return t.events.select("event_id", tier.alias("tier"))
+
+
+@query("h19_session", "SELECT conv_id, turn, substr(text, 1, 200) AS content, length(text) > 200 AS cut FROM conversations WHERE role = 'user'")
+def h19(t):
+    """Saved as JSON with cut fields, read back."""
+    saved = t.conversations.where("role = 'user'").select("conv_id", "turn", F.to_json(F.struct(F.substring("text", 1, 200).alias("content"), (F.length("text") > 200).alias("cut"))).alias("j"))
+    return saved.select("conv_id", "turn", F.from_json("j", "content string, cut boolean").alias("s")).select("conv_id", "turn", "s.content", "s.cut")
+
+
+@query("h24_audit", "SELECT event_id, event_type IN ('signup', 'purchase', 'error') AS known FROM events WHERE user_id < 50")
+def h24(t):
+    return t.events.where("user_id < 50").select("event_id", F.col("event_type").isin("signup", "purchase", "error").alias("known"))
+
+
+@query("j10_overlap_pairs", f"""WITH r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rn, list_distinct({TOK.format('text')}) AS t FROM documents QUALIFY rn <= 6)
+SELECT a.source, a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.t, b.t))::INT AS shared FROM r a JOIN r b ON a.source = b.source AND a.rn < b.rn""")
+def j10(t):
+    w = Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")
+    r = t.documents.withColumn("rn", F.row_number().over(w)).where("rn <= 6").select("source", "doc_id", "rn", F.array_distinct(tokens(F.col("text"))).alias("t"))
+    a, b = (r.select("source", F.col("doc_id").alias(n), F.col("rn").alias(f"r{n}"), F.col("t").alias(f"t{n}")) for n in "ab")
+    return a.join(b, "source").where("ra < rb").select("source", "a", "b", F.size(F.array_intersect("ta", "tb")).alias("shared"))
+
+
 def _fill() -> None:
     from quern.plans.chunk_plans import _redact_sql
     from quern.plans.registry import SQL
