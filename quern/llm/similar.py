@@ -22,6 +22,8 @@ from quern.llm.tables import runs, small_batches, stage
 
 #: (band key, node) entries that a map task sorts at once, and that a bucket of keys should hold at most.
 FLUSH, BUCKET = 600_000, 1_000_000
+#: Most partitions of the exchange by bucket; a task works through its buckets one after the other.
+PARTITIONS = 20_000
 BLOCK_ROWS, BLOCK_CHARS = 256, 4_000_000
 #: Broadcast a table of ids only up to so many rows (under 16 MB).
 BROADCAST_ROWS = 400_000
@@ -109,7 +111,7 @@ def band_edges(bands: DataFrame, buckets: int) -> DataFrame:
             yield out(*_star(np.concatenate(keys), np.concatenate(nodes))[2])
 
     small_batches(bands.sparkSession)
-    return bands.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(star, "a long, b long").distinct()
+    return bands.repartition(min(buckets, PARTITIONS), "bucket").sortWithinPartitions("bucket").mapInArrow(star, "a long, b long").distinct()
 
 
 def links(sets: list[np.ndarray], left: int, threshold: float, within: bool) -> tuple[np.ndarray, np.ndarray]:
