@@ -204,7 +204,7 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text: str = "text", gone: Dat
                 new.append(t)
                 count.append(len(g) if g else 0)
             cols = [b.column(i) for i in range(last)]
-            cols[at] = pa.array(new, pa.string())
+            cols[at] = pa.array(new, b.column(at).type)
             yield pa.RecordBatch.from_arrays([*cols, pa.array(count, pa.int64())], names=[*names, count_col])
 
     small_batches(docs.sparkSession)
