@@ -29,7 +29,7 @@ from quern.llm.tables import parquet, stage
 LENGTHS = [256, 512, 1024, 2048, 4096]
 OVERHEAD = 16
 #: Pieces in one bucket of a length, about.
-BUCKET = 20_000
+BUCKET = 4_000
 
 
 class Group:
