@@ -1,9 +1,9 @@
 """Fuzzy line deduplication.
 
-Lines are sets of runs of ``K_CHARS`` characters. Signatures of lines with at least ``SHORT`` shingles are one-permutation
-MinHashes (one hash a shingle, the least in each of BINS bins, empty bins filled from the next full one); shorter lines get
-MinHashes of as many functions, and lines near the limit get both, so that every pair at the threshold shares a kind. The
-bands aim at a recall of ``RECALL`` at the threshold.
+Lines are sets of runs of ``K_CHARS`` characters. Signatures of lines with at least ``SHORT`` different shingles are
+one-permutation MinHashes (one hash a shingle, the least in each of BINS bins, empty bins filled from the next full one); lines
+with fewer get MinHashes of as many functions, and lines near the limit get both, so that every pair at the threshold shares a
+kind. The bands aim at a recall of ``RECALL`` at the threshold.
 Candidates are verified by the exact Jaccard similarity of their shingle sets, and distributed union-find joins the verified
 links. Of each component the first line (least id, then place) stays, all others go; so do exact repeats.
 
@@ -98,8 +98,33 @@ def signatures(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     return sig
 
 
+def different(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles without repeats within a line, where a line has few different ones in many places; each line's first."""
+    size = np.diff(at)
+    long = np.flatnonzero(size >= SHORT)
+    # one sort for all lines: the line's number above the hash's lower bits, which need only be enough to tell shingles apart
+    bits = K.U(64 - max(len(long), 1).bit_length())
+    spots = np.repeat(size >= SHORT, size)
+    keys = np.repeat(np.arange(len(long), dtype=np.uint64) << bits, size[long]) | (h[spots] & ((K.U(1) << bits) - K.U(1)))
+    keys.sort()
+    fresh = np.ones(len(keys), bool)
+    fresh[1:] = keys[1:] != keys[:-1]
+    kinds = np.bincount((keys[fresh] >> bits).view(np.int64), minlength=len(long))
+    few = long[(kinds < SHORT / THRESHOLD) & (kinds < size[long])]
+    if not len(few):
+        return h, at
+    parts, low = [], 0
+    size = size.copy()
+    for d in few:
+        own = np.unique(h[at[d] : at[d + 1]])
+        parts += [h[low : at[d]], own]
+        size[d], low = len(own), at[d + 1]
+    return np.concatenate([*parts, h[low:]]), np.concatenate([[0], np.cumsum(size)])
+
+
 def line_keys(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(band keys, line numbers) of both kinds of signature."""
+    h, at = different(h, at)
     size = np.diff(at)
     keys, lines = [], []
     for kind, part in enumerate((np.flatnonzero((size > 0) & (size < SHORT / THRESHOLD)), np.flatnonzero(size >= SHORT))):

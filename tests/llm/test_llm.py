@@ -247,6 +247,20 @@ def test_line_dedup_by_brute_force(spark):
     assert got <= want and len(got) >= 0.98 * len(want)
 
 
+def test_lines_that_repeat_shingles_share_a_kind_of_signature(spark):
+    sizes = (60, 75, 100, 400, 200_000)
+    kinds = ["-" * n for n in sizes] + ["* " * (n // 2) for n in sizes] + ["ha " * (n // 3) for n in sizes] + ["ab" * 40 + "c" * n for n in sizes]
+    sets = [{x[j : j + 9] for j in range(len(x) - 8)} for x in kinds]
+    h, at = line_dedup.shingles(line_dedup.code_units("".join(kinds).encode()), np.cumsum([0, *map(len, kinds)]))
+    assert [len(np.unique(x)) for x in line_dedup.line_sets(pa.array(kinds))] == [len(x) for x in sets]
+    keys, line = line_dedup.line_keys(h, at)
+    of = [set(keys[line == i].tolist()) for i in range(len(kinds))]
+    assert all(of[i] & of[j] for i in range(len(kinds)) for j in range(i) if sets[i] == sets[j])
+    cls, _ = brute_classes(sets, 0.8)
+    got = {r.doc_id for r in line_dedup.removals(spark.createDataFrame(list(enumerate(kinds)), "doc_id long, text string")).collect()}
+    assert got == {i for i, c in enumerate(cls) if c != i}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (200, 200)] + [(300, x) for x in range(301, 330)]
     got = {r.node: r.comp for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
