@@ -18,6 +18,7 @@ from __future__ import annotations
 import html
 import re
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -34,8 +35,10 @@ CONSTANT, POOL, FEW_PAGES, MIN_PAGES, MIN_POOL_PAGES = 0.5, 0.2, 3, 6, 40
 BROADCAST_BYTES = 32 << 20
 #: Tables of template slots are broadcast up to so many slots and hosts.
 BROADCAST_SLOTS = 2_000_000
-#: Largest product of children that is aligned exactly; wider lists are matched in order, tag by tag.
+#: Lists of siblings whose sizes have a larger product are aligned by ``_wide_matching``, with the same result.
 WIDE = 40_000
+#: Gains that ``_wide_matching`` keeps at once.
+GAINS = 4_000_000
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp noembed noframes".split())
@@ -163,16 +166,16 @@ def matching(a: list[Node], b: list[Node], memo: dict) -> tuple[int, list[tuple[
     if not a or not b:
         return 0, []
     pairs: list[tuple[Node, Node]] = []
-    score = 0
+    # equal childless siblings at the head are matched in some greatest match, the one that is read off below
+    while len(pairs) < min(len(a), len(b)) and a[len(pairs)].name == b[len(pairs)].name and _single(a[len(pairs)]) and _single(b[len(pairs)]):
+        pairs.append((a[len(pairs)], b[len(pairs)]))
+    score = len(pairs)
+    a, b = a[score:], b[score:]
     m, n = len(a), len(b)
     if m * n > WIDE:
-        k = 0
-        for x in a:
-            hit = next((j for j in range(k, min(n, k + 50)) if b[j].name == x.name), None)
-            if hit is not None:
-                score += tree_match(x, b[hit], memo)
-                pairs.append((x, b[hit]))
-                k = hit + 1
+        more, middle = _wide_matching(a, b)
+        score += more
+        pairs += middle
     elif m and n:
         table = [[0] * (n + 1)]
         for x in a:
@@ -199,6 +202,67 @@ def matching(a: list[Node], b: list[Node], memo: dict) -> tuple[int, list[tuple[
     return score, pairs
 
 
+def _single(node: Node) -> bool:
+    """Whether the node matches as one, whatever its partner."""
+    return node.boiler or not any(k.__class__ is Node for k in node.kids)
+
+
+def _wide_matching(a: list[Node], b: list[Node]) -> tuple[int, list[tuple[Node, Node]]]:
+    """``matching`` of long lists, row by row as arrays.
+
+    Every so many rows of the table are kept; those between are made again on the way back. Nodes of one shape are compared once.
+    """
+    shapes: dict = {}
+    first: list[Node] = []
+
+    def shape(x: Node) -> int:
+        key = (x.name, x.boiler, () if x.boiler else tuple(map(shape, _elements(x))))
+        if key not in shapes:
+            shapes[key] = len(first)
+            first.append(x)
+        return shapes[key]
+
+    shape_a = [shape(x) for x in a]
+    kinds, kind_of = np.unique(np.array([shape(y) for y in b]), return_inverse=True)
+    gains: dict[int, np.ndarray] = {}
+
+    def below(above: np.ndarray, k: int) -> np.ndarray:
+        gain = gains.get(k)
+        if gain is None:
+            if (len(gains) + 1) * len(kinds) > GAINS:
+                gains.clear()
+            x = first[k]
+            gain = gains[k] = np.array([tree_match(x, first[y], {}) if x.name == first[y].name else 0 for y in kinds.tolist()], np.int32)
+        row = np.zeros(len(above), np.int32)
+        np.maximum.accumulate(np.maximum(above[1:], above[:-1] + gain[kind_of]), out=row[1:])
+        return row
+
+    m, n = len(a), len(b)
+    step = int(m**0.5) + 1
+    row = np.zeros(n + 1, np.int32)
+    kept = [row]
+    for i, k in enumerate(shape_a, 1):
+        row = below(row, k)
+        if i % step == 0:
+            kept.append(row)
+    i, j, pairs = m, n, []
+    while i and j:
+        low = (i - 1) // step * step
+        rows = [kept[low // step]]
+        for k in shape_a[low:i]:
+            rows.append(below(rows[-1], k))
+        while i > low and j:
+            here, up = rows[i - low], rows[i - low - 1]
+            if here[j] == up[j]:
+                i -= 1
+            elif here[j] == here[j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                pairs.append((a[i], b[j]))
+    return int(row[n]), pairs[::-1]
+
+
 def tree_match(a: Node, b: Node, memo: dict) -> int:
     """Number of pairs in the greatest match of two trees whose roots have the same name."""
     if a.boiler or b.boiler:

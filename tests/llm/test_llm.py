@@ -181,6 +181,28 @@ def test_tree_matching_is_the_largest_ordered_match():
         assert html_extract.tree_match(a, b, {}) == brute(a, b)
 
 
+def test_wide_lists_align_like_narrow_ones(monkeypatch):
+    rng = random.Random(12)
+
+    def tree(depth):
+        tag = rng.choice("uvw")
+        return f"<{tag}>" + "".join(tree(depth - 1) for _ in range(rng.randint(0, 3) if depth else 0)) + f"</{tag}>"
+
+    for n in (5, 20, 60):
+        a, b = (html_extract._elements(html_extract.parse("".join(tree(2) for _ in range(rng.randint(n, 2 * n))))) for _ in range(2))
+        got = []
+        for wide in (10**9, 0):
+            monkeypatch.setattr(html_extract, "WIDE", wide)
+            got.append(html_extract.matching(a, b, {}))
+        assert got[0] == got[1]
+    monkeypatch.undo()
+    # the trailing template is found behind any number of siblings, whether they begin alike or not
+    for head in ("", "<h2>x</h2>"):
+        page, reference = html_extract.parse(head + "<p>a</p>" * 250 + "<div>t</div>"), html_extract.reference_of(["<p>a</p>" * 320 + "<div>t</div>"])
+        html_extract.align(page, reference)
+        assert page.kids[-1].slot == reference.kids[-1].slot >= 0
+
+
 # --- joins
 
 
