@@ -1,11 +1,11 @@
 """Main text of web pages by wrapper induction.
 
-The pages of a host share a template. A few pages of each host (``SEEDS``: of each class of hashes of ids the least) are merged into one
+The pages of a host share a template. A few pages of each host (``SEEDS``, those with the least hashes of ids) are merged into one
 reference tree by simple tree matching: nodes that match are one node, the rest is inserted (partial tree alignment). Every
-page of the host is then aligned with the reference by simple tree matching, which names a slot for each text block. Over
-*all* pages of the host it is counted how many different texts a slot has: a slot whose text is constant, or drawn from a
-small pool, is template; a slot that varies is content. Blocks outside any slot (longer articles than the reference's) are
-content. Roles that the markup itself states (nav, footer, form, scripts, class names of adverts, notices, comments ...)
+page of the host is then aligned with the reference by simple tree matching, which names a slot for each text block. Blocks
+outside the reference (parts that its pages don't show, other layouts, longer articles) get a slot as well: the nearest
+matched element's and the path of names from there. Over *all* pages of the host it is counted how many different texts a slot
+has: a slot whose text is constant, or drawn from a small pool, is template; a slot that varies is content. Roles that the markup itself states (nav, footer, form, scripts, class names of adverts, notices, comments ...)
 count as template from the start, which also covers hosts with few pages.
 
 Defined results: null and empty html give the empty text; broken markup is read as far as it goes; pages of any size are
@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quern.llm.tables import arrow_map, parquet, small_batches, stage
 from quern.llm.url_filter import split_url
@@ -278,15 +279,27 @@ def tree_match(a: Node, b: Node, memo: dict) -> int:
 
 
 def align(page: Node, reference: Node) -> None:
-    """Give the page's matched nodes the slots of the reference's."""
+    """Give the page's matched nodes the slots of the reference's, and the others slots below 0 by their paths."""
     memo: dict = {}
     todo = [(page, reference)]
     while todo:
         p, r = todo.pop()
         p.slot = r.slot
         if p.boiler or r.boiler:
+            _by_path(p, ())
             continue
-        todo += matching(_elements(p), _elements(r), memo)[1]
+        pairs = matching(_elements(p), _elements(r), memo)[1]
+        _by_path(p, {id(x) for x, _ in pairs})
+        todo += pairs
+
+
+def _by_path(node: Node, met) -> None:
+    """Slots of all that is below the node, but for the children in ``met`` and what is below those."""
+    todo = [(k, node.slot) for k in _elements(node) if id(k) not in met]
+    while todo:
+        k, above = todo.pop()
+        k.slot = -1 - (xxhash.xxh64_intdigest(f"{above} {k.name}") >> 1)
+        todo += [(x, k.slot) for x in _elements(k)]
 
 
 def merge(reference: Node, page: Node) -> None:
@@ -299,15 +312,18 @@ def merge(reference: Node, page: Node) -> None:
             continue
         pairs = matching(_elements(p), _elements(r), memo)[1]
         met = {id(x): y for x, y in pairs}
-        kids, at, names = _elements(r), 0, {k.name for k in _elements(r)}
+        kids, mine, at = [], _elements(r), 0
         for k in _elements(p):
             other = met.get(id(k))
-            if other is not None:
-                at = next(i for i, x in enumerate(kids) if x is other) + 1
-            elif k.name not in names:
-                kids.insert(at, k)
+            if other is None:
+                kids.append(k)
+                continue
+            while mine[at] is not other:
+                kids.append(mine[at])
                 at += 1
-        r.kids = kids
+            kids.append(other)
+            at += 1
+        r.kids = kids + mine[at:]
         todo += pairs
 
 
@@ -357,7 +373,7 @@ def _size(node: Node) -> int:
 
 
 def blocks(root: Node) -> list[tuple[int, str]]:
-    """(slot, text) of the text blocks of the page's main element, in page order. Slot -1: not in the reference.
+    """(slot, text) of the text blocks of the page's main element, in page order. Slots below 0 are not in the reference.
 
     A header within an article is kept if it holds a heading, since that is the article's title; others go.
     """
@@ -398,17 +414,23 @@ def blocks(root: Node) -> list[tuple[int, str]]:
     return out
 
 
-_BLOCKS = "array<struct<slot: int, text: string>>"
+_BLOCKS = "array<struct<slot: long, text: string>>"
+
+
+def seed_ids(pages: DataFrame) -> DataFrame:
+    """host and h, the hash of the id, of the SEEDS pages of each host with the least hashes."""
+    full = pages.where("html is not null and html <> ''").select("host", F.xxhash64("page_id").alias("h")).distinct()
+    # Spark's group limit leaves SEEDS rows a host and task before the exchange
+    rank = F.row_number().over(Window.partitionBy("host").orderBy("h"))
+    return full.withColumn("rank", rank).where(F.col("rank") <= SEEDS).select("host", "h")
 
 
 def induce(pages: DataFrame) -> DataFrame:
     """page_id, url, host, blocks of every page, aligned with the reference of its host."""
     spark = pages.sparkSession
     small_batches(spark)
-    # the page with the least hash in each of SEEDS classes of hashes: one aggregation with map-side combining
     keyed = pages.withColumn("h", F.xxhash64("page_id"))
-    full = keyed.where("html is not null and html <> ''").select("host", "h")
-    chosen = stage(full.groupBy("host", F.pmod("h", F.lit(SEEDS)).alias("class")).agg(F.min("h").alias("h")).select("host", "h"), "seeds")
+    chosen = stage(seed_ids(pages), "seeds")
     n_hosts = chosen.count()
     side = F.broadcast(chosen) if n_hosts <= 400_000 else chosen
     seeds = stage(keyed.where("html is not null and html <> ''").join(side, ["host", "h"]).select("host", "h", "html").groupBy("host").agg(F.slice(F.transform(F.array_sort(F.collect_set(F.struct("h", "html"))), lambda x: x["html"]), 1, SEEDS).alias("htmls")), "references")
@@ -445,7 +467,7 @@ def induce(pages: DataFrame) -> DataFrame:
 
 def template_slots(aligned: DataFrame) -> DataFrame:
     """host and the array of its template slots, from the texts of all pages."""
-    texts = aligned.select("host", F.xxhash64("blocks").alias("page"), F.explode("blocks").alias("b")).where("b.slot >= 0").select("host", "page", F.col("b.slot").alias("slot"), F.xxhash64("b.text").alias("t"))
+    texts = aligned.select("host", F.xxhash64("blocks").alias("page"), F.explode("blocks").alias("b")).select("host", "page", F.col("b.slot").alias("slot"), F.xxhash64("b.text").alias("t"))
     # pages with equal blocks count once; a slot that a page fills more than once counts each text
     each = texts.distinct().groupBy("host", "slot", "t").agg(F.count("*").alias("n"))
     slots = each.groupBy("host", "slot").agg(F.sum("n").alias("pages"), F.max("n").alias("top"), F.count("*").alias("kinds"))

@@ -203,6 +203,40 @@ def test_wide_lists_align_like_narrow_ones(monkeypatch):
         assert page.kids[-1].slot == reference.kids[-1].slot >= 0
 
 
+def test_every_unmatched_node_is_inserted():
+    got = html_extract.reference_of(["<div><p>a</p><h2>b</h2></div>", "<div><p>a</p><p>b</p><h2>b</h2><p>c</p></div>"])
+    assert [x.name for x in html_extract._elements(got.kids[0])] == ["p", "p", "h2", "p"]
+
+
+def test_template_that_the_reference_lacks(spark):
+    rng = random.Random(13)
+    rows, want = [], {}
+    for i in range(120):
+        paras = [sentence(rng, 20) for _ in range(rng.randint(1, 8))]
+        body = "".join(f"<p>{x}</p>" for x in paras)
+        notice = "<blockquote>We move to new offices.</blockquote>" if i % 10 == 0 else ""
+        if i % 8 == 3:  # another layout
+            source = f"<table><tr><td>Home | Contact</td><td><ul><li>{body}</li></ul></td></tr></table>"
+        else:
+            source = f"<div><div>Home | Contact</div>{notice}<div>{body}</div></div>"
+        rows.append((i, "http://a.com/x", source))
+        want[i] = "\n".join(paras)
+    least = sorted(spark.createDataFrame(rows, "page_id long, url string, html string").select("page_id", F.xxhash64("page_id").alias("h")).collect(), key=lambda r: r.h)[: html_extract.SEEDS]
+    few = {r.page_id for r in least}
+    # pages that are in the reference show neither the notice nor the other layout
+    rows = [(i, u, f"<div><div>Home | Contact</div><div>{''.join(f'<p>{x}</p>' for x in want[i].split(chr(10)))}</div></div>" if i in few else s) for i, u, s in rows]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
+@pytest.mark.parametrize("n", [1, 4, 5, 30])
+def test_small_hosts_have_all_their_seeds(spark, n):
+    rows = [(i, f"http://h{h}.com/", "h", f"<p id=x{i}>{i}</p>") for h in range(6) for i in range(h * 100, h * 100 + n)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, host string, html string")
+    chosen = html_extract.seed_ids(pages.withColumn("host", F.col("url")))
+    assert [r.n for r in chosen.groupBy("host").agg(F.count("*").alias("n")).collect()] == [min(n, html_extract.SEEDS)] * 6
+
+
 # --- joins
 
 
