@@ -4,8 +4,8 @@ The pages of a host share a template. A few pages of each host (``SEEDS``, those
 reference tree by simple tree matching: nodes that match are one node, the rest is inserted (partial tree alignment). Every
 page of the host is then aligned with the reference by simple tree matching, which names a slot for each text block. Blocks
 outside the reference (parts that its pages don't show, other layouts, longer articles) get a slot as well: the nearest
-matched element's and the path of names from there. Over *all* pages of the host it is counted how many different texts a slot
-has: a slot whose text is constant, or drawn from a small pool, is template; a slot that varies is content. Roles that the markup itself states (nav, footer, form, scripts, class names of adverts, notices, comments ...)
+matched element's and the path of names from there. Over *all* pages of the host it is counted on how many a text fills a slot:
+a text that is constant there, or one of a few that fill most of the slot, is template; all other texts are content. Roles that the markup itself states (nav, footer, form, scripts, class names of adverts, notices, comments ...)
 count as template from the start, which also covers hosts with few pages.
 
 Defined results: null and empty html give the empty text; broken markup is read as far as it goes; pages of any size are
@@ -29,13 +29,15 @@ from quern.llm.tables import arrow_map, parquet, small_batches, stage
 from quern.llm.url_filter import split_url
 
 SEEDS = 4
-#: A slot is template if one text fills all of its pages (from FEW_PAGES different pages on) or more than CONSTANT of them (from
-#: MIN_PAGES on), or if it has at most POOL different texts a page (from MIN_POOL_PAGES on).
-CONSTANT, POOL, FEW_PAGES, MIN_PAGES, MIN_POOL_PAGES = 0.5, 0.2, 3, 6, 40
+#: A text in a slot is template if it is the only one (from FEW_PAGES different pages on) or stands on more than CONSTANT of the
+#: slot's pages (itself on MIN_PAGES at least), or if it is one of those on at least SHARE of the slot's pages (and on MIN_PAGES)
+#: that together are more than CONSTANT of the texts in the slot. All but the least counts are shares, which don't change when
+#: a host grows. Not told apart from template: near copies of one article on more than CONSTANT of a host's pages.
+CONSTANT, SHARE, FEW_PAGES, MIN_PAGES = 0.5, 0.1, 3, 6
 #: Reference trees are broadcast up to this many bytes, else joined.
 BROADCAST_BYTES = 32 << 20
-#: Tables of template slots are broadcast up to so many slots and hosts.
-BROADCAST_SLOTS = 2_000_000
+#: Tables of template texts are broadcast up to so many texts and hosts.
+BROADCAST_TEXTS = 2_000_000
 #: Lists of siblings whose sizes have a larger product are aligned by ``_wide_matching``, with the same result.
 WIDE = 40_000
 #: Gains that ``_wide_matching`` keeps at once.
@@ -465,15 +467,23 @@ def induce(pages: DataFrame) -> DataFrame:
     return arrow_map(rows, one, f"page_id long, url string, host string, blocks {_BLOCKS}")
 
 
-def template_slots(aligned: DataFrame) -> DataFrame:
-    """host and the array of its template slots, from the texts of all pages."""
-    texts = aligned.select("host", F.xxhash64("blocks").alias("page"), F.explode("blocks").alias("b")).select("host", "page", F.col("b.slot").alias("slot"), F.xxhash64("b.text").alias("t"))
+def template_texts(aligned: DataFrame) -> DataFrame:
+    """host and the array of the hashes of its template texts with their slots, from the texts of all pages."""
+    texts = aligned.select("host", F.xxhash64("blocks").alias("page"), F.explode("blocks").alias("b")).select("host", "page", F.col("b.slot").alias("slot"), F.xxhash64("b.slot", "b.text").alias("t"))
     # pages with equal blocks count once; a slot that a page fills more than once counts each text
-    each = texts.distinct().groupBy("host", "slot", "t").agg(F.count("*").alias("n"))
-    slots = each.groupBy("host", "slot").agg(F.sum("n").alias("pages"), F.max("n").alias("top"), F.count("*").alias("kinds"))
-    constant = ((F.col("pages") >= FEW_PAGES) & (F.col("top") == F.col("pages"))) | ((F.col("pages") >= MIN_PAGES) & (F.col("top") > CONSTANT * F.col("pages")))
-    pool = (F.col("pages") >= MIN_POOL_PAGES) & (F.col("kinds") <= POOL * F.col("pages"))
-    return slots.where(constant | pool).groupBy("host").agg(F.collect_set("slot").alias("template"))
+    texts = texts.distinct()
+    each = texts.groupBy("host", "slot", "t").agg(F.count("*").alias("n"))
+    pages = texts.groupBy("host", "slot", "page").agg(F.count("*").alias("k")).groupBy("host", "slot").agg(F.count("*").alias("pages"), F.sum("k").alias("total"))
+    # hosts may be null
+    slots = pages.select(F.col("host").alias("_host"), F.col("slot").alias("_slot"), "pages", "total")
+    often = each.where(F.col("n") >= FEW_PAGES).join(slots, F.col("host").eqNullSafe(F.col("_host")) & (F.col("slot") == F.col("_slot")))
+    share = (F.col("n") >= MIN_PAGES) & (F.col("n") >= SHARE * F.col("pages"))
+    alone = (F.col("n") == F.col("total")) | ((F.col("n") >= MIN_PAGES) & (F.col("n") > CONSTANT * F.col("pages")))
+    # at most a few texts of a slot are left here
+    some = often.where(alone | share).groupBy("host", "slot", "total").agg(F.collect_list(F.struct("t", alone.alias("alone"), share.alias("share"), "n")).alias("found"))
+    together = F.aggregate(F.filter("found", lambda x: x["share"]), F.lit(0).cast("long"), lambda a, x: a + x["n"]) > CONSTANT * F.col("total")
+    gone = some.select("host", F.explode(F.filter("found", lambda x: x["alone"] | (x["share"] & together))).alias("x"))
+    return gone.groupBy("host").agg(F.collect_set("x.t").alias("template"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:
@@ -481,10 +491,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", source:
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(source).cast("string").alias("html"))
     rows = rows.withColumn("host", split_url(F.col("url"))[0])
     aligned = stage(induce(rows), "aligned")
-    template = stage(template_slots(aligned), "template")
-    slots = template.agg(F.sum(F.size("template") + 8)).first()[0] or 0
-    side = F.broadcast(template) if slots <= BROADCAST_SLOTS else template
-    kept = F.when(F.col("template").isNull(), F.col("blocks")).otherwise(F.filter("blocks", lambda b: ~F.array_contains("template", b["slot"])))
+    template = stage(template_texts(aligned), "template")
+    size = template.agg(F.sum(F.size("template") + 8)).first()[0] or 0
+    side = F.broadcast(template) if size <= BROADCAST_TEXTS else template
+    kept = F.when(F.col("template").isNull(), F.col("blocks")).otherwise(F.filter("blocks", lambda b: ~F.array_contains("template", F.xxhash64(b["slot"], b["text"]))))
     # a page that would lose all its text keeps it: its host's pages are all alike
     main = F.when(F.size(kept) > 0, kept).otherwise(F.col("blocks"))
     text = F.array_join(F.transform(main, lambda b: b["text"]), "\n")

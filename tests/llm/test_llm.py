@@ -237,6 +237,21 @@ def test_small_hosts_have_all_their_seeds(spark, n):
     assert [r.n for r in chosen.groupBy("host").agg(F.count("*").alias("n")).collect()] == [min(n, html_extract.SEEDS)] * 6
 
 
+@pytest.mark.parametrize("n", [250, 700])
+def test_texts_of_a_slot_go_by_themselves(spark, n):
+    """60 authors stay whatever the host's size; a pool of four goes, but not a text that stands in its place once."""
+    rng = random.Random(14)
+    pool, rows, want = ["Read our magazine.", "Subscribe today.", "Our partners.", "Win a trip."], [], {}
+    for i in range(n):
+        text, author = sentence(rng, 20), f"By {WORDS[i % 20]} {'abc'[i // 20 % 3]}"
+        lead = "The same lead on most pages." if i % 5 < 3 else sentence(rng, 9)
+        other = "This is only here." if i == 7 else rng.choice(pool)
+        rows.append((i, "http://a.com/x", f"<div><h3>{author}</h3><h4>{lead}</h4><div>{other}</div><p>{text}</p></div>"))
+        want[i] = "\n".join([author, *([lead] if i % 5 >= 3 else []), *([other] if i == 7 else []), text])
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
 # --- joins
 
 
