@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quern.operators import aggregates, chunking, dml, graph, memory, ranking, retrieval
+from quern.plans import catalogue
 from quern.sources import tables
 
 
@@ -141,3 +142,16 @@ def test_nothing_else_imports_the_training_data_package():
 
     root = Path(__file__).resolve().parent.parent / "quern"
     assert not [p for p in root.rglob("*.py") if "llm" not in p.parts and "quern.llm" in p.read_text()]
+
+
+def test_tables_and_smells_cover_their_whole_tables(spark):
+    folder = "/root/testdata/sf0.01"
+    head = "| a | b |\n|---|---|"
+    parts, body = {}, {r.doc_id: "\n".join([head, *(f"| {w} | x |" for w in r.text.split(" "))]) for r in spark.read.parquet(f"{folder}/documents.parquet").collect() if r.text is not None}
+    for r in catalogue.queries()["t11_tables"](spark, folder).collect():
+        parts.setdefault(r.doc_id, []).append(r.n)
+    # each further part repeats the header
+    assert {i: sum(n) - (len(n) - 1) * len(head) for i, n in parts.items()} == {i: len(x) for i, x in body.items()}
+    methods = {r.p_partkey: r.p_size // 2 + 1 for r in spark.read.parquet(f"{folder}/part.parquet").collect()}
+    got = {(r.path, r.smell, r.value) for r in catalogue.queries()["x2_python_smells"](spark, folder).collect()}
+    assert got == {(f"m{k}.py", "GOD_CLASS", 1 + 2 * n) for k, n in methods.items() if n > 15}
