@@ -13,18 +13,13 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from samples import MIDDLE, SMALL, WORD, WORDS, sentence
+
 from quern.llm import byte_bpe, catalogue, components, fingerprint, html_extract, kernel, line_dedup, ngram_join, packing, quality_model, quality_rules, similar, toxicity, url_filter
 
-SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-WORDS = [a + b for a in ("lo", "ra", "mi", "te", "su", "né", "ко") for b in ("na", "vi", "do", "pe", "ril", "ß", "tam")]
 DOC = "doc_id long, text string, lang string, source string, n_chars long, node long, bucket int, host string, n_lines_removed long, label int, _gone string"
 
 
-def sentence(rng, n):
-    return " ".join(rng.choice(WORDS) for _ in range(n)) + "."
-
-
 @pytest.fixture(scope="module")
 def odd(spark):
     """Nulls in every column, empty and long texts, repeated rows, repeated ids, and columns that clash with inner names."""
@@ -128,130 +123,6 @@ def test_packed_rows(spark):
     assert {i: n for i, n in rows.groupby("doc_id").n_words.sum().items()} == {i: len(WORD.findall(t)) for i, t in texts.items()}
 
 
-# --- html
-
-
-def page(rng, host, i, style):
-    paras = [sentence(rng, rng.randint(15, 40)).replace("né", "n&eacute;") for _ in range(rng.randint(2, 6))]
-    plain = [p.replace("n&eacute;", "né") for p in paras]
-    title = f"Title {i} {rng.choice(WORDS)} &amp; more"
-    body = f"<h1>{title}</h1>" + "".join(f"<p>{p}</p>" for p in paras)
-    text = "\n".join([title.replace("&amp;", "&"), *plain])
-    if style == 0:  # stated by the markup
-        source = f"<html><head><title>x</title><style>p{{}}</style></head><body><header><h1>{host}</h1></header><nav><a href=/>Home</a></nav><div class='sidebar'><p>{sentence(rng, 9)}</p></div><article>{body}<div class='ad-slot'>Buy {rng.choice(WORDS)}</div></article><section id='comments'><p>I {rng.choice(WORDS)} this</p></section><form><input><p>Search</p></form><div class='cookie-notice'>We use cookies</div><footer>(c) {i}</footer><script>var a='<p>no</p>'</script></body></html>"
-    else:  # only visible by comparing pages
-        pool = ["Read our magazine.", "Subscribe today.", "Our partners.", "Win a trip."]
-        source = f"<html><body><div><div>Home | About | Contact us</div><div>{rng.choice(pool)}</div><div><div>{body}</div></div><div>All rights of {host} reserved.</div></div></body></html>"
-    return source, text
-
-
-@pytest.mark.parametrize("style,count", [(0, 4), (1, 60)])
-def test_article_text(spark, style, count):
-    rng = random.Random(4)
-    rows, want = [], {}
-    for h in range(3):
-        for i in range(count):
-            source, text = page(rng, f"h{h}.com", i, style)
-            rows.append((h * 1000 + i, f"http://h{h}.com/{i}", source))
-            want[rows[-1][0]] = text
-    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    wrong = [i for i in want if got[i] != want[i]]
-    assert len(wrong) <= 0.02 * len(want), (got[wrong[0]], want[wrong[0]])
-
-
-def test_tree_matching_is_the_largest_ordered_match():
-    def brute(a, b):
-        if a.name != b.name:
-            return 0
-        x, y = html_extract._elements(a), html_extract._elements(b)
-        table = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-        for i in range(len(x)):
-            for j in range(len(y)):
-                table[i + 1][j + 1] = max(table[i][j + 1], table[i + 1][j], table[i][j] + brute(x[i], y[j]))
-        return 1 + table[-1][-1]
-
-    rng = random.Random(2)
-
-    def tree(depth):
-        tag = rng.choice("uvw")
-        return f"<{tag}>" + "".join(tree(depth - 1) for _ in range(rng.randint(0, 3) if depth else 0)) + f"</{tag}>"
-
-    for _ in range(60):
-        a, b = html_extract.parse(tree(3)), html_extract.parse(tree(3))
-        assert html_extract.tree_match(a, b, {}) == brute(a, b)
-
-
-def test_wide_lists_align_like_narrow_ones(monkeypatch):
-    rng = random.Random(12)
-
-    def tree(depth):
-        tag = rng.choice("uvw")
-        return f"<{tag}>" + "".join(tree(depth - 1) for _ in range(rng.randint(0, 3) if depth else 0)) + f"</{tag}>"
-
-    for n in (5, 20, 60):
-        a, b = (html_extract._elements(html_extract.parse("".join(tree(2) for _ in range(rng.randint(n, 2 * n))))) for _ in range(2))
-        got = []
-        for wide in (10**9, 0):
-            monkeypatch.setattr(html_extract, "WIDE", wide)
-            got.append(html_extract.matching(a, b, {}))
-        assert got[0] == got[1]
-    monkeypatch.undo()
-    # the trailing template is found behind any number of siblings, whether they begin alike or not
-    for head in ("", "<h2>x</h2>"):
-        page, reference = html_extract.parse(head + "<p>a</p>" * 250 + "<div>t</div>"), html_extract.reference_of(["<p>a</p>" * 320 + "<div>t</div>"])
-        html_extract.align(page, reference)
-        assert page.kids[-1].slot == reference.kids[-1].slot >= 0
-
-
-def test_every_unmatched_node_is_inserted():
-    got = html_extract.reference_of(["<div><p>a</p><h2>b</h2></div>", "<div><p>a</p><p>b</p><h2>b</h2><p>c</p></div>"])
-    assert [x.name for x in html_extract._elements(got.kids[0])] == ["p", "p", "h2", "p"]
-
-
-def test_template_that_the_reference_lacks(spark):
-    rng = random.Random(13)
-    rows, want = [], {}
-    for i in range(120):
-        paras = [sentence(rng, 20) for _ in range(rng.randint(1, 8))]
-        body = "".join(f"<p>{x}</p>" for x in paras)
-        notice = "<blockquote>We move to new offices.</blockquote>" if i % 10 == 0 else ""
-        if i % 8 == 3:  # another layout
-            source = f"<table><tr><td>Home | Contact</td><td><ul><li>{body}</li></ul></td></tr></table>"
-        else:
-            source = f"<div><div>Home | Contact</div>{notice}<div>{body}</div></div>"
-        rows.append((i, "http://a.com/x", source))
-        want[i] = "\n".join(paras)
-    least = sorted(spark.createDataFrame(rows, "page_id long, url string, html string").select("page_id", F.xxhash64("page_id").alias("h")).collect(), key=lambda r: r.h)[: html_extract.SEEDS]
-    few = {r.page_id for r in least}
-    # pages that are in the reference show neither the notice nor the other layout
-    rows = [(i, u, f"<div><div>Home | Contact</div><div>{''.join(f'<p>{x}</p>' for x in want[i].split(chr(10)))}</div></div>" if i in few else s) for i, u, s in rows]
-    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got == want
-
-
-@pytest.mark.parametrize("n", [1, 4, 5, 30])
-def test_small_hosts_have_all_their_seeds(spark, n):
-    rows = [(i, f"http://h{h}.com/", "h", f"<p id=x{i}>{i}</p>") for h in range(6) for i in range(h * 100, h * 100 + n)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, host string, html string")
-    chosen = html_extract.seed_ids(pages.withColumn("host", F.col("url")))
-    assert [r.n for r in chosen.groupBy("host").agg(F.count("*").alias("n")).collect()] == [min(n, html_extract.SEEDS)] * 6
-
-
-@pytest.mark.parametrize("n", [250, 700])
-def test_texts_of_a_slot_go_by_themselves(spark, n):
-    """60 authors stay whatever the host's size; a pool of four goes, but not a text that stands in its place once."""
-    rng = random.Random(14)
-    pool, rows, want = ["Read our magazine.", "Subscribe today.", "Our partners.", "Win a trip."], [], {}
-    for i in range(n):
-        text, author = sentence(rng, 20), f"By {WORDS[i % 20]} {'abc'[i // 20 % 3]}"
-        lead = "The same lead on most pages." if i % 5 < 3 else sentence(rng, 9)
-        other = "This is only here." if i == 7 else rng.choice(pool)
-        rows.append((i, "http://a.com/x", f"<div><h3>{author}</h3><h4>{lead}</h4><div>{other}</div><p>{text}</p></div>"))
-        want[i] = "\n".join([author, *([lead] if i % 5 >= 3 else []), *([other] if i == 7 else []), text])
-    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got == want
-
-
 # --- joins
 
 
