@@ -3,7 +3,8 @@
 Each round gives every node the least of itself and its neighbours as parent, follows parents to the root (doubling the
 distance each step), and replaces the edges by edges between roots. Rounds and steps grow with the logarithm of the longest
 path. Every step is a join or an aggregation with map-side combining and is written to the shared folder; nothing but counts
-comes to the driver.
+comes to the driver. A node that very many others point at is joined by broadcast of the few such nodes (``spread_join``), so no
+task gets all of its neighbours.
 """
 
 from __future__ import annotations
@@ -11,14 +12,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.tables import stage
+from quern.llm import tables
+from quern.llm.tables import spread_join, stage
 
 
 def _compress(parents: DataFrame) -> DataFrame:
     """Follow parents to the root."""
     while True:
-        up = parents.select(F.col("node").alias("_n"), F.col("parent").alias("_p"))
-        moved = stage(parents.join(up, parents.parent == F.col("_n"), "left").select("node", F.coalesce("_p", "parent").alias("parent"), (F.col("_p") < F.col("parent")).alias("moved")), "jump")
+        up = parents.select(F.col("node").alias("parent"), F.col("parent").alias("_p"))
+        moved = stage(spread_join(parents, up, "parent", "left", small=0).select("node", F.coalesce("_p", "parent").alias("parent"), (F.col("_p") < F.col("parent")).alias("moved")), "jump")
         parents = moved.select("node", "parent")
         if moved.where("moved").isEmpty():
             return parents
@@ -35,9 +37,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if result is None:
             result = roots
         else:
-            up = roots.select(F.col("node").alias("_n"), F.col("parent").alias("_p"))
-            result = stage(result.join(up, result.parent == F.col("_n"), "left").select("node", F.coalesce("_p", "parent").alias("parent")), "labels")
+            up = roots.select(F.col("node").alias("parent"), F.col("parent").alias("_p"))
+            result = stage(spread_join(result, up, "parent", "left", small=0).select("node", F.coalesce("_p", "parent").alias("parent")), "labels")
+        # every end of an edge has a root
         left, right = roots.select(F.col("node").alias("a"), F.col("parent").alias("_a")), roots.select(F.col("node").alias("b"), F.col("parent").alias("_b"))
-        edges = stage(edges.join(left, "a").join(right, "b").where("_a <> _b").select(F.col("_a").alias("a"), F.col("_b").alias("b")).distinct(), "edges")
+        half = spread_join(edges, left, "a", small=0)
+        if edges.count() > tables.SPREAD_ROWS:
+            half = stage(half, "half")
+        edges = stage(spread_join(half, right, "b", small=0).where("_a <> _b").select(F.col("_a").alias("a"), F.col("_b").alias("b")).distinct(), "edges")
         if edges.isEmpty():
             return result.select("node", F.col("parent").alias("comp"))

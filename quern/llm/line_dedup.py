@@ -1,9 +1,9 @@
 """Fuzzy line deduplication.
 
-Lines are sets of runs of ``K_CHARS`` characters. Signatures of lines with at least ``SHORT`` different shingles are
-one-permutation MinHashes (one hash a shingle, the least in each of BINS bins, empty bins filled from the next full one); lines
-with fewer get MinHashes of as many functions, and lines near the limit get both, so that every pair at the threshold shares a
-kind. The bands aim at a recall of ``RECALL`` at the threshold.
+Lines are sets of runs of ``K_CHARS`` characters. Signatures of lines with at least as many different shingles as the signature
+has bins are one-permutation MinHashes (one hash a shingle, the least in each bin, empty bins filled from the next full one);
+lines with fewer get MinHashes of as many functions as the bands need, and lines near the limit get both, so that every pair at
+the threshold shares a kind. Bands and bins follow the threshold and aim at a recall of ``RECALL`` at it.
 Candidates are verified by the exact Jaccard similarity of their shingle sets, and distributed union-find joins the verified
 links. Of each component the first line (least id, then place) stays, all others go; so do exact repeats.
 
@@ -11,8 +11,8 @@ Lines are known by a 64-bit hash; among n different lines two share one with a c
 
 Defined results: null counts as empty; lines are what stands between \n; lines of white space only are never removed, unless
 they are all that is left of a text; a line of fewer than K_CHARS characters is one shingle, all of it; texts and lines of any length are read whole;
-rows that repeat an id count as one document and keep the same lines; a row with a null id keeps all its lines; an empty
-table gives an empty result; ``clean`` keeps further columns.
+rows that are equal in id and text count as one document and keep the same lines, rows that repeat an id with another text
+are other documents; a null id counts as the largest; an empty table gives an empty result; ``clean`` keeps further columns.
 """
 
 from __future__ import annotations
@@ -22,21 +22,18 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from quern.llm import kernel as K
 from quern.llm.components import components
-from quern.llm.similar import band_edges, bucket_count, classes, packed_stars, small_side, verified
-from quern.llm.tables import parquet, small_batches, stage
-
-K_CHARS, THRESHOLD, RECALL, ROWS, SHORT = 9, 0.8, 0.99, 5, 64
-BANDS = K.choose_bands(THRESHOLD, RECALL, ROWS)
-#: A power of two, at least BANDS * ROWS.
-BINS = 64
-#: Characters of lines in a block that is verified at once.
-LINE_BLOCK = 1_000_000
+from quern.llm.similar import Sets, band_edges, bucket_count, classes, packed_stars, verified
+from quern.llm.tables import parquet, small_batches, small_side, spread_join, stage
+
+K_CHARS, THRESHOLD, RECALL, ROWS = 9, 0.8, 0.99, 5
+#: Stands for a null id.
+LAST = (1 << 63) - 1
 _N = 1 << 17
 _POW = K.powers(0x9E3779B97F4A7C15, _N + 64)
 _BACK = K.powers(pow(0x9E3779B97F4A7C15, -1, 1 << 64), _N + 64)
@@ -77,40 +74,48 @@ def code_units(texts: bytes) -> np.ndarray:
     return np.frombuffer(texts.decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
 
 
-def signatures(h: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """(lines, BINS) one-permutation MinHashes; empty bins take the next full bin's value, marked by the distance."""
+def layout(threshold: float) -> tuple[int, int]:
+    """Bands for the threshold, and bins of a signature: the least power of two with room for them, which is also the number
+    of shingles from which a line has few empty bins."""
+    bands = K.choose_bands(threshold, RECALL, ROWS)
+    return bands, 1 << (bands * ROWS - 1).bit_length()
+
+
+def signatures(h: np.ndarray, at: np.ndarray, bins: int) -> np.ndarray:
+    """(lines, bins) one-permutation MinHashes; empty bins take the next full bin's value, marked by the distance."""
     n = len(at) - 1
+    bits = K.U(bins.bit_length() - 1)
     top = ~K.U(0)
-    sig = np.full(n * BINS, top)
+    sig = np.full(n * bins, top)
     with np.errstate(over="ignore"):
-        place = (h >> K.U(58)).view(np.int64)
-        place += np.repeat(np.arange(0, n * BINS, BINS), np.diff(at))
-        np.minimum.at(sig, place, h << K.U(6))
-        sig = sig.reshape(n, BINS)
+        place = (h >> (K.U(64) - bits)).view(np.int64)
+        place += np.repeat(np.arange(0, n * bins, bins), np.diff(at))
+        np.minimum.at(sig, place, h << bits)
+        sig = sig.reshape(n, bins)
         hollow = np.flatnonzero((sig == top).any(axis=1))
         if len(hollow):
             part = sig[hollow]
             full = part != top
-            spot = np.where(np.concatenate([full, full], axis=1), np.arange(2 * BINS), 3 * BINS)
-            after = np.minimum.accumulate(spot[:, ::-1], axis=1)[:, ::-1][:, :BINS]
-            far = np.minimum(after - np.arange(BINS), BINS)
-            sig[hollow] = np.take_along_axis(part, after % BINS, axis=1) + far.astype(np.uint64) * K.U(0xD6E8FEB86659FD93)
+            spot = np.where(np.concatenate([full, full], axis=1), np.arange(2 * bins), 3 * bins)
+            after = np.minimum.accumulate(spot[:, ::-1], axis=1)[:, ::-1][:, :bins]
+            far = np.minimum(after - np.arange(bins), bins)
+            sig[hollow] = np.take_along_axis(part, after % bins, axis=1) + far.astype(np.uint64) * K.U(0xD6E8FEB86659FD93)
     return sig
 
 
-def different(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def different(h: np.ndarray, at: np.ndarray, bins: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """The shingles without repeats within a line, where a line has few different ones in many places; each line's first."""
     size = np.diff(at)
-    long = np.flatnonzero(size >= SHORT)
+    long = np.flatnonzero(size >= bins)
     # one sort for all lines: the line's number above the hash's lower bits, which need only be enough to tell shingles apart
     bits = K.U(64 - max(len(long), 1).bit_length())
-    spots = np.repeat(size >= SHORT, size)
+    spots = np.repeat(size >= bins, size)
     keys = np.repeat(np.arange(len(long), dtype=np.uint64) << bits, size[long]) | (h[spots] & ((K.U(1) << bits) - K.U(1)))
     keys.sort()
     fresh = np.ones(len(keys), bool)
     fresh[1:] = keys[1:] != keys[:-1]
     kinds = np.bincount((keys[fresh] >> bits).view(np.int64), minlength=len(long))
-    few = long[(kinds < SHORT / THRESHOLD) & (kinds < size[long])]
+    few = long[(kinds < bins / threshold) & (kinds < size[long])]
     if not len(few):
         return h, at
     parts, low = [], 0
@@ -122,20 +127,21 @@ def different(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([*parts, h[low:]]), np.concatenate([[0], np.cumsum(size)])
 
 
-def line_keys(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def line_keys(h: np.ndarray, at: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
     """(band keys, line numbers) of both kinds of signature."""
-    h, at = different(h, at)
+    bands, bins = layout(threshold)
+    h, at = different(h, at, bins, threshold)
     size = np.diff(at)
     keys, lines = [], []
-    for kind, part in enumerate((np.flatnonzero((size > 0) & (size < SHORT / THRESHOLD)), np.flatnonzero(size >= SHORT))):
+    for kind, part in enumerate((np.flatnonzero((size > 0) & (size < bins / threshold)), np.flatnonzero(size >= bins))):
         if not len(part):
             continue
         take = np.zeros(len(size), bool)
         take[part] = True
         own, own_at = h[np.repeat(take, size)], np.concatenate([[0], np.cumsum(size[part])])
-        sig = signatures(own, own_at) if kind else K.minhash(own, own_at, BANDS * ROWS)
-        keys.append((K.band_keys(sig, BANDS, ROWS) ^ K.U(kind * 0x632BE59BD9B4E019)).ravel())
-        lines.append(np.repeat(part, BANDS))
+        sig = signatures(own, own_at, bins) if kind else K.minhash(own, own_at, bands * ROWS)
+        keys.append((K.band_keys(sig, bands, ROWS) ^ K.U(kind * 0x632BE59BD9B4E019)).ravel())
+        lines.append(np.repeat(part, bands))
     none = np.zeros(0, np.int64)
     return (np.concatenate(keys).view(np.int64), np.concatenate(lines)) if keys else (none, none)
 
@@ -148,7 +154,7 @@ def line_sets(texts: pa.Array) -> list[np.ndarray]:
     return [np.unique(h[at[i] : at[i + 1]]) for i in range(len(at) - 1)]
 
 
-def candidate_bands(docs: DataFrame, buckets: int) -> DataFrame:
+def candidate_bands(docs: DataFrame, buckets: int, threshold: float = THRESHOLD) -> DataFrame:
     """``packed_stars`` rows of all lines; each different line of a task's batch is hashed once."""
 
     def keyed(batches):
@@ -172,7 +178,7 @@ def candidate_bands(docs: DataFrame, buckets: int) -> DataFrame:
                 bytes_ = np.frombuffer(raw_part, np.uint8)
                 lead = np.concatenate([[0], np.cumsum((bytes_ & 0xC0) != 0x80)])
                 ends = lead[np.concatenate([[0], np.cumsum([len(x) for x in part])])]
-                keys, line = line_keys(*shingles(code_units(raw_part), ends))
+                keys, line = line_keys(*shingles(code_units(raw_part), ends), threshold)
                 yield keys, node[low:high][line]
                 low = high
 
@@ -180,43 +186,50 @@ def candidate_bands(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.mapInArrow(lambda it: packed_stars(keyed(it), buckets), "bucket int, edges boolean, a binary, b binary")
 
 
+def _key(id_col: str) -> Column:
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, place, line, node for every line with a character that is no white space."""
-    rows = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("place", "line"))
+    """doc, hash, place, line, node for every line with a character that is no white space."""
+    rows = docs.select("doc", F.xxhash64("text").alias("hash"), F.posexplode(F.split("text", "\n", -1)).alias("place", "line"))
     return rows.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("node", F.xxhash64("line"))
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, place (from 0), node, comp of every line to remove."""
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    """doc_id, hash (of the text), place (from 0), node, comp of every line to remove."""
+    base = docs.select(_key(id_col).alias("doc"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     small_batches(docs.sparkSession)
     lines = lines_of(base)
-    spots = stage(lines.select("doc_id", "place", "node"), "spots")
-    nodes = stage(spots.groupBy("node").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("n")), "lines")
-    buckets = bucket_count(docs.sparkSession, nodes.count() * BANDS)
-    comps = components(band_edges(candidate_bands(base.select("text"), buckets), buckets))
-    chosen = stage(comps.join(nodes, "node").select("comp", F.col("node").alias("_node"), "first"), "chosen")
-    here = (F.col("node") == F.col("_node")) & F.struct("doc_id", "place").eqNullSafe(F.col("first"))
-    text_of = lines.join(small_side(chosen), here).select("comp", "node", F.lit(1).cast("long").alias("weight"), F.col("line").alias("text"))
-    found = classes(verified(text_of, line_sets, threshold, LINE_BLOCK))
-    linked = found.join(nodes, "node").select("node", "comp", "first", "n")
+    spots = stage(lines.select("doc", "hash", "place", "node"), "spots")
+    here = F.struct("doc", "place", "hash")
+    nodes = stage(spots.groupBy("node").agg(F.min(here).alias("first"), F.count("*").alias("n")), "lines")
+    buckets = bucket_count(docs.sparkSession, nodes.count() * layout(threshold)[0])
+    comps = components(band_edges(candidate_bands(base.select("text"), buckets, threshold), buckets))
+    chosen = stage(comps.join(nodes, "node").select("comp", F.col("node").alias("_node"), *[F.col(f"first.{c}").alias(f"_{c}") for c in ("doc", "place", "hash")]), "chosen")
+    first = [F.col(c) == F.col(f"_{c}") for c in ("node", "doc", "place", "hash")]
+    text_of = lines.join(small_side(chosen), first).select("comp", "node", F.lit(1).cast("long").alias("weight"), F.col("line").alias("text"))
+    found = classes(verified(text_of, Sets(line_sets, as_text=True), threshold))
+    linked = found.join(nodes, "node").select("node", "comp", "first")
     keepers = linked.groupBy("comp").agg(F.min("first").alias("keeper"))
     fuzzy = linked.join(keepers, "comp").select("node", "comp", "keeper")
     copies = nodes.where("n > 1").join(found.select("node"), "node", "left_anti").select("node", F.col("node").alias("comp"), F.col("first").alias("keeper"))
     decided = stage(fuzzy.union(copies), "decided")
-    return spots.join(small_side(decided), "node").where(F.struct("doc_id", "place") != F.col("keeper")).where("doc_id is not null").select("doc_id", "place", "node", "comp")
+    gone = spread_join(spots, decided, "node", frequent=nodes).where(here != F.col("keeper"))
+    return gone.select(F.when(F.col("doc") != LAST, F.col("doc")).alias("doc_id"), "hash", "place", "node", "comp")
 
 
-def clean(docs: DataFrame, id_col: str = "doc_id", text: str = "text", gone: DataFrame | None = None, count_col: str = "n_lines_removed") -> DataFrame:
+def clean(docs: DataFrame, id_col: str = "doc_id", text: str = "text", gone: DataFrame | None = None, count_col: str = "n_lines_removed", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the lines to remove, all columns kept, plus ``count_col``: the lines removed.
 
     A text that loses all its lines but blank ones becomes null, as nothing of it is left.
     """
-    gone = removals(docs, id_col, text) if gone is None else gone
+    gone = removals(docs, id_col, text, threshold) if gone is None else gone
     key, places = f"_{uuid.uuid4().hex}", f"_{uuid.uuid4().hex}"
-    per_doc = gone.groupBy(F.col("doc_id").alias(key)).agg(F.collect_set("place").alias(places))
+    per_doc = gone.groupBy(_key("doc_id").alias(key), F.col("hash").alias(f"{key}_hash")).agg(F.collect_set("place").alias(places))
+    same = (_key(id_col) == F.col(key)) & (F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))) == F.col(f"{key}_hash"))
     at, last, names = docs.columns.index(text), len(docs.columns), docs.columns
-    joined = docs.join(per_doc, F.col(id_col).cast("long") == F.col(key), "left").drop(key)
+    joined = docs.join(per_doc, same, "left").drop(key, f"{key}_hash")
 
     def run(batches):
         for b in batches:

@@ -3,9 +3,11 @@
 * ``packed_stars`` and ``band_edges``: nodes that share a band key become a star around the least of them. Stars are first
   built within each map task, so a hot key reaches the shuffle with one entry per flush, not one per node; entries travel as
   packed arrays, one row per task and bucket of keys.
-* ``verified``: candidate components are cut into blocks of bounded rows and bytes. Each pair of blocks of one component is a
-  unit of work for one task, which counts the exact intersections of shingle sets with matrix products. A unit gives one row
-  per node (its links) and a spanning edge, never all pairs; blocks cover all pairs, so no link is lost.
+* ``verified``: every two nodes of a candidate component whose set sizes allow the threshold are compared by the exact
+  intersection of their shingle sets. A small component is one unit of work. The nodes of a larger one are dealt by size class
+  (sets whose sizes differ by more than the threshold allows never meet) and hash into blocks of bounded rows and bytes; a
+  block is packed into one row, and each pair of blocks of equal or neighbouring classes is a unit. A unit gives one row per node
+  (its links) and a spanning edge, never all pairs; units cover all pairs that can be links, so no link is lost.
 """
 
 from __future__ import annotations
@@ -18,22 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.components import components
-from quern.llm.tables import runs, small_batches, stage
+from quern.llm.tables import arrow_map, arrow_schema, runs, small_batches, small_side, stage
 
 #: (band key, node) entries that a map task sorts at once, and that a bucket of keys should hold at most.
 FLUSH, BUCKET = 600_000, 1_000_000
 #: Most partitions of the exchange by bucket; a task works through its buckets one after the other.
 PARTITIONS = 20_000
-BLOCK_ROWS, BLOCK_CHARS = 256, 4_000_000
-#: Broadcast a table of ids only up to so many rows (under 16 MB).
-BROADCAST_ROWS = 400_000
-
-
-def small_side(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most BROADCAST_ROWS rows, else as it is."""
-    n = df.limit(BROADCAST_ROWS + 1).count() if rows is None else rows
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
-
+#: Nodes and items (elements of their sets) of a component that is verified in one go; the least blocks that a larger one is cut
+#: into, so that its units spread over many tasks; and most nodes of a block.
+UNIT_ROWS, UNIT_ITEMS, BLOCKS, BLOCK_ROWS = 128, 500_000, 32, 1024
 
 _PACKED = pa.schema([("bucket", pa.int32()), ("edges", pa.bool_()), ("a", pa.binary()), ("b", pa.binary())])
 
@@ -114,36 +109,35 @@ def band_edges(bands: DataFrame, buckets: int) -> DataFrame:
     return bands.repartition(min(buckets, PARTITIONS), "bucket").sortWithinPartitions("bucket").mapInArrow(star, "a long, b long").distinct()
 
 
-def links(sets: list[np.ndarray], left: int, threshold: float, within: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j) of similar sets: all pairs if ``within``, else only those with i < left <= j.
+def links(left: list[np.ndarray], right: list[np.ndarray] | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of similar sets: left[i] and right[j], or all pairs i < j of ``left`` if there is no ``right``.
 
     Each set is an array of different hashes. Intersections are counted exactly, slab by slab of the vocabulary.
     """
+    sets = left + (right or [])
     size = np.array([len(s) for s in sets], np.int64)
-    n = len(sets)
+    n, cut = len(sets), len(left)
+    none = np.zeros(0, np.int64)
     if n < 2 or not size.sum():
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return none, none
     item, owner = np.concatenate(sets), np.repeat(np.arange(n), size)
     turn = np.argsort(item, kind="stable")
     item, owner = item[turn], owner[turn]
-    head = np.concatenate([[True], item[1:] != item[:-1]])
-    number = np.cumsum(head) - 1
+    number = np.cumsum(np.concatenate([[True], item[1:] != item[:-1]])) - 1
     shared = np.bincount(number) > 1
     keep = shared[number]
     owner, number = owner[keep], (np.cumsum(shared) - 1)[number[keep]]
-    common = np.zeros((n, n), np.float32)
+    common = np.zeros((cut, n - cut if right is not None else n), np.float32)
     total, step = int(shared.sum()), 4096
     for low in range(0, total, step):
         a, b = np.searchsorted(number, [low, low + step])
         m = np.zeros((n, min(step, total - low)), np.float32)
         m[owner[a:b], number[a:b] - low] = 1
-        common += m @ m.T
-    union = size[:, None] + size[None, :] - common
+        common += m[:cut] @ (m[cut:] if right is not None else m).T
+    other = size[cut:] if right is not None else size
+    union = size[:cut, None] + other[None, :] - common
     ok = (common >= threshold * union - 1e-6) & (common > 0)
-    if within:
-        return np.nonzero(np.triu(ok, 1))
-    i, j = np.nonzero(ok[:left, left:])
-    return i, j + left
+    return np.nonzero(ok if right is not None else np.triu(ok, 1))
 
 
 def _unite(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -160,47 +154,130 @@ def _unite(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return root
 
 
-def verified(members: DataFrame, shingles: Callable[[pa.Array], list[np.ndarray]], threshold: float, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """(node, links, root) for every node of ``members`` (comp, node, weight, text) and each unit that holds it.
+class Sets:
+    """How sets of shingles travel: ``encode`` gives a payload and the set's size for each text, ``decode`` the sets again."""
+
+    def __init__(self, of: Callable[[pa.Array], list[np.ndarray]], as_text: bool = False):
+        self.of, self.as_text = of, as_text
+
+    def encode(self, texts: pa.Array) -> tuple[list, list[int]]:
+        sets = self.of(texts)
+        return texts.cast(pa.binary()).to_pylist() if self.as_text else [x.tobytes() for x in sets], [len(x) for x in sets]
+
+    def decode(self, payloads: list[bytes]) -> list[np.ndarray]:
+        return self.of(pa.array(payloads, pa.binary()).cast(pa.string())) if self.as_text else [np.frombuffer(x, np.uint64) for x in payloads]
+
+
+_FOUND = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
+
+
+def _rows_of(node: np.ndarray, weight: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+    """(node, links, root) of the nodes that the pairs (i, j) join."""
+    count = np.bincount(i, weight[j], len(node)) + np.bincount(j, weight[i], len(node))
+    root = _unite(len(node), i, j)
+    least = np.full(len(node), np.iinfo(np.int64).max)
+    np.minimum.at(least, root, node)
+    hit = count > 0
+    return pa.RecordBatch.from_arrays([pa.array(node[hit]), pa.array(count[hit].astype(np.int64)), pa.array(least[root][hit])], schema=_FOUND)
+
+
+def verified(members: DataFrame, sets: Sets, threshold: float) -> DataFrame:
+    """(node, links, root) for every node of ``members`` (comp, node, weight, text) with links, and each unit that holds it.
 
     links: weights of the similar nodes that the unit found; root: the least node that it is joined to in the unit.
     """
-    members = stage(members, "members")
-    # exact number of blocks a component needs, by rows and by code points
-    need = members.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum(F.length("text")) / block_chars), F.lit(1)).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1")
-    placed = members.join(small_side(need), "comp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    units = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(F.xxhash64("comp", F.least("block", "other"), F.greatest("block", "other")).alias("unit"), "comp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "weight", "text")
-    want = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
+    # sizes whose quotient reaches the threshold are in the same class or in neighbouring ones
+    width = -np.log(threshold) * (1 + 1e-9)
+
+    def encode(batch: pa.RecordBatch) -> dict:
+        payload, size = sets.encode(batch.column(3).cast(pa.string()))
+        return {"comp": batch.column(0), "node": batch.column(1), "weight": batch.column(2), "size": size, "payload": payload}
+
+    coded = stage(arrow_map(members.select("comp", "node", "weight", "text"), encode, "comp long, node long, weight long, size int, payload binary"), "members")
+    # rows of one node are equal; a component of one node has no pairs
+    need = coded.groupBy("comp").agg(F.count("*").alias("n"), F.sum(F.col("size").cast("long")).alias("items"))
+    large = stage(need.where((F.col("n") > UNIT_ROWS) | (F.col("items") > UNIT_ITEMS)).select("comp"), "large")
+    n_large = large.count()
+    if not n_large:
+        return _whole(coded, sets, threshold)
+    side = small_side(large, n_large)
+    small = _whole(coded.join(side, "comp", "left_anti"), sets, threshold)
+    classed = coded.join(side, "comp", "left_semi").withColumn("cls", F.floor(F.log(F.greatest("size", F.lit(1))) / F.lit(float(width))).cast("int"))
+    return small.unionByName(_by_blocks(stage(classed, "classed"), sets, threshold))
+
+
+def _whole(coded: DataFrame, sets: Sets, threshold: float) -> DataFrame:
+    """``verified`` of components that are one unit each."""
 
     def run(batches):
         for rows in runs(batches):
-            for unit in _parts(rows):
-                lo, hi = unit[0][2], unit[0][3]
-                seen = {r[5]: r for r in unit}
-                unit = sorted(seen.values(), key=lambda r: (r[4], r[5]))
-                sets = shingles(pa.array([r[7] for r in unit], pa.string()))
-                left = sum(r[4] == lo for r in unit)
-                i, j = links(sets, left, threshold, lo == hi)
-                if not len(i):
-                    continue
-                node, weight = np.array([r[5] for r in unit]), np.array([r[6] for r in unit])
-                count = np.bincount(i, weight[j], len(unit)) + np.bincount(j, weight[i], len(unit))
-                root = _unite(len(unit), i, j)
-                least = np.full(len(unit), np.iinfo(np.int64).max)
-                np.minimum.at(least, root, node)
-                hit = count > 0
-                yield pa.RecordBatch.from_arrays([pa.array(node[hit]), pa.array(count[hit].astype(np.int64)), pa.array(least[root][hit])], schema=want)
-
-    small_batches(members.sparkSession)
-    return units.repartition("unit").sortWithinPartitions("unit", "comp", "lo", "hi").mapInArrow(run, "node long, links long, root long")
-
-
-def _parts(rows: list[tuple]) -> list[list[tuple]]:
-    """Rows of one unit key by (comp, lo, hi); more than one part only if unit keys collide."""
-    out: dict[tuple, list] = {}
-    for r in rows:
-        out.setdefault(r[1:4], []).append(r)
-    return list(out.values())
+            unit = sorted({r[1]: r for r in rows}.values(), key=lambda r: r[1])
+            i, j = links(sets.decode([r[3] for r in unit]), None, threshold)
+            if len(i):
+                yield _rows_of(np.array([r[1] for r in unit]), np.array([r[2] for r in unit]), i, j)
+
+    small_batches(coded.sparkSession)
+    rows = coded.select("comp", "node", "weight", "payload").repartition("comp").sortWithinPartitions("comp")
+    return rows.mapInArrow(run, "node long, links long, root long")
+
+
+_BLOCK = "comp long, cls int, block int, node binary, weight binary, size binary, payload binary"
+
+
+def _by_blocks(classed: DataFrame, sets: Sets, threshold: float) -> DataFrame:
+    """``verified`` of large components, block against block."""
+    spark = classed.sparkSession
+    totals = classed.groupBy("comp").agg(F.count("*").alias("total"))
+    per_class = classed.groupBy("comp", "cls").agg(F.count("*").alias("n"), F.sum(F.col("size").cast("long")).alias("items")).join(totals, "comp")
+    # about BLOCKS blocks a component, more where blocks would hold too many nodes or items
+    rows = F.greatest(F.lit(UNIT_ROWS // 2), F.least(F.lit(BLOCK_ROWS), F.ceil(F.col("total") / BLOCKS)))
+    per_class = stage(per_class.select("comp", "cls", F.greatest(F.ceil(F.col("n") / rows), F.ceil(F.col("items") / UNIT_ITEMS), F.lit(1)).cast("int").alias("blocks")), "classes")
+    n = per_class.count()
+    placed = classed.join(small_side(per_class, n), ["comp", "cls"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    want = arrow_schema(_BLOCK)
+
+    def pack(batches):
+        # rows are sorted by a hash of their block, its name and their nodes; equal nodes are one
+        for same in runs(batches):
+            blocks: dict[tuple, dict] = {}
+            for r in same:
+                blocks.setdefault(r[1:4], {})[r[4]] = r
+            for (comp, cls, block), held in blocks.items():
+                got = [held[x] for x in sorted(held)]
+                arrays = [np.array([r[k] for r in got], t).tobytes() for k, t in ((4, np.int64), (5, np.int64))]
+                size = np.array([len(r[6]) for r in got], np.int64).tobytes()
+                yield pa.RecordBatch.from_pydict({"comp": [comp], "cls": [cls], "block": [block], "node": [arrays[0]], "weight": [arrays[1]], "size": [size], "payload": [b"".join(r[6] for r in got)]}, schema=want)
+
+    small_batches(spark)
+    key = F.xxhash64("comp", "cls", "block").alias("key")
+    dealt = placed.select(key, "comp", "cls", "block", "node", "weight", "payload").repartition("key").sortWithinPartitions("key")
+    packed = stage(dealt.mapInArrow(pack, _BLOCK), "blocks")
+    # partners: the blocks of the same class and of the classes next to it
+    near = per_class.select(F.col("comp").alias("_comp"), F.col("cls").alias("_cls"), F.col("blocks").alias("_blocks"))
+    meets = packed.join(small_side(near, n), (F.col("comp") == F.col("_comp")) & F.col("_cls").isin(F.col("cls") - 1, F.col("cls"), F.col("cls") + 1))
+    meets = meets.withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    mine, other = F.struct("cls", "block"), F.struct(F.col("_cls").alias("cls"), F.col("_block").alias("block"))
+    pair = F.struct(F.least(mine, other).alias("lo"), F.greatest(mine, other).alias("hi"))
+    units = meets.select("comp", pair.alias("pair"), (mine == F.least(mine, other)).alias("first"), "node", "weight", "size", "payload")
+    units = units.select(F.xxhash64("comp", "pair").alias("unit"), "comp", F.col("pair.lo.cls").alias("a"), F.col("pair.lo.block").alias("b"), F.col("pair.hi.cls").alias("c"), F.col("pair.hi.block").alias("d"), "first", "node", "weight", "size", "payload")
+
+    def run(batches):
+        for same in runs(batches):
+            parts: dict[tuple, list] = {}
+            for r in same:
+                parts.setdefault(r[1:6], []).append(r)
+            for unit in parts.values():
+                unit.sort(key=lambda r: not r[6])
+                node, weight = (np.concatenate([np.frombuffer(r[k], np.int64) for r in unit]) for k in (7, 8))
+                got = []
+                for r in unit:
+                    ends = np.cumsum(np.frombuffer(r[9], np.int64)).tolist()
+                    got.append(sets.decode([r[10][x:y] for x, y in zip([0, *ends], ends)]))
+                i, j = links(got[0], got[1] if len(got) > 1 else None, threshold)
+                if len(i):
+                    yield _rows_of(node, weight, i, j + (len(got[0]) if len(got) > 1 else 0))
+
+    return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "node long, links long, root long")
 
 
 def classes(found: DataFrame) -> DataFrame:

@@ -12,10 +12,10 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from samples import MIDDLE, SMALL, WORD, WORDS, sentence
 
-from quern.llm import byte_bpe, catalogue, components, fingerprint, html_extract, kernel, line_dedup, ngram_join, packing, quality_model, quality_rules, similar, toxicity, url_filter
+import corpus_pipeline
+from quern.llm import byte_bpe, catalogue, components, fingerprint, html_extract, kernel, line_dedup, ngram_join, packing, quality_model, quality_rules, similar, tables, toxicity, url_filter
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, node long, bucket int, host string, n_lines_removed long, label int, _gone string"
 
@@ -155,11 +155,25 @@ def brute_classes(sets, threshold):
     return [find(i) for i in range(n)], links
 
 
-def test_ngram_join_by_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(similar, "BLOCK_ROWS", 16)
+#: Limits under which every other path of the joins is taken: blocks, shuffled sides, frequent keys.
+TIGHT = {similar: {"UNIT_ROWS": 12, "UNIT_ITEMS": 900, "BLOCKS": 4, "BLOCK_ROWS": 16}, tables: {"BROADCAST_ROWS": 3, "SPREAD_ROWS": 1, "HOT_ROWS": 3}}
+
+
+@pytest.fixture(params=["plain", "tight"])
+def limits(request, monkeypatch):
+    if request.param == "tight":
+        for module, values in TIGHT.items():
+            for k, v in values.items():
+                monkeypatch.setattr(module, k, v)
+
+
+def test_ngram_join_by_brute_force(spark, limits):
     rng = random.Random(9)
     texts = [sentence(rng, 60) for _ in range(40)]
-    texts += near_copies(rng, texts[0], 60) + near_copies(rng, texts[1], 5) + [texts[2]] * 4 + ["", "", "two words", "two words"]
+    # a chain whose ends are unlike and differ in size: each text has three words more than the one before
+    grown = sentence(rng, 150).split(" ")
+    texts += near_copies(rng, texts[0], 60) + near_copies(rng, texts[1], 5) + [" ".join(grown[:n]) for n in range(20, 150, 3)]
+    texts += [texts[2]] * 4 + ["", "", "two words", "two words"]
     sets = []
     for t in texts:
         w = WORD.findall(t)
@@ -169,7 +183,7 @@ def test_ngram_join_by_brute_force(spark, monkeypatch):
     assert got == {i: (cls[i], links[i]) for i in range(len(texts))}
 
 
-def test_line_dedup_by_brute_force(spark):
+def test_line_dedup_by_brute_force(spark, limits):
     rng = random.Random(11)
     lines = [sentence(rng, rng.randint(2, 30)) for _ in range(120)]
     lines += [x for s in lines[:30] for x in near_copies(rng, s, 2)] + lines[:10] + ["short", "short", "shorx"]
@@ -203,7 +217,7 @@ def test_lines_that_repeat_shingles_share_a_kind_of_signature(spark):
     assert got == {i for i, c in enumerate(cls) if c != i}
 
 
-def test_components(spark):
+def test_components(spark, limits):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (200, 200)] + [(300, x) for x in range(301, 330)]
     got = {r.node: r.comp for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(41)) and got[101] == 100 and got[200] == 200 and all(got[x] == 300 for x in range(300, 330))
@@ -213,8 +227,53 @@ def test_links_slabs():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 9000, 6000).astype(np.uint64)) for _ in range(6)]
     sets.append(sets[0][:-20])
-    pairs = set(zip(*map(lambda x: x.tolist(), similar.links(sets, 0, 0.8, True))))
-    assert pairs == {(i, j) for i in range(7) for j in range(i + 1, 7) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))}
+    want = {(i, j) for i in range(7) for j in range(i + 1, 7) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))}
+    pairs = lambda *x: set(zip(*(y.tolist() for y in similar.links(*x, 0.8))))
+    assert pairs(sets, None) == want and (0, 6) in want
+    assert pairs(sets[:3], sets[3:]) == {(i, j - 3) for i, j in want if i < 3 <= j}
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.65, 0.9])
+def test_recall_follows_the_threshold(spark, threshold):
+    """Pairs at just over the threshold are found whatever it is."""
+    rng = random.Random(31)
+    alphabet = [chr(0x4E00 + i) for i in range(5000)]
+    lines, texts = [], []
+    for _ in range(100):
+        base = [rng.choice(alphabet) for _ in range(100)]
+        # the last m of n shingles are new: similarity (n - m) / (n + m)
+        n = 92
+        m = int(n * (1 - threshold) / (1 + threshold))
+        lines += ["".join(base), "".join(base[: 100 - m] + [rng.choice(alphabet) for _ in range(m)])]
+        base = [rng.choice(alphabet) for _ in range(96)]
+        texts += [" ".join(base), " ".join(base[: 96 - m] + [rng.choice(alphabet) for _ in range(m)])]
+    frame = lambda x: spark.createDataFrame(list(enumerate(x)), "doc_id long, text string")
+    gone = {r.doc_id for r in line_dedup.removals(frame(lines), threshold=threshold).collect()}
+    assert gone <= set(range(1, 200, 2)) and len(gone) >= 96
+    kept = {r.doc_id for r in ngram_join.deduplicate(frame(texts), threshold=threshold).collect()}
+    assert kept >= set(range(0, 200, 2)) and len(kept) <= 104
+
+
+def test_one_row_of_each_class_stays(spark, limits):
+    rng = random.Random(32)
+    a, b, c, d, e = (sentence(rng, 60) for _ in range(5))
+    near = near_copies(rng, a, 1)[0]
+    rows = [(1, a), (1, a), (1, a), (2, near), (3, b), (3, a), (4, c), (4, c), (None, d), (None, d), (5, d), (None, e), (None, e), (6, ""), (6, ""), (7, None), (8, "-")]
+    got = ngram_join.deduplicate(spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, node int")).collect()
+    key = lambda r: (str(r[0]), str(r[1]))
+    # equal rows leave one; b is alone under an id that a copy of a shares; a text without words has no copies
+    assert sorted([tuple(r)[:2] for r in got], key=key) == sorted([(1, a), (3, b), (4, c), (5, d), (None, e), (6, ""), (6, ""), (7, None), (8, "-")], key=key)
+    named = sorted((tuple(r) for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert named == sorted([(1, 1, 4)] * 3 + [(2, 1, 4), (3, 3, 0), (3, 1, 4)] + [(4, 4, 1)] * 2 + [(None, 5, 2)] * 2 + [(5, 5, 2)] + [(None, None, 1)] * 2 + [(6, 6, 0)] * 2 + [(7, 7, 0), (8, 8, 0)], key=str)
+
+
+def test_lines_of_rows_that_share_an_id(spark, limits):
+    """A line is judged by its own row's place, not by another row's under the same id; null ids come last."""
+    rng = random.Random(33)
+    x, y, z, u, v = (sentence(rng, 12) for _ in range(5))
+    rows = [(1, f"{x}\n{y}"), (2, f"{z}\n{x}"), (2, f"{u}\n{v}"), (None, f"{v}\n{x}"), (3, f"{z}\n\n"), (4, None), (4, "")]
+    got = sorted((tuple(r) for r in line_dedup.clean(spark.createDataFrame([(*r, 9) for r in rows], "doc_id long, text string, place int")).collect()), key=str)
+    assert got == sorted([(1, f"{x}\n{y}", 9, 0), (2, z, 9, 1), (2, f"{u}\n{v}", 9, 0), (None, None, 9, 2), (3, None, 9, 1), (4, None, 9, 0), (4, "", 9, 0)], key=str)
 
 
 def test_kernel_segments_and_grams():
