@@ -4,7 +4,9 @@ Texts over ``CHUNK`` code points are cut into overlapping chunks that are pre-to
 Neighbouring chunks are stitched at a place that is a pre-token boundary in both; as the pre-token that starts at a place
 depends only on what follows it, everything from there on is right. Where two chunks do not resynchronise within their
 overlap, the text from the last sure boundary is pre-tokenised again, so the result is always exact. The pieces are then
-encoded one by one by the ranks; decoding looks up the bytes of every id and concatenates them.
+encoded one by one by the ranks; decoding looks up the bytes of every id and concatenates them. A long text's chunks pass through
+one after the other, its ids and bytes go into running digests, and no task holds more than two chunks of it (more only where
+a pre-token is longer than a chunk).
 
 Defined results: null counts as the empty text, which has no tokens and the digests of the empty string; texts of any
 length are encoded whole; repeated rows give equal rows; an empty table gives an empty result; other columns are ignored.
@@ -15,15 +17,17 @@ from __future__ import annotations
 import base64
 import hashlib
 from bisect import bisect_left, bisect_right
+from collections.abc import Sequence
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.tables import arrow_map, arrow_schema, parquet, runs
+from quern.llm.tables import arrow_map, arrow_schema, parquet
 
 CHUNK, OVERLAP = 32768, 1024
 #: Longest look beyond a pre-token's start that its end can depend on, past the token itself.
@@ -86,48 +90,70 @@ def chunks(text: str, size: int = CHUNK, overlap: int = OVERLAP) -> list[tuple[i
     return [(s, text[s : s + size]) for s in range(0, max(1, len(text) - overlap), step)]
 
 
-def stitch(parts: list[tuple[int, str, list[int]]], c: Codec) -> list[str]:
-    """Pre-tokens of the whole text from (start, text, pre-token ends) of its chunks, in order."""
-    out: list[str] = []
-    start, text, ends = parts[0]
-    sure = 0
-
-    def emit(upto: int) -> None:
-        nonlocal sure
-        for e in ends[bisect_right(ends, sure) : bisect_right(ends, upto)]:
-            out.append(text[sure - start : e - start])
-            sure = e
-
-    for at, more, more_ends in parts[1:]:
-        stop = start + len(text)
-        trusted = ends[: bisect_right(ends, stop - MARGIN)]
-        if trusted and trusted[-1] == ends[-1]:
-            trusted = trusted[:-1]
-        both = set(more_ends)
-        meet = next((e for e in trusted[bisect_left(trusted, max(at, sure)) :] if e in both), None)
+class Stitch:
+    """Pre-tokens of a text from its chunks, which are fed in order; what is sure is given out at once."""
+
+    def __init__(self, c: Codec):
+        self.codec, self.start, self.sure, self.text = c, 0, 0, None
+        self.ends: Sequence[int] = []
+
+    def _emit(self, upto: int) -> list[str]:
+        low, out = bisect_right(self.ends, self.sure), []
+        for k in range(low, bisect_right(self.ends, upto, low)):
+            e = self.ends[k]
+            out.append(self.text[self.sure - self.start : e - self.start])
+            self.sure = e
+        return out
+
+    def feed(self, at: int, more: str, more_ends: Sequence[int]) -> list[str]:
+        if self.text is None:
+            self.start, self.text, self.ends = at, more, more_ends
+            return []
+        stop = self.start + len(self.text)
+        trusted = bisect_right(self.ends, stop - MARGIN)
+        if trusted and trusted == len(self.ends):
+            trusted -= 1
+        # the first place from which both chunks agree: walk the two sorted lists
+        meet, i, j = None, bisect_left(self.ends, max(at, self.sure)), 0
+        while i < trusted and j < len(more_ends):
+            if self.ends[i] == more_ends[j]:
+                meet = self.ends[i]
+                break
+            if self.ends[i] < more_ends[j]:
+                i += 1
+            else:
+                j += 1
         if meet is not None:
-            emit(meet)
-            start, text, ends = at, more, more_ends
-        else:
-            emit(trusted[-1] if trusted else sure)
-            text = text[sure - start :] + more[stop - at :]
-            start = sure
-            ends = [start + e for e in accumulate(map(len, c.split(text)))]
-    emit(start + len(text))
-    return out
-
-
-def _digests(rows: list[tuple], pieces_of, c: Codec) -> dict:
-    out: dict[str, list] = {"doc_id": [], "n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "n_pieces": []}
-    for row in rows:
-        pieces = pieces_of(row)
-        ids = c.encode(pieces)
-        out["doc_id"].append(row[0])
-        out["n_tokens"].append(len(ids))
-        out["ids_sha256"].append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
-        out["decoded_sha256"].append(hashlib.sha256(c.decode(ids)).hexdigest())
-        out["n_pieces"].append(len(pieces))
-    return out
+            out = self._emit(meet)
+            self.start, self.text, self.ends = at, more, more_ends
+            return out
+        out = self._emit(self.ends[trusted - 1]) if trusted else []
+        self.text = self.text[self.sure - self.start :] + more[stop - at :]
+        self.start = self.sure
+        self.ends = [self.start + e for e in accumulate(map(len, self.codec.split(self.text)))]
+        return out
+
+    def finish(self) -> list[str]:
+        return [] if self.text is None else self._emit(self.start + len(self.text))
+
+
+class Digest:
+    """Counts and digests of ids and decoded bytes, piece by piece."""
+
+    def __init__(self, c: Codec):
+        self.codec, self.n_tokens, self.n_pieces = c, 0, 0
+        self.ids, self.bytes = hashlib.sha256(), hashlib.sha256()
+
+    def add(self, pieces: list[str]) -> None:
+        ids = self.codec.encode(pieces)
+        if ids:
+            self.ids.update(("," if self.n_tokens else "").encode() + ",".join(map(str, ids)).encode())
+            self.bytes.update(self.codec.decode(ids))
+        self.n_tokens += len(ids)
+        self.n_pieces += len(pieces)
+
+    def row(self, doc_id: int | None) -> tuple:
+        return doc_id, self.n_tokens, self.ids.hexdigest(), self.bytes.hexdigest(), self.n_pieces
 
 
 _SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_pieces long"
@@ -155,15 +181,32 @@ def encode_digests(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     path, pattern = vocabulary()
     want = arrow_schema(_SCHEMA)
 
+    def table(rows: list[tuple]) -> dict:
+        return dict(zip(want.names, map(list, zip(*rows))))
+
     def short(batch: pa.RecordBatch) -> dict:
-        c = codec(path, pattern)
-        return _digests(list(zip(*(x.to_pylist() for x in batch.columns))), lambda r: c.split(r[1] or ""), c)
+        c, out = codec(path, pattern), []
+        for doc_id, t in zip(*(x.to_pylist() for x in batch.columns)):
+            d = Digest(c)
+            d.add(c.split(t or ""))
+            out.append(d.row(doc_id))
+        return table(out)
 
     def whole(batches):
-        c = codec(path, pattern)
-        for rows in runs(batches):
-            got = _digests([rows[0][1:2]], lambda _, rows=rows: stitch([r[2:] for r in rows], c), c)
-            yield pa.RecordBatch.from_pydict(got, schema=want)
+        c, last = codec(path, pattern), None
+        for b in batches:
+            ends = b.column(4)
+            flat, cut = ends.flatten().to_numpy(), np.concatenate([[0], np.cumsum(ends.value_lengths().to_numpy())])
+            for k, (row, doc_id, start, t) in enumerate(zip(*(b.column(i).to_pylist() for i in range(4)))):
+                if last != row:
+                    if last is not None:
+                        digest.add(stitch.finish())
+                        yield pa.RecordBatch.from_pydict(table([digest.row(held)]), schema=want)
+                    last, held, stitch, digest = row, doc_id, Stitch(c), Digest(c)
+                digest.add(stitch.feed(start, t, flat[cut[k] : cut[k + 1]].tolist()))
+        if last is not None:
+            digest.add(stitch.finish())
+            yield pa.RecordBatch.from_pydict(table([digest.row(held)]), schema=want)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     direct = arrow_map(rows.where(F.coalesce(F.length("text") <= size, F.lit(True))), short, _SCHEMA)

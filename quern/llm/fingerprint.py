@@ -11,13 +11,14 @@ primitive longs. Occurrence numbers come from the sorted K-mers: the start of ea
 
 Defined results: null counts as empty; a text without tokens has an empty fingerprint, alike (1.0) to another empty one and
 unlike (0.0) to all others; a text of fewer than K tokens has one K-mer, all of it; texts are read whole; rows that repeat
-an id follow one another in the order of their texts; null ids come first; an empty table gives an empty result.
+an id follow one another in the order of a hash of their texts; null ids come first; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -26,8 +27,10 @@ from quern.llm.tables import parquet
 
 K, BINS, TOKEN = 3, 64, 16
 POSITION = 28
-#: Rows of neighbouring ids in a bucket, about, and the most buckets.
-BUCKET, BUCKETS = 2000, 20_000
+#: Rows of neighbouring ids in a bucket, about, and the most buckets; ids sampled for each to find the buckets' limits.
+BUCKET, BUCKETS, SAMPLED = 2000, 20_000, 40
+#: Stands for a null id.
+FIRST = -(1 << 63)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -113,28 +116,67 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(bins == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / bins)
 
 
+def _longs(values: list[int]) -> Column:
+    """A constant array."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
+def limits(rows: DataFrame, doc: str) -> tuple[list[int], dict[int, int]]:
+    """Least ids of the buckets but the first, and for an id that fills buckets alone their number.
+
+    From a sample of at most about SAMPLED * BUCKETS ids, so that buckets hold about as many rows each, however the ids lie.
+    """
+    n = rows.count()
+    count = max(1, min(BUCKETS, n // BUCKET))
+    if count == 1:
+        return [], {}
+    ids = np.sort(np.array([r[0] for r in rows.select(doc).sample(False, min(1.0, SAMPLED * count / n), 11).collect()], np.int64))
+    if not len(ids):
+        return [], {}
+    per = max(1, len(ids) // count)
+    value, times = np.unique(ids, return_counts=True)
+    hot = {int(v): int(-(-t // per)) for v, t in zip(value, times) if t > 2 * per}
+    # a frequent id is a bucket of its own, which the hash of the text divides further
+    heads = {int(x) for x in ids[per::per]} | {x for v in hot for x in (v, v + 1)}
+    return sorted(heads - {FIRST, 1 << 63}), hot
+
+
+def _bucket(doc: Column, h: Column, heads: list[int], hot: dict[int, int]) -> Column:
+    """Number of the bucket (how many of the heads are not above the id, found in two steps) and of its part."""
+    zero = F.lit(0)
+    if not heads:
+        at = zero
+    else:
+        step = int(len(heads) ** 0.5) + 1
+        coarse = F.size(F.filter(_longs(heads[step - 1 :: step]), lambda x: x <= doc)) * step
+        at = let(coarse, lambda c: c + F.size(F.filter(F.slice(_longs(heads), c + 1, F.lit(step)), lambda x: x <= doc)))
+    part = zero
+    for v, k in hot.items():
+        part = F.when(doc == v, F.least(F.floor((h / F.lit(2.0**64) + 0.5) * k), F.lit(k - 1)).cast("int")).otherwise(part)
+    return F.struct(at.cast("int").alias("at"), part.alias("part"))
+
+
 def with_next(rows: DataFrame, id_col: str, text: str, more: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """``rows`` (id, text) after ``more``, plus next_<column> of the row with the next id; after the last comes the first.
 
-    Rows are dealt to buckets of neighbouring ids. Each bucket also gets the first row of the next one, so one exchange and
-    a window per bucket suffice; the only global order is over at most BUCKETS bucket heads.
+    Rows are dealt to buckets of neighbouring ids, whose limits come from a bounded sample of ids; an id with very many rows is
+    divided by the hash of the text. Each bucket also gets the first row of the next one, so one exchange and a window per
+    bucket suffice; the only global order is over the bucket heads.
     """
-    spark = rows.sparkSession
-    low, high, n = rows.agg(F.min(id_col), F.max(id_col), F.count(F.lit(1))).first()
-    if low is None:
-        low = high = 0
-    count = max(1, min(BUCKETS, n // BUCKET))
-    width = max(1, -(-(high - low + 1) // count))
-    keyed = rows.withColumn("bucket", F.coalesce(F.floor((F.col(id_col) - F.lit(low)) / F.lit(width)), F.lit(0)).cast("int"))
-    nulls_first = F.struct(F.col(id_col).isNotNull(), F.col(id_col))
-    heads = keyed.groupBy("bucket").agg(F.min(nulls_first).alias("head")).select("bucket", F.col("head").getField(id_col).alias("_head"))
-    order = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    nexts = heads.select(F.coalesce(F.lag("bucket").over(Window.orderBy("bucket")), F.last("bucket").over(order)).alias("to"), "_head")
-    tail = keyed.join(F.broadcast(nexts), keyed[id_col].eqNullSafe(F.col("_head"))).select(id_col, text, F.col("to").alias("bucket"))
-    both = more(keyed.select(id_col, text, "bucket").withColumn("copy", F.lit(0)).unionByName(tail.withColumn("copy", F.lit(1))))
-    w = Window.partitionBy("bucket").orderBy("copy", F.col(id_col).asc_nulls_first(), text)
-    names = [c for c in both.columns if c not in ("bucket", "copy")]
-    return both.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in names]).where("copy = 0").drop("bucket", "copy")
+    keyed = rows.select(id_col, text, F.coalesce(F.col(id_col), F.lit(FIRST)).alias("_doc"), F.xxhash64(text).alias("_h"))
+    heads, hot = limits(keyed, "_doc")
+    keyed = keyed.withColumn("bucket", _bucket(F.col("_doc"), F.col("_h"), heads, hot))
+    firsts = keyed.groupBy("bucket").agg(F.min(F.struct("_doc", "_h")).alias("first"))
+    order = Window.orderBy("bucket")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    nexts = firsts.select(F.coalesce(F.lag("bucket").over(order), F.last("bucket").over(whole)).alias("to"), F.col("first._doc").alias("_doc"), F.col("first._h").alias("_h"))
+    # one row a bucket; rows that are equal in id and text are alike
+    tail = keyed.drop("bucket").join(F.broadcast(nexts), ["_doc", "_h"]).dropDuplicates(["to"]).withColumnRenamed("to", "bucket")
+    both = more(keyed.withColumn("copy", F.lit(0)).unionByName(tail.withColumn("copy", F.lit(1))))
+    w = Window.partitionBy("bucket").orderBy("copy", "_doc", "_h")
+    inner = ("bucket", "copy", "_doc", "_h")
+    names = [c for c in both.columns if c not in inner]
+    return both.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in names]).where("copy = 0").drop(*inner)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

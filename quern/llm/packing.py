@@ -8,8 +8,9 @@ permitted length as the largest to open, so the lengths are optimised jointly) a
 
 Only the number of pieces of each length matters for this, so packing runs on a histogram of at most ``LENGTHS[-1]`` lengths,
 whatever the number of rows; equal bins are handled as one group with a count. Pieces then find their bins by their rank
-among pieces of their length. Ranks come from counts by (length, hash bucket) and a rank within the bucket, so no task sees a
-whole length. Only the histogram and the plan go through the driver, both bounded by the largest length.
+among pieces of their length. A length with many pieces is dealt into hash buckets of about ``BUCKET`` pieces; ranks come from
+the counts of the buckets and a rank within the bucket, so no task sees a whole length. Only the histogram and the plan go
+through the driver: the histogram has a row for each length, the plan a few for each length and opened size.
 
 Defined results: null and empty texts, and texts without words, have one piece of length 0 and no bin (null); repeated rows
 are packed like any other; ties are broken by id; an empty table gives an empty result; other columns are ignored.
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quern.llm.tables import parquet, stage
+from quern.llm.tables import parquet, small_side, stage
 
 LENGTHS = [256, 512, 1024, 2048, 4096]
 OVERHEAD = 16
@@ -123,11 +124,12 @@ def pack(docs: DataFrame, lengths: list[int] = LENGTHS, id_col: str = "doc_id",
     """A row for each piece: doc_id, piece, first_word, n_words, bin_id, bin_length, bin_words, offset in the bin."""
     spark, largest = docs.sparkSession, max(lengths)
     rows = stage(pieces(docs, largest, id_col, text), "pieces")
-    total = rows.count()
-    buckets = max(1, -(-total // BUCKET))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
-    counts = stage(rows.groupBy("n_words", "bucket").agg(F.count("*").alias("n")), "counts")
-    histogram = {r.n_words: r.n for r in counts.where("n_words > 0").groupBy("n_words").agg(F.sum("n").alias("n")).collect()}
+    histogram = {r.n_words: r.n for r in rows.groupBy("n_words").agg(F.count("*").alias("n")).collect()}
+    # at most a row for each length up to the largest
+    sizes = spark.createDataFrame([(k, -(-n // BUCKET)) for k, n in histogram.items()], "n_words int, buckets int")
+    rows = rows.join(F.broadcast(sizes), "n_words").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.col("buckets")).cast("int")).drop("buckets")
+    counts = rows.groupBy("n_words", "bucket").agg(F.count("*").alias("n"))
+    histogram.pop(0, None)
     # slots: pieces of a length with ranks [low, low + bins * per) go to bins [bin, bin + bins), `per` to a bin
     slots, next_bin, used = [], 0, defaultdict(int)
     for g in plan(histogram, lengths, overhead) if histogram else []:
@@ -142,7 +144,7 @@ def pack(docs: DataFrame, lengths: list[int] = LENGTHS, id_col: str = "doc_id",
     before = counts.withColumn("base", F.sum("n").over(Window.partitionBy("n_words").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)))
     ranked = rows.withColumn("within", F.row_number().over(Window.partitionBy("n_words", "bucket").orderBy("doc_id", "piece")) - 1).join(before.select("n_words", "bucket", "base"), ["n_words", "bucket"]).withColumn("rank", F.coalesce("base", F.lit(0)) + F.col("within"))
     slot = F.expr("filter(slots, s -> s.low <= rank and rank < s.high)[0]") if slots else F.lit(None).cast("struct<low:long,high:long,per:int,bin:long,bin_length:int,bin_words:int,at:int>")
-    found = ranked.join(F.broadcast(by_length), "n_words", "left").withColumn("s", F.when(F.col("slots").isNotNull(), slot))
+    found = ranked.join(small_side(by_length, len(slots)), "n_words", "left").withColumn("s", F.when(F.col("slots").isNotNull(), slot))
     k = F.col("rank") - F.col("s.low")
     return found.select("doc_id", "piece", "first_word", F.col("n_words").cast("long").alias("n_words"), (F.col("s.bin") + F.floor(k / F.col("s.per"))).alias("bin_id"), F.col("s.bin_length").alias("bin_length"), F.col("s.bin_words").alias("bin_words"), F.when(F.col("s").isNotNull(), F.col("s.at") + F.pmod(k, F.col("s.per").cast("long")) * F.col("n_words")).alias("offset"))
 

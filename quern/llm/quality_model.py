@@ -8,7 +8,8 @@ Fitting reads the statistics of at most ``SAMPLE`` labelled documents (least has
 Labels, lang, source and ids are no inputs of a score.
 
 Defined results: null counts as empty; an empty text has all-zero statistics and is scored like any other; texts are read
-whole; repeated rows get equal scores; labels given twice count with the larger value, null labels not at all; without
+whole; repeated rows get equal scores; labels given twice count with the larger value, null labels not at all; of the rows that
+share a labelled id those with the least statistics are learnt from; without
 labelled rows all scores are 0.5; an empty table gives an empty result.
 """
 
@@ -133,7 +134,8 @@ def statistics_table(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
 def train(table: DataFrame, labels: DataFrame, label: str, id_col: str = "doc_id", sample: int = SAMPLE) -> Trees:
     """Fit on the statistics of at most ``sample`` labelled documents, which go to the driver (72 bytes each)."""
     few = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.max(label).cast("int").alias("_y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    got = table.join(F.broadcast(few), "doc_id").orderBy("doc_id").limit(2 * sample).toPandas()
+    rows = table.join(F.broadcast(few), "doc_id").groupBy("doc_id").agg(F.min(F.struct(*STATISTICS)).alias("x"), F.max("_y").alias("_y"))
+    got = rows.select("doc_id", "x.*", "_y").orderBy("doc_id").toPandas()
     return fit(got[STATISTICS].to_numpy(np.float32), got["_y"].to_numpy(np.float64))
 
 

@@ -1,6 +1,6 @@
 """Quality rules as a short-circuit cascade.
 
-Every rule is a reject test with its own features. On a bounded sample of texts (``SAMPLE`` rows, a parameter) each rule's
+Every rule is a reject test with its own features. On a bounded random sample of texts (``SAMPLE`` rows, a parameter) each rule's
 cost (seconds a text) and selectivity (share rejected) are measured; the cascade then runs the rules by rejection per cost,
 and a rule only sees the texts that all before it have kept. The order changes the time, never the verdict: a text is kept
 if no rule rejects it.
@@ -153,7 +153,7 @@ def order(measured: list[tuple[str, float, float]]) -> list[str]:
 
 
 def plan(docs: DataFrame, text: str = "text", sample: int = SAMPLE, rules: list[Rule] = RULES) -> list[str]:
-    """Measure the rules on at most ``sample`` texts, on one executor, and order them. Bounded by ``sample``."""
+    """Measure the rules on at most ``sample`` random texts, on one executor, and order them."""
     names = [x[0] for x in rules]
 
     def run(batches):
@@ -162,7 +162,9 @@ def plan(docs: DataFrame, text: str = "text", sample: int = SAMPLE, rules: list[
         yield pa.RecordBatch.from_pydict({"rule": pa.array([x[0] for x in got], pa.string()), "cost": pa.array([x[1] for x in got], pa.float64()), "share": pa.array([x[2] for x in got], pa.float64())})
 
     small_batches(docs.sparkSession)
-    few = docs.select(F.col(text).cast("string").alias("text")).limit(sample).coalesce(1)
+    # a few times the rows wanted, from all over the table: a count reads no text, and hardly more than the sample is moved
+    share = min(1.0, 4 * sample / max(docs.count(), 1))
+    few = docs.select(F.col(text).cast("string").alias("text")).sample(False, share, 7).limit(sample).coalesce(1)
     got = [(r.rule, r.cost, r.share) for r in few.mapInArrow(run, "rule string, cost double, share double").collect()]
     return order(got) if got else names
 

@@ -9,7 +9,8 @@ scoring reads every text. Labels, lang, source and ids are no inputs of a score.
 
 Defined results: null, empty and token-less texts have no sentences and score 0; without any labelled row all scores are 0;
 a text without sentence marks is one sentence, however long; repeated rows get equal scores; labels given twice count with
-the larger value and null labels not at all; an empty table gives an empty result.
+the larger value and null labels not at all; of the texts that share a labelled id the least is learnt from; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -108,7 +109,9 @@ def fit(sentence: np.ndarray, bucket: np.ndarray, first: np.ndarray, y: np.ndarr
 def train(docs: DataFrame, labels: DataFrame, label: str, id_col: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> tuple[np.ndarray, float]:
     """Fit on at most ``sample`` of the labelled documents. The fit runs in one task on an executor."""
     few = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label).cast("int").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text).cast("string").alias("_text")).join(F.broadcast(few), "_id").select(F.col("_id").cast("long").alias("id"), "_text", "_y")
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text).cast("string").alias("_text")).join(F.broadcast(few), "_id")
+    # one text an id, so that the sample's bound holds for texts, too
+    rows = rows.groupBy("_id").agg(F.min("_text").alias("_text"), F.max("_y").alias("_y")).select(F.col("_id").cast("long").alias("id"), "_text", "_y")
     want = arrow_schema("weights binary, bias double")
 
     def run(batches):
