@@ -4,9 +4,13 @@ Five stages, each of which works on all that the one before has kept: quality ru
 near-duplicate documents, best-fit packing. All but the last return the columns of ``documents``; the last returns a row for
 each packed piece. Between stages the rows are written to the shared folder as Parquet and read again.
 
+Line deduplication comes before near duplicates, so copies lose the lines that they share with an earlier document first. A copy of
+which nothing is left goes there; the rest of one (lines of its own) stays as a document with just these lines, however
+short, since they stand nowhere else. Near-duplicate removal then finds copies whose text is broken into lines in another way.
+
 Defined results: null and empty texts fall to the quality rules; a document that line deduplication leaves without any text
-goes, as each of its lines stands elsewhere; rows that repeat an id are kept or dropped together by near-duplicate removal;
-an empty table gives an empty result; columns beyond those of ``documents`` are kept until packing.
+goes, as each of its lines stands elsewhere; rows that repeat an id are judged one by one, and of wholly equal rows one
+stays; an empty table gives an empty result; columns beyond those of ``documents`` are kept until packing.
 """
 
 from __future__ import annotations

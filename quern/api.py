@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quern.functions import fixed
-from quern.functions.text import lookup
+from quern.functions.text import lookup, word_tokens
 from quern.operators import chunking, dml, graph, memory, ranking, retrieval
 from quern.session import plain_unions
 
@@ -43,13 +43,26 @@ def embed_column(text: Column, embed: Callable[[pd.Series], pd.Series] = hashed_
 
 
 class Engine:
-    """chunks (id, source, text, kind, collection, updated_days), vectors (id, vec), edges (src, rel, dst) by chunk name."""
+    """chunks (id, source, text, kind, collection, updated_days), vectors (id, vec), edges (src, rel, dst) by chunk name.
 
-    def __init__(self, spark: SparkSession, chunks: DataFrame, vectors: DataFrame | None = None, edges: DataFrame | None = None, memories: DataFrame | None = None, score: Callable[[Column, Column, Column], Column] = ranking.rerank_score):
+    With ``stored`` the postings of all chunks are written once, and every search reads those of its terms only.
+    """
+
+    def __init__(self, spark: SparkSession, chunks: DataFrame, vectors: DataFrame | None = None, edges: DataFrame | None = None, memories: DataFrame | None = None, score: Callable[[Column, Column, Column], Column] = ranking.rerank_score, stored: bool = False):
         plain_unions(spark)
         self.spark, self.chunks, self.edges, self.memories, self.score = spark, chunks, edges, memories, score
         self.vectors = vectors if vectors is not None else chunks.select("id", embed_column(F.col("text")).alias("vec"))
-        self.posts = chunks.select("id", "text")
+        self.stored, self._index = stored, None
+
+    @property
+    def corpus(self) -> DataFrame | retrieval.Index:
+        """What sparse search reads: the chunks, or their stored postings."""
+        texts = self.chunks.select("id", "text")
+        if not self.stored:
+            return texts
+        if self._index is None:
+            self._index = retrieval.Index(texts)
+        return self._index
 
     def _queries(self, queries: DataFrame) -> DataFrame:
         return queries if "vec" in queries.columns else queries.withColumn("vec", embed_column(F.col("text")))
@@ -58,7 +71,7 @@ class Engine:
         """The whole read path for (query_id, text[, vec]): classify, hybrid search, augmentation by the graph, rerank, greedy
         dedup, centrality and recency, final score, packing to the type's budget; one row a kept chunk with the gate's verdict."""
         q = self._queries(queries).withColumn("query_type", retrieval.classify(F.col("text")))
-        hits = retrieval.hybrid(q, self.vectors, self.posts, keep, k=fetch)
+        hits = retrieval.hybrid(q, self.vectors, self.corpus, keep, k=fetch)
         if self.edges is not None:
             hits = self.augment(q, hits, fetch)
         full = hits.drop("rn").join(self.chunks, "id").join(q.select("query_id", F.col("text").alias("query_text"), "query_type"), "query_id")
@@ -82,25 +95,34 @@ class Engine:
         return packed.join(gate, "query_id").select("query_id", "query_type", "verdict", "rn", "id", "source", "final_score", "rerank_score", F.round("centrality", 6).alias("centrality"), ratio.alias("ratio"), text.alias("text"))
 
     def augment(self, queries: DataFrame, hits: DataFrame, k: int) -> DataFrame:
-        """Hits joined with those among chunks whose source is near a top-5 hit's in the graph; the best score of each id."""
-        top = hits.where("rn <= 5").join(self.chunks.select("id", "source"), "id").select(F.col("source").alias("seed"), "query_id")
+        """Hits joined with those of a search among chunks whose source is near a top-5 hit's in the graph; the best score of each
+        id. Where ``queries`` have a type, only queries about relations or summaries are augmented."""
+        some = queries.where(F.col("query_type").isin(fixed.GRAPH_FIRST_TYPES)) if "query_type" in queries.columns else queries
+        top = hits.where("rn <= 5").join(some.select("query_id"), "query_id", "left_semi").join(self.chunks.select("id", "source"), "id").select(F.col("source").alias("seed"), "query_id").distinct()
         near = graph.expand(top.select("seed").distinct(), self.edges).join(top, "seed").select("query_id", F.col("node").alias("source")).distinct()
-        limited = near.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("source"))).where("r <= 20")
-        more = retrieval.bm25(queries, self.posts, 200).join(self.chunks.select("id", "source"), "id").join(limited, ["query_id", "source"], "left_semi")
-        # ranks of the restricted list fuse like one more list
-        ranked = retrieval.top_k(more.select("query_id", "id", "score"), k).select("query_id", "id", (1.0 / (1 + F.col("rn"))).alias("score"))
-        return retrieval.best_of(hits.select("query_id", "id", "score").union(ranked), k)
+        limited = near.withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy("source"))).where("_r <= 20").drop("_r")
+        allowed = self.chunks.select("id", "source").join(limited, "source").select("query_id", "id")
+        more = retrieval.hybrid_within(some, self.vectors, self.corpus, allowed, k)
+        return retrieval.best_of(hits.select("query_id", "id", "score").union(more.select("query_id", "id", "score")), k)
 
     def explain(self, queries: DataFrame, k: int = 8) -> DataFrame:
-        return self.search_code(queries, fetch=k * 3, k=k)
+        """query_id, rn, id, source, text, n_words: the context of an explanation. Hybrid search for 2k of 3k candidates, reranked
+        to k, near copies out, compressed; neither the graph nor a budget takes part."""
+        q = self._queries(queries)
+        hits = retrieval.hybrid(q, self.vectors, self.corpus, k=2 * k, prefetch=3 * k).drop("rn")
+        full = hits.join(self.chunks.select("id", "source", "text"), "id").join(q.select("query_id", F.col("text").alias("query_text")), "query_id")
+        best = ranking.rerank(full, k, "source")
+        kept = ranking.greedy_dedup(best.select(F.col("query_id").cast("string").alias("query_id"), "rn", "id", "text")).select(F.col("query_id").cast("long").alias("query_id"), "id")
+        text, _ = ranking.compress(F.col("text"))
+        return best.join(kept, ["query_id", "id"], "left_semi").select("query_id", "rn", "id", "source", text.alias("text"), word_tokens(F.col("text")).alias("n_words"))
 
     def architecture(self, queries: DataFrame, k: int = 6) -> DataFrame:
         keep = self.chunks.where(F.col("kind") == "summary").select("id")
-        return retrieval.hybrid(self._queries(queries), self.vectors, self.posts, keep, k=k)
+        return retrieval.hybrid(self._queries(queries), self.vectors, self.corpus, keep, k=k)
 
     def agent_docs(self, queries: DataFrame, k: int = 8) -> DataFrame:
         """Redacted document chunks packed to 4000 tokens."""
-        hits = retrieval.hybrid(self._queries(queries), self.vectors, self.posts, self.chunks.where(F.col("kind") == "doc").select("id"), k=k).drop("rn").join(self.chunks.select("id", "text"), "id")
+        hits = retrieval.hybrid(self._queries(queries), self.vectors, self.corpus, self.chunks.where(F.col("kind") == "doc").select("id"), k=k).drop("rn").join(self.chunks.select("id", "text"), "id")
         text, risk = chunking.redact(F.col("text"))
         return ranking.pack(hits.withColumn("risk", risk).where("risk <= 0.8").withColumn("text", text), F.lit(16000)).select("query_id", "rn", "id", "text", "risk")
 
@@ -109,7 +131,7 @@ class Engine:
 
     def change_impact(self, names: DataFrame) -> DataFrame:
         """Score and risk of changed names (seed)."""
-        return graph.impact(graph.nearest(graph.walk(names, self.edges, 3, reverse=True), 50), graph.nearest(graph.walk(names, self.edges, 2), 30))
+        return graph.impact(graph.callers(names, self.edges), graph.dependencies(names, self.edges))
 
     def security_scan(self) -> DataFrame:
         return chunking.scan(self.chunks, "id", "text")
@@ -122,6 +144,6 @@ class Engine:
 
     def run_eval(self, cases: DataFrame) -> DataFrame:
         """Mean hit@1, hit@3, hit@5 and MRR of cases (query_id, text, expected)."""
-        hits = retrieval.hybrid(self._queries(cases), self.vectors, self.posts, k=5).join(self.chunks.select("id", F.col("source").alias("path")), "id")
+        hits = retrieval.hybrid(self._queries(cases), self.vectors, self.corpus, k=5).join(self.chunks.select("id", F.col("source").alias("path")), "id")
         e = ranking.evaluate(cases.select("query_id", "expected"), hits)
         return e.agg(*[F.round(F.avg(c), 6).alias(c) for c in ("hit1", "hit3", "hit5", "mrr")], F.count("*").alias("cases"))

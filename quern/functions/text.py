@@ -57,3 +57,14 @@ def extension(path: Column) -> Column:
 
 def basename(path: Column) -> Column:
     return F.element_at(F.split(F.translate(path, "\\", "/"), "/"), -1)
+
+
+def collection_name(path: Column, lower: bool = True) -> Column:
+    """The collection of a project: the last part of its path, spaces as underscores."""
+    name = F.replace(basename(F.rtrim(F.translate(path, "\\", "/"), F.lit("/"))), F.lit(" "), F.lit("_"))
+    return F.lower(name) if lower else name
+
+
+def hit_key(file: Column, name: Column, lines: Column) -> Column:
+    """What a hit is known by when lists of hits are merged."""
+    return F.sha2(F.concat_ws(":", file, name, lines), 256)

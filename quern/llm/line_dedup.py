@@ -29,9 +29,11 @@ from pyspark.sql.types import LongType, StructField, StructType
 from quern.llm import kernel as K
 from quern.llm.components import components
 from quern.llm.similar import Sets, band_edges, bucket_count, classes, packed_stars, verified
-from quern.llm.tables import parquet, small_batches, small_side, spread_join, stage
+from quern.llm.tables import parquet, small_batches, spread_join, stage
 
 K_CHARS, THRESHOLD, RECALL, ROWS = 9, 0.8, 0.99, 5
+#: Keys of lines (16 bytes each) that are broadcast at most; rows of decided lines that are.
+SPOTS, SMALL = 400_000, 10_000
 #: Stands for a null id.
 LAST = (1 << 63) - 1
 _N = 1 << 17
@@ -196,6 +198,10 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return rows.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("node", F.xxhash64("line"))
 
 
+def spot_side(keys: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(keys) if n <= SPOTS else keys
+
+
 def removals(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, hash (of the text), place (from 0), node, comp of every line to remove."""
     base = docs.select(_key(id_col).alias("doc"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
@@ -207,15 +213,19 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text: str = "text", thresh
     buckets = bucket_count(docs.sparkSession, nodes.count() * layout(threshold)[0])
     comps = components(band_edges(candidate_bands(base.select("text"), buckets, threshold), buckets))
     chosen = stage(comps.join(nodes, "node").select("comp", F.col("node").alias("_node"), *[F.col(f"first.{c}").alias(f"_{c}") for c in ("doc", "place", "hash")]), "chosen")
+    # a key of the place alone tells which lines are wanted; of these few the place itself then decides
+    spot = lambda prefix="": F.xxhash64(*[F.col(f"{prefix}{c}") for c in ("node", "doc", "place", "hash")])
+    keys = chosen.select(spot("_").alias("_spot")).distinct()
+    few = lines.withColumn("_spot", spot()).join(spot_side(keys, chosen.count()), "_spot", "left_semi")
     first = [F.col(c) == F.col(f"_{c}") for c in ("node", "doc", "place", "hash")]
-    text_of = lines.join(small_side(chosen), first).select("comp", "node", F.lit(1).cast("long").alias("weight"), F.col("line").alias("text"))
+    text_of = few.join(chosen, first).select("comp", "node", F.lit(1).cast("long").alias("weight"), F.col("line").alias("text"))
     found = classes(verified(text_of, Sets(line_sets, as_text=True), threshold))
     linked = found.join(nodes, "node").select("node", "comp", "first")
     keepers = linked.groupBy("comp").agg(F.min("first").alias("keeper"))
     fuzzy = linked.join(keepers, "comp").select("node", "comp", "keeper")
     copies = nodes.where("n > 1").join(found.select("node"), "node", "left_anti").select("node", F.col("node").alias("comp"), F.col("first").alias("keeper"))
     decided = stage(fuzzy.union(copies), "decided")
-    gone = spread_join(spots, decided, "node", frequent=nodes).where(here != F.col("keeper"))
+    gone = spread_join(spots, decided, "node", small=SMALL, frequent=nodes).where(here != F.col("keeper"))
     return gone.select(F.when(F.col("doc") != LAST, F.col("doc")).alias("doc_id"), "hash", "place", "node", "comp")
 
 

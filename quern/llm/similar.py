@@ -26,9 +26,13 @@ from quern.llm.tables import arrow_map, arrow_schema, runs, small_batches, small
 FLUSH, BUCKET = 600_000, 1_000_000
 #: Most partitions of the exchange by bucket; a task works through its buckets one after the other.
 PARTITIONS = 20_000
-#: Nodes and items (elements of their sets) of a component that is verified in one go; the least blocks that a larger one is cut
-#: into, so that its units spread over many tasks; and most nodes of a block.
-UNIT_ROWS, UNIT_ITEMS, BLOCKS, BLOCK_ROWS = 128, 500_000, 32, 1024
+#: Nodes and characters of a component that is verified in one go, and rows whose sets are made at once.
+UNIT_ROWS, UNIT_CHARS, ROWS_AT_ONCE = 64, 100_000, 512
+#: Least items (elements of sets) of a block.
+UNIT_ITEMS = 20_000
+#: Blocks that a larger component is cut into about, so that its units spread over many tasks; most nodes and items of a block.
+BLOCKS, BLOCK_ROWS, BLOCK_ITEMS = 32, 1024, 500_000
+
 
 _PACKED = pa.schema([("bucket", pa.int32()), ("edges", pa.bool_()), ("a", pa.binary()), ("b", pa.binary())])
 
@@ -118,6 +122,10 @@ def links(left: list[np.ndarray], right: list[np.ndarray] | None, threshold: flo
     size = np.array([len(s) for s in sets], np.int64)
     n, cut = len(sets), len(left)
     none = np.zeros(0, np.int64)
+    if n == 2:
+        k = len(np.intersect1d(*sets, assume_unique=True))
+        hit = np.array([0] if k and k >= threshold * (size.sum() - k) - 1e-6 else [], np.int64)
+        return hit, hit + (right is None)
     if n < 2 or not size.sum():
         return none, none
     item, owner = np.concatenate(sets), np.repeat(np.arange(n), size)
@@ -186,6 +194,15 @@ def verified(members: DataFrame, sets: Sets, threshold: float) -> DataFrame:
 
     links: weights of the similar nodes that the unit found; root: the least node that it is joined to in the unit.
     """
+    members = stage(members.select("comp", "node", "weight", "text"), "members")
+    # rows of one node are equal; a component of one node has no pairs
+    need = members.groupBy("comp").agg(F.count("*").alias("n"), F.sum(F.length("text").cast("long")).alias("chars"))
+    large = stage(need.where((F.col("n") > UNIT_ROWS) | (F.col("chars") > UNIT_CHARS)).select("comp"), "large")
+    n_large = large.count()
+    if not n_large:
+        return _whole(members, sets, threshold)
+    side = small_side(large, n_large)
+    small = _whole(members.join(side, "comp", "left_anti"), sets, threshold)
     # sizes whose quotient reaches the threshold are in the same class or in neighbouring ones
     width = -np.log(threshold) * (1 + 1e-9)
 
@@ -193,31 +210,42 @@ def verified(members: DataFrame, sets: Sets, threshold: float) -> DataFrame:
         payload, size = sets.encode(batch.column(3).cast(pa.string()))
         return {"comp": batch.column(0), "node": batch.column(1), "weight": batch.column(2), "size": size, "payload": payload}
 
-    coded = stage(arrow_map(members.select("comp", "node", "weight", "text"), encode, "comp long, node long, weight long, size int, payload binary"), "members")
-    # rows of one node are equal; a component of one node has no pairs
-    need = coded.groupBy("comp").agg(F.count("*").alias("n"), F.sum(F.col("size").cast("long")).alias("items"))
-    large = stage(need.where((F.col("n") > UNIT_ROWS) | (F.col("items") > UNIT_ITEMS)).select("comp"), "large")
-    n_large = large.count()
-    if not n_large:
-        return _whole(coded, sets, threshold)
-    side = small_side(large, n_large)
-    small = _whole(coded.join(side, "comp", "left_anti"), sets, threshold)
-    classed = coded.join(side, "comp", "left_semi").withColumn("cls", F.floor(F.log(F.greatest("size", F.lit(1))) / F.lit(float(width))).cast("int"))
+    coded = arrow_map(members.join(side, "comp", "left_semi").select("comp", "node", "weight", "text"), encode, "comp long, node long, weight long, size int, payload binary")
+    classed = coded.withColumn("cls", F.floor(F.log(F.greatest("size", F.lit(1))) / F.lit(float(width))).cast("int"))
     return small.unionByName(_by_blocks(stage(classed, "classed"), sets, threshold))
 
 
-def _whole(coded: DataFrame, sets: Sets, threshold: float) -> DataFrame:
-    """``verified`` of components that are one unit each."""
+def _whole(members: DataFrame, sets: Sets, threshold: float) -> DataFrame:
+    """``verified`` of components that are one unit each; sets are made for many components at once."""
+
+    def verify(units: list[list[tuple]]) -> Iterator[pa.RecordBatch]:
+        made = sets.of(pa.array([r[3] for u in units for r in u], pa.string()))
+        at, out = 0, []
+        for unit in units:
+            own = made[at : at + len(unit)]
+            at += len(unit)
+            i, j = links(own, None, threshold)
+            if len(i):
+                out.append(_rows_of(np.array([r[1] for r in unit]), np.array([r[2] for r in unit]), i, j))
+        if out:
+            yield pa.Table.from_batches(out).combine_chunks().to_batches()[0]
 
     def run(batches):
+        held: list[list[tuple]] = []
+        n = size = 0
         for rows in runs(batches):
             unit = sorted({r[1]: r for r in rows}.values(), key=lambda r: r[1])
-            i, j = links(sets.decode([r[3] for r in unit]), None, threshold)
-            if len(i):
-                yield _rows_of(np.array([r[1] for r in unit]), np.array([r[2] for r in unit]), i, j)
-
-    small_batches(coded.sparkSession)
-    rows = coded.select("comp", "node", "weight", "payload").repartition("comp").sortWithinPartitions("comp")
+            if len(unit) > 1:
+                held.append(unit)
+                n, size = n + len(unit), size + sum(len(r[3]) for r in unit)
+            if n >= ROWS_AT_ONCE or size >= UNIT_CHARS:
+                yield from verify(held)
+                held, n, size = [], 0, 0
+        if held:
+            yield from verify(held)
+
+    small_batches(members.sparkSession)
+    rows = members.repartition("comp").sortWithinPartitions("comp")
     return rows.mapInArrow(run, "node long, links long, root long")
 
 
@@ -227,11 +255,12 @@ _BLOCK = "comp long, cls int, block int, node binary, weight binary, size binary
 def _by_blocks(classed: DataFrame, sets: Sets, threshold: float) -> DataFrame:
     """``verified`` of large components, block against block."""
     spark = classed.sparkSession
-    totals = classed.groupBy("comp").agg(F.count("*").alias("total"))
+    totals = classed.groupBy("comp").agg(F.count("*").alias("total"), F.sum(F.col("size").cast("long")).alias("all_items"))
     per_class = classed.groupBy("comp", "cls").agg(F.count("*").alias("n"), F.sum(F.col("size").cast("long")).alias("items")).join(totals, "comp")
     # about BLOCKS blocks a component, more where blocks would hold too many nodes or items
     rows = F.greatest(F.lit(UNIT_ROWS // 2), F.least(F.lit(BLOCK_ROWS), F.ceil(F.col("total") / BLOCKS)))
-    per_class = stage(per_class.select("comp", "cls", F.greatest(F.ceil(F.col("n") / rows), F.ceil(F.col("items") / UNIT_ITEMS), F.lit(1)).cast("int").alias("blocks")), "classes")
+    items = F.greatest(F.lit(UNIT_ITEMS // 2), F.least(F.lit(BLOCK_ITEMS), F.ceil(F.col("all_items") / BLOCKS)))
+    per_class = stage(per_class.select("comp", "cls", F.greatest(F.ceil(F.col("n") / rows), F.ceil(F.col("items") / items), F.lit(1)).cast("int").alias("blocks")), "classes")
     n = per_class.count()
     placed = classed.join(small_side(per_class, n), ["comp", "cls"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     want = arrow_schema(_BLOCK)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quern.functions import fixed
-from quern.functions.text import basename, contains_any, extension, ladder
+from quern.functions.text import basename, contains_any, extension, ladder, lookup
 
 
 def lines(docs: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -40,29 +40,65 @@ def sections(docs: DataFrame, id_col: str = "id", text: str = "text") -> DataFra
 
 
 def blocks(docs: DataFrame, id_col: str = "id", text: str = "text") -> DataFrame:
-    """id, block, kind, body: fences and runs of table lines stay whole, other lines form paragraphs ended by blank lines."""
+    """id, block, kind, body: fences and runs of table lines stay whole; a paragraph runs up to the next blank line, which begins
+    the next paragraph. Blank paragraphs are left out."""
     w = Window.partitionBy("id").orderBy("at")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     rows = lines(docs, id_col, text).withColumn("fence", F.col("line").rlike(r"^\s*```").cast("int"))
-    rows = rows.withColumn("closed", F.sum("fence").over(upto)).withColumn("inside", ((F.col("closed") - F.col("fence")) % 2 == 1) | (F.col("fence") == 1))
-    kind = ladder([(F.col("inside"), "fence"), (F.trim("line") == "", "blank"), (F.ltrim("line").startswith("|"), "table")], "paragraph")
-    rows = rows.withColumn("kind", kind).withColumn("fence_no", F.when(F.col("inside"), F.floor((F.col("closed") + 1 - F.col("fence") * F.when(F.col("closed") % 2 == 0, 1).otherwise(0)) / 2)))
-    start = (F.col("kind") != F.lag("kind").over(w)) | F.lag("kind").over(w).isNull() | ((F.col("kind") == "fence") & (F.col("fence_no") != F.lag("fence_no").over(w)))
-    rows = rows.withColumn("block", F.sum(start.cast("int")).over(upto)).where("kind <> 'blank'")
+    rows = rows.withColumn("closed", F.sum("fence").over(upto))
+    inside = ((F.col("closed") - F.col("fence")) % 2 == 1) | (F.col("fence") == 1)
+    rows = rows.withColumn("kind", ladder([(inside, "fence"), (F.col("line").startswith("|"), "table")], "paragraph"))
+    opens = (F.col("fence") == 1) & (F.col("closed") % 2 == 1)
+    other = F.coalesce(F.lag("kind").over(w) != F.col("kind"), F.lit(True))
+    start = F.when(F.col("kind") == "fence", opens).otherwise(other | ((F.col("kind") == "paragraph") & (F.trim("line") == "")))
+    rows = rows.withColumn("block", F.sum(start.cast("int")).over(upto))
     body = F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"])
-    return rows.groupBy("id", "block", "kind").agg(F.array_join(body, "\n").alias("body"))
+    return rows.groupBy("id", "block", "kind").agg(F.array_join(body, "\n").alias("body")).where(F.trim(F.replace("body", F.lit("\n"), F.lit(" "))) != "")
 
 
 def pack_lengths(lengths: Column, limit: int = 3200, separator: int = 2) -> Column:
-    """Chunk number of each block by greedy packing of an array of lengths; a block over the limit stands alone."""
+    """Chunk number of each block by greedy packing of an array of lengths, each counted with its separator.
+
+    A block over the limit stands alone; the first block of a chunk that a full one was closed for counts without separator.
+    """
     none = F.array().cast("array<int>")
 
     def step(acc: Column, n: Column) -> Column:
-        fits = (acc["used"] > 0) & (acc["used"] + separator + n <= limit)
-        chunk = F.when(fits | (acc["used"] == 0), acc["chunk"]).otherwise(acc["chunk"] + 1)
-        return F.struct(chunk.alias("chunk"), F.when(fits, acc["used"] + separator + n).otherwise(n).alias("used"), F.array_append(acc["out"], chunk).alias("out"))
+        over = n > limit
+        fits = ~over & (acc["used"] + n + separator <= limit)
+        out = F.when(fits, acc["chunk"]).otherwise(acc["chunk"] + acc["open"])
+        used = F.when(over, 0).when(fits, acc["used"] + n + separator).otherwise(n)
+        return F.struct(F.when(over, out + 1).otherwise(out).alias("chunk"), F.when(over, 0).otherwise(1).alias("open"), used.alias("used"), F.array_append(acc["out"], out).alias("out"))
+
+    return F.aggregate(lengths, F.struct(F.lit(0).alias("chunk"), F.lit(0).alias("open"), F.lit(0).alias("used"), none.alias("out")), step, lambda a: a["out"])
 
-    return F.aggregate(lengths, F.struct(F.lit(0).alias("chunk"), F.lit(0).alias("used"), none.alias("out")), step, lambda a: a["out"])
+
+def split_sections(sections_: DataFrame, limit: int = 3200) -> DataFrame:
+    """id, section, part, text of sections (id, section, body): whole up to ``limit`` characters, else their blocks packed.
+
+    An oversized table is split into parts with its header repeated, which stay one block. Empty sections are left out.
+    """
+    rows = sections_.select("id", "section", F.regexp_replace("body", r"\A\s+|\s+\z", "").alias("body")).where("body <> ''")
+    short = rows.where(F.length("body") <= limit).select("id", "section", F.lit(0).alias("part"), F.col("body").alias("text"))
+    long = rows.where(F.length("body") > limit).select(F.struct("id", "section").alias("id"), F.col("body").alias("text"))
+    b = blocks(long)
+    big = (F.col("kind") == "table") & (F.length("body") > limit)
+    # only oversized tables go to Python
+    tables = b.where(big).withColumn("body", F.array_join(split_table(F.col("body"), limit), "\n\n"))
+    b = b.where(~big).unionByName(tables)
+    whole = b.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("block", "body"))), lambda x: x["body"]).alias("bodies"))
+    numbered = whole.withColumn("chunk", pack_lengths(F.transform("bodies", lambda x: F.length(x)), limit))
+    parts = numbered.select("id", F.posexplode(F.arrays_zip("bodies", "chunk")).alias("at", "x")).select("id", "at", "x.bodies", "x.chunk")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "bodies"))), lambda x: x["bodies"]), "\n\n")
+    out = parts.groupBy("id", "chunk").agg(F.regexp_replace(text, r"\A\s+|\s+\z", "").alias("text")).where("text <> ''")
+    return short.unionByName(out.select("id.id", "id.section", F.col("chunk").alias("part"), "text"))
+
+
+def ranked_findings(findings: DataFrame, limit: int = 50) -> DataFrame:
+    """The first findings by severity, then file and line, with their rank."""
+    order = [lookup(F.col("severity"), fixed.SEVERITY, 3), F.col("id"), F.col("line_no"), F.col("rule")]
+    # the sorted top only; the rank is over these few rows
+    return findings.orderBy(*order).limit(limit).withColumn("rn", F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
 def split_rows(rows: list[str], limit: int) -> list[list[str]]:
@@ -152,9 +188,9 @@ def roles(name: Column, code: Column, path: Column) -> dict[str, Column]:
 def config_keys(code: Column, language: Column) -> Column:
     """Names of environment variables and settings that a piece of code reads, each once, sorted."""
     all_of = lambda *ps: F.concat(*[F.regexp_extract_all(code, F.lit(p), F.lit(1)) for p in ps])
-    py = all_of(r"os\.getenv\([\"'](.*?)[\"']\)", r"os\.environ\[[\"'](.*?)[\"']\]")
-    ts = all_of(r"process\.env\.([a-zA-Z0-9_]+)", r"process\.env\[[\"'](.*?)[\"']\]")
-    cs = all_of(r"Configuration\[[\"'](.*?)[\"']\]", r"Environment\.GetEnvironmentVariable\([\"'](.*?)[\"']\)")
+    py = all_of(*fixed.PYTHON_ENV)
+    ts = all_of(*fixed.TYPESCRIPT_ENV)
+    cs = all_of(*fixed.CSHARP_ENV)
     return F.array_sort(F.array_distinct(F.when(language == "python", py).when(language == "typescript", ts).when(language == "csharp", cs).otherwise(F.array().cast("array<string>"))))
 
 

@@ -1,16 +1,20 @@
 """Upserts, tombstones, incremental sync, key-value state, filters and joins on whole tables.
 
-Each change is a plan from old state and input to new state; ``quern.sources.tables.replace`` writes it atomically.
+Each change is a plan from old state and input to new state; ``quern.sources.tables.replace`` makes it the table's current version.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quern.functions.text import ladder, lookup
-from quern.operators.retrieval import dense
+from quern.operators.retrieval import blocks_of
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str | list[str]) -> DataFrame:
@@ -70,15 +74,32 @@ def normalise_paths(paths: DataFrame, listing: DataFrame, extensions: list[str],
     return rows.join(listing.select("path", F.lit(True).alias("_there")).distinct(), "path", "left").select("path", "at", (good & F.coalesce("_there", F.lit(False))).alias("accepted"))
 
 
-def clones(vectors: DataFrame, threshold: float, limit: int = 50) -> DataFrame:
+def clones(vectors: DataFrame, threshold: float, limit: int = 50, block: int = 2048) -> DataFrame:
     """The most similar pairs (a < b) of vectors (id, vec) at or over the threshold.
 
-    Only the ``limit`` best pairs are asked for, and each of them is among the best ``limit`` + 1 of either end, so the block
-    search of ``dense`` with that k is exact.
+    Blocks of vectors meet on the executors, each pair of blocks in one task, which sends on its ``limit`` best pairs. Since
+    only that many are asked for, the result is exact. Equal ids are one vector.
     """
-    queries = vectors.select(F.col("id").alias("query_id"), "vec")
-    found = dense(queries, vectors, limit + 1, threshold).where("query_id < id")
-    return found.select(F.col("query_id").alias("a"), F.col("id").alias("b"), "score").orderBy(F.desc("score"), "a", "b").limit(limit)
+    count = max(1, -(-vectors.count() // block))
+    packed = blocks_of(vectors.dropDuplicates(["id"]), "id", count, "v")
+    other = packed.select(F.col("v").alias("w"), F.col("ids").alias("ids2"), F.col("data").alias("data2"))
+    pairs = packed.withColumn("w", F.explode(F.sequence(F.col("v"), F.lit(count - 1)))).join(other, "w").select("v", "w", "ids", "data", "ids2", "data2")
+
+    def unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for v, w, ids, data, ids2, data2 in zip(*(c.to_pylist() for c in b.columns)):
+                a, x = (np.frombuffer(ids, np.int64), np.frombuffer(data, np.float64).reshape(-1, len(data) // len(ids)))
+                c, y = (np.frombuffer(ids2, np.int64), np.frombuffer(data2, np.float64).reshape(-1, len(data2) // len(ids2)))
+                unit_rows = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+                s = np.round(unit_rows(x) @ unit_rows(y).T, 6) + 0.0
+                if v == w:
+                    s[np.tril_indices(len(s))] = -2
+                i, j = np.nonzero(s >= threshold)
+                low, high, score = np.minimum(a[i], c[j]), np.maximum(a[i], c[j]), s[i, j]
+                best = np.lexsort((high, low, -score))[:limit]
+                yield pa.RecordBatch.from_arrays([pa.array(low[best]), pa.array(high[best]), pa.array(score[best])], names=["a", "b", "score"])
+
+    return pairs.mapInArrow(unit, "a long, b long, score double").orderBy(F.desc("score"), "a", "b").limit(limit)
 
 
 STATUS_ALIASES = {"open": "active", "running": "active", "in_progress": "active", "finished": "done", "completed": "done", "todo": "planned"}

@@ -13,10 +13,14 @@ from quern.functions import fixed
 from quern.functions.text import ladder
 
 
-def walk(seeds: DataFrame, edges: DataFrame, hops: int, reverse: bool = False) -> DataFrame:
-    """(seed, node, distance): nodes reached from each seed (column ``seed``) in 1..hops steps, at their least distance."""
-    step = edges.select(F.col("dst" if reverse else "src").alias("_from"), F.col("src" if reverse else "dst").alias("node")).distinct()
-    at = seeds.select("seed", F.col("seed").alias("node"))
+def walk(seeds: DataFrame, edges: DataFrame, hops: int, reverse: bool = False, types: list[str] | None = None) -> DataFrame:
+    """(seed, node, distance): nodes reached from each seed in 1..hops steps along edges of ``types``, at their least distance.
+
+    ``seeds``: (seed), a node that starts its own walk, or (seed, node), several start nodes under one name.
+    """
+    some = edges if types is None else edges.where(F.col("rel").isin(types))
+    step = some.select(F.col("dst" if reverse else "src").alias("_from"), F.col("src" if reverse else "dst").alias("node")).distinct()
+    at = seeds.select("seed", F.col("node" if "node" in seeds.columns else "seed").alias("node"))
     found = None
     for d in range(1, hops + 1):
         at = at.withColumnRenamed("node", "_from").join(step, "_from").select("seed", "node").distinct()
@@ -25,6 +29,16 @@ def walk(seeds: DataFrame, edges: DataFrame, hops: int, reverse: bool = False) -
     return found.groupBy("seed", "node").agg(F.min("distance").alias("distance"))
 
 
+def callers(seeds: DataFrame, edges: DataFrame, limit: int = 50) -> DataFrame:
+    """The nearest nodes that reach a seed within three steps."""
+    return nearest(walk(seeds, edges, 3, reverse=True, types=fixed.CALLER_TYPES), limit)
+
+
+def dependencies(seeds: DataFrame, edges: DataFrame, limit: int = 30) -> DataFrame:
+    """The nearest nodes that a seed reaches within two steps."""
+    return nearest(walk(seeds, edges, 2, types=fixed.DEPENDENCY_TYPES), limit)
+
+
 def nearest(found: DataFrame, limit: int) -> DataFrame:
     """The ``limit`` nearest nodes of each seed, by distance, then name."""
     w = Window.partitionBy("seed").orderBy("distance", "node")
@@ -33,7 +47,7 @@ def nearest(found: DataFrame, limit: int) -> DataFrame:
 
 def expand(seeds: DataFrame, edges: DataFrame, hops: int = 3, limit: int = 15) -> DataFrame:
     """Names around each seed, the seed itself included at distance 0."""
-    reached = nearest(walk(seeds, edges, hops).where(F.col("node") != F.col("seed")), limit).select("seed", "node", "distance")
+    reached = nearest(walk(seeds, edges, hops, types=fixed.EXPAND_TYPES).where(F.col("node") != F.col("seed")), limit).select("seed", "node", "distance")
     return reached.union(seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("distance")))
 
 
@@ -46,11 +60,39 @@ def degree(edges: DataFrame) -> DataFrame:
 
 
 def communities(edges: DataFrame, limit: int = 10) -> DataFrame:
-    """Nodes with more than one different neighbour in either direction, the largest neighbourhoods first."""
-    both = edges.select(F.col("src").alias("node"), F.col("dst").alias("other")).union(edges.select(F.col("dst"), F.col("src"))).where("node <> other").distinct()
+    """Nodes with more than one different neighbour by a call or dependency in either direction, the largest neighbourhoods first."""
+    some = edges.where(F.col("rel").isin(fixed.COMMUNITY_TYPES))
+    both = some.select(F.col("src").alias("node"), F.col("dst").alias("other")).union(some.select(F.col("dst"), F.col("src"))).where("node <> other").distinct()
     return both.groupBy("node").agg(F.count("*").alias("size")).where("size > 1").orderBy(F.desc("size"), "node").limit(limit)
 
 
+def entities(nodes: DataFrame, files: DataFrame) -> DataFrame:
+    """seed (the file), node, label, kind: the nodes of each file, and the module that has its name.
+
+    ``nodes``: name, label, file_path, kind; ``files``: path.
+    """
+    by_path = nodes.join(files, F.col("file_path") == F.col("path"))
+    by_name = nodes.where((F.col("label") == "Module") & (F.col("file_path").isNull() | (F.col("file_path") != F.col("name")))).join(files, F.col("name") == F.col("path"))
+    return by_path.unionByName(by_name).select(F.col("path").alias("seed"), F.col("name").alias("node"), "label", "kind")
+
+
+def change_report(files: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """seed (file), n_entities, n_callers, n_dependencies, score, risk and the files of the callers, for changed files.
+
+    Callers and dependencies are those of all entities of a file together, as many as the traces show.
+    """
+    of = entities(nodes, files)
+    seeds = of.select("seed", "node").distinct()
+    up, down = callers(seeds, edges), dependencies(seeds, edges)
+    n = lambda df, name: df.groupBy("seed").agg(F.count("*").alias(name))
+    where = nodes.where("file_path is not null").select(F.col("name").alias("node"), "file_path").distinct()
+    hit = up.join(where, "node").groupBy("seed").agg(F.array_join(F.array_sort(F.collect_set("file_path")), "|").alias("affected"))
+    out = files.select(F.col("path").alias("seed")).distinct().join(n(of, "n_entities"), "seed", "left").join(n(up, "n_callers"), "seed", "left").join(n(down, "n_dependencies"), "seed", "left")
+    out = out.join(impact(up, down), "seed", "left").join(hit, "seed", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return out.select("seed", zero("n_entities"), zero("n_callers"), zero("n_dependencies"), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("risk", F.lit("low")).alias("risk"), F.coalesce("affected", F.lit("")).alias("affected"))
+
+
 def impact(callers: DataFrame, dependencies: DataFrame) -> DataFrame:
     """Score of each seed: sum of 1 / distance over callers plus 0.2 / distance over dependencies; 2 places; risk text."""
     part = lambda df, w: df.select("seed", (F.lit(w) / F.col("distance")).alias("x"))

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import ast
+import shlex
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quern.functions.text import ladder
+from quern.functions import fixed
+from quern.functions.text import ladder, lookup
+from quern.operators import retrieval
+from quern.operators.aggregates import folded
 
 LAYERS = {"architecture_decision": "decision", "architectural_decision": "decision", "general": "episodic", "episodic": "episodic", "semantic": "semantic", "decision": "decision"}
 
@@ -38,12 +42,51 @@ def prune(memories: DataFrame, as_of: Column) -> DataFrame:
     return memories.withColumn("status", F.when(over, "expired").otherwise(F.col("status")))
 
 
-def compact(memories: DataFrame, by: str, order: list[str], merge: int = 5) -> DataFrame:
-    """The first ``merge`` active entries of each group merged into a semantic record (content joined); their number is kept."""
-    w = Window.partitionBy(by).orderBy(*order)
-    first = memories.where("status = 'active'").withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= merge)
+def search(queries: DataFrame, memories: DataFrame, k: int = 5, kind: str | None = None, layer_: str | None = None, collection: str | None = None, include_invalid: bool = False, vectors: DataFrame | None = None) -> DataFrame:
+    """query_id, id, score, rn: the k best memories (id, content, ...) for each query, restricted before any ranking.
+
+    Only active entries count unless ``include_invalid``; a layer (given, or that of a known ``kind``) goes before a kind. With
+    ``vectors`` (id, vec) the ranking is hybrid, else sparse.
+    """
+    rows = memories if include_invalid else memories.where("status = 'active'")
+    layer_ = layer_ or LAYERS.get(kind or "")
+    if layer_:
+        rows = rows.where(F.col("layer") == layer_)
+    elif kind:
+        rows = rows.where(F.col("memory_type") == kind)
+    if collection is not None:
+        rows = rows.where(F.col("collection") == collection)
+    texts = rows.select("id", F.col("content").alias("text"))
+    if vectors is None:
+        return retrieval.bm25(queries, texts, k)
+    return retrieval.hybrid(queries, vectors.join(texts.select("id"), "id", "left_semi"), texts, k=k)
+
+
+def patches(queries: DataFrame, memories: DataFrame, collection: str | None = None, limit: int = 3) -> DataFrame:
+    """The patches most like each goal, as records: query_id, rn, task_id, goal, task_type, language, patch, tier."""
+    hits = search(queries, memories, limit, kind="code_patch", collection=collection)
+    part = lambda c, default: F.coalesce(F.col(c).cast("string"), F.lit(default)) if c in memories.columns else F.lit(default)
+    tier = F.replace(part("provenance", ""), F.lit("agent-"), F.lit(""))
+    rec = memories.select("id", part("task_id", "").alias("task_id"), part("name", "").alias("goal"), part("chunk_type", "unknown").alias("task_type"), part("language", "python").alias("language"), F.col("content").alias("patch"), F.when(tier == "", "TIER_CHEAP").otherwise(tier).alias("tier"))
+    return hits.join(rec, "id").drop("id", "score")
+
+
+def compact(queries: DataFrame, memories: DataFrame, merge: int = 5, found: int = 20) -> tuple[DataFrame, DataFrame]:
+    """For each query (query_id, text) the new semantic record of its first ``merge`` of ``found`` hits, and the memories with
+    those that were merged archived. A query with fewer than two hits compacts nothing."""
+    hits = search(queries, memories, found)
+    n = F.count("*").over(Window.partitionBy("query_id"))
+    first = hits.withColumn("_n", n).where((F.col("_n") >= 2) & (F.col("rn") <= merge)).join(memories.select("id", "content"), "id")
     text = F.transform(F.array_sort(F.collect_list(F.struct("rn", "content"))), lambda x: x["content"])
-    return first.groupBy(by).agg(F.array_join(text, "\n").alias("content"), F.count("*").alias("merged"), F.lit("semantic").alias("layer"))
+    new = first.groupBy("query_id").agg(F.array_join(text, "\n").alias("content"), F.count("*").alias("merged"))
+    new = new.join(queries.select("query_id", "text"), "query_id").select("query_id", F.concat(F.lit("Compacted Memory: "), "text").alias("title"), "content", F.lit("semantic").alias("layer"), F.array(F.lit("compacted")).alias("tags"), "merged")
+    gone = first.select("id", F.lit("archived").alias("_s")).distinct()
+    return new, memories.join(gone, "id", "left").withColumn("status", F.coalesce("_s", "status")).drop("_s")
+
+
+def cycle(memories: DataFrame, queries: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
+    """One run of upkeep: expire, then compact what is left. The new records and the old ones with their new states."""
+    return compact(queries, prune(memories, as_of))
 
 
 def facts(memories: DataFrame, id_col: str, content: str) -> DataFrame:
@@ -139,66 +182,149 @@ def untested(chunks: DataFrame, limit: int = 20) -> DataFrame:
     return public.withColumn("_t", F.concat(folder, F.lit("test_"), file, F.lit(".py"))).join(tests, "_t", "left_anti").select("path", "name").distinct().orderBy("path", "name").limit(limit)
 
 
-MARKERS = [(r"\.slnx?$|(^|/)global\.json$", ".NET", "nuget"), (r"(^|/)package\.json$", "Node.js", "npm"), (r"(^|/)angular\.json$", "Angular", None), (r"(^|/)pubspec\.yaml$", "Flutter", "pub"), (r"(^|/)(requirements\.txt|pyproject\.toml)$", "Python", "pip"), (r"(^|/)(docker-compose\.yml|Dockerfile)$", "Docker", None)]
-ENTRY_FILES = ["Program.cs", "main.py", "manage.py", "app.py", "main.ts", "main.dart"]
-
-
 def profile(files: DataFrame, path: str = "path", project: str = "project") -> DataFrame:
     """Frameworks, package managers and entry points of each project by marker files, as sorted text lists."""
-    found = F.array_compact(F.array(*[F.when(F.col(path).rlike(p), F.struct(F.lit(f).alias("f"), F.lit(m).cast("string").alias("m"))) for p, f, m in MARKERS]))
-    entry = F.when(F.element_at(F.split(path, "/"), -1).isin(ENTRY_FILES), F.element_at(F.split(path, "/"), -1))
+    found = F.array_compact(F.array(*[F.when(F.col(path).rlike(p), F.struct(F.lit(f).alias("f"), F.lit(m).cast("string").alias("m"))) for p, f, m in fixed.MARKERS]))
+    entry = F.when(F.element_at(F.split(path, "/"), -1).isin(fixed.ENTRY_FILES), F.element_at(F.split(path, "/"), -1))
     rows = files.select(F.col(project).alias("project"), found.alias("x"), entry.alias("e"))
     text = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), "|")
     each = rows.groupBy("project").agg(F.flatten(F.collect_set("x")).alias("x"), F.collect_set("e").alias("e"), F.count("*").alias("n_files"))
     return each.select("project", text(F.transform("x", lambda s: s["f"])).alias("frameworks"), text(F.filter(F.transform("x", lambda s: s["m"]), lambda m: m.isNotNull())).alias("package_managers"), F.array_join(F.array_sort("e"), "|").alias("entry_points"), "n_files")
 
 
+ROOTS = ["backend/src", "frontend", "src", "apps", "services"]
+
+
+def project_profile(files: DataFrame, path: str = "path", project: str = "project") -> DataFrame:
+    """One row a project: name, collection, languages, frameworks, package managers, module roots (12), entry points, summary.
+
+    Module roots are the folders (three parts deep below the well-known ones, else one) that hold two source files or more, most
+    first; well-known ones that exist go before them.
+    """
+    p = profile(files, path, project)
+    name = F.col(path)
+    end = F.regexp_extract(name, r"(\.[^./]+)$", 1)
+    source = files.where(end.isin(list(fixed.LANGUAGES)) & ~F.arrays_overlap(F.split(name, "/"), F.array(*[F.lit(x) for x in fixed.PROFILE_EXCLUDED])))
+    langs = source.groupBy(F.col(project).alias("project")).agg(F.array_sort(F.collect_set(lookup(end, fixed.LANGUAGES))).alias("languages"), F.count("*").alias("n_source"))
+    parts = F.split(name, "/")
+    deep = F.array_join(F.slice(parts, F.lit(1), F.greatest(F.least(F.lit(3), F.size(parts) - 1), F.lit(1))), "/")
+    root = F.when(F.get(parts, F.lit(0)).isin("backend", "frontend", "src", "apps", "services"), deep).otherwise(F.get(parts, F.lit(0)))
+    counts = source.groupBy(F.col(project).alias("project"), root.alias("root")).agg(F.count("*").alias("n")).where("n >= 2")
+    top = counts.withColumn("k", F.row_number().over(Window.partitionBy("project").orderBy(F.desc("n"), "root"))).where("k <= 12")
+    chosen = top.groupBy("project").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "root"))), lambda x: x["root"]).alias("chosen"))
+    there = files.groupBy(F.col(project).alias("project")).agg(*[F.bool_or(name.startswith(r + "/")).alias(f"_r{i}") for i, r in enumerate(ROOTS)])
+    known = F.array_compact(F.array(*[F.when(F.col(f"_r{i}"), r) for i, r in enumerate(ROOTS)]))
+    j = there.join(p, "project").join(langs, "project", "left").join(chosen, "project", "left")
+    none = F.array().cast("array<string>")
+    chosen_ = F.coalesce("chosen", none)
+    roots = F.slice(F.concat(F.filter(known, lambda r: ~F.array_contains(chosen_, r)), chosen_), 1, 12)
+    listed = lambda c: F.filter(F.split(c, r"\|"), lambda x: x != "")
+    out = j.select(F.col("project").alias("project_name"), F.col("project").alias("collection"), F.col("project").alias("project_path"), F.coalesce("languages", none).alias("languages"), listed("frameworks").alias("frameworks"), listed("package_managers").alias("package_managers"), roots.alias("module_roots"), listed("entry_points").alias("entrypoints"), F.coalesce("n_source", F.lit(0)).alias("n_source"))
+    said = lambda c, default: F.when(F.size(c) > 0, F.array_join(c, ", ")).otherwise(default)
+    summary = F.format_string(fixed.PROFILE_SUMMARY, "project_name", "n_source", said("languages", fixed.UNKNOWN), said("frameworks", fixed.NOT_FOUND), said(F.slice("module_roots", 1, 6), fixed.NONE))
+    return out.withColumn("summary", summary).withColumn("indexed_at", F.lit(0.0))
+
+
+def summary_chunks(profiles: DataFrame) -> DataFrame:
+    """collection, chunk_id, file_path, chunk_type, name, code: a profile, a summary and a chunk for each module root."""
+    said = lambda c: F.when(F.size(c) > 0, F.array_join(c, ", ")).otherwise(fixed.NOT_DETECTED)
+    n, c, m = F.col("project_name"), F.col("collection"), F.col("root")
+    whole = F.format_string(fixed.PROFILE_TEXT, n, c, "project_path", said("languages"), said("frameworks"), said("package_managers"), said("entrypoints"), "summary")
+    roots = F.when(F.size("module_roots") > 0, F.array_join("module_roots", ", ")).otherwise(fixed.NONE)
+    repo, module = F.format_string(fixed.REPO_TEXT, n, roots), F.format_string(fixed.MODULE_TEXT, m, n, c, n)
+
+    def chunk(df: DataFrame, kind: str, place: Column, name: Column, code: Column, *ids: Column) -> DataFrame:
+        return df.select("collection", F.sha2(F.concat_ws("|", c, F.lit(kind), *ids), 256).alias("chunk_id"), F.concat(F.lit("summary://"), c, F.lit("/"), place).alias("file_path"), F.lit(kind).alias("chunk_type"), name.alias("name"), code.alias("code"))
+
+    out = chunk(profiles, "project_profile", F.lit("project_profile"), F.concat(n, F.lit(" Project Profile")), whole)
+    out = out.unionByName(chunk(profiles, "repo_summary", F.lit("repo_summary"), F.concat(n, F.lit(" Repository Summary")), repo))
+    each = profiles.withColumn("root", F.explode("module_roots"))
+    return out.unionByName(chunk(each, "module_summary", F.concat(F.lit("module/"), m), F.concat(m, F.lit(" Module Summary")), module, m))
+
+
+def doc_paths(points: DataFrame) -> DataFrame:
+    """Different paths of the document chunks in an index."""
+    return points.where((F.col("source_type") == "agent_doc") & F.col("relative_path").isNotNull() & (F.col("relative_path") != "")).select(F.col("relative_path").alias("path")).distinct()
+
+
 def verification(files: DataFrame, path: str = "path", project: str = "project") -> DataFrame:
     """Verification profile of each project: dotnet before flutter before node before python."""
     has = lambda p: F.bool_or(F.col(path).rlike(p))
-    return files.groupBy(project).agg(ladder([(has(MARKERS[0][0]), "dotnet"), (has(MARKERS[3][0]), "flutter"), (has(MARKERS[1][0]), "node"), (has(MARKERS[4][0]), "python")], "none").alias("profile"))
-
-
-NODES = ["planner", "retriever", "explainer", "editor", "verifier", "reviewer", "summarizer"]
+    return files.groupBy(project).agg(ladder([(has(fixed.MARKERS[0][0]), "dotnet"), (has(fixed.MARKERS[3][0]), "flutter"), (has(fixed.MARKERS[1][0]), "node"), (has(fixed.MARKERS[4][0]), "python")], "none").alias("profile"))
 
 
 def task_states(events: DataFrame) -> DataFrame:
     """Final state of each task from its step results (task_id, step, ok).
 
-    Steps follow NODES; a failed verifier goes back to the editor up to three times, then the task has FAILED, which is final;
-    a failed reviewer waits for approval, which continues with the summarizer.
+    Steps follow TASK_NODES; a failed verifier goes back to the editor up to three times, then the task has FAILED, which is final;
+    a failed reviewer waits for approval, which continues with the summarizer. Tasks are folded one after the other from sorted
+    partitions, so a task of any length takes no memory.
     """
+    nodes = fixed.TASK_NODES
+    first, editor, last = "PLANNING", nodes.index("editor"), len(nodes) - 1
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        node, status, reflections = 0, "PLANNING", 0
-        for ok in rows.sort_values("step")["ok"]:
-            if status in ("DONE", "FAILED"):
-                break
-            name = NODES[node]
-            if status == "WAITING_APPROVAL":
-                status, node = ("EXECUTING", NODES.index("summarizer")) if ok else ("FAILED", node)
-            elif name == "verifier" and not ok:
-                reflections += 1
-                status, node = ("FAILED", node) if reflections > 3 else ("EXECUTING", NODES.index("editor"))
-            elif name == "reviewer" and not ok:
-                status = "WAITING_APPROVAL"
-            elif not ok:
-                status = "FAILED"
-            elif node == len(NODES) - 1:
-                status = "DONE"
-            else:
-                node, status = node + 1, "EXECUTING"
-        return pd.DataFrame([(rows["task_id"].iloc[0], NODES[node], status, reflections)], columns=["task_id", "node", "status", "reflections"])
-
-    return events.groupBy("task_id").applyInPandas(fold, "task_id long, node string, status string, reflections int")
-
-
-ALLOWED = ["python", "pytest", "git", "npm", "dotnet", "flutter"]
-DANGEROUS = ["rm -rf", "sudo ", "mkfs", ":(){", "shutdown", "curl ", "wget "]
-
-
-def command_allowed(command: Column) -> Column:
-    """Known program, no dangerous part."""
-    low = F.lower(command)
-    bad = F.exists(F.array(*[F.lit(x) for x in DANGEROUS]), lambda k: F.contains(low, k))
-    return F.element_at(F.split(F.trim(low), " "), 1).isin(ALLOWED) & ~bad
+    def step(state: tuple, ok: bool) -> tuple:
+        node, status, reflections = state
+        if status in ("DONE", "FAILED"):
+            return state
+        if status == "WAITING_APPROVAL":
+            return (last, "EXECUTING", reflections) if ok else (node, "FAILED", reflections)
+        if ok:
+            return (node, "DONE", reflections) if node == last else (node + 1, "EXECUTING", reflections)
+        if nodes[node] == "verifier":
+            return (node, "FAILED", reflections + 1) if reflections >= 3 else (editor, "EXECUTING", reflections + 1)
+        return node, "WAITING_APPROVAL" if nodes[node] == "reviewer" else "FAILED", reflections
+
+    return folded(events, ["task_id"], ["step"], ["ok"], (0, first, 0), lambda s, r: step(s, r[0]), lambda s: (nodes[s[0]], s[1], s[2]), "task_id long, node string, status string, reflections int")
+
+
+#: Fixed reasons why a command is not run.
+VERDICTS = ["ok", "dangerous part", "blocked folder", "blocked argument", "bad syntax", "empty", "unknown program", "blocked shell flag"]
+
+
+def command_verdict(command: Column, cwd: Column, programs: dict[str, str] | None = None) -> Column:
+    """Why a command would not be run, or 'ok'.
+
+    The rules in order: dangerous parts anywhere; a blocked name in the folder; blocked arguments; Python code after -c that
+    does not parse; then the program must resolve (``programs``: path by name; absolute paths are themselves) to an allowed
+    path, and a shell must not get code inline. Quoting needs a shell's tokens, hence an Arrow UDF.
+    """
+    known = dict(programs or {"python3": "/usr/bin/python3", "node": "/usr/bin/node", "bash": "/bin/bash"})
+
+    @F.pandas_udf("string")
+    def verdict(commands: pd.Series, folders: pd.Series) -> pd.Series:
+        return pd.Series([_verdict(c, f, known) for c, f in zip(commands, folders)])
+
+    return verdict(command, cwd)
+
+
+def _verdict(command: str | None, folder: str | None, programs: dict[str, str]) -> str:
+    command = command or ""
+    if any(x in command.lower() for x in fixed.DANGEROUS_PARTS):
+        return VERDICTS[1]
+    if folder and any(x in folder for x in fixed.BLOCKED_FOLDERS):
+        return VERDICTS[2]
+    try:
+        parts = shlex.split(command)
+    except ValueError:
+        return VERDICTS[4]
+    if not set(parts[1:]).isdisjoint(fixed.BLOCKED_ARGUMENTS):
+        return VERDICTS[3]
+    if "python" in command.lower() and "-c" in parts[:-1]:
+        try:
+            ast.parse(parts[parts.index("-c") + 1])
+        except SyntaxError:
+            return VERDICTS[4]
+        except ValueError:
+            pass
+    if not parts:
+        return VERDICTS[5]
+    path = parts[0] if parts[0].startswith("/") else programs.get(parts[0])
+    if path not in fixed.ALLOWED_PROGRAMS:
+        return VERDICTS[6]
+    return VERDICTS[7] if path in fixed.SHELLS and parts[1:2] and parts[1] in fixed.BLOCKED_SHELL_FLAGS else VERDICTS[0]
+
+
+def suggest_tests(chunks: DataFrame, path: str, k: int = 5) -> DataFrame:
+    """The first ``k`` untested functions of a file, as context for suggestions."""
+    return untested(chunks.where((F.col("path") == path) | F.col("path").contains("test_")), 10 * k).where(F.col("path") == path).limit(k)

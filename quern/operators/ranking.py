@@ -37,14 +37,34 @@ def min_max(score: str, by: str) -> Column:
     return F.when(high == low, F.when(high > 0, 1.0).otherwise(0.0)).otherwise(F.round((F.col(score) - low) / (high - low), 6))
 
 
+def scaled(df: DataFrame, by: str, score: str = "score") -> DataFrame:
+    """``df`` with its scores min-maxed by group, for groups of any size: the limits are aggregated and joined back."""
+    lim = df.groupBy(F.col(by).alias("_by")).agg(F.min(score).alias("_low"), F.max(score).alias("_high"))
+    low, high = F.col("_low"), F.col("_high")
+    out = F.when(high == low, F.when(high > 0, 1.0).otherwise(0.0)).otherwise(F.round((F.col(score) - low) / (high - low), 6))
+    return df.join(lim, F.col(by).eqNullSafe(F.col("_by"))).withColumn(score, out).drop("_by", "_low", "_high")
+
+
 def blend(a: DataFrame, b: DataFrame, weight: float) -> DataFrame:
     """Two lists (query_id, key, score, text) min-maxed, weighted, summed by key; the longer text stays."""
     weight = min(max(weight, 0.0), 1.0)
-    parts = [x.withColumn("score", min_max("score", "query_id") * w) for x, w in ((a, weight), (b, 1 - weight))]
+    parts = [scaled(x, "query_id").withColumn("score", F.col("score") * w) for x, w in ((a, weight), (b, 1 - weight))]
     both = parts[0].unionByName(parts[1])
     return both.groupBy("query_id", "key").agg(F.round(F.sum("score"), 6).alias("score"), F.max(F.struct(F.length("text"), "text"))["text"].alias("text"))
 
 
+def cosine_pairs(pairs: DataFrame, docs: DataFrame, id_col: str = "id", text: str = "text") -> DataFrame:
+    """a, b, cosine of the term frequencies of each pair (a, b) of documents; 0 where no term is shared."""
+    tf = docs.select(F.col(id_col).alias("_id"), F.explode(tokens(F.col(text))).alias("term")).groupBy("_id", "term").agg(F.count("*").alias("c"))
+    norm = tf.groupBy("_id").agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("n"))
+    side = lambda n: tf.select(F.col("_id").alias(n), "term", F.col("c").alias(f"c{n}"))
+    dot = pairs.select("a", "b").distinct().join(side("a"), "a").join(side("b"), ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("ca") * F.col("cb")).alias("dot"))
+    full = pairs.select("a", "b").distinct().join(dot, ["a", "b"], "left")
+    for n in ("a", "b"):
+        full = full.join(norm.select(F.col("_id").alias(n), F.col("n").alias(f"n{n}")), n, "left")
+    return full.select("a", "b", F.coalesce(F.round(F.col("dot") / (F.col("na") * F.col("nb")), 6), F.lit(0.0)).alias("cosine"))
+
+
 def greedy_dedup(hits: DataFrame, threshold: float = 0.92) -> DataFrame:
     """hits (query_id, rn, id, text) that no kept hit of a better rank resembles: term-frequency cosine over the threshold.
 
@@ -125,15 +145,29 @@ def fall_back(hits: DataFrame, keep: Column, by: str = "query_id") -> DataFrame:
     return hits.withColumn("_some", some).where(keep | (F.col("_some") == 0)).drop("_some")
 
 
+_BLOCK = r'"""[\s\S]*?"""' + r"|'''[\s\S]*?'''"
+
+
 def compress(text: Column, floor: float = 0.6) -> tuple[Column, Column]:
-    """Compressed text and its ratio: licence head off, long doc strings cut, blank lines collapsed, line ends stripped.
+    """Compressed text and its ratio: licence head off, doc strings cut to four lines, blank lines collapsed, line ends stripped.
 
     Texts under 200 characters stay; so do texts that would shrink below ``floor``.
     """
-    head = F.regexp_replace(text, r"(?i)\A\s{0,4}(?:/\*[^*]*(?:license|copyright)[^*]*\*/\n?|(?:(?:#|//)[^\n]*(?:license|copyright)[^\n]*\n)(?:(?:#|//)[^\n]*\n)*|<!--[^\n]*copyright[^\n]*-->\n?)", "")
-    short = F.regexp_replace(head, r"(\"\"\"[^\"\n]*\n[^\"\n]*\n[^\"\n]*\n[^\"\n]*)\n[^\"]*\n[^\"]*\"\"\"", "$1\n    \"\"\"  # ...\n")
+    first20 = F.regexp_extract(text, r"\A(?:[^\n]*(?:\n|\z)){0,20}", 0)
+    # (?d): only \n ends a line
+    head = F.regexp_extract(first20, r"(?dim)\A[\s\S]{0,4}?^" + fixed.LICENSE_HEAD, 0)
+    body = F.substring(text, F.length(head) + 1, F.length(text))
+    # between the doc strings stays as it is; string k stands behind piece k
+    pieces, strings = F.split(body, _BLOCK, -1), F.regexp_extract_all(body, F.lit(_BLOCK), F.lit(0))
+
+    def cut(s: Column) -> Column:
+        lines = F.split(s, "\n", -1)
+        quote = F.when(s.contains('"""'), F.lit('"""')).otherwise(F.lit("'''"))
+        return F.when(F.size(lines) <= 4, s).otherwise(F.concat(F.array_join(F.slice(lines, 1, 4), "\n"), F.lit("\n    "), quote, F.lit(fixed.DOC_STRING_CUT)))
+
+    short = F.array_join(F.zip_with(pieces, F.transform(strings, cut), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     blank = F.regexp_replace(short, r"\n{3,}", "\n\n")
-    lines = F.regexp_replace(blank, r"(?m)[ \t\r\f]+$", "")
+    lines = F.regexp_replace(blank, r"(?dm)[ \t\r\f\x0B]+$", "")
     out = F.regexp_replace(lines, r"\A\s+|\s+\z", "")
     ratio = F.length(out) / F.greatest(F.length(text), F.lit(1))
     keep = (F.length(text) < 200) | (ratio < floor)
@@ -165,7 +199,7 @@ def spec(goal: Column) -> dict[str, Column]:
     """Features of a goal text: type, file references (10), symbols (8), language."""
     files = F.slice(F.array_distinct(F.regexp_extract_all(goal, F.lit(r"\b[\w/.-]+\.(?:py|ts|tsx|js|go|java|rb|rs|cs|cpp|h)\b"), F.lit(0))), 1, 10)
     names = F.concat(F.regexp_extract_all(goal, F.lit(r"\b[A-Z][a-zA-Z0-9]{2,}\b"), F.lit(0)), F.regexp_extract_all(goal, F.lit(r"\b[a-z][a-z0-9_]{2,}\b"), F.lit(0)))
-    stop = F.array(*[F.lit(x) for x in ("görev", "dosya", "proje", "kodda", "bunu", "için", "olan")])
+    stop = F.array(*[F.lit(x) for x in fixed.SYMBOL_STOP])
     symbols = F.slice(F.filter(F.array_distinct(names), lambda x: ~F.array_contains(stop, F.lower(x))), 1, 8)
     low = F.lower(goal)
     by_file = F.get(F.filter(F.transform(files, lambda f: ladder([(f.endswith(".py"), "python"), (f.endswith(".ts") | f.endswith(".tsx"), "typescript"), (f.endswith(".go"), "go"), (f.endswith(".java"), "java"), (f.endswith(".rs"), "rust")], None)), lambda x: x.isNotNull()), F.lit(0))
@@ -183,3 +217,47 @@ def evaluate(cases: DataFrame, hits: DataFrame) -> DataFrame:
     first = cases.join(hits, "query_id", "left").groupBy("query_id").agg(F.min(F.when(right, F.col("rn"))).alias("first"))
     at = lambda k: F.coalesce((F.col("first") <= k).cast("int"), F.lit(0))
     return first.select("query_id", at(1).alias("hit1"), at(3).alias("hit3"), at(5).alias("hit5"), F.round(F.coalesce(1.0 / F.col("first"), F.lit(0.0)), 6).alias("mrr"))
+
+
+def evaluate_ids(expected: DataFrame, hits: DataFrame) -> DataFrame:
+    """``evaluate`` where the expected answers are ids: (query_id, id) joined with hits (query_id, rn, id)."""
+    first = expected.join(hits.select("query_id", "id", "rn"), ["query_id", "id"], "left").groupBy("query_id").agg(F.min("rn").alias("first"))
+    at = lambda k: F.coalesce((F.col("first") <= k).cast("int"), F.lit(0))
+    return first.select("query_id", at(1).alias("hit1"), at(3).alias("hit3"), at(5).alias("hit5"), F.round(F.coalesce(1.0 / F.col("first"), F.lit(0.0)), 6).alias("mrr"))
+
+
+#: Words of the runs by which passages are looked up.
+RUN = 5
+
+
+def holders(passages: DataFrame, docs: DataFrame) -> DataFrame:
+    """passage_id, id: the documents (id, text) that hold a passage (passage_id, text) as a substring.
+
+    A passage's inner words, which the document must hold as whole words, give a run of RUN words (fewer if it has fewer)
+    whose hash is joined with the runs of the documents; the substring test then decides. Passages without inner words are
+    tested against all documents.
+    """
+    words = lambda c: F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " ")
+    p = passages.select("passage_id", F.col("text").alias("passage")).withColumn("w", words(F.col("passage")))
+    p = p.withColumn("n", F.least(F.size("w") - 2, F.lit(RUN))).withColumn("run", F.when(F.col("n") > 0, F.xxhash64(F.slice("w", F.lit(2), F.greatest("n", F.lit(1))))))
+    sizes = [r.n for r in p.where("n > 0").select("n").distinct().collect()]
+    rows = docs.select("id", F.col("text").alias("body"), words(F.col("text")).alias("dw"))
+    out = rows.join(F.broadcast(p.where("n <= 0")), F.col("body").contains(F.col("passage"))).select("passage_id", "id")
+    if sizes:
+
+        def all_runs(n: int) -> Column:
+            starts = F.sequence(F.lit(1), F.greatest(F.size("dw") - n + 1, F.lit(1)))
+            return F.when(F.size("dw") >= n, F.transform(starts, lambda i: F.xxhash64(F.slice("dw", i, F.lit(n))))).otherwise(F.array().cast("array<bigint>"))
+
+        runs = rows.select("id", "body", F.explode(F.array_distinct(F.concat(*map(all_runs, sizes)))).alias("run"))
+        # the document's text travels on only where a run matches; texts of equal runs meet their own passages only
+        hit = runs.join(p.where("n > 0").select("passage_id", "passage", "run"), "run").where(F.col("body").contains(F.col("passage")))
+        out = out.union(hit.select("passage_id", "id"))
+    return out.distinct()
+
+
+def overlap_pairs(hits: DataFrame) -> DataFrame:
+    """query_id, a, b, shared: different terms that two hits (query_id, rn, id, text) of one list share, the better one first."""
+    t = hits.select("query_id", "rn", "id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    a, b = (t.select("query_id", "term", F.col("id").alias(n), F.col("rn").alias(f"r{n}")) for n in "ab")
+    return a.join(b, ["query_id", "term"]).where("ra < rb").groupBy("query_id", "a", "b").agg(F.count("*").alias("shared"))

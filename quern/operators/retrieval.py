@@ -2,10 +2,15 @@
 
 Every operator takes a table of queries and partitions its ranking by query. Scores are rounded to six places before ranks
 are given, and ties go to the smaller id, so results don't depend on the order of sums.
+
+Queries travel in blocks of at most BLOCK. One block goes to the executors as it is, and each batch of the corpus sends on its
+own k best rows a query. More blocks are a table, which meets the corpus' blocks on the executors; nothing but the count of
+queries comes to the driver then.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,8 +21,9 @@ from pyspark.sql.window import Window
 
 from quern.functions import fixed
 from quern.functions.text import contains_any, ladder, matches_any, tokens
+from quern.session import shared_dir
 
-#: Query vectors that one pass over the vectors answers; more queries are answered in further passes.
+#: Queries that go to the executors at once.
 BLOCK = 1024
 
 
@@ -27,49 +33,89 @@ def top_k(df: DataFrame, k: int, by: str = "query_id", score: str = "score", id_
     return df.withColumn(rank, F.row_number().over(w).cast("long")).where(F.col(rank) <= k)
 
 
+_FOUND = "query_id long, id long, score double"
+
+
+def _matrix(rows: list) -> np.ndarray:
+    """Unit rows; a zero vector stays zero."""
+    x = np.array(rows, np.float64)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+
+def _best(scores: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int, threshold: float | None) -> pa.RecordBatch:
+    """The k best of each row of (queries, own) scores, as rows; NaN is no score."""
+    q, v = [], []
+    for i, row in enumerate(scores):
+        there = np.flatnonzero(~np.isnan(row) if threshold is None else row >= threshold)
+        if len(there) > 4 * k:
+            # a few times k by value, then ties by id
+            there = there[row[there] >= np.partition(row[there], -k)[-k]]
+        best = there[np.lexsort((own[there], -row[there]))[:k]]
+        q.append(np.full(len(best), i))
+        v.append(best)
+    q, v = np.concatenate(q or [np.zeros(0, int)]), np.concatenate(v or [np.zeros(0, int)])
+    return pa.RecordBatch.from_arrays([pa.array(queries[q]), pa.array(own[v]), pa.array(scores[q, v])], names=["query_id", "id", "score"])
+
+
+def blocks_of(vectors: DataFrame, id_col: str, count: int, name: str) -> DataFrame:
+    """``name`` (number), ids and data (packed arrays) of ``count`` blocks of (id, vec) by hash of the id."""
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec")).where("vec is not null")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(count)).cast("int"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for b in batches:
+            for block, i, v in zip(*(c.to_pylist() for c in b.columns)):
+                # rows come sorted by block
+                if block not in held:
+                    yield from map(row, held.items())
+                    held.clear()
+                held.setdefault(block, []).append((i, v))
+        yield from map(row, held.items())
+
+    def row(item: tuple[int, list]) -> pa.RecordBatch:
+        block, rows = item
+        return pa.RecordBatch.from_pydict({name: pa.array([block], pa.int32()), "ids": [np.array([r[0] for r in rows], np.int64).tobytes()], "data": [np.array([r[1] for r in rows], np.float64).tobytes()]})
+
+    return rows.select("block", "id", "vec").repartition("block").sortWithinPartitions("block").mapInArrow(pack, f"{name} int, ids binary, data binary")
+
+
+def _unpack(ids: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    ids = np.frombuffer(ids, np.int64)
+    return ids, np.frombuffer(data, np.float64).reshape(len(ids), -1)
+
+
 def dense(queries: DataFrame, vectors: DataFrame, k: int = 20, threshold: float | None = None) -> DataFrame:
     """query_id, id, score, rn: cosine top k of ``vectors`` (id, vec) for ``queries`` (query_id, vec).
 
-    Queries go to the executors in blocks of at most BLOCK vectors; a batch of vectors is scored with one matrix product and
-    sends on only its own k best rows for each query.
+    A batch of vectors is scored with one matrix product and sends on only its own k best rows for each query.
     """
-    schema = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
-    found = None
-    rows = queries.select(F.col("query_id").cast("long"), F.col("vec").cast("array<double>")).orderBy("query_id").toLocalIterator()
-
-    def scan(block: list) -> DataFrame:
-        ids, matrix = np.array([r[0] for r in block]), np.array([r[1] for r in block])
-        matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
+    few = queries.select(F.col("query_id").cast("long"), F.col("vec").cast("array<double>")).where("vec is not null")
+    block = few.orderBy("query_id").limit(BLOCK + 1).collect()
+    if len(block) <= BLOCK:
+        ids, matrix = np.array([r[0] for r in block], np.int64), _matrix([r[1] for r in block]) if block else None
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                if not b.num_rows:
-                    continue
-                x = np.array(b.column(1).to_pylist(), np.float64)
-                norm = np.linalg.norm(x, axis=1)
-                s = np.round((matrix @ x.T) / np.where(norm > 0, norm, 1)[None, :], 6) + 0.0
-                own = b.column(0).to_numpy()
-                q, v = [], []
-                for i, row in enumerate(s):
-                    best = np.lexsort((own, -row))[:k]
-                    if threshold is not None:
-                        best = best[row[best] >= threshold]
-                    q += [i] * len(best)
-                    v += best.tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(own[v]), pa.array(s[q, v])], schema=schema)
-
-        return vectors.select(F.col("id").cast("long"), F.col("vec").cast("array<double>")).where("vec is not null").mapInArrow(run, "query_id long, id long, score double")
-
-    block: list = []
-    for r in rows:
-        block.append(r)
-        if len(block) == BLOCK:
-            part = scan(block)
-            found, block = part if found is None else found.union(part), []
-    if block or found is None:
-        part = scan(block) if block else queries.sparkSession.createDataFrame([], "query_id long, id long, score double")
-        found = part if found is None else found.union(part)
-    return top_k(found, k)
+                if b.num_rows and matrix is not None:
+                    x = _matrix(b.column(1).to_pylist())
+                    yield _best(np.round(matrix @ x.T, 6) + 0.0, ids, b.column(0).to_numpy(), k, threshold)
+
+        rows = vectors.select(F.col("id").cast("long"), F.col("vec").cast("array<double>")).where("vec is not null")
+        return top_k(rows.mapInArrow(run, _FOUND), k)
+    left = blocks_of(few.withColumnRenamed("query_id", "id"), "id", -(-few.count() // BLOCK), "q")
+    count = max(1, -(-vectors.count() // (4 * BLOCK)))
+    right = blocks_of(vectors, "id", count, "v")
+    # each block of queries meets each block of vectors, in a task that its pair of numbers names
+    pairs = left.withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))).select("v", F.col("ids").alias("qi"), F.col("data").alias("qd")).join(right, "v")
+
+    def unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for qi, qd, vi, vd in zip(*(c.to_pylist() for c in b.columns)):
+                (q, x), (own, y) = _unpack(qi, qd), _unpack(vi, vd)
+                yield _best(np.round(_matrix(x) @ _matrix(y).T, 6) + 0.0, q, own, k, threshold)
+
+    return top_k(pairs.select("qi", "qd", "ids", "data").mapInArrow(unit, _FOUND), k)
 
 
 def postings(docs: DataFrame, id_col: str = "id", text: str = "text", terms: DataFrame | None = None) -> DataFrame:
@@ -81,28 +127,99 @@ def postings(docs: DataFrame, id_col: str = "id", text: str = "text", terms: Dat
     return rows.groupBy("id", "doc_len", "term").agg(F.count("*").alias("tf"))
 
 
+class Index:
+    """Stored postings: written once, clustered by term into folders of term hashes, with each term's document count.
+
+    A search reads the folders of its queries' terms only.
+    """
+
+    def __init__(self, docs: DataFrame, id_col: str = "id", text: str = "text", folders: int = 64):
+        spark = docs.sparkSession
+        self.spark, self.folders = spark, folders
+        self.path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/postings-{uuid.uuid4().hex}"
+        folder = F.pmod(F.xxhash64("term"), F.lit(folders)).cast("int")
+        # rows of a term are spread by id as well, so that a frequent term is no single task
+        rows = postings(docs, id_col, text).withColumn("folder", folder).repartition("folder", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("folder", "term")
+        rows.write.partitionBy("folder").parquet(f"{self.path}/postings")
+        whole = spark.read.parquet(f"{self.path}/postings")
+        whole.groupBy("folder", "term").agg(F.count("*").alias("df")).repartition("folder").sortWithinPartitions("folder", "term").write.partitionBy("folder").parquet(f"{self.path}/terms")
+        self.n_docs = docs.count()
+
+    def _of(self, table: str, terms: DataFrame) -> DataFrame:
+        folders = [r[0] for r in terms.select(F.pmod(F.xxhash64("term"), F.lit(self.folders)).cast("int").alias("f")).distinct().collect()]
+        return self.spark.read.parquet(f"{self.path}/{table}").where(F.col("folder").isin(folders)).drop("folder")
+
+    def search(self, queries: DataFrame, k: int = 20, idf: bool = False, keep: DataFrame | None = None) -> DataFrame:
+        """``bm25`` from the stored postings."""
+        terms = query_terms(queries)
+        few = terms.select("term").distinct()
+        posts = self._of("postings", few).join(few, "term", "left_semi")
+        posts = posts if keep is None else posts.join(keep, "id", "left_semi")
+        return bm25(queries, posts, k, n_docs=self.n_docs if idf else None, df=self._of("terms", few) if idf else None)
+
+
 def query_terms(queries: DataFrame, text: str = "text") -> DataFrame:
     """query_id and each different term."""
     return queries.select("query_id", F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))
 
 
-def bm25(queries: DataFrame, posts: DataFrame, k: int = 20, k1: float = 1.2, b: float = 0.75, avg_len: float = 256.0, n_docs: int | None = None) -> DataFrame:
+def _saturated(tf, doc_len, k1: float, b: float, avg_len: float):
+    return tf * (k1 + 1) / (tf + k1 * (1 - b + b * doc_len / avg_len))
+
+
+def bm25(queries: DataFrame, posts: DataFrame, k: int = 20, k1: float = 1.2, b: float = 0.75, avg_len: float = 256.0, n_docs: int | None = None, df: DataFrame | None = None) -> DataFrame:
     """query_id, id, score, rn: saturated term frequencies of the query's terms, with idf if ``n_docs`` is given.
 
-    ``posts`` is a table of postings, or documents (id, text), whose postings are then made for the queries' terms only.
+    ``posts`` is a table of postings, which are joined by term, or of documents (id, text), which are scored where they are
+    (``scan``) as long as the queries are one block.
     """
+    if "term" not in posts.columns and n_docs is None:
+        block = queries.select(F.col("query_id").cast("long").alias("query_id"), F.array_distinct(tokens(F.col("text"))).alias("terms")).orderBy("query_id").limit(BLOCK + 1).collect()
+        if len(block) <= BLOCK:
+            return top_k(scan(block, posts, k, k1, b, avg_len), k)
     terms = query_terms(queries)
     if "term" not in posts.columns:
         posts = postings(posts, terms=terms)
     hit = posts.join(terms, "term")
-    part = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / avg_len))
+    part = _saturated(F.col("tf"), F.col("doc_len"), k1, b, avg_len)
     if n_docs is not None:
-        df = posts.groupBy("term").agg(F.count("*").alias("df"))
+        df = posts.groupBy("term").agg(F.count("*").alias("df")) if df is None else df
         hit = hit.join(df, "term")
         part = part * F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     return top_k(hit.groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score")), k)
 
 
+def scan(block: list, docs: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, avg_len: float = 256.0) -> DataFrame:
+    """query_id, id, score of each batch's k best documents for a block of (query_id, terms): no postings, nothing shuffled.
+
+    A batch's counts of the queries' terms are a matrix, whose product with the queries' terms are the scores.
+    """
+    ids = np.array([r[0] for r in block], np.int64)
+    number = {t: j for j, t in enumerate(sorted({t for r in block for t in r[1] or ()}))}
+    wanted = np.zeros((len(number), len(block)))
+    for i, r in enumerate(block):
+        wanted[[number[t] for t in r[1] or ()], i] = 1.0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 256):
+                part = batch.slice(low, 256)
+                tf = np.zeros((part.num_rows, len(number)))
+                size = np.zeros(part.num_rows)
+                for d, t in enumerate(part.column(1).to_pylist()):
+                    size[d] = len(t)
+                    at = [number[x] for x in t if x in number]
+                    tf[d] = np.bincount(at, minlength=len(number)) if at else 0
+                some = tf.any(axis=1)
+                scores = (_saturated(tf, size[:, None], k1, b, avg_len) @ wanted).T
+                # a document without any of a query's terms is no hit
+                scores[(tf @ wanted).T == 0] = np.nan
+                yield _best(np.round(scores[:, some], 6) + 0.0, ids, part.column(0).to_numpy()[some], k, None)
+
+    rows = docs.select(F.col("id").cast("long").alias("id"), tokens(F.coalesce(F.col("text"), F.lit(""))).alias("t"))
+    return rows.mapInArrow(run, _FOUND)
+
+
 def fuse(lists: list[DataFrame], k: int = 20, rrf_k: int = 1) -> DataFrame:
     """query_id, id, score, rn by reciprocal ranks: sum of 1 / (rrf_k + rank)."""
     rows = lists[0].select("query_id", "id", "rn")
@@ -111,11 +228,33 @@ def fuse(lists: list[DataFrame], k: int = 20, rrf_k: int = 1) -> DataFrame:
     return top_k(rows.groupBy("query_id", "id").agg(F.round(F.sum(1.0 / (rrf_k + F.col("rn"))), 6).alias("score")), k)
 
 
-def hybrid(queries: DataFrame, vectors: DataFrame, posts: DataFrame, keep: DataFrame | None = None, k: int = 20, prefetch: int = 20) -> DataFrame:
+def sparse(queries: DataFrame, corpus: DataFrame | Index, k: int = 20, keep: DataFrame | None = None) -> DataFrame:
+    """``bm25`` over documents, postings or a stored index, of the ids in ``keep`` only."""
+    if isinstance(corpus, Index):
+        return corpus.search(queries, k, keep=keep)
+    return bm25(queries, corpus if keep is None else corpus.join(keep, "id", "left_semi"), k)
+
+
+def hybrid(queries: DataFrame, vectors: DataFrame, corpus: DataFrame | Index, keep: DataFrame | None = None, k: int = 20, prefetch: int = 20) -> DataFrame:
     """Dense and sparse top ``prefetch`` fused to k. ``keep`` (id) restricts the candidates before any ranking."""
-    if keep is not None:
-        vectors, posts = vectors.join(keep, "id", "left_semi"), posts.join(keep, "id", "left_semi")
-    return fuse([dense(queries, vectors, prefetch), bm25(queries, posts, prefetch)], k)
+    some = vectors if keep is None else vectors.join(keep, "id", "left_semi")
+    return fuse([dense(queries, some, prefetch), sparse(queries, corpus, prefetch, keep)], k)
+
+
+def hybrid_within(queries: DataFrame, vectors: DataFrame, corpus: DataFrame | Index, allowed: DataFrame, k: int = 20, prefetch: int = 20) -> DataFrame:
+    """``hybrid`` with candidates of each query's own: ``allowed`` (query_id, id) restricts them before any ranking."""
+    ids = allowed.select("id").distinct()
+    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x))
+    q = queries.select("query_id", F.col("vec").cast("array<double>").alias("qv"))
+    v = vectors.where("vec is not null").select("id", F.col("vec").cast("array<double>").alias("dv"))
+    dot = F.aggregate(F.zip_with("qv", "dv", lambda a, x: a * x), F.lit(0.0), lambda a, x: a + x)
+    near = allowed.join(q, "query_id").join(v, "id").select("query_id", "id", (F.round(dot / F.greatest(norm(F.col("qv")) * norm(F.col("dv")), F.lit(1e-12)), 6) + 0.0).alias("score"))
+    terms = query_terms(queries)
+    posts = corpus._of("postings", terms) if isinstance(corpus, Index) else postings(corpus.join(ids, "id", "left_semi"), terms=terms)
+    hit = posts.join(terms, "term").join(allowed, ["query_id", "id"], "left_semi")
+    part = _saturated(F.col("tf"), F.col("doc_len"), 1.2, 0.75, 256.0)
+    words = hit.groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
+    return fuse([top_k(near, prefetch), top_k(words, prefetch)], k)
 
 
 def multi_query(hits: DataFrame, k: int = 20, weight: float = 0.7) -> DataFrame:

@@ -39,8 +39,8 @@ def a4(t):
 
 @query("a5_running_mean", "SELECT event_id, round(avg(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) + 1e-7::DOUBLE, 4) AS mean FROM events")
 def a5(t):
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return t.events.select("event_id", F.round(F.avg("value").over(w) + 1e-7, 4).alias("mean"))
+    m = A.running_mean(t.events, "event_type", ["ts", "event_id"], "value", F.to_date("ts"))
+    return m.select("event_id", F.round(F.col("mean") + 1e-7, 4).alias("mean"))
 
 
 @query("a6_tools", "SELECT event_type AS tool, count(*) AS calls, count(*) FILTER (value < 90) AS ok, count(*) FILTER (NOT value < 90) AS failed, round(sum(value), 4) AS total FROM events GROUP BY event_type")
@@ -110,8 +110,8 @@ def w2(t):
 
 @query("w7_rolling", "SELECT event_id, round(avg(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS 59 PRECEDING) + 1e-7::DOUBLE, 4) AS mean60 FROM events")
 def w7(t):
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id").rowsBetween(-59, 0)
-    return t.events.select("event_id", F.round(F.avg("value").over(w) + 1e-7, 4).alias("mean60"))
+    m = A.rolling_mean(t.events, "event_type", ["ts", "event_id"], "value", 60, F.to_date("ts"))
+    return m.select("event_id", F.round(F.col("mean") + 1e-7, 4).alias("mean60"))
 
 
 _STREAK = "WITH r AS (SELECT *, sum((event_type <> 'error')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM events), s AS (SELECT *, sum((event_type = 'error')::INT) OVER (PARTITION BY user_id, run ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS streak FROM r)"

@@ -14,36 +14,64 @@ def _q(p):
 
 
 def markdown(t):
-    """Each conversation as a markdown document: a title, a header for each turn, a fence in every third turn."""
-    part = F.concat(F.lit("## "), "role", F.lit("\n"), F.when(F.col("turn") % 3 == 0, F.concat(F.lit("```\n# no header\n"), "text", F.lit("\n```"))).otherwise(F.concat(F.lit("### note\n"), "text")))
+    """Each conversation as a markdown document: a title, a header for each turn, then a fence, a table or nothing but text."""
+    fence = F.concat(F.lit("```\n# no header\n"), "text", F.lit("\n```"))
+    table = F.concat(F.lit("### note\n"), "text", F.lit("\n| a | b |\n| - | - |\n| x | y |\nafter\n\n"), "text")
+    part = F.concat(F.lit("## "), "role", F.lit("\n"), F.when(F.col("turn") % 3 == 0, fence).when(F.col("turn") % 3 == 1, table).otherwise(F.concat(F.lit("### note\n"), "text")))
     rows = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", part.alias("p")))), lambda x: x["p"])
     return t.conversations.groupBy(F.col("conv_id").alias("id")).agg(F.concat(F.lit("# conv "), F.first("conv_id").cast("string"), F.lit("\n"), F.array_join(rows, "\n")).alias("text"))
 
 
-_MD = """md AS (SELECT conv_id AS id, '# conv ' || conv_id || chr(10) || string_agg('## ' || role || chr(10) || CASE WHEN turn % 3 = 0 THEN '```' || chr(10) || '# no header' || chr(10) || text || chr(10) || '```' ELSE '### note' || chr(10) || text END, chr(10) ORDER BY turn, role) AS text FROM conversations GROUP BY conv_id),
-l AS (SELECT id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM md),
-f AS (SELECT *, regexp_matches(line, '^\\s*```')::INT AS fence, sum(regexp_matches(line, '^\\s*```')::INT) OVER (PARTITION BY id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS closed FROM l)"""
+_TABLE = "'### note' || chr(10) || text || chr(10) || '| a | b |' || chr(10) || '| - | - |' || chr(10) || '| x | y |' || chr(10) || 'after' || chr(10) || chr(10) || text"
+_MARK = f"""md AS (SELECT conv_id AS id, '# conv ' || conv_id || chr(10) || string_agg('## ' || role || chr(10) || CASE WHEN turn % 3 = 0 THEN '```' || chr(10) || '# no header' || chr(10) || text || chr(10) || '```' WHEN turn % 3 = 1 THEN {_TABLE} ELSE '### note' || chr(10) || text END, chr(10) ORDER BY turn, role) AS text FROM conversations GROUP BY conv_id)"""
 
 
-@query("t8_sections", f"""WITH {_MD}, v AS (SELECT *, CASE WHEN (closed - fence) % 2 = 1 OR fence = 1 THEN 0 ELSE length(regexp_extract(line, '^(#{{1,3}})\\s+\\S', 1)) END AS level FROM f),
+def lines_sql(name, table):
+    """``name``: (id, line, pos, fence, closed) of the lines of ``table`` (id, text)."""
+    return f"""{name}l AS (SELECT id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM {table}),
+{name} AS (SELECT *, regexp_matches(line, '^\\s*```')::INT AS fence, sum(regexp_matches(line, '^\\s*```')::INT) OVER (PARTITION BY id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS closed FROM {name}l)"""
+
+
+def blocks_sql(name, lines):
+    """``name``: (id, block, kind, body)."""
+    return f"""{name}k AS (SELECT *, CASE WHEN (closed - fence) % 2 = 1 OR fence = 1 THEN 'fence' WHEN starts_with(line, '|') THEN 'table' ELSE 'paragraph' END AS kind FROM {lines}),
+{name}s AS (SELECT *, CASE WHEN kind = 'fence' THEN fence = 1 AND closed % 2 = 1 ELSE lag(kind) OVER (PARTITION BY id ORDER BY pos) IS DISTINCT FROM kind OR (kind = 'paragraph' AND trim(line) = '') END AS start FROM {name}k),
+{name}n AS (SELECT *, sum(start::INT) OVER (PARTITION BY id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS block FROM {name}s),
+{name} AS (SELECT id, block::BIGINT AS block, kind, string_agg(line, chr(10) ORDER BY pos) AS body FROM {name}n GROUP BY ALL HAVING trim(replace(string_agg(line, chr(10) ORDER BY pos), chr(10), ' ')) <> '')"""
+
+
+def pack_sql(name, lists, limit):
+    """``name``: (id, i, out): the chunk of the i-th of ``ls``, by a walk through the lists."""
+    n, fits = "length(ls[i + 1])", f"(length(ls[i + 1]) <= {limit} AND used + length(ls[i + 1]) + 2 <= {limit})"
+    return f"""{name} AS (SELECT id, ls, 0 AS i, 0 AS cur, 0 AS open, 0 AS used, NULL::INT AS out FROM {lists} UNION ALL
+SELECT id, ls, i + 1, CASE WHEN {n} > {limit} THEN cur + open + 1 WHEN {fits} THEN cur ELSE cur + open END, CASE WHEN {n} > {limit} THEN 0 ELSE 1 END, CASE WHEN {n} > {limit} THEN 0 WHEN {fits} THEN used + {n} + 2 ELSE {n} END, CASE WHEN {fits} THEN cur ELSE cur + open END FROM {name} WHERE i < len(ls))"""
+
+
+_SECTIONS = f"""{_MARK}, {lines_sql('f', 'md')}, v AS (SELECT *, CASE WHEN (closed - fence) % 2 = 1 OR fence = 1 THEN 0 ELSE length(regexp_extract(line, '^(#{{1,3}})\\s+\\S', 1)) END AS level FROM f),
 s AS (SELECT *, sum((level > 0)::INT) OVER w AS section, CASE WHEN level > 0 THEN trim(regexp_extract(line, '^#{{1,3}}\\s+(.*)$', 1)) END AS title FROM v WINDOW w AS (PARTITION BY id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
-h AS (SELECT *, coalesce(last_value(CASE WHEN level = 1 THEN title END IGNORE NULLS) OVER w, '') AS h1, coalesce(last_value(CASE WHEN level = 2 THEN title WHEN level = 1 THEN '' END IGNORE NULLS) OVER w, '') AS h2, coalesce(last_value(CASE WHEN level = 3 THEN title WHEN level IN (1, 2) THEN '' END IGNORE NULLS) OVER w, '') AS h3 FROM s WINDOW w AS (PARTITION BY id ORDER BY pos ROWS UNBOUNDED PRECEDING))
-SELECT id, section::BIGINT AS section, max(h1) AS h1, max(h2) AS h2, max(h3) AS h3, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (level = 0), '') AS body FROM h GROUP BY id, section""")
+h AS (SELECT *, coalesce(last_value(CASE WHEN level = 1 THEN title END IGNORE NULLS) OVER w, '') AS h1, coalesce(last_value(CASE WHEN level = 2 THEN title WHEN level = 1 THEN '' END IGNORE NULLS) OVER w, '') AS h2, coalesce(last_value(CASE WHEN level = 3 THEN title WHEN level IN (1, 2) THEN '' END IGNORE NULLS) OVER w, '') AS h3 FROM s WINDOW w AS (PARTITION BY id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+sec AS (SELECT id, section::BIGINT AS section, max(h1) AS h1, max(h2) AS h2, max(h3) AS h3, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (level = 0), '') AS body FROM h GROUP BY id, section)"""
+
+
+@query("t8_sections", f"WITH {_SECTIONS} SELECT * FROM sec")
 def t8(t):
     return C.sections(markdown(t))
 
 
-@query("t10_blocks", f"""WITH {_MD}, k AS (SELECT *, CASE WHEN (closed - fence) % 2 = 1 OR fence = 1 THEN 'fence' WHEN trim(line) = '' THEN 'blank' WHEN starts_with(ltrim(line), '|') THEN 'table' ELSE 'paragraph' END AS kind, (closed + fence * (closed % 2 = 0)::INT - 1) // 2 AS no FROM f),
-b AS (SELECT *, sum((kind IS DISTINCT FROM lag_kind OR (kind = 'fence' AND fence = 1 AND closed % 2 = 1))::INT) OVER (PARTITION BY id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS block FROM (SELECT *, lag(kind) OVER (PARTITION BY id ORDER BY pos) AS lag_kind FROM k))
-SELECT id, block::BIGINT AS block, kind, string_agg(line, chr(10) ORDER BY pos) AS body FROM b WHERE kind <> 'blank' GROUP BY ALL""")
+@query("t9_split", f"""WITH RECURSIVE {_SECTIONS}, x AS (SELECT id, section, regexp_replace(body, '\\A\\s+|\\s+\\z', '', 'g') AS body FROM sec), y AS (SELECT * FROM x WHERE body <> ''),
+long AS (SELECT {{'i': id, 's': section}} AS id, body AS text FROM y WHERE length(body) > 300), {lines_sql('g', 'long')}, {blocks_sql('b', 'g')}, ls AS (SELECT id, list(body ORDER BY block) AS ls FROM b GROUP BY id), {pack_sql('r', 'ls', 300)},
+z AS (SELECT id, out, regexp_replace(string_agg(ls[i], chr(10) || chr(10) ORDER BY i), '\\A\\s+|\\s+\\z', '', 'g') AS text FROM r WHERE i > 0 GROUP BY id, out)
+SELECT id, section, 0 AS part, body AS text FROM y WHERE length(body) <= 300 UNION ALL SELECT id.i, id.s, out, text FROM z WHERE text <> ''""")
+def t9(t):
+    return C.split_sections(C.sections(markdown(t)), 300)
+
+
+@query("t10_blocks", f"WITH {_MARK}, {lines_sql('f', 'md')}, {blocks_sql('b', 'f')} SELECT * FROM b")
 def t10(t):
     return C.blocks(markdown(t))
 
 
-@query("t12_pack", """WITH RECURSIVE l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE n_chars > 0), r AS (
-SELECT doc_id, ls, 1 AS i, 0 AS chunk, length(ls[1]) AS used FROM l UNION ALL
-SELECT doc_id, ls, i + 1, CASE WHEN used = 0 OR used + 2 + length(ls[i + 1]) <= 3200 THEN chunk ELSE chunk + 1 END, CASE WHEN used > 0 AND used + 2 + length(ls[i + 1]) <= 3200 THEN used + 2 + length(ls[i + 1]) ELSE length(ls[i + 1]) END FROM r WHERE i < len(ls))
-SELECT doc_id, chunk::INT AS chunk, count(*) AS n_blocks FROM r GROUP BY doc_id, chunk""")
+@query("t12_pack", f"WITH RECURSIVE l AS (SELECT doc_id AS id, string_split(text, chr(10)) AS ls FROM documents WHERE n_chars > 0), {pack_sql('r', 'l', 3200)} SELECT id AS doc_id, out AS chunk, count(*) AS n_blocks FROM r WHERE i > 0 GROUP BY ALL")
 def t12(t):
     rows = t.documents.where("n_chars > 0").select("doc_id", F.explode(C.pack_lengths(F.transform(F.split("text", "\n", -1), lambda x: F.length(x)))).alias("chunk"))
     return rows.groupBy("doc_id", "chunk").agg(F.count("*").alias("n_blocks"))
@@ -130,6 +158,11 @@ def a11(t):
     return C.scan(t.pages, "page_id", "html", fixed.SECURITY_RULES + HTML_RULES).groupBy("severity").agg(F.count("*").alias("n"))
 
 
+@query("o2_findings", "SELECT * FROM (SELECT id, line_no, rule, severity, row_number() OVER (ORDER BY CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 ELSE 3 END, id, line_no, rule) AS rn FROM (" + _scan_sql("pages", "page_id", "html", fixed.SECURITY_RULES + HTML_RULES) + ")) WHERE rn <= 50")
+def o2(t):
+    return C.ranked_findings(C.scan(t.pages, "page_id", "html", fixed.SECURITY_RULES + HTML_RULES)).select("id", "line_no", "rule", "severity", "rn")
+
+
 @query("x3_smells", """WITH d AS (SELECT doc_id AS id, string_split(replace(text, '. ', '.' || chr(10) || repeat(' ', (doc_id % 25)::INT)), chr(10)) AS ls FROM documents),
 l AS (SELECT id, unnest(ls) AS x, generate_subscripts(ls, 1) AS line_no FROM d), p AS (SELECT id, line_no, floor((length(x) - length(ltrim(x))) / 4)::BIGINT AS level FROM l WHERE trim(x) <> '')
 SELECT id, 'LARGE_FILE' AS smell, 1::BIGINT AS line_no, len(ls)::BIGINT AS value FROM d WHERE len(ls) > 100 UNION ALL SELECT id, 'DEEP_NESTING', min(line_no), min_by(level, line_no) FROM p WHERE level >= 5 GROUP BY id""")

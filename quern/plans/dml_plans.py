@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quern.functions.text import collection_name, hit_key
 from quern.operators import dml as D
 from quern.plans.registry import query
 
@@ -51,10 +52,10 @@ def k9(t):
     return D.upsert(steps, t.orders.where("o_orderstatus = 'P'").select("o_orderkey", F.lit("done").alias("status")), "o_orderkey")
 
 
-@query("k11_insert_absent", "WITH old AS (SELECT DISTINCT sha256(text) AS patch_hash, text AS patch FROM documents WHERE doc_id < 100), new AS (SELECT DISTINCT sha256(text) AS patch_hash, text AS patch FROM documents WHERE doc_id < 300 AND trim(text) <> '') SELECT patch_hash FROM old UNION ALL SELECT patch_hash FROM new WHERE patch_hash NOT IN (SELECT patch_hash FROM old)")
+@query("k11_insert_absent", "WITH old AS (SELECT DISTINCT sha256(text) AS patch_hash, text AS patch FROM documents WHERE doc_id % 3 = 0), new AS (SELECT DISTINCT sha256(text) AS patch_hash, text AS patch FROM documents WHERE trim(text) <> '') SELECT patch_hash FROM old UNION ALL SELECT patch_hash FROM new WHERE patch_hash NOT IN (SELECT patch_hash FROM old)")
 def k11(t):
     rows = t.documents.select("doc_id", F.sha2("text", 256).alias("patch_hash"), F.col("text").alias("patch"))
-    old, new = rows.where("doc_id < 100").select("patch_hash", "patch").distinct(), rows.where("doc_id < 300").select("patch_hash", "patch")
+    old, new = rows.where("doc_id % 3 = 0").select("patch_hash", "patch").distinct(), rows.select("patch_hash", "patch")
     return D.insert_absent(old, new, "patch_hash", "patch").select("patch_hash")
 
 
@@ -200,9 +201,9 @@ def h6(t):
 @query("h9_collection_name", "SELECT page_id, lower(replace(split_part(p, '/', 4), ' ', '_')) AS collection FROM (SELECT page_id, '/srv/my/Project ' || page_id % 5 AS p FROM pages)")
 def h9(t):
     path = F.concat(F.lit("/srv/my/Project "), (F.col("page_id") % 5).cast("string"))
-    return t.pages.select("page_id", F.lower(F.replace(F.element_at(F.split(path, "/"), -1), F.lit(" "), F.lit("_"))).alias("collection"))
+    return t.pages.select("page_id", collection_name(path).alias("collection"))
 
 
 @query("h34_hit_key", "SELECT doc_id, sha256(source || ':' || doc_id || ':' || n_chars) AS hit_key FROM documents")
 def h34(t):
-    return t.documents.select("doc_id", F.sha2(F.concat_ws(":", "source", F.col("doc_id").cast("string"), F.col("n_chars").cast("string")), 256).alias("hit_key"))
+    return t.documents.select("doc_id", hit_key(F.col("source"), F.col("doc_id").cast("string"), F.col("n_chars").cast("string")).alias("hit_key"))

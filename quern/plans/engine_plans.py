@@ -4,23 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pyspark.sql.window import Window
+
 from quern.api import Engine
-from quern.operators import ranking
+from quern.functions import fixed
+from quern.operators import ranking, retrieval
+from quern.plans.chunk_plans import _redact_sql
+from quern.plans.graph_plans import near_sql, walk_sql
 from quern.plans.ranking_plans import _HITS
 from quern.plans.registry import query
-from quern.plans.retrieval_plans import item_queries, mixed_queries, vectors
+from quern.plans.retrieval_plans import MIXED, dense_sql, docs, fuse_sql, item_queries, mixed_queries, sparse_sql, vectors
 
 
-def engine(t, graph: bool = True) -> Engine:
+def engine(t, graph: bool = True, stored: bool = False) -> Engine:
     kinds = F.array(*[F.lit(x) for x in ("function", "class", "doc", "summary", "module")])
     chunks = t.documents.select(F.col("doc_id").alias("id"), "source", "text", F.get(kinds, (F.col("doc_id") % 5).cast("int")).alias("kind"), (F.col("doc_id") % 30).alias("updated_days"))
-    edges = t.documents.where("doc_id % 9 = 0").select(F.col("source").alias("src"), F.lit("CALLS").alias("rel"), F.concat(F.lit("src"), (F.col("doc_id") % 17).cast("string")).alias("dst")).distinct() if graph else None
-    return Engine(t.spark, chunks, vectors(t).select("id", "vec"), edges)
+    edges = t.documents.where("doc_id % 9 = 0").select(F.col("source").alias("src"), F.when(F.col("doc_id") % 2 == 0, "CALLS").otherwise("IMPLEMENTS").alias("rel"), F.concat(F.lit("src"), (F.col("doc_id") % 17).cast("string")).alias("dst")).distinct() if graph else None
+    return Engine(t.spark, chunks, vectors(t).select("id", "vec"), edges, stored=stored)
 
 
 @query("r16_search_code")
 def r16(t):
-    return engine(t).search_code(mixed_queries(t))
+    return engine(t, stored=True).search_code(mixed_queries(t))
 
 
 @query("r17_explain")
@@ -28,35 +33,45 @@ def r17(t):
     return engine(t, graph=False).explain(mixed_queries(t))
 
 
-@query("r12_architecture")
+def restricted(condition, k):
+    """A fused list of the documents that fulfil a condition on ``id``."""
+    return f"{dense_sql(20, 'e.vec_id IN (SELECT doc_id FROM (SELECT doc_id, doc_id AS id FROM documents) WHERE ' + condition + ')', MIXED)}, {sparse_sql(20, condition)}, {fuse_sql(k)}"
+
+
+@query("r12_architecture", f"WITH {restricted('id % 5 = 3', 6)} SELECT query_id, id, score, rn FROM fused")
 def r12(t):
     return engine(t, graph=False).architecture(mixed_queries(t))
 
 
-@query("r13_agent_docs")
+@query("r13_agent_docs", f"""WITH {restricted('id % 5 = 2', 8)}, r AS (SELECT f.query_id, f.id, f.score, {_redact_sql()[0]} AS safe, {_redact_sql()[1]} AS risk FROM fused f JOIN documents d ON d.doc_id = f.id),
+k AS (SELECT query_id, id, safe AS text, risk, row_number() OVER w AS rn, sum(length(safe)) OVER w AS used FROM r WHERE risk <= 0.8 WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, id)) SELECT query_id, rn, id, text, risk FROM k WHERE rn <= 8 AND (rn = 1 OR used <= 16000)""")
 def r13_docs(t):
     return engine(t, graph=False).agent_docs(mixed_queries(t))
 
 
-@query("g2_augment")
-def g2(t):
-    e = engine(t)
-    from quern.operators import retrieval
+_E = "e AS (SELECT DISTINCT source AS src, CASE WHEN doc_id % 2 = 0 THEN 'CALLS' ELSE 'IMPLEMENTS' END AS rel, 'src' || doc_id % 17 AS dst FROM documents WHERE doc_id % 9 = 0)"
 
+
+@query("g2_augment", f"""WITH {dense_sql(who=MIXED)}, {sparse_sql()}, {fuse_sql()}, {_E}, top AS (SELECT DISTINCT query_id, d.source AS seed FROM fused JOIN documents d ON d.doc_id = id WHERE rn <= 5),
+{walk_sql('SELECT DISTINCT seed, seed AS node FROM top', fixed.EXPAND_TYPES, 3)}, o AS (SELECT * FROM w WHERE node <> seed), near AS (SELECT seed, node FROM {near_sql('o', 15)} UNION ALL SELECT seed, node FROM w0),
+names AS (SELECT query_id, source FROM (SELECT query_id, source, row_number() OVER (PARTITION BY query_id ORDER BY source) AS r FROM (SELECT DISTINCT query_id, node AS source FROM near JOIN top USING (seed))) WHERE r <= 20),
+al AS (SELECT query_id, doc_id AS id FROM documents JOIN names USING (source)),
+dw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rn FROM (SELECT al.query_id, al.id, round(list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) / sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]) * list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])), 6) + 0.0 AS score FROM al JOIN embeddings q ON q.vec_id = al.query_id JOIN embeddings v ON v.vec_id = al.id)) WHERE rn <= 20),
+sw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rn FROM (SELECT qt.query_id, p.id, round(sum(tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / 256))), 6) AS score FROM post p JOIN qt ON p.term = qt.term JOIN al ON al.query_id = qt.query_id AND al.id = p.id GROUP BY 1, 2)) WHERE rn <= 20),
+fw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rn FROM (SELECT query_id, id, round(sum(1.0::DOUBLE / (1 + rn)), 6) AS score FROM (SELECT query_id, id, rn FROM dw UNION ALL SELECT query_id, id, rn FROM sw) GROUP BY 1, 2)) WHERE rn <= 20)
+SELECT query_id, id, score, rn FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rn FROM (SELECT query_id, id, max(score) AS score FROM (SELECT query_id, id, score FROM fused UNION ALL SELECT query_id, id, score FROM fw) GROUP BY 1, 2)) WHERE rn <= 20""")
+def g2(t):
+    e = engine(t, stored=True)
     q = mixed_queries(t)
-    return e.augment(q, retrieval.hybrid(q, e.vectors, e.posts), 20)
+    return e.augment(q, retrieval.hybrid(q, e.vectors, e.corpus), 20)
 
 
 @query("a13_eval_summary", _HITS.replace("WITH ", "WITH ", 1) + """, e AS (SELECT query_id, min(CASE WHEN id % 2 = 0 THEN rn END) AS first FROM h GROUP BY query_id) SELECT round(avg((coalesce(first, 99) <= 1)::INT), 6) AS hit1, round(avg((coalesce(first, 99) <= 3)::INT), 6) AS hit3, round(avg(round(coalesce(1.0::DOUBLE / first, 0), 6)), 6) AS mrr, count(*) AS cases FROM e""")
 def a13(t):
-    from quern.operators import retrieval
-    from quern.plans.retrieval_plans import docs
-    from pyspark.sql.window import Window
-
-    hits = retrieval.bm25(item_queries(t, 20), docs(t), 10).drop("rn").join(docs(t), "id").join(item_queries(t, 20).withColumnRenamed("text", "query_text"), "query_id")
+    hits = retrieval.bm25(item_queries(t), docs(t), 10).drop("rn").join(docs(t), "id").join(item_queries(t).withColumnRenamed("text", "query_text"), "query_id")
     hits = hits.withColumn("r", ranking.rerank_score(F.col("query_text"), F.col("text"), F.col("source")))
     w = Window.partitionBy("query_id").orderBy(F.desc("r"), F.desc("score"), "id")
     hits = hits.select("query_id", F.row_number().over(w).alias("rn"), F.when(F.col("id") % 2 == 0, "even").otherwise("odd").alias("path"))
-    cases = item_queries(t, 20).select("query_id", F.array(F.lit("even")).alias("expected")).join(hits.select("query_id").distinct(), "query_id", "left_semi")
+    cases = item_queries(t).select("query_id", F.array(F.lit("even")).alias("expected")).join(hits.select("query_id").distinct(), "query_id", "left_semi")
     e = ranking.evaluate(cases, hits)
     return e.agg(*[F.round(F.avg(c), 6).alias(c) for c in ("hit1", "hit3", "mrr")], F.count("*").alias("cases"))

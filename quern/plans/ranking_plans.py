@@ -6,15 +6,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quern.functions import fixed
+from quern.functions.text import lookup
 from quern.operators import ranking as N
 from quern.operators import retrieval as R
 from quern.plans.registry import query
 from quern.plans.retrieval_plans import TOK, docs, item_queries, sparse_sql
 
 
-def candidates(t, n=5, k=30):
-    hits = R.bm25(item_queries(t, n), docs(t), k)
-    return hits.join(docs(t), "id").join(item_queries(t, n).withColumnRenamed("text", "query_text"), "query_id")
+def candidates(t, k=30):
+    hits = R.bm25(item_queries(t), docs(t), k)
+    return hits.join(docs(t), "id").join(item_queries(t).withColumnRenamed("text", "query_text"), "query_id")
 
 
 _BG = "list_distinct(list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1]))"
@@ -24,7 +25,7 @@ rr AS (SELECT query_id, id, score, source, text, round(len(list_intersect(list_d
 rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, score DESC, id) AS rn FROM rr)"""
 
 
-@query("n1_rerank", f"WITH {sparse_sql(5, 30)}, {_RERANK}, cut AS (SELECT * FROM rk WHERE rn <= 10) SELECT query_id, id, rerank_score, rn, CASE WHEN max(score) OVER w = min(score) OVER w THEN CASE WHEN max(score) OVER w > 0 THEN 1.0 ELSE 0.0 END ELSE round((score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w), 6) END::DOUBLE AS score FROM cut WINDOW w AS (PARTITION BY query_id)")
+@query("n1_rerank", f"WITH {sparse_sql(30)}, {_RERANK}, cut AS (SELECT * FROM rk WHERE rn <= 10) SELECT query_id, id, rerank_score, rn, CASE WHEN max(score) OVER w = min(score) OVER w THEN CASE WHEN max(score) OVER w > 0 THEN 1.0 ELSE 0.0 END ELSE round((score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w), 6) END::DOUBLE AS score FROM cut WINDOW w AS (PARTITION BY query_id)")
 def n1(t):
     return N.rerank(candidates(t), 10, "source").select("query_id", "id", "rerank_score", "rn", "score")
 
@@ -34,7 +35,7 @@ _MM = "CASE WHEN max({0}) OVER w = min({0}) OVER w THEN CASE WHEN max({0}) OVER
 
 @query("n3_minmax", f"SELECT doc_id, {_MM.format('n_chars')} AS score FROM documents WINDOW w AS (PARTITION BY lang)")
 def n3(t):
-    return t.documents.select("doc_id", N.min_max("n_chars", "lang").alias("score"))
+    return N.scaled(t.documents.select("doc_id", "lang", F.col("n_chars").alias("score")), "lang").select("doc_id", "score")
 
 
 @query("n4_blend", f"""WITH a AS (SELECT lang AS query_id, source AS key, sum(n_chars)::DOUBLE AS s FROM documents GROUP BY ALL), b AS (SELECT lang AS query_id, source AS key, count(*)::DOUBLE AS s FROM documents GROUP BY ALL),
@@ -82,10 +83,10 @@ def n9(t):
     return N.merge_best(t.part.select(F.col("p_brand").alias("query_id"), F.col("p_type").alias("name"), F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("score")), ["query_id", "name"])
 
 
-@query("n10_impact", """WITH i AS (SELECT l_orderkey, l_linenumber, round(least(greatest(0.4::DOUBLE * l_quantity / 50 + 0.3::DOUBLE * l_discount * 10 + 0.2::DOUBLE * l_tax * 10 + 0.1::DOUBLE * (l_partkey % 10) / 10, 0), 1), 4) AS impact FROM lineitem WHERE l_orderkey % 10 = 0)
+@query("n10_impact", """WITH i AS (SELECT l_orderkey, l_linenumber, round(least(greatest(0.4::DOUBLE * l_quantity / 50 + 0.3::DOUBLE * l_discount * 10 + 0.2::DOUBLE * l_tax * 10 + 0.1::DOUBLE * (l_partkey % 10) / 10, 0), 1), 4) AS impact FROM lineitem)
 SELECT *, CASE WHEN impact >= 0.7 THEN 'high' WHEN impact >= 0.4 THEN 'medium' ELSE 'low' END AS risk FROM i""")
 def n10(t):
-    li = t.lineitem.where("l_orderkey % 10 = 0")
+    li = t.lineitem
     score = N.hybrid_impact(F.col("l_quantity") / 50, F.col("l_discount") * 10, F.col("l_tax") * 10, F.col("l_partkey") % 10 / 10)
     return li.select("l_orderkey", "l_linenumber", score.alias("impact"), N.risk(score).alias("risk"))
 
@@ -105,38 +106,38 @@ def n12(t):
     return R.top_k(f, 10, by="source", score="impact")
 
 
-_HITS = f"WITH {sparse_sql(20, 10)}, {_RERANK}, h AS (SELECT query_id, rn, id, score / 40 AS score, rerank_score, source, text FROM rk)"
+_HITS = f"WITH {sparse_sql(10)}, {_RERANK}, h AS (SELECT query_id, rn, id, score / 40 AS score, rerank_score, source, text FROM rk)"
 
 
 @query("c1_gate", _HITS + """, m AS (SELECT query_id, min_by(score, rn) AS top1, round(avg(score), 6) AS avg_score, count(DISTINCT source) AS sources, sum(length(text))::BIGINT AS chars, count(*) AS n, min_by(rerank_score, rn) AS rer FROM h GROUP BY query_id)
 SELECT query_id, top1, avg_score, CASE WHEN avg_score > 0 THEN round(top1 / avg_score, 6) ELSE 0 END AS precision, sources, chars, round(sources / greatest(n, 1), 6) AS diversity,
 CASE WHEN top1 < 0.3 OR chars < 200 THEN 'insufficient' WHEN rer < 0.15 OR (query_id % 2 = 0 AND sources / n < 0.4) OR (sources < 2 AND top1 < 0.55) OR (avg_score < 0.2 AND sources >= 2) THEN 'weak' ELSE 'answerable' END AS verdict FROM m""")
 def c1(t):
-    hits = R.bm25(item_queries(t, 20), docs(t), 10).join(docs(t), "id").join(item_queries(t, 20).withColumnRenamed("text", "query_text"), "query_id")
+    hits = R.bm25(item_queries(t), docs(t), 10).join(docs(t), "id").join(item_queries(t).withColumnRenamed("text", "query_text"), "query_id")
     hits = hits.drop("rn").withColumn("rerank_score", N.rerank_score(F.col("query_text"), F.col("text"), F.col("source")))
     w = Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), F.desc("score"), "id")
     hits = hits.withColumn("rn", F.row_number().over(w)).withColumn("score", F.col("score") / 40).withColumn("kind", F.when(F.col("query_id") % 2 == 0, "broad_summary").otherwise("factual_doc"))
     return N.answerability(hits, "kind")
 
 
-_PREFIX = "SELECT * FROM (SELECT {by} AS query_id, doc_id AS id, n_chars AS score, row_number() OVER w AS rn, sum(length(text)) OVER w AS used FROM documents {where} WINDOW w AS (PARTITION BY {by} ORDER BY n_chars DESC, doc_id)) WHERE rn <= 8 AND (rn = 1 OR used <= {budget})"
+_ORDER = "(doc_id * 7919) % 1000"
+_PREFIX = "SELECT * FROM (SELECT {by} AS query_id, doc_id AS id, row_number() OVER w AS rn, sum(length(text)) OVER w AS used FROM documents WINDOW w AS (PARTITION BY {by} ORDER BY (doc_id * 7919) % 1000 DESC, doc_id)) WHERE rn <= 8 AND (rn = 1 OR used <= {budget})"
 
 
-@query("b1_pack", "SELECT query_id, id, rn, used::BIGINT AS used FROM (" + _PREFIX.format(by="lang", where="WHERE n_chars < 9000", budget="16000") + ")")
+@query("b1_pack", "SELECT query_id, id, rn, used::BIGINT AS used FROM (" + _PREFIX.format(by="lang", budget="16000") + ")")
 def b1(t):
-    hits = t.documents.where("n_chars < 9000").select(F.col("lang").alias("query_id"), F.col("doc_id").alias("id"), F.col("n_chars").alias("score"), "text")
+    hits = t.documents.select(F.col("lang").alias("query_id"), F.col("doc_id").alias("id"), F.expr(_ORDER).alias("score"), "text")
     return N.pack(hits, F.lit(16000)).select("query_id", "id", "rn", "used")
 
 
 _KINDS = "['config_lookup','factual_doc','code_relation','broad_summary'][doc_id % 4 + 1]"
+_BUDGET = "CASE query_id " + " ".join(f"WHEN '{k}' THEN {v * fixed.CHARS_PER_TOKEN}" for k, v in fixed.TOKEN_BUDGET.items()) + " END"
 
 
-@query("b2_budget", f"SELECT query_id, id, rn, used::BIGINT AS used FROM (SELECT *, CASE query_id " + " ".join(f"WHEN '{k}' THEN {v * fixed.CHARS_PER_TOKEN}" for k, v in fixed.TOKEN_BUDGET.items()) + f" END AS budget FROM (SELECT {_KINDS} AS query_id, doc_id AS id, row_number() OVER w AS rn, sum(length(text)) OVER w AS used FROM documents WHERE n_chars < 3000 WINDOW w AS (PARTITION BY {_KINDS} ORDER BY n_chars, doc_id))) WHERE rn <= 8 AND (rn = 1 OR used <= budget)")
+@query("b2_budget", "SELECT query_id, id, rn, used::BIGINT AS used FROM (" + _PREFIX.format(by=_KINDS, budget=_BUDGET) + ")")
 def b2(t):
     kinds = F.array(*[F.lit(x) for x in ("config_lookup", "factual_doc", "code_relation", "broad_summary")])
-    hits = t.documents.where("n_chars < 3000").select(F.get(kinds, (F.col("doc_id") % 4).cast("int")).alias("query_id"), F.col("doc_id").alias("id"), (-F.col("n_chars")).alias("score"), "text")
-    from quern.functions.text import lookup
-
+    hits = t.documents.select(F.get(kinds, (F.col("doc_id") % 4).cast("int")).alias("query_id"), F.col("doc_id").alias("id"), F.expr(_ORDER).alias("score"), "text")
     budget = lookup(F.col("query_id"), {k: v * fixed.CHARS_PER_TOKEN for k, v in fixed.TOKEN_BUDGET.items()})
     return N.pack(hits, budget).select("query_id", "id", "rn", "used")
 
@@ -151,28 +152,38 @@ def p10(t):
     return N.fall_back(t.lineitem.select(F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").alias("id"), "l_quantity"), F.col("l_quantity") >= 45).select("query_id", "id")
 
 
-_C = "regexp_replace(regexp_replace(regexp_replace(x, '\\n{3,}', chr(10)||chr(10), 'g'), '(?m)[ \\t\\r\\f]+$', '', 'g'), '\\A\\s+|\\s+\\z', '', 'g')"
+Q2, Q1 = '"' * 3, "'" * 3
+#: Beginnings by number: licence heads in four forms, one that comes too late, doc strings of both quotes, long and short.
+HEADS = [
+    "# Copyright holder\n# line\n", "/* copyright\n * more */\n", "x = 1\ny = 2\n# license later\n", "ab\n# License\n", "<!-- copyright\n of all --> \n",
+    f"def f():\n    {Q2}one\ntwo\nthree\nfour\nfive{Q2}\n{Q1}a\nb{Q1}\n", f"def g():\n{Q1}one\ntwo\n{Q2}\nfour\nfive\nsix{Q1}\n{Q2}short{Q2}\n",
+]
+
+
+def _lit(x):
+    return "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
 
+_STRINGS = "'" + N._BLOCK.replace("'", "''") + "'"
+_CUT = f"CASE WHEN len(string_split(x, chr(10))) <= 4 THEN x ELSE array_to_string(string_split(x, chr(10))[1:4], chr(10)) || chr(10) || '    ' || CASE WHEN contains(x, {_lit(Q2)}) THEN {_lit(Q2)} ELSE {_lit(Q1)} END || {_lit(fixed.DOC_STRING_CUT)} END"
+_B3 = (
+    "WITH d AS (SELECT doc_id, [" + ", ".join(map(_lit, HEADS)) + "][doc_id % 7 + 1] || replace(text, '. ', '.  ' || chr(10) || chr(10) || chr(10) || chr(10)) AS t FROM documents),"
+    r" h AS (SELECT *, regexp_extract(regexp_extract(t, '\A(?:[^\n]*(?:\n|\z)){0,20}'), '(?im)\A[\s\S]{0,4}?^" + fixed.LICENSE_HEAD + "') AS head FROM d), b AS (SELECT *, substr(t, length(head) + 1) AS body FROM h),"
+    f" s AS (SELECT doc_id, t, array_to_string(list_transform(list_zip(string_split_regex(body, {_STRINGS}), list_transform(regexp_extract_all(body, {_STRINGS}), lambda x: {_CUT})), lambda z: z[1] || coalesce(z[2], '')), '') AS x FROM b),"
+    r" c AS (SELECT doc_id, t, regexp_replace(regexp_replace(regexp_replace(x, '\n{3,}', chr(10) || chr(10), 'g'), '(?m)[ \t\r\f\v]+$', '', 'g'), '\A\s+|\s+\z', '', 'g') AS c FROM s),"
+    " r AS (SELECT *, length(t) < 200 OR length(c) / greatest(length(t), 1) < 0.6 AS keep FROM c)"
+    " SELECT doc_id, length(t)::INT AS original_chars, length(CASE WHEN keep THEN t ELSE c END)::INT AS compressed_chars, CASE WHEN keep THEN 1.0 ELSE round(length(c) / length(t), 3) END::DOUBLE AS ratio, sha256(CASE WHEN keep THEN t ELSE c END) AS digest FROM r"
+)
 
-@query("b3_compress", f"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '# Copyright holder' || chr(10) || '# line' || chr(10) ELSE '' END || replace(text, '. ', '.  ' || chr(10) || chr(10) || chr(10) || chr(10)) AS t FROM documents),
-x AS (SELECT doc_id, t, regexp_replace(t, '(?i)\\A\\s{{0,4}}(?:/\\*[^*]*(?:license|copyright)[^*]*\\*/\\n?|(?:(?:#|//)[^\\n]*(?:license|copyright)[^\\n]*\\n)(?:(?:#|//)[^\\n]*\\n)*|<!--[^\\n]*copyright[^\\n]*-->\\n?)', '') AS x FROM d),
-c AS (SELECT doc_id, t, {_C} AS c FROM x), r AS (SELECT *, length(t) < 200 OR length(c) / greatest(length(t), 1) < 0.6 AS keep FROM c)
-SELECT doc_id, length(t)::INT AS original_chars, length(CASE WHEN keep THEN t ELSE c END)::INT AS compressed_chars, CASE WHEN keep THEN 1.0 ELSE round(length(c) / length(t), 3) END::DOUBLE AS ratio, sha256(CASE WHEN keep THEN t ELSE c END) AS digest FROM r""")
+
+@query("b3_compress", _B3)
 def b3(t):
-    head = F.when(F.col("doc_id") % 3 == 0, "# Copyright holder\n# line\n").otherwise("")
+    head = F.element_at(F.array(*[F.lit(x) for x in HEADS]), (F.col("doc_id") % 7 + 1).cast("int"))
     d = t.documents.select("doc_id", F.concat(head, F.replace("text", F.lit(". "), F.lit(".  \n\n\n\n"))).alias("t"))
     out, ratio = N.compress(F.col("t"))
     return d.select("doc_id", F.length("t").alias("original_chars"), F.length(out).alias("compressed_chars"), ratio.alias("ratio"), F.sha2(out, 256).alias("digest"))
 
 
-@query("b4_session", """SELECT conv_id, string_agg(substr(text, 1, 500), chr(10) ORDER BY turn)[:1200] AS context, count(*)::BIGINT AS items FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role, text) AS rn FROM conversations) WHERE rn <= 10 GROUP BY conv_id""")
-def b4(t):
-    w = Window.partitionBy("conv_id").orderBy(F.desc("turn"), "role", "text")
-    last = t.conversations.withColumn("rn", F.row_number().over(w)).where("rn <= 10")
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("turn", F.substring("text", 1, 500).alias("s")))), lambda x: x["s"])
-    return last.groupBy("conv_id").agg(F.substring(F.array_join(parts, "\n"), 1, 1200).alias("context"), F.count("*").alias("items"))
-
-
 def _any_sql(terms, col="low"):
     return " + ".join(f"contains({col}, '{x}')::INT" for x in terms)
 
@@ -182,13 +193,13 @@ def _re(patterns):
     return "(" + " OR ".join(f"regexp_matches(q, '{esc(p)}')" for p in patterns) + ")"
 
 
-@query("f_complexity", f"""WITH d AS (SELECT doc_id, text[:400] AS q, lower(text[:400]) AS low FROM documents),
+@query("f_complexity", f"""WITH d AS (SELECT doc_id, text AS q, lower(text) AS low FROM documents),
 s AS (SELECT doc_id, CASE WHEN {_re(fixed.MULTI_FILE)} THEN 1.0 WHEN len(list_distinct(regexp_extract_all(q, '\\b\\w+\\.\\w{{2,5}}\\b'))) >= 3 THEN 1.0 WHEN len(list_distinct(regexp_extract_all(q, '\\b\\w+\\.\\w{{2,5}}\\b'))) = 2 THEN 0.6 ELSE 0.0 END::DOUBLE AS s_file, CASE WHEN {_re(fixed.STACK_TRACE)} THEN 1.0 ELSE 0.0 END::DOUBLE AS s_trace,
 CASE {_any_sql(fixed.ARCHITECTURE)} WHEN 0 THEN 0.0 WHEN 1 THEN 0.5 ELSE 1.0 END::DOUBLE AS s_arch, floor(len(regexp_extract_all(q, '\\S+')) / 0.75) AS w FROM d),
 u AS (SELECT *, CASE WHEN w >= 300 THEN 1.0 WHEN w >= 150 THEN 0.5 WHEN w >= 80 THEN 0.2 ELSE 0.0 END::DOUBLE AS s_tokens FROM s), v AS (SELECT *, round(least(greatest(0.4::DOUBLE * s_file + 0.3::DOUBLE * s_trace + 0.2::DOUBLE * s_arch + 0.1::DOUBLE * s_tokens, 0), 1), 6) AS score FROM u)
 SELECT doc_id, s_file, s_trace, s_arch, s_tokens, score, CASE WHEN score < 0.3 THEN 'local' WHEN score < 0.7 THEN 'cheap' ELSE 'reason' END AS tier FROM v""")
 def f_complexity(t):
-    d = t.documents.select("doc_id", F.substring("text", 1, 400).alias("q"))
+    d = t.documents.select("doc_id", F.col("text").alias("q"))
     return d.select("doc_id", *[c.alias(k) for k, c in N.complexity(F.col("q")).items()])
 
 
@@ -200,10 +211,10 @@ def f_tasktype(t):
     return t.documents.select("doc_id", N.task_type(F.col("text")).alias("task_type"))
 
 
-@query("f_spec", r"""WITH d AS (SELECT doc_id, 'see src/' || source || '.py and ' || text[:200] AS g FROM documents), f AS (SELECT doc_id, list_distinct(regexp_extract_all(g, '\b[\w/.-]+\.(?:py|ts|tsx|js|go|java|rb|rs|cs|cpp|h)\b')) AS files FROM d)
+@query("f_spec", r"""WITH d AS (SELECT doc_id, 'see src/' || source || '.py and ' || text AS g FROM documents), f AS (SELECT doc_id, list_distinct(regexp_extract_all(g, '\b[\w/.-]+\.(?:py|ts|tsx|js|go|java|rb|rs|cs|cpp|h)\b')) AS files FROM d)
 SELECT doc_id, len(files)::INT AS n_files, array_to_string(list_sort(files), '|') AS files, 'python' AS language FROM f""")
 def f_spec(t):
-    d = t.documents.select("doc_id", F.concat(F.lit("see src/"), "source", F.lit(".py and "), F.substring("text", 1, 200)).alias("g"))
+    d = t.documents.select("doc_id", F.concat(F.lit("see src/"), "source", F.lit(".py and "), "text").alias("g"))
     s = N.spec(F.col("g"))
     return d.select("doc_id", F.size(s["files"]).alias("n_files"), F.array_join(F.array_sort(s["files"]), "|").alias("files"), s["language"].alias("language"))
 
@@ -214,14 +225,28 @@ def f_route(t):
     return t.events.select("event_id", N.route(task).alias("model_class"))
 
 
-@query("x11_eval", f"""WITH {sparse_sql(40, 5)}, e AS (SELECT b.item_id AS query_id, list(d.doc_id::VARCHAR ORDER BY d.doc_id) AS expected FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE b.item_id < 40 GROUP BY 1),
+@query("x11_eval", f"""WITH {sparse_sql(5)}, e AS (SELECT b.item_id AS query_id, list(d.doc_id::VARCHAR ORDER BY d.doc_id) AS expected FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY 1),
 f AS (SELECT e.query_id, min(CASE WHEN list_contains(expected, s.id::VARCHAR) THEN rn END) AS first FROM e LEFT JOIN sparse s USING (query_id) GROUP BY 1)
 SELECT query_id, coalesce((first <= 1)::INT, 0) AS hit1, coalesce((first <= 3)::INT, 0) AS hit3, coalesce((first <= 5)::INT, 0) AS hit5, round(coalesce(1.0::DOUBLE / first, 0), 6) AS mrr FROM f""")
 def x11(t):
-    items = item_queries(t, 40)
-    # expected documents: those that hold the passage; equality of a 3-token start narrows the substring test
-    starts = items.select("query_id", F.col("text").alias("passage"))
-    found = t.documents.select("doc_id", "text").join(F.broadcast(starts), F.col("text").contains(F.col("passage")))
-    cases = found.groupBy("query_id").agg(F.collect_set(F.concat(F.lit("/"), F.col("doc_id").cast("string"), F.lit("/"))).alias("expected"))
-    hits = R.bm25(items, docs(t), 5).withColumn("path", F.concat(F.lit("/"), F.col("id").cast("string"), F.lit("/")))
-    return N.evaluate(cases, hits)
+    """Expected documents are those that hold the passage."""
+    items = item_queries(t)
+    found = N.holders(items.select(F.col("query_id").alias("passage_id"), "text"), docs(t))
+    hits = R.bm25(items, docs(t), 5)
+    return N.evaluate_ids(found.select(F.col("passage_id").alias("query_id"), "id"), hits)
+
+
+@query("n6_cosine", f"""WITH tf AS (SELECT doc_id, term, count(*) AS c FROM (SELECT doc_id, unnest({TOK.format('text')}) AS term FROM documents) GROUP BY ALL), n AS (SELECT doc_id, sqrt(sum(c * c)) AS n FROM tf GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1), d AS (SELECT p.a, p.b, sum(x.c * y.c) AS dot FROM p JOIN tf x ON x.doc_id = p.a JOIN tf y ON y.doc_id = p.b AND y.term = x.term GROUP BY 1, 2)
+SELECT p.a, p.b, coalesce(round(dot / (x.n * y.n), 6), 0.0::DOUBLE) AS cosine FROM p LEFT JOIN d USING (a, b) LEFT JOIN n x ON x.doc_id = p.a LEFT JOIN n y ON y.doc_id = p.b""")
+def n6(t):
+    """Each document and the next."""
+    pairs = t.documents.select(F.col("doc_id").alias("a")).join(t.documents.select(F.col("doc_id").alias("b")), F.col("b") == F.col("a") + 1)
+    return N.cosine_pairs(pairs, docs(t))
+
+
+@query("j10_overlap_pairs", f"""WITH {sparse_sql(24)}, r AS (SELECT s.query_id, s.rn, s.id, unnest(list_distinct({TOK.format('d.text')})) AS term FROM sparse s JOIN documents d ON d.doc_id = s.id)
+SELECT a.query_id, a.id AS a, b.id AS b, count(*) AS shared FROM r a JOIN r b ON a.query_id = b.query_id AND a.term = b.term AND a.rn < b.rn GROUP BY ALL""")
+def j10(t):
+    hits = R.bm25(item_queries(t), docs(t), 24)
+    return N.overlap_pairs(hits.join(docs(t).select("id", "text"), "id"))

@@ -16,21 +16,6 @@ from quern.plans.registry import query
 from quern.plans.retrieval_plans import TOK
 
 
-@query("s8_doc_paths", "SELECT DISTINCT source AS path FROM documents WHERE lang = 'fr'")
-def s8(t):
-    return t.documents.where("lang = 'fr'").select(F.col("source").alias("path")).distinct()
-
-
-@query("s10_task_history", "SELECT o_orderkey FROM orders WHERE o_custkey = 7 ORDER BY o_orderdate DESC, o_orderkey LIMIT 20")
-def s10(t):
-    return t.orders.where("o_custkey = 7").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(20).select("o_orderkey")
-
-
-@query("k10_checkpoints", "SELECT o_custkey AS task_id, max_by(o_orderstatus, struct_pack(d := o_orderdate, k := o_orderkey)) AS status, count(*) AS versions FROM orders GROUP BY o_custkey")
-def k10(t):
-    return t.orders.groupBy(F.col("o_custkey").alias("task_id")).agg(F.max_by("o_orderstatus", F.struct("o_orderdate", "o_orderkey")).alias("status"), F.count("*").alias("versions"))
-
-
 @query("k12_memory_write", "SELECT conv_id, turn, 'new' AS origin FROM conversations WHERE turn = 0 UNION ALL SELECT conv_id, turn, 'old' FROM conversations WHERE turn <> 0")
 def k12(t):
     old = t.conversations.select("conv_id", "turn", F.lit("old").alias("origin"))
@@ -38,31 +23,6 @@ def k12(t):
     return D.upsert(old, new, ["conv_id", "turn"])
 
 
-@query("k16_render", "SELECT lang, string_agg('- ' || source || ': ' || n, chr(10) ORDER BY source) AS text FROM (SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL) GROUP BY lang")
-def k16(t):
-    g = t.documents.groupBy("lang", "source").agg(F.count("*").alias("n"))
-    rows = F.transform(F.array_sort(F.collect_list(F.struct("source", "n"))), lambda x: F.format_string("- %s: %d", x["source"], x["n"]))
-    return g.groupBy("lang").agg(F.array_join(rows, "\n").alias("text"))
-
-
-@query("t2_imports", r"WITH c AS (SELECT p_partkey, 'import os' || chr(10) || 'from ' || p_brand || ' import x' || chr(10) || 'import os' || chr(10) || 'y = 1' AS code FROM part) SELECT p_partkey, array_to_string(list_sort(list_distinct(regexp_extract_all(code, '(?m)^(?:import|from)\s+\S+.*$'))), '|') AS imports FROM c")
-def t2(t):
-    code = F.concat(F.lit("import os\nfrom "), "p_brand", F.lit(" import x\nimport os\ny = 1"))
-    return t.part.select("p_partkey", F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all(code, F.lit(r"(?m)^(?:import|from)\s+\S+.*$"), F.lit(0)))), "|").alias("imports"))
-
-
-@query("t9_split", "SELECT doc_id, length(text) <= 3200 AS whole FROM documents")
-def t9(t):
-    return t.documents.select("doc_id", (F.length("text") <= 3200).alias("whole"))
-
-
-@query("t16_summary_chunks", "WITH m AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL) SELECT source AS project, 'profile' AS kind, 'Project ' || source || ' has ' || sum(n)::BIGINT || ' files.' AS text FROM m GROUP BY source UNION ALL SELECT source, 'module', 'Module ' || lang || ' of ' || source || ': ' || n || ' files.' FROM m")
-def t16(t):
-    m = t.documents.groupBy("source", "lang").agg(F.count("*").alias("n"))
-    whole = m.groupBy(F.col("source").alias("project")).agg(F.sum("n").alias("n")).select("project", F.lit("profile").alias("kind"), F.format_string("Project %s has %d files.", "project", "n").alias("text"))
-    return whole.union(m.select("source", F.lit("module"), F.format_string("Module %s of %s: %d files.", "lang", "source", "n")))
-
-
 @query("p2_doc_filter", "SELECT doc_id FROM documents WHERE lang = 'de' AND NOT source = 'src2'")
 def p2(t):
     rows = D.tombstone(t.documents.select("doc_id", "lang", "source", F.lit(False).alias("is_deleted")), F.col("source") == "src2")
@@ -80,12 +40,6 @@ def p8(t):
     return t.documents.join(names, "source", "left_semi").select("doc_id")
 
 
-@query("p12_shapes", "SELECT doc_id, CASE lang WHEN 'en' THEN 'code' WHEN 'de' THEN 'agent_doc' WHEN 'fr' THEN 'repo_summary' ELSE 'episodic_memory' END AS source_type, CASE WHEN lang = 'en' THEN source WHEN lang = 'de' THEN source || '.md' END AS file FROM documents")
-def p12(t):
-    kind = lookup(F.col("lang"), {"en": "code", "de": "agent_doc", "fr": "repo_summary"}, "episodic_memory")
-    return t.documents.select("doc_id", kind.alias("source_type"), F.when(kind == "code", F.col("source")).when(kind == "agent_doc", F.concat("source", F.lit(".md"))).alias("file"))
-
-
 @query("p15_valid", f"WITH {_MEM} SELECT conv_id, turn, status = 'active' AND (valid_to IS NULL OR valid_to >= 40) AS valid FROM l")
 def p15(t):
     return memories(t).select("conv_id", "turn", M.valid(F.lit(40)).alias("valid"))
@@ -97,17 +51,6 @@ def p16(t):
     return G.check_labels(e).select("c_custkey", "ok")
 
 
-@query("n6_cosine", f"""WITH tf AS (SELECT doc_id, term, count(*) AS c FROM (SELECT doc_id, unnest({TOK.format('text')}) AS term FROM documents WHERE doc_id < 60) GROUP BY ALL), n AS (SELECT doc_id, sqrt(sum(c * c)) AS n FROM tf GROUP BY doc_id)
-SELECT a.doc_id AS a, b.doc_id AS b, round(sum(a.c * b.c) / any_value(x.n * y.n), 6) AS cosine FROM tf a JOIN tf b ON a.term = b.term AND a.doc_id < b.doc_id JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id GROUP BY 1, 2""")
-def n6(t):
-    """Term-frequency cosine of the pairs of one short hit list that share a term."""
-    tf = t.documents.where("doc_id < 60").select("doc_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("c"))
-    norm = tf.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("n"))
-    full = tf.join(norm, "doc_id")
-    a, b = full.select(F.col("doc_id").alias("a"), "term", F.col("c").alias("ca"), F.col("n").alias("na")), full.select(F.col("doc_id").alias("b"), "term", F.col("c").alias("cb"), F.col("n").alias("nb"))
-    return a.join(b, "term").where("a < b").groupBy("a", "b").agg(F.round(F.sum(F.col("ca") * F.col("cb")) / F.first(F.col("na") * F.col("nb")), 6).alias("cosine"))
-
-
 @query("u3_intersection", f"SELECT item_id, len(list_intersect(list_distinct({TOK.format('text')}), ['the', 'of', 'and']))::INT AS shared FROM benchmark")
 def u3(t):
     return t.benchmark.select("item_id", F.size(F.array_intersect(tokens(F.col("text")), F.array(F.lit("the"), F.lit("of"), F.lit("and")))).alias("shared"))
@@ -124,80 +67,11 @@ def x2(t):
     return M.python_smells(M.code_chunks(t.part.select(F.concat(F.lit("m"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), body.alias("content"))))
 
 
-@query("x7_profile_text", "SELECT source AS project, count(DISTINCT lang) || ' languages, ' || count(*) || ' files, mainly ' || mode_lang AS text FROM documents JOIN (SELECT source AS s, first(lang ORDER BY n DESC, lang) AS mode_lang FROM (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL) GROUP BY source) ON s = source GROUP BY source, mode_lang")
-def x7(t):
-    g = t.documents.groupBy("source", "lang").agg(F.count("*").alias("n"))
-    p = g.groupBy(F.col("source").alias("project")).agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.min(F.struct(-F.col("n"), "lang"))["lang"].alias("main"))
-    return p.select("project", F.format_string("%d languages, %d files, mainly %s", "k", "n", "main").alias("text"))
-
-
-@query("x12_trace", "SELECT user_id, count(*) AS steps, round(sum(value), 4) AS latency, string_agg(event_type, '>' ORDER BY ts, event_id)[:60] AS path FROM events GROUP BY user_id")
-def x12(t):
-    rows = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda x: x["event_type"])
-    return t.events.groupBy("user_id").agg(F.count("*").alias("steps"), F.round(F.sum("value"), 4).alias("latency"), F.substring(F.array_join(rows, ">"), 1, 60).alias("path"))
-
-
-@query("x16_breaker", "WITH r AS (SELECT *, sum((event_type <> 'error')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM events), s AS (SELECT *, sum((event_type = 'error')::INT) OVER (PARTITION BY user_id, run ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS streak FROM r) SELECT event_id, CASE WHEN streak >= 3 THEN 'open' WHEN streak > 0 THEN 'closing' ELSE 'closed' END AS state FROM s")
-def x16(t):
-    """State of a circuit breaker after each event: open from three failures in a row on."""
-    s = A.consecutive(t.events, "user_id", ["ts", "event_id"], F.col("event_type") == "error")
-    return s.select("event_id", ladder([(F.col("streak") >= 3, "open"), (F.col("streak") > 0, "closing")], "closed").alias("state"))
-
-
 @query("y3_last_n", "SELECT user_id, event_id, rn FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn <= 10")
 def y3(t):
     return A.last_n(t.events, "user_id", [F.desc("ts"), F.desc("event_id")], 10).select("user_id", "event_id", "rn")
 
 
-@query("h11_impact_text", "SELECT source, string_agg(doc_id::VARCHAR, ', ' ORDER BY doc_id) AS text FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents) WHERE rn <= 12 GROUP BY source")
-def h11(t):
-    w = Window.partitionBy("source").orderBy("doc_id")
-    first = t.documents.withColumn("rn", F.row_number().over(w)).where("rn <= 12")
-    return first.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), ", ").alias("text"))
-
-
-@query("h12_lifecycle", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'EXECUTING' WHEN o_orderstatus = 'O' THEN 'DONE' ELSE o_orderstatus END AS status FROM orders")
-def h12(t):
-    """Approve what waits (P), complete what is open (O); all else stays."""
-    return t.orders.select("o_orderkey", F.when(F.col("o_orderstatus") == "P", "EXECUTING").when(F.col("o_orderstatus") == "O", "DONE").otherwise(F.col("o_orderstatus")).alias("status"))
-
-
-@query("h15_plan_lines", "SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY pos) - 1 AS step, s AS description FROM (SELECT item_id, trim(unnest(string_split(text, '.'))) AS s, generate_subscripts(string_split(text, '.'), 1) AS pos FROM benchmark) WHERE s <> ''")
-def h15(t):
-    rows = t.benchmark.select("item_id", F.posexplode(F.split("text", r"\.")).alias("at", "s")).select("item_id", "at", F.trim("s").alias("description")).where("description <> ''")
-    w = Window.partitionBy("item_id").orderBy("at")
-    return rows.select("item_id", (F.row_number().over(w) - 1).cast("long").alias("step"), "description")
-
-
-@query("h18_cache_then_table", "SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 3 = 0 THEN 'cached' END, o_orderstatus) AS status, 1 AS version FROM orders")
-def h18(t):
-    cache = t.orders.where("o_orderkey % 3 = 0").select("o_orderkey", F.lit("cached").alias("cached"))
-    return t.orders.join(cache, "o_orderkey", "left").select("o_orderkey", F.coalesce("cached", "o_orderstatus").alias("status"), F.lit(1).alias("version"))
-
-
-@query("h20_parse", "SELECT event_id, coalesce(json_extract_string(props, '$.key'), json_extract_string(props, '$.k'), 'none') AS k FROM events")
-def h20(t):
-    """A value under one of several keys."""
-    return t.events.select("event_id", F.coalesce(F.get_json_object("props", "$.key"), F.get_json_object("props", "$.k"), F.lit("none")).alias("k"))
-
-
-@query("h21_top_files", "SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 10")
-def h21(t):
-    return t.documents.orderBy(F.desc("n_chars"), "doc_id").limit(10).select("doc_id", "n_chars")
-
-
-@query("h22_step_counters", "SELECT user_id, count(*) FILTER (event_type = 'signup') AS spec, count(*) FILTER (event_type = 'purchase') AS done, count(*) FILTER (event_type = 'error') AS failed FROM events GROUP BY user_id")
-def h22(t):
-    n = lambda k: F.count_if(F.col("event_type") == k)
-    return t.events.groupBy("user_id").agg(n("signup").alias("spec"), n("purchase").alias("done"), n("error").alias("failed"))
-
-
-@query("h25_model_chain", "SELECT event_id, ['model', 'analysis', 'reasoning'][least(event_id % 5 + 1, 3)] AS used FROM events")
-def h25(t):
-    chain = F.array(F.lit("model"), F.lit("analysis"), F.lit("reasoning"))
-    return t.events.select("event_id", F.element_at(chain, F.least(F.col("event_id") % 5 + 1, F.size(chain)).cast("int")).alias("used"))
-
-
 @query("h33_doc_chunks", r"""WITH r AS (SELECT doc_id, text, {} AS safe, {} AS risk FROM documents WHERE n_chars > 0) SELECT doc_id, sha256(safe) AS checksum, substr(sha256('doc|' || doc_id || '|0'), 1, 16) AS chunk_id FROM r WHERE risk <= 0.8""")
 def h33(t):
     """Sections redacted, skipped if too risky, with ids by position and checksums after redaction."""
@@ -215,13 +89,6 @@ def s12(t):
     return r.select("event_id", "r.level", "r.msg")
 
 
-@query("k2_doc_upsert", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 1 END AS schema_version, coalesce(CASE WHEN doc_id % 2 = 0 THEN 'code' END, lang) AS source_type FROM documents")
-def k2(t):
-    old = t.documents.select("doc_id", F.lit(1).alias("schema_version"), F.col("lang").alias("source_type"))
-    new = t.documents.where("doc_id % 2 = 0").select("doc_id", F.lit(2).alias("schema_version"), F.coalesce(F.lit(None).cast("string"), F.lit("code")).alias("source_type"))
-    return D.upsert(old, new, "doc_id")
-
-
 @query("h2_decisions", f"WITH {_MEM} SELECT conv_id, turn, 'architectural_decision' AS memory_type, 'decision' AS layer FROM l WHERE role = 'assistant'")
 def h2(t):
     kind = F.lit("architectural_decision")
@@ -242,27 +109,6 @@ def h17(t):
     return t.events.select("event_id", tier.alias("tier"))
 
 
-@query("h19_session", "SELECT conv_id, turn, substr(text, 1, 200) AS content, length(text) > 200 AS cut FROM conversations WHERE role = 'user'")
-def h19(t):
-    """Saved as JSON with cut fields, read back."""
-    saved = t.conversations.where("role = 'user'").select("conv_id", "turn", F.to_json(F.struct(F.substring("text", 1, 200).alias("content"), (F.length("text") > 200).alias("cut"))).alias("j"))
-    return saved.select("conv_id", "turn", F.from_json("j", "content string, cut boolean").alias("s")).select("conv_id", "turn", "s.content", "s.cut")
-
-
-@query("h24_audit", "SELECT event_id, event_type IN ('signup', 'purchase', 'error') AS known FROM events WHERE user_id < 50")
-def h24(t):
-    return t.events.where("user_id < 50").select("event_id", F.col("event_type").isin("signup", "purchase", "error").alias("known"))
-
-
-@query("j10_overlap_pairs", f"""WITH r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rn, list_distinct({TOK.format('text')}) AS t FROM documents QUALIFY rn <= 6)
-SELECT a.source, a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.t, b.t))::INT AS shared FROM r a JOIN r b ON a.source = b.source AND a.rn < b.rn""")
-def j10(t):
-    w = Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")
-    r = t.documents.withColumn("rn", F.row_number().over(w)).where("rn <= 6").select("source", "doc_id", "rn", F.array_distinct(tokens(F.col("text"))).alias("t"))
-    a, b = (r.select("source", F.col("doc_id").alias(n), F.col("rn").alias(f"r{n}"), F.col("t").alias(f"t{n}")) for n in "ab")
-    return a.join(b, "source").where("ra < rb").select("source", "a", "b", F.size(F.array_intersect("ta", "tb")).alias("shared"))
-
-
 def _fill() -> None:
     from quern.plans.chunk_plans import _redact_sql
     from quern.plans.registry import SQL

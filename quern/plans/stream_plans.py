@@ -13,13 +13,14 @@ from quern.session import shared_dir
 from quern.streaming import events as S
 
 
-def _finished(t, stream: DataFrame, mode: str) -> DataFrame:
-    """Run a stream over the events table and read back its last state (complete) or all its rows (append)."""
-    base = f"{shared_dir(t.spark)}/{t.spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
+def _base(t, name: str) -> str:
+    return f"{shared_dir(t.spark)}/{t.spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
-    def write(batch: DataFrame, n: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{base}/out")
 
+def _finished(t, stream: DataFrame, mode: str) -> DataFrame:
+    """Run a stream over the events table and read back its last state (complete) or all its rows (append)."""
+    base = _base(t, "stream")
+    write = S.appended(f"{base}/out") if mode == "append" else lambda batch, n: batch.write.mode("overwrite").parquet(f"{base}/out")
     S.run_to_table(stream, f"{base}/checkpoint", mode, write)
     return t.spark.read.schema(stream.schema).parquet(f"{base}/out")
 
@@ -28,6 +29,22 @@ def _events(t) -> DataFrame:
     return S.event_stream(t.spark, t.folder)
 
 
+#: Files that the events arrive in, and how many of them before the query is stopped and started again.
+FILES, BEFORE = 4, 2
+
+
+def _restarted(t, step, parts: int = FILES) -> DataFrame:
+    """The state after all events, which arrive in files by number; the query is stopped after the first and goes on from its
+    checkpoint with the rest."""
+    base = _base(t, "states")
+    rows = t.events.withColumn("_part", (F.col("event_id") % parts).cast("int"))
+    for low, high in ((0, BEFORE), (BEFORE, parts)):
+        for k in range(low, high):
+            rows.where(F.col("_part") == k).drop("_part").coalesce(1).write.mode("append").parquet(f"{base}/in")
+        S.run_to_table(S.event_stream(t.spark, f"{base}/in", "*.parquet"), f"{base}/checkpoint", "append", S.stateful(f"{base}/out", step))
+    return S.last_state(t.spark, f"{base}/out")
+
+
 @query("y1_stream_counts", "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY event_type")
 def y1(t):
     return _finished(t, S.counts(_events(t)), "complete").select("event_type", "n", F.round("total", 4).alias("total"))
@@ -45,20 +62,44 @@ def y1_tail(t):
 
 @query("y7_stream_sync", "SELECT user_id, max(event_id) AS event_id FROM events GROUP BY user_id")
 def y7(t):
-    base = f"{shared_dir(t.spark)}/{t.spark.sparkContext.applicationId}/sync-{uuid.uuid4().hex}"
-    versions: list[str] = []
-
-    def write(batch: DataFrame, n: int) -> None:
-        newest = batch.groupBy("user_id").agg(F.max("event_id").alias("event_id"))
-        out = f"{base}/v{n}"
-        if versions:
-            old = batch.sparkSession.read.parquet(versions[-1])
-            newest = S.sync_batch(old, newest, "user_id", "event_id")
-        newest.write.mode("overwrite").parquet(out)
-        versions.append(out)
-
-    S.run_to_table(_events(t), f"{base}/checkpoint", "append", write)
-    return t.spark.read.parquet(versions[-1])
+    """Four micro-batches with a restart between; each brings new and changed keys."""
+
+    def step(old, batch):
+        got = S.sync_batch(old, batch.select("user_id", "event_id"), "user_id", "event_id")
+        # a batch may hold older rows than the index: the newest stays
+        return got if old is None else got.unionByName(old).groupBy("user_id").agg(F.max("event_id").alias("event_id"))
+
+    return _restarted(t, step)
+
+
+@query("y3_stream_last_n", "SELECT user_id, event_id, rn FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events) WHERE rn <= 10")
+def y3_stream(t):
+    return _restarted(t, lambda old, batch: S.last_n_batch(old, batch.select("user_id", "event_id"), "user_id", ["event_id"], 10)).select("user_id", "event_id", "rn")
+
+
+@query("y4_stream_ttl", "SELECT event_id FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 6 HOUR")
+def y4_stream(t):
+    return _restarted(t, lambda old, batch: S.unexpired_batch(old, batch.select("event_id", "ts"), 6 * 3600)).select("event_id")
+
+
+@query("y9_stream_sliding", "WITH s AS (SELECT unnest(range(0, 2)) AS k), e AS (SELECT time_bucket(INTERVAL 12 HOURS, ts, TIMESTAMP '2024-01-01') - k * INTERVAL 12 HOURS AS start, event_type FROM events, s) SELECT strftime(start, '%Y-%m-%d %H') AS start, event_type, count(*) AS n FROM e GROUP BY ALL")
+def y9_sliding(t):
+    return _finished(t, S.windowed(_events(t), "24 hours", "12 hours", late="60 days"), "complete").select(F.date_format("start", "yyyy-MM-dd HH").alias("start"), "event_type", "n")
+
+
+@query("y9_stream_sessions", "WITH g AS (SELECT *, (lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 6 HOURS)::INT AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS no FROM g) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM s GROUP BY user_id, no")
+def y9_sessions(t):
+    return _finished(t, S.sessions(_events(t), "6 hours", late="60 days"), "complete").select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+
+
+@query("y9_stream_unique", "SELECT event_id FROM events")
+def y9_unique(t):
+    """Every event arrives twice; each passes once."""
+    base = _base(t, "twice")
+    for _ in range(2):
+        t.events.coalesce(1).write.mode("append").parquet(f"{base}/in")
+    stream = S.unique(S.event_stream(t.spark, f"{base}/in", "*.parquet").select("event_id", "ts"), ["event_id"], late="60 days")
+    return _finished(t, stream, "append").select("event_id")
 
 
 @query("y4_ttl", "SELECT event_id, ts + INTERVAL 1 HOUR > TIMESTAMP '2024-01-15 12:00:00' AND ts <= TIMESTAMP '2024-01-15 12:00:00' AS live FROM events")

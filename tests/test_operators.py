@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quern.operators import aggregates, chunking, dml, graph, memory, ranking, retrieval
+from quern.operators import aggregates, chunking, dml, graph, lifecycle, memory, ranking, retrieval
 from quern.plans import catalogue
 from quern.sources import tables
 
@@ -111,9 +111,199 @@ def test_sources(spark, tmp_path):
 
 def test_replace_reads_what_it_writes(spark, tmp_path):
     path = f"file://{tmp_path}/t"
-    spark.range(3).write.parquet(path)
-    tables.replace(spark.read.parquet(path).union(spark.range(3, 5)), path)
-    assert spark.read.parquet(path).count() == 5
+    tables.replace(spark.range(3), path)
+    first, old = tables.current(spark, path), tables.table(spark, path)
+    tables.replace(old.union(spark.range(3, 5)), path)
+    assert tables.table(spark, path).count() == 5 and tables.current(spark, path) != first
+    # who reads the version before still can; the one before that is gone
+    assert old.count() == 3
+    tables.replace(spark.range(7), path)
+    assert tables.table(spark, path).count() == 7 and first not in {x.name for x in (tmp_path / "t/versions").iterdir()}
+
+
+@pytest.mark.parametrize("path,purposes", [("a.py", "ipa"), ("src/b.tsx", "ipa"), ("x/.hidden/c.py", "ip"), ("bin/c.py", ""), ("migrations/m.py", "a"), ("out/m.py", "ip"), ("D.PY", "a"), ("e.rb", "a"), ("f.kt", "pa"), ("noext", ""), ("src/bin", "")])
+def test_scans(spark, path, purposes):
+    df = spark.createDataFrame([(path,)], "path string")
+    assert "".join(k[0] for k in tables.SCANS if tables.scan_files(df, k).count()) == purposes
+
+
+def breaker_states(calls, failures, recovery, successes):
+    state, failed, good, last, out = "closed", 0, 0, 0.0, []
+    for at, ok in calls:
+        if state == "open" and at - last >= recovery:
+            state, good = "half_open", 0
+        if state == "open":
+            out.append((False, state))
+            continue
+        if ok and state == "half_open":
+            good += 1
+            if good == successes:
+                state, failed = "closed", 0
+        elif ok:
+            failed = 0
+        else:
+            failed, last = failed + 1, at
+            if state == "half_open" or failed >= failures:
+                state = "open"
+        out.append((True, state))
+    return out
+
+
+def test_breaker(spark):
+    import random
+
+    rng = random.Random(5)
+    calls = {k: [(float(i * 10 + rng.randint(0, 9)), rng.random() < 0.4) for i in range(120)] for k in range(4)}
+    rows = [(k, i, at, ok) for k, c in calls.items() for i, (at, ok) in enumerate(c)]
+    rng.shuffle(rows)
+    got = lifecycle.breaker(spark.createDataFrame(rows, "k long, i long, s double, ok boolean"), "k", ["i"], ["k", "i"], "s", "ok", 3, 60.0, 2).collect()
+    assert {(r.k, r.i): (r.accepted, r.state) for r in got} == {(k, i): x for k, c in calls.items() for i, x in enumerate(breaker_states(c, 3, 60.0, 2))}
+    assert {r.state for r in got} == {"open", "closed", "half_open"}
+
+
+@pytest.mark.parametrize("limit", [30, 60, 10_000])
+def test_split_table(spark, limit):
+    import random
+
+    rng = random.Random(limit)
+    head = "| a |\n|---|"
+    rows = ["| " + "x" * rng.randint(1, 50) + " |" for _ in range(60)]
+    text = "\n".join([head, *rows])
+    want, current = [], []
+    for r in rows:
+        if current and len("\n".join([head, *current, r])) > limit:
+            want.append("\n".join([head, *current]))
+            current = []
+        current.append(r)
+    want.append("\n".join([head, *current]))
+    got = spark.createDataFrame([(text,), (None,)], "t string").select(chunking.split_table(F.col("t"), limit).alias("p")).collect()
+    assert got[0].p == ([text] if len(text) <= limit else want) and got[1].p == []
+
+
+def plain_pack(blocks, limit):
+    chunks, parts, used = [], [], 0
+    for b in blocks:
+        if b > limit:
+            if parts:
+                chunks.append(parts)
+            chunks.append([b])
+            parts, used = [], 0
+        elif used + b + 2 <= limit:
+            parts.append(b)
+            used += b + 2
+        else:
+            if parts:
+                chunks.append(parts)
+            parts, used = [b], b
+    return chunks + ([parts] if parts else [])
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.integers(1, 60), max_size=25))
+def test_pack_lengths(spark, blocks):
+    got = spark.createDataFrame([(blocks,)], "b array<int>").select(chunking.pack_lengths(F.col("b"), 40).alias("c")).first().c
+    assert got == [k for k, c in enumerate(plain_pack(blocks, 40)) for _ in c]
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.one_of(st.integers(-5, 5).map(float), st.floats(-1e6, 1e6, allow_nan=False)), min_size=1, max_size=60))
+def test_nth_of_any_values(spark, values):
+    df = spark.createDataFrame([(k, v) for k in (1, 2) for v in values] + [(1, None)], "k int, v double")
+    got = {r.k: (r.p50, r.n) for r in aggregates.upper_median(df, ["k"], "v").collect()}
+    want = (sorted(values)[len(values) // 2], len(values))
+    assert got == {1: want, 2: want}
+    low = {r.k: r.p95 for r in aggregates.p95(df, ["k"], "v").collect()}
+    assert low == {k: sorted(values)[max(int(len(values) * 0.95) - 1, 0)] for k in (1, 2)}
+
+
+def test_running_and_rolling_means(spark):
+    import random
+
+    rng = random.Random(6)
+    rows = [(k, i, rng.random()) for k in "ab" for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, i long, v double")
+    for part in (F.floor(F.col("i") / 7), F.floor(F.col("i") / 1000)):
+        run = {(r.k, r.i): r.mean for r in aggregates.running_mean(df, "k", ["i"], "v", part).collect()}
+        roll = {(r.k, r.i): r.mean for r in aggregates.rolling_mean(df, "k", ["i"], "v", 20, part, chunk=32).collect()}
+        for k in "ab":
+            v = [x for kk, _, x in rows if kk == k]
+            assert all(abs(run[k, i] - sum(v[: i + 1]) / (i + 1)) < 1e-9 for i in range(300))
+            assert all(abs(roll[k, i] - sum(v[max(0, i - 19) : i + 1]) / min(20, i + 1)) < 1e-9 for i in range(300))
+
+
+def test_edge_types_of_walks(spark):
+    """Forbidden edges lead nowhere, and the allowed ones do, each walk by its own list."""
+    kinds = ["CONTAINS", "OWNS", "CALLS", "DEPENDS_ON", "USES_CONFIG", "AFFECTS_MODULE", "RELATES_TO_RULE", "IMPLEMENTS"]
+    edges = spark.createDataFrame([("a", k, k) for k in kinds] + [(k, k, "z") for k in kinds], "src string, rel string, dst string")
+    a, z = spark.createDataFrame([("a",)], "seed string"), spark.createDataFrame([("z",)], "seed string")
+    names = lambda df, d: {r.node for r in df.collect() if r.distance == d}
+    assert names(graph.expand(a, edges), 1) == {"CONTAINS", "OWNS", "CALLS"}
+    assert names(graph.dependencies(a, edges), 1) == {"CALLS", "DEPENDS_ON", "OWNS", "USES_CONFIG"}
+    assert names(graph.callers(z, edges), 1) == {"CALLS", "DEPENDS_ON", "OWNS", "AFFECTS_MODULE"}
+    both = {r.node: r["size"] for r in graph.communities(edges).collect()}
+    assert both == {"a": 2, "z": 2, "CALLS": 2, "DEPENDS_ON": 2}
+
+
+def test_stored_postings_answer_like_a_scan(spark):
+    import random
+
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(50)]
+    d = spark.createDataFrame([(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 40)))) for i in range(200)] + [(200, None)], "id long, text string")
+    q = spark.createDataFrame([(i, " ".join(rng.sample(words, 4))) for i in range(12)] + [(99, "unknown")], "query_id long, text string")
+    scan = sorted(map(tuple, retrieval.bm25(q, d, 10).collect()))
+    index = retrieval.Index(d, folders=8)
+    assert sorted(map(tuple, index.search(q, 10).collect())) == scan == sorted(map(tuple, retrieval.bm25(q, retrieval.postings(d), 10).collect()))
+    assert sorted(map(tuple, index.search(q, 10, idf=True).collect())) == sorted(map(tuple, retrieval.bm25(q, d, 10, n_docs=201).collect()))
+
+
+def test_clones_of_blocks(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    x = np.round(rng.normal(size=(90, 6)), 3)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = np.round(u @ u.T, 6)
+    want = sorted(((-s[i, j], i, j) for i in range(90) for j in range(i + 1, 90) if s[i, j] >= 0.5))[:40]
+    got = dml.clones(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, vec array<double>"), 0.5, 40, block=16).collect()
+    assert [(r.a, r.b) for r in got] == [(i, j) for _, i, j in want]
+
+
+def test_holders_of_passages(spark):
+    d = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog"), (2, "quick brown fox"), (3, "a\nb"), (4, None), (5, "the quick  brown fox jumps over")], "id long, text string")
+    p = spark.createDataFrame([(1, "ick brown fox jumps over the la"), (2, "fox"), (3, "brown fox"), (4, "a\nb"), (5, "absent words of a passage here"), (6, "quick brown fox jumps")], "passage_id long, text string")
+    assert {tuple(r) for r in ranking.holders(p, d).collect()} == {(1, 1), (2, 1), (2, 2), (2, 5), (3, 1), (3, 2), (3, 5), (4, 3), (6, 1)}
+
+
+def test_streams_survive_a_retried_batch(spark, tmp_path):
+    """A batch that is written twice leaves its rows once; a state is made again from the one before."""
+    from quern.streaming import events as S
+
+    out = f"file://{tmp_path}/out"
+    write = S.appended(out)
+    for n, ids in ((0, [1, 2]), (1, [3]), (1, [3])):
+        write(spark.createDataFrame([(i,) for i in ids], "id long"), n)
+    assert sorted(r.id for r in spark.read.parquet(out).collect()) == [1, 2, 3]
+    keep = S.stateful(f"{out}2", lambda old, b: S.sync_batch(old, b, "k", "v"))
+    for n, rows in ((0, [("a", 1), ("b", 1)]), (1, [("a", 2)]), (1, [("a", 2)]), (2, [("c", 5)])):
+        keep(spark.createDataFrame(rows, "k string, v long"), n)
+    assert {(r.k, r.v) for r in S.last_state(spark, f"{out}2").collect()} == {("a", 2), ("b", 1), ("c", 5)}
+
+
+def test_compression_floor_and_short_texts(spark):
+    long_ = "# license\n" + "x = 1  \n" * 40
+    out, ratio = ranking.compress(F.col("t"))
+    rows = spark.createDataFrame([("short  \n\n\n\n",), (long_,), ("a" + "\n" * 500 + "b",)], "t string").select(out.alias("o"), ratio.alias("r")).collect()
+    assert rows[0].o == "short  \n\n\n\n" and rows[0].r == 1.0
+    assert rows[1].o == ("x = 1\n" * 40).strip() and rows[1].r < 1
+    assert rows[2].r == 1.0 and len(rows[2].o) == 502
+
+
+def test_frames_without_headers(spark):
+    frame = lambda b: bytes([1, 0, 0, 0]) + len(b).to_bytes(4, "big") + b
+    df = spark.createDataFrame([(1, frame("é\n".encode()) + frame(b"b")), (2, b"plain"), (3, b""), (4, None), (5, frame(b"abc")[:9])], "id long, body binary")
+    got = {r.id: r.text for r in lifecycle.frames(df, "id", "body").collect()}
+    assert got == {1: "é\nb", 2: "plain", 3: "", 4: "", 5: "a"}
 
 
 @settings(max_examples=15, deadline=None)
