@@ -643,7 +643,7 @@ def test_pipeline_by_brute_force(spark, tmp_path):
     # copies in other lines; exact copies; texts that take some lines of others, exactly or nearly; what is left of one is short
     for k, i in enumerate((1, 2, 3, 5, 6)):
         texts[400 + k] = wrapped(rng, texts[i].split(), 5, 7)
-        texts[410 + k] = texts[i + 10] or "x"
+        texts[410 + k] = texts[i + 12]
         lines = texts[i + 20].split("\n")
         texts[420 + k] = "\n".join([lines[0], near_copies(rng, lines[1] + " " + sentence(rng, 40), 1)[0], sentence(rng, 15), lines[2]])
         texts[430 + k] = "\n".join([texts[i + 20], sentence(rng, 12)])
