@@ -115,7 +115,8 @@ def running_mean(df: DataFrame, by: str, order: list[str], value: str, part: Col
 
 def rolling_mean(df: DataFrame, by: str, order: list[str], value: str, size: int, part: Column, name: str = "mean", chunk: int = CHUNK) -> DataFrame:
     """``df`` with the mean of the last ``size`` values of the group up to each row. Rows are dealt into chunks by their number;
-    the last rows of a chunk also go to the next one."""
+    the last rows of a chunk also go to the next one, so a chunk is at least as long as the window."""
+    chunk = max(chunk, size)
     rows = numbered(df, by, order, part).withColumn("_chunk", F.floor(F.col("_no") / chunk)).withColumn("_own", F.lit(True))
     tail = rows.where(F.col("_no") % chunk >= chunk - size + 1).withColumn("_chunk", F.col("_chunk") + 1).withColumn("_own", F.lit(False))
     w = Window.partitionBy(by, "_chunk").orderBy("_no").rowsBetween(-(size - 1), 0)

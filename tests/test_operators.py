@@ -225,10 +225,12 @@ def test_running_and_rolling_means(spark):
     for part in (F.floor(F.col("i") / 7), F.floor(F.col("i") / 1000)):
         run = {(r.k, r.i): r.mean for r in aggregates.running_mean(df, "k", ["i"], "v", part).collect()}
         roll = {(r.k, r.i): r.mean for r in aggregates.rolling_mean(df, "k", ["i"], "v", 20, part, chunk=32).collect()}
+        wide = {(r.k, r.i): r.mean for r in aggregates.rolling_mean(df, "k", ["i"], "v", 50, part, chunk=8).collect()}
         for k in "ab":
             v = [x for kk, _, x in rows if kk == k]
             assert all(abs(run[k, i] - sum(v[: i + 1]) / (i + 1)) < 1e-9 for i in range(300))
             assert all(abs(roll[k, i] - sum(v[max(0, i - 19) : i + 1]) / min(20, i + 1)) < 1e-9 for i in range(300))
+            assert all(abs(wide[k, i] - sum(v[max(0, i - 49) : i + 1]) / min(50, i + 1)) < 1e-9 for i in range(300))
 
 
 def test_edge_types_of_walks(spark):
