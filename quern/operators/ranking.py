@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -226,34 +228,40 @@ def evaluate_ids(expected: DataFrame, hits: DataFrame) -> DataFrame:
     return first.select("query_id", at(1).alias("hit1"), at(3).alias("hit3"), at(5).alias("hit5"), F.round(F.coalesce(1.0 / F.col("first"), F.lit(0.0)), 6).alias("mrr"))
 
 
-#: Words of the runs by which passages are looked up.
-RUN = 5
+#: Words of the runs by which passages are looked up; passages without inner words that are tested against a document at once.
+RUN, AT_ONCE = 5, 1_000
 
 
 def holders(passages: DataFrame, docs: DataFrame) -> DataFrame:
     """passage_id, id: the documents (id, text) that hold a passage (passage_id, text) as a substring.
 
     A passage's inner words, which the document must hold as whole words, give a run of RUN words (fewer if it has fewer)
-    whose hash is joined with the runs of the documents; the substring test then decides. Passages without inner words are
-    tested against all documents.
+    whose hash is joined with the runs of the documents. Only ids and hashes meet there; texts are joined to the matches,
+    and the substring test then decides. Passages without inner words are tested against all documents, in blocks.
     """
     words = lambda c: F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " ")
     p = passages.select("passage_id", F.col("text").alias("passage")).withColumn("w", words(F.col("passage")))
     p = p.withColumn("n", F.least(F.size("w") - 2, F.lit(RUN))).withColumn("run", F.when(F.col("n") > 0, F.xxhash64(F.slice("w", F.lit(2), F.greatest("n", F.lit(1))))))
-    sizes = [r.n for r in p.where("n > 0").select("n").distinct().collect()]
-    rows = docs.select("id", F.col("text").alias("body"), words(F.col("text")).alias("dw"))
-    out = rows.join(F.broadcast(p.where("n <= 0")), F.col("body").contains(F.col("passage"))).select("passage_id", "id")
-    if sizes:
+    sizes = {r.n: r["count"] for r in p.where("passage is not null").groupBy("n").count().collect()}
+    texts, parts = docs.select("id", F.col("text").alias("body")), []
+    blocks = -(-sum(k for n, k in sizes.items() if n <= 0) // AT_ONCE)
+    for block in range(blocks):
+        part = p.where((F.col("n") <= 0) & (F.pmod(F.xxhash64("passage_id"), F.lit(blocks)) == block)).select("passage_id", "passage")
+        parts.append(texts.join(F.broadcast(part), F.col("body").contains(F.col("passage"))).select("passage_id", "id"))
+    long = sorted(n for n in sizes if n > 0)
+    if long:
 
         def all_runs(n: int) -> Column:
             starts = F.sequence(F.lit(1), F.greatest(F.size("dw") - n + 1, F.lit(1)))
             return F.when(F.size("dw") >= n, F.transform(starts, lambda i: F.xxhash64(F.slice("dw", i, F.lit(n))))).otherwise(F.array().cast("array<bigint>"))
 
-        runs = rows.select("id", "body", F.explode(F.array_distinct(F.concat(*map(all_runs, sizes)))).alias("run"))
-        # the document's text travels on only where a run matches; texts of equal runs meet their own passages only
-        hit = runs.join(p.where("n > 0").select("passage_id", "passage", "run"), "run").where(F.col("body").contains(F.col("passage")))
-        out = out.union(hit.select("passage_id", "id"))
-    return out.distinct()
+        runs = docs.select("id", words(F.col("text")).alias("dw")).select("id", F.explode(F.array_distinct(F.concat(*map(all_runs, long)))).alias("run"))
+        met = runs.join(p.where("n > 0").select("passage_id", "run"), "run").select("passage_id", "id").distinct()
+        hit = met.join(p.select("passage_id", "passage"), "passage_id").join(texts, "id").where(F.col("body").contains(F.col("passage")))
+        parts.append(hit.select("passage_id", "id"))
+    if not parts:
+        return texts.join(p, F.lit(False)).select("passage_id", "id")
+    return reduce(DataFrame.union, parts).distinct()
 
 
 def overlap_pairs(hits: DataFrame) -> DataFrame:
