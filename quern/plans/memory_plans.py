@@ -247,7 +247,7 @@ def h10(t):
     return got.join(wanted, "key").select(F.col("n_name").alias("collection"), F.col("value").alias("map"), "cached")
 
 
-@query("t1_code_chunks")
+@query("t1_code_chunks", "SELECT 'm' || p_partkey || '.py' AS path, k.t AS chunk_type, k.n || CASE k.t WHEN 'class' THEN p_partkey::VARCHAR ELSE '' END AS name, k.a::INT AS start_line, k.z::INT AS end_line, CASE k.n WHEN 'run' THEN 'C' || p_partkey END AS parent_class FROM part, (VALUES ('class', 'C', 2, 4), ('function', 'run', 3, 4), ('function', 'helper', 6, 7)) k(t, n, a, z)")
 def t1(t):
     body = F.concat(F.lit("import os\nclass C"), F.col("p_partkey").cast("string"), F.lit("(Base):\n    def run(self):\n        return os.getenv('X')\n\ndef helper(a):\n    return len(a)\n"))
     return M.code_chunks(t.part.select(F.concat(F.lit("m"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), body.alias("content"))).select("path", "chunk_type", "name", "start_line", "end_line", "parent_class")
@@ -262,7 +262,7 @@ def t2(t):
     return c.select("path", "name", "chunk_type", *[F.array_join(x, "|").alias(x) for x in ("imports", "calls", "bases")], "parent_class")
 
 
-@query("x4_untested")
+@query("x4_untested", "WITH f AS (SELECT DISTINCT CASE WHEN p_partkey % 8 = 0 THEN 'test_' ELSE '' END || 'm' || p_partkey // 4 || '.py' AS path FROM part) SELECT path, 'public' AS name FROM f WHERE NOT starts_with(path, 'test_') AND 'test_' || path NOT IN (SELECT path FROM f) ORDER BY path LIMIT 20")
 def x4(t):
     body = F.lit("def public(a):\n    return a\n\ndef _hidden():\n    pass\n")
     name = F.concat(F.when(F.col("p_partkey") % 8 == 0, "test_").otherwise(""), F.lit("m"), F.floor(F.col("p_partkey") / 4).cast("string"), F.lit(".py"))

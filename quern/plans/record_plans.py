@@ -61,7 +61,7 @@ def u5(t):
     return t.labels.select("doc_id").join(t.documents, "doc_id", "left_anti").agg((F.count("*") == 0).alias("is_subset"))
 
 
-@query("x2_python_smells")
+@query("x2_python_smells", "SELECT 'm' || p_partkey || '.py' AS path, 'Big' AS name, 'GOD_CLASS' AS smell, (2 * (p_size // 2 + 1) + 1)::INT AS value FROM part WHERE p_size // 2 + 1 > 15")
 def x2(t):
     body = F.concat(F.lit("class Big:\n"), F.array_join(F.transform(F.sequence(F.lit(0), (F.col("p_size") / 2).cast("int")), lambda i: F.concat(F.lit("    def m"), i.cast("string"), F.lit("(self):\n        pass"))), "\n"), F.lit("\n"))
     return M.python_smells(M.code_chunks(t.part.select(F.concat(F.lit("m"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), body.alias("content"))))
