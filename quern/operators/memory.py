@@ -174,12 +174,17 @@ def python_smells(chunks: DataFrame) -> DataFrame:
     return long.unionByName(god)
 
 
-def untested(chunks: DataFrame, limit: int = 20) -> DataFrame:
-    """Public Python functions of files without a sibling test file."""
+def untested_functions(chunks: DataFrame) -> DataFrame:
+    """path, name: public Python functions of files without a sibling test file."""
     folder, file = F.regexp_extract("path", r"^(.*/)?[^/]*$", 1), F.regexp_extract("path", r"([^/]+)\.py$", 1)
     public = chunks.where((F.col("language") == "python") & (F.col("chunk_type") == "function") & ~F.col("name").startswith("_") & ~file.startswith("test_"))
     tests = chunks.select(F.col("path").alias("_t")).distinct()
-    return public.withColumn("_t", F.concat(folder, F.lit("test_"), file, F.lit(".py"))).join(tests, "_t", "left_anti").select("path", "name").distinct().orderBy("path", "name").limit(limit)
+    return public.withColumn("_t", F.concat(folder, F.lit("test_"), file, F.lit(".py"))).join(tests, "_t", "left_anti").select("path", "name").distinct()
+
+
+def untested(chunks: DataFrame, limit: int = 20) -> DataFrame:
+    """The first ``limit`` untested functions by path and name."""
+    return untested_functions(chunks).orderBy("path", "name").limit(limit)
 
 
 def profile(files: DataFrame, path: str = "path", project: str = "project") -> DataFrame:
@@ -327,4 +332,4 @@ def _verdict(command: str | None, folder: str | None, programs: dict[str, str])
 
 def suggest_tests(chunks: DataFrame, path: str, k: int = 5) -> DataFrame:
     """The first ``k`` untested functions of a file, as context for suggestions."""
-    return untested(chunks.where((F.col("path") == path) | F.col("path").contains("test_")), 10 * k).where(F.col("path") == path).limit(k)
+    return untested_functions(chunks).where(F.col("path") == path).orderBy("name").limit(k)

@@ -267,3 +267,15 @@ def x4(t):
     body = F.lit("def public(a):\n    return a\n\ndef _hidden():\n    pass\n")
     name = F.concat(F.when(F.col("p_partkey") % 8 == 0, "test_").otherwise(""), F.lit("m"), F.floor(F.col("p_partkey") / 4).cast("string"), F.lit(".py"))
     return M.untested(M.code_chunks(t.part.select(name.alias("path"), body.alias("content"))))
+
+
+_FUNCTIONS = "WITH f AS (SELECT CASE WHEN p_partkey % 8 = 0 THEN 'test_' ELSE '' END || 'm' || p_partkey // 4 || '.py' AS path, p_size FROM part)"
+
+
+@query("h29_suggest_tests", _FUNCTIONS + " SELECT DISTINCT path, name FROM (SELECT path, unnest(['f' || p_size, 'g' || p_size]) AS name FROM f) WHERE path = 'm3.py' AND 'test_m3.py' NOT IN (SELECT path FROM f) ORDER BY name LIMIT 5")
+def h29(t):
+    """Four parts share a file, each with two public functions."""
+    size = F.col("p_size").cast("string")
+    body = F.concat(F.lit("def f"), size, F.lit("(a):\n    return a\n\ndef g"), size, F.lit("(a):\n    return a\n\ndef _h():\n    pass\n"))
+    name = F.concat(F.when(F.col("p_partkey") % 8 == 0, "test_").otherwise(""), F.lit("m"), F.floor(F.col("p_partkey") / 4).cast("string"), F.lit(".py"))
+    return M.suggest_tests(M.code_chunks(t.part.select(name.alias("path"), body.alias("content"))), "m3.py")

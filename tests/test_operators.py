@@ -91,6 +91,14 @@ def test_three_modules_have_central_names_and_impact(spark):
     assert {(r.node, r.distance) for r in callers.collect()} == {("auth", 1), ("ui", 2)}
 
 
+def test_suggestions_are_of_the_file(spark):
+    """Many untested functions of other files, some named like tests, don't crowd out the file's."""
+    files = [(f"a/my_test_{i}.py", "def f(a):\n    return a\n") for i in range(60)] + [("b/mod.py", "def two(a):\n    return a\n\ndef one(a):\n    return a\n\ndef _no():\n    pass\n")]
+    chunks = memory.code_chunks(spark.createDataFrame(files, "path string, content string"))
+    assert [tuple(r) for r in memory.suggest_tests(chunks, "b/mod.py", 5).collect()] == [("b/mod.py", "one"), ("b/mod.py", "two")]
+    assert memory.untested(chunks, 20).count() == 20
+
+
 def test_task_states(spark):
     rows = [(1, i, True) for i in range(7)] + [(2, i, i != 4) for i in range(5)] + [(3, i, i < 4) for i in range(4)] + [(3, 4 + 2 * k, False) for k in range(4)] + [(3, 5 + 2 * k, True) for k in range(4)]
     got = {r.task_id: (r.node, r.status, r.reflections) for r in memory.task_states(spark.createDataFrame(rows, "task_id long, step int, ok boolean")).collect()}
