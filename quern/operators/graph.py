@@ -1,6 +1,7 @@
 """Property-graph operators on edge tables (src, rel, dst).
 
-Walks are unrolled joins with a distinct per hop, so a node is expanded once per distance and a hop never carries paths.
+Walks that return the nearest nodes keep a frontier per seed that never has more nodes than are returned; ``walk`` returns all nodes.
+Neither carries paths.
 """
 
 from __future__ import annotations
@@ -29,25 +30,62 @@ def walk(seeds: DataFrame, edges: DataFrame, hops: int, reverse: bool = False, t
     return found.groupBy("seed", "node").agg(F.min("distance").alias("distance"))
 
 
+def _adjacency(edges: DataFrame, reverse: bool, types: list[str] | None, least: int) -> DataFrame:
+    """(_from, node): the ``least`` neighbours of each node by name. A hub is cut in the tasks that read it."""
+    some = edges if types is None else edges.where(F.col("rel").isin(types))
+    step = some.select(F.col("dst" if reverse else "src").alias("_from"), F.col("src" if reverse else "dst").alias("node")).distinct()
+    w = Window.partitionBy("_from").orderBy("node")
+    return step.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= least).drop("_k")
+
+
+def nearest_walk(seeds: DataFrame, edges: DataFrame, hops: int, limit: int, reverse: bool = False, types: list[str] | None = None, skip_seed: bool = False) -> DataFrame:
+    """(seed, node, distance, rn): the ``limit`` nearest nodes of each seed within 1..hops steps, by distance, then name.
+
+    The same rows as the first ``limit`` of ``walk``, at a bounded cost. A hop keeps no more new nodes of a seed than it still
+    wants, the least names first; a seed that has all is not expanded again, and one that lacks some has its whole frontier, so
+    the cut loses nothing. Of a node's neighbours only the least ``limit`` names can be known or wanted, so hubs are cut to these
+    before the join. After the first hop a seed is one row.
+    ``skip_seed``: the seed's own name is walked through like others, but is no result.
+    """
+    most, limit = limit, limit + 1 if skip_seed else limit
+    pairs = _adjacency(edges, reverse, types, limit)
+    lists = pairs.groupBy("_from").agg(F.collect_list("node").alias("_next"))
+    starts = seeds.select("seed", F.col("node" if "node" in seeds.columns else "seed").alias("_from"))
+    reached = starts.join(pairs, "_from").select("seed", "node").distinct()
+    first = reached.withColumn("_k", F.row_number().over(Window.partitionBy("seed").orderBy("node"))).where(F.col("_k") <= limit)
+    state = first.groupBy("seed").agg(F.array_sort(F.collect_list("node")).alias("front"))
+    state = state.withColumn("found", F.transform("front", lambda n: F.struct(F.lit(1).alias("distance"), n.alias("node"))))
+    for d in range(2, hops + 1):
+        live = state.where(F.size("found") < limit).select("seed", F.explode("front").alias("_from"))
+        reach = live.join(lists, "_from").groupBy("seed").agg(F.flatten(F.collect_list("_next")).alias("reach"))
+        fresh = F.array_except("reach", F.transform("found", lambda x: x["node"]))
+        front = F.coalesce(F.slice(F.array_sort(fresh), F.lit(1), F.lit(limit) - F.size("found")), F.array().cast("array<string>"))
+        state = state.join(reach, "seed", "left").select("seed", front.alias("front"), "found")
+        state = state.select("seed", "front", F.concat("found", F.transform("front", lambda n: F.struct(F.lit(d).alias("distance"), n.alias("node")))).alias("found"))
+    if skip_seed:
+        state = state.withColumn("found", F.slice(F.filter("found", lambda x: x["node"] != F.col("seed")), 1, most))
+    return state.select("seed", F.posexplode("found").alias("rn", "x")).select("seed", "x.node", "x.distance", (F.col("rn") + 1).cast("long").alias("rn"))
+
+
 def callers(seeds: DataFrame, edges: DataFrame, limit: int = 50) -> DataFrame:
     """The nearest nodes that reach a seed within three steps."""
-    return nearest(walk(seeds, edges, 3, reverse=True, types=fixed.CALLER_TYPES), limit)
+    return nearest_walk(seeds, edges, 3, limit, reverse=True, types=fixed.CALLER_TYPES)
 
 
 def dependencies(seeds: DataFrame, edges: DataFrame, limit: int = 30) -> DataFrame:
     """The nearest nodes that a seed reaches within two steps."""
-    return nearest(walk(seeds, edges, 2, types=fixed.DEPENDENCY_TYPES), limit)
+    return nearest_walk(seeds, edges, 2, limit, types=fixed.DEPENDENCY_TYPES)
 
 
 def nearest(found: DataFrame, limit: int) -> DataFrame:
-    """The ``limit`` nearest nodes of each seed, by distance, then name."""
+    """The ``limit`` nearest nodes of each seed of a whole walk, by distance, then name."""
     w = Window.partitionBy("seed").orderBy("distance", "node")
     return found.withColumn("rn", F.row_number().over(w).cast("long")).where(F.col("rn") <= limit)
 
 
 def expand(seeds: DataFrame, edges: DataFrame, hops: int = 3, limit: int = 15) -> DataFrame:
     """Names around each seed, the seed itself included at distance 0."""
-    reached = nearest(walk(seeds, edges, hops, types=fixed.EXPAND_TYPES).where(F.col("node") != F.col("seed")), limit).select("seed", "node", "distance")
+    reached = nearest_walk(seeds, edges, hops, limit, types=fixed.EXPAND_TYPES, skip_seed=True).select("seed", "node", "distance")
     return reached.union(seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("distance")))
 
 
