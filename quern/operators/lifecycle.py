@@ -177,31 +177,33 @@ def release(locks: DataFrame, keys: DataFrame) -> DataFrame:
 # --- logs
 
 
+def breaker_step(state: tuple, call: tuple, failures: int, recovery: float, successes: int) -> tuple:
+    """((name, failures, successes, last failure), (accepted, name)) after a call (seconds, ok) of a circuit breaker."""
+    name, failed, good, last = state
+    at, fine = call
+    if name == "open" and at - last >= recovery:
+        name, good = "half_open", 0
+    if name == "open":
+        return (name, failed, good, last), (False, name)
+    if fine:
+        if name == "half_open":
+            good += 1
+            name, failed = ("closed", 0) if good >= successes else (name, failed)
+        else:
+            failed = 0
+    else:
+        failed, last = failed + 1, at
+        name = "open" if name == "half_open" or failed >= failures else name
+    return (name, failed, good, last), (True, name)
+
+
 def breaker(events: DataFrame, by: str, order: list[str], keep: list[str], seconds: str, ok: str, failures: int = 5, recovery: float = 60.0, successes: int = 2) -> DataFrame:
     """``keep``, accepted and state (closed, open, half_open) after each call of a circuit breaker, by group in order.
 
     ``seconds``: the call's time. Open from ``failures`` failures in a row on; calls are refused until ``recovery`` seconds have
     passed since the last failure; then half open, where a failure opens it again and ``successes`` successes close it.
     """
-
-    def step(state: tuple, row: tuple) -> tuple:
-        name, failed, good, last = state
-        at, fine = row
-        if name == "open" and at - last >= recovery:
-            name, good = "half_open", 0
-        if name == "open":
-            return (name, failed, good, last), (False, name)
-        if fine:
-            if name == "half_open":
-                good += 1
-                name, failed = ("closed", 0) if good >= successes else (name, failed)
-            else:
-                failed = 0
-        else:
-            failed, last = failed + 1, at
-            name = "open" if name == "half_open" or failed >= failures else name
-        return (name, failed, good, last), (True, name)
-
+    step = lambda state, call: breaker_step(state, call, failures, recovery, successes)
     types = dict(events.dtypes)
     schema = ", ".join(f"{c} {types[c]}" for c in keep) + ", accepted boolean, state string"
     return aggregates.scanned(events, [by], order, keep, [seconds, ok], ("closed", 0, 0, 0.0), step, schema)

@@ -258,29 +258,41 @@ def verification(files: DataFrame, path: str = "path", project: str = "project")
     return files.groupBy(project).agg(ladder([(has(fixed.MARKERS[0][0]), "dotnet"), (has(fixed.MARKERS[3][0]), "flutter"), (has(fixed.MARKERS[1][0]), "node"), (has(fixed.MARKERS[4][0]), "python")], "none").alias("profile"))
 
 
-def task_states(events: DataFrame) -> DataFrame:
-    """Final state of each task from its step results (task_id, step, ok).
+def task_start() -> tuple:
+    """(node, status, reflections) of a task without results."""
+    return 0, "PLANNING", 0
+
+
+def task_step(state: tuple, ok: bool) -> tuple:
+    """The state of a task after the result of a step.
 
     Steps follow TASK_NODES; a failed verifier goes back to the editor up to three times, then the task has FAILED, which is final;
-    a failed reviewer waits for approval, which continues with the summarizer. Tasks are folded one after the other from sorted
-    partitions, so a task of any length takes no memory.
+    a failed reviewer waits for approval, which continues with the summarizer.
     """
     nodes = fixed.TASK_NODES
-    first, editor, last = "PLANNING", nodes.index("editor"), len(nodes) - 1
-
-    def step(state: tuple, ok: bool) -> tuple:
-        node, status, reflections = state
-        if status in ("DONE", "FAILED"):
-            return state
-        if status == "WAITING_APPROVAL":
-            return (last, "EXECUTING", reflections) if ok else (node, "FAILED", reflections)
-        if ok:
-            return (node, "DONE", reflections) if node == last else (node + 1, "EXECUTING", reflections)
-        if nodes[node] == "verifier":
-            return (node, "FAILED", reflections + 1) if reflections >= 3 else (editor, "EXECUTING", reflections + 1)
-        return node, "WAITING_APPROVAL" if nodes[node] == "reviewer" else "FAILED", reflections
-
-    return folded(events, ["task_id"], ["step"], ["ok"], (0, first, 0), lambda s, r: step(s, r[0]), lambda s: (nodes[s[0]], s[1], s[2]), "task_id long, node string, status string, reflections int")
+    editor, last = nodes.index("editor"), len(nodes) - 1
+    node, status, reflections = state
+    if status in ("DONE", "FAILED"):
+        return state
+    if status == "WAITING_APPROVAL":
+        return (last, "EXECUTING", reflections) if ok else (node, "FAILED", reflections)
+    if ok:
+        return (node, "DONE", reflections) if node == last else (node + 1, "EXECUTING", reflections)
+    if nodes[node] == "verifier":
+        return (node, "FAILED", reflections + 1) if reflections >= 3 else (editor, "EXECUTING", reflections + 1)
+    return node, "WAITING_APPROVAL" if nodes[node] == "reviewer" else "FAILED", reflections
+
+
+def task_shown(state: tuple) -> tuple:
+    return fixed.TASK_NODES[state[0]], state[1], state[2]
+
+
+def task_states(events: DataFrame) -> DataFrame:
+    """Final state of each task from its step results (task_id, step, ok), by ``task_step``.
+
+    Tasks are folded one after the other from sorted partitions, so a task of any length takes no memory.
+    """
+    return folded(events, ["task_id"], ["step"], ["ok"], task_start(), lambda s, r: task_step(s, r[0]), task_shown, "task_id long, node string, status string, reflections int")
 
 
 #: Fixed reasons why a command is not run.

@@ -237,9 +237,21 @@ def h21(t):
 # --- logs
 
 
-@query("x16_breaker")
+#: The breaker call by call: r holds the state after each one.
+BREAKER_SQL = """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS s, event_type <> 'error' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS no FROM events),
+r AS (SELECT DISTINCT user_id, 0::BIGINT AS no, NULL::BIGINT AS event_id, NULL::BOOLEAN AS accepted, 'closed' AS state, 0 AS failed, 0 AS good, 0.0::DOUBLE AS last FROM e
+UNION ALL SELECT user_id, no, event_id, state <> 'open' AS accepted,
+  CASE WHEN state = 'open' THEN state WHEN ok AND state = 'half_open' AND good + 1 >= 2 THEN 'closed' WHEN NOT ok AND (state = 'half_open' OR failed + 1 >= 2) THEN 'open' ELSE state END,
+  CASE WHEN state = 'open' THEN failed WHEN NOT ok THEN failed + 1 WHEN state = 'half_open' AND good + 1 < 2 THEN failed ELSE 0 END,
+  CASE WHEN state = 'half_open' AND ok THEN good + 1 ELSE good END, CASE WHEN state <> 'open' AND NOT ok THEN s ELSE last END
+FROM (SELECT e.user_id, e.no, e.event_id, e.s, e.ok, CASE WHEN state = 'open' AND s - last >= 86400.0 THEN 'half_open' ELSE state END AS state, failed, CASE WHEN state = 'open' AND s - last >= 86400.0 THEN 0 ELSE good END AS good, last
+  FROM r JOIN e ON e.user_id = r.user_id AND e.no = r.no + 1))
+SELECT event_id, accepted, state FROM r WHERE no > 0"""
+
+
+@query("x16_breaker", BREAKER_SQL)
 def x16(t):
-    """A breaker for each user; calls are the user's events. Its states depend on one another, so a fold tests it, not SQL."""
+    """A breaker for each user; calls are the user's events."""
     e = t.events.select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), (F.col("event_type") != "error").alias("ok"))
     return L.breaker(e.withColumn("s", F.col("us") / 1e6), "user_id", ["us", "event_id"], ["event_id"], "s", "ok", failures=2, recovery=86_400.0)
 

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from quern.functions import fixed
 from quern.operators import dml as D
 from quern.operators import memory as M
 from quern.plans.registry import query
@@ -105,11 +106,29 @@ def x10(t):
     return M.prune(memories(t), F.lit(40)).select("conv_id", "turn", "status")
 
 
-@query("x13_states")
-def x13(t):
+#: Lines of an order may share a number.
+STEP = "l_linenumber * 1000000000000 + l_partkey * 1000000 + l_suppkey"
+_LAST, _VERIFIER, _REVIEWER, _EDITOR = len(fixed.TASK_NODES) - 1, *map(fixed.TASK_NODES.index, ("verifier", "reviewer", "editor"))
+#: The task machine step by step.
+TASKS_SQL = f"""WITH RECURSIVE e AS (SELECT l_orderkey AS task_id, l_returnflag <> 'R' AS ok, row_number() OVER (PARTITION BY l_orderkey ORDER BY {STEP}) AS no FROM lineitem),
+r AS (SELECT DISTINCT task_id, 0::BIGINT AS no, 0 AS node, 'PLANNING' AS status, 0 AS reflections FROM e
+UNION ALL SELECT e.task_id, e.no,
+  CASE WHEN status IN ('DONE', 'FAILED') THEN node WHEN status = 'WAITING_APPROVAL' THEN CASE WHEN ok THEN {_LAST} ELSE node END WHEN ok THEN least(node + 1, {_LAST}) WHEN node = {_VERIFIER} AND reflections < 3 THEN {_EDITOR} ELSE node END,
+  CASE WHEN status IN ('DONE', 'FAILED') THEN status WHEN status = 'WAITING_APPROVAL' THEN CASE WHEN ok THEN 'EXECUTING' ELSE 'FAILED' END WHEN ok THEN CASE WHEN node = {_LAST} THEN 'DONE' ELSE 'EXECUTING' END
+    WHEN node = {_VERIFIER} THEN CASE WHEN reflections >= 3 THEN 'FAILED' ELSE 'EXECUTING' END WHEN node = {_REVIEWER} THEN 'WAITING_APPROVAL' ELSE 'FAILED' END,
+  reflections + CASE WHEN status NOT IN ('DONE', 'FAILED', 'WAITING_APPROVAL') AND NOT ok AND node = {_VERIFIER} THEN 1 ELSE 0 END
+FROM r JOIN e ON e.task_id = r.task_id AND e.no = r.no + 1)
+SELECT task_id, {fixed.TASK_NODES}[arg_max(node, no) + 1] AS node, arg_max(status, no) AS status, arg_max(reflections, no)::INT AS reflections FROM r GROUP BY task_id"""
+
+
+def order_steps(t):
     """Every order is a task, its lines the results of steps."""
-    steps = t.lineitem.select(F.col("l_orderkey").alias("task_id"), F.col("l_linenumber").alias("step"), (F.col("l_returnflag") != "R").alias("ok"))
-    return M.task_states(steps)
+    return t.lineitem.select(F.col("l_orderkey").alias("task_id"), F.expr(STEP).alias("step"), (F.col("l_returnflag") != "R").alias("ok"))
+
+
+@query("x13_states", TASKS_SQL)
+def x13(t):
+    return M.task_states(order_steps(t))
 
 
 #: A command, its folder and the verdict.

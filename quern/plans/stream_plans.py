@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quern.plans.lifecycle_plans import BREAKER_SQL
+from quern.plans.memory_plans import TASKS_SQL, order_steps
 from quern.plans.registry import query
 from quern.session import shared_dir
 from quern.streaming import events as S
+from quern.streaming import keyed as K
 
 
 def _base(t, name: str) -> str:
@@ -29,20 +32,32 @@ def _events(t) -> DataFrame:
     return S.event_stream(t.spark, t.folder)
 
 
-#: Files that the events arrive in, and how many of them before the query is stopped and started again.
+#: Files that rows arrive in, and how many of them before the query is stopped and started again.
 FILES, BEFORE = 4, 2
 
 
-def _restarted(t, step, parts: int = FILES) -> DataFrame:
-    """The state after all events, which arrive in files by number; the query is stopped after the first and goes on from its
-    checkpoint with the rest."""
-    base = _base(t, "states")
-    rows = t.events.withColumn("_part", (F.col("event_id") % parts).cast("int"))
-    for low, high in ((0, BEFORE), (BEFORE, parts)):
+def _restarted(t, rows: DataFrame, part: F.Column, make) -> DataFrame:
+    """What ``make(stream)`` has given for all rows, which arrive in files by ``part``; the query is stopped after the first files and
+    goes on from its checkpoint with the rest. Each batch's rows are written below its number."""
+    base = _base(t, "keyed")
+    rows = rows.withColumn("_part", part.cast("int"))
+    schema = rows.drop("_part").schema
+    for low, high in ((0, BEFORE), (BEFORE, FILES)):
         for k in range(low, high):
             rows.where(F.col("_part") == k).drop("_part").coalesce(1).write.mode("append").parquet(f"{base}/in")
-        S.run_to_table(S.event_stream(t.spark, f"{base}/in", "*.parquet"), f"{base}/checkpoint", "append", S.stateful(f"{base}/out", step))
-    return S.last_state(t.spark, f"{base}/out")
+        stream = make(t.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in"))
+        S.run_to_table(stream, f"{base}/checkpoint", "update", S.appended(f"{base}/out"))
+    return t.spark.read.schema(stream.schema).parquet(f"{base}/out").drop("batch")
+
+
+def _timed(t) -> DataFrame:
+    return t.events.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _quarter(rows: DataFrame) -> F.Column:
+    """Which of the FILES equal parts of the events a time falls into."""
+    bounds = rows.agg(F.percentile_approx(F.unix_micros("ts"), [k / FILES for k in range(1, FILES)], 1000)).first()[0] or []
+    return sum((F.when(F.unix_micros("ts") > b, 1).otherwise(0) for b in bounds), F.lit(0))
 
 
 @query("y1_stream_counts", "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY event_type")
@@ -62,24 +77,35 @@ def y1_tail(t):
 
 @query("y7_stream_sync", "SELECT user_id, max(event_id) AS event_id FROM events GROUP BY user_id")
 def y7(t):
-    """Four micro-batches with a restart between; each brings new and changed keys."""
-
-    def step(old, batch):
-        got = S.sync_batch(old, batch.select("user_id", "event_id"), "user_id", "event_id")
-        # a batch may hold older rows than the index: the newest stays
-        return got if old is None else got.unionByName(old).groupBy("user_id").agg(F.max("event_id").alias("event_id"))
-
-    return _restarted(t, step)
+    """Batches hold new and changed keys and old versions; only what changed is written."""
+    got = _restarted(t, t.events.select("user_id", "event_id"), F.col("event_id") % FILES, lambda s: K.changed(s, "user_id", "event_id"))
+    return K.current(got, ["user_id"])
 
 
 @query("y3_stream_last_n", "SELECT user_id, event_id, rn FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events) WHERE rn <= 10")
 def y3_stream(t):
-    return _restarted(t, lambda old, batch: S.last_n_batch(old, batch.select("user_id", "event_id"), "user_id", ["event_id"], 10)).select("user_id", "event_id", "rn")
+    got = _restarted(t, t.events.select("user_id", "event_id"), F.col("event_id") % FILES, lambda s: K.last_n(s, "user_id", "event_id", "event_id", 10))
+    return K.current(got, ["user_id"])
 
 
 @query("y4_stream_ttl", "SELECT event_id FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 6 HOUR")
 def y4_stream(t):
-    return _restarted(t, lambda old, batch: S.unexpired_batch(old, batch.select("event_id", "ts"), 6 * 3600)).select("event_id")
+    rows = _timed(t).select("event_id", "ts")
+    return K.still_live(_restarted(t, rows, _quarter(rows), lambda s: K.expiring(s, "event_id", 6 * 3600))).withColumnRenamed("id", "event_id")
+
+
+@query("x16_stream_breaker", BREAKER_SQL)
+def x16_stream(t):
+    """A breaker for each user; events arrive in the order of time."""
+    rows = _timed(t).select("event_id", "ts", "user_id", "event_type")
+    got = _restarted(t, rows, _quarter(rows), lambda s: K.breaker(s, "user_id", "event_id", F.col("event_type") != "error", failures=2, recovery=86_400.0))
+    return got.where("id is not null").select(F.col("id").alias("event_id"), "accepted", "state")
+
+
+@query("x13_stream_tasks", TASKS_SQL)
+def x13_stream(t):
+    """Every order is a task, its lines the results of steps, two steps a file."""
+    return K.current(_restarted(t, order_steps(t), F.least(F.floor((F.col("step") / 10**12 - 1) / 2), F.lit(FILES - 1)), K.tasks), ["task_id"])
 
 
 @query("y9_stream_sliding", "WITH s AS (SELECT unnest(range(0, 2)) AS k), e AS (SELECT time_bucket(INTERVAL 12 HOURS, ts, TIMESTAMP '2024-01-01') - k * INTERVAL 12 HOURS AS start, event_type FROM events, s) SELECT strftime(start, '%Y-%m-%d %H') AS start, event_type, count(*) AS n FROM e GROUP BY ALL")

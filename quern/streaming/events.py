@@ -1,7 +1,6 @@
-"""Structured Streaming: counters, windows, tailing, expiring keys, incremental sync.
+"""Structured Streaming: counters, windows, sessions, tailing. State by key is in ``keyed``.
 
-Batches are written below their number, so a batch that is tried again replaces what it wrote before. State that a query keeps
-itself is a folder a batch: each is made from the one before, which a restarted query finds by its number.
+Batches are written below their number, so a batch that is tried again replaces what it wrote before.
 """
 
 from __future__ import annotations
@@ -11,9 +10,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.operators.aggregates import last_n
-from quern.operators.dml import sync, upsert
-
 
 def event_stream(spark: SparkSession, folder: str, pattern: str = "events.parquet", files: int = 1) -> DataFrame:
     """The events of the files in a folder, as they come; ts becomes a timestamp, so that watermarks work."""
@@ -60,44 +56,3 @@ def appended(out: str) -> Callable[[DataFrame, int], None]:
         batch.write.mode("overwrite").parquet(f"{out}/batch={n}")
 
     return write
-
-
-def stateful(out: str, step: Callable[[DataFrame | None, DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """A writer of states: the state after batch n is ``step`` of the state after batch n - 1 (None at first) and the batch."""
-
-    def write(batch: DataFrame, n: int) -> None:
-        old = batch.sparkSession.read.parquet(f"{out}/state={n - 1}") if n else None
-        step(old, batch).write.mode("overwrite").parquet(f"{out}/state={n}")
-
-    return write
-
-
-def last_state(spark: SparkSession, out: str) -> DataFrame:
-    """The newest state below a folder."""
-    J = spark._jvm.org.apache.hadoop.fs
-    fs = J.Path(out).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    numbers = [int(f.getPath().getName().split("=")[1]) for f in fs.listStatus(J.Path(out)) if f.getPath().getName().startswith("state=")]
-    return spark.read.parquet(f"{out}/state={max(numbers)}")
-
-
-def sync_batch(index: DataFrame | None, batch: DataFrame, key: str, checksum: str) -> DataFrame:
-    """The index after a micro-batch: the batch's newest row of each key, written over the old one if it is new or changed."""
-    newest = batch.groupBy(key).agg(F.max(checksum).alias(checksum))
-    if index is None:
-        return newest
-    # keys that a batch does not hold are no deletions
-    changed = sync(newest, index, key, checksum).where("action = 'upsert'").select(key)
-    return upsert(index, newest.join(changed, key, "left_semi"), key)
-
-
-def last_n_batch(state: DataFrame | None, batch: DataFrame, by: str, order: list[str], n: int) -> DataFrame:
-    """The ``n`` newest rows of each key after a micro-batch: only what was kept and what is new is ranked."""
-    rows = batch if state is None else state.drop("rn").unionByName(batch)
-    return last_n(rows, by, [F.desc(c) for c in order], n)
-
-
-def unexpired_batch(state: DataFrame | None, batch: DataFrame, seconds: int) -> DataFrame:
-    """Entries that live on after a micro-batch: those less than ``seconds`` older than the newest seen."""
-    rows = batch if state is None else state.unionByName(batch)
-    newest = rows.agg(F.max("ts").alias("_max"))
-    return rows.join(F.broadcast(newest)).where(F.col("ts") > F.col("_max") - F.make_dt_interval(secs=F.lit(seconds))).drop("_max")
