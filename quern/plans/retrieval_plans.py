@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from quern.functions import fixed
 from quern.functions.text import lookup
 from quern.operators import retrieval as R
+from quern.operators.segments import Segments
+from quern.plans import stored
 from quern.plans.registry import query
 
 TOK = "regexp_extract_all(lower({}), '[a-z0-9_]+')"
@@ -78,8 +80,21 @@ def r2_idf(t):
 
 @query("r2_indexed", f"WITH {sparse_sql(idf=True)} SELECT query_id, id, score, rn FROM sparse")
 def r2_indexed(t):
-    """From stored postings, of which only the queries' terms are read."""
-    return R.Index(docs(t)).search(item_queries(t), idf=True)
+    """From the stored index, of which only the queries' terms are read."""
+    return stored.documents(t).search(item_queries(t), idf=True)
+
+
+@query("r2_segments", f"WITH {sparse_sql(where='id % 7 <> 0')} SELECT query_id, id, score, rn FROM sparse")
+def r2_segments(t):
+    """The index after an upsert, one that replaces a third of it by the true texts and adds the rest, and a delete."""
+
+    def build(folder):
+        index = Segments(t.spark, folder)
+        index.upsert(t.documents.where("doc_id % 3 = 0").select("doc_id", F.reverse("text").alias("text")), "doc_id", new=True)
+        index.upsert(t.documents, "doc_id")
+        index.delete(t.documents.where("doc_id % 7 = 0"), "doc_id")
+
+    return Segments(t.spark, stored.once(t, "changed-segments", "documents", build)).search(item_queries(t))
 
 
 @query("r3_rrf", f"WITH {dense_sql(who=MIXED)}, {sparse_sql()}, {fuse_sql()} SELECT query_id, id, score, rn FROM fused")
