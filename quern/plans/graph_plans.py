@@ -74,6 +74,13 @@ def g4(t):
     return G.degree(edges(t))
 
 
+@query("g4_pagerank")
+def g4_pagerank(t):
+    """True PageRank of the graph; a test holds it against a plain power iteration."""
+    ranks, _ = G.pagerank(edges(t), tolerance=1e-4)
+    return ranks.select("node", F.round("rank", 6).alias("rank"))
+
+
 @query("g5_communities", f"WITH {E}, b AS (SELECT DISTINCT node, other FROM (SELECT src AS node, dst AS other FROM e WHERE {among(fixed.COMMUNITY_TYPES)} UNION ALL SELECT dst, src FROM e WHERE {among(fixed.COMMUNITY_TYPES)}) WHERE node <> other) SELECT node, count(*) AS size FROM b GROUP BY node HAVING count(*) > 1 ORDER BY size DESC, node LIMIT 10")
 def g5(t):
     return G.communities(edges(t))

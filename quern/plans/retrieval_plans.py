@@ -68,6 +68,18 @@ def r1(t):
     return R.dense(vector_queries(t), vectors(t))
 
 
+@query("r1_indexed", f"WITH {dense_sql()} SELECT query_id, id, score, rn FROM dense")
+def r1_indexed(t):
+    """From the stored lists, in exact mode."""
+    return stored.vectors(t).search(vector_queries(t), exact=True)
+
+
+@query("r1_probed")
+def r1_probed(t):
+    """From as many lists as reach the recall on the sample; a test holds the recall against a scan."""
+    return stored.vectors(t).search(vector_queries(t))
+
+
 @query("r2_bm25_topk", f"WITH {sparse_sql()} SELECT query_id, id, score, rn FROM sparse")
 def r2(t):
     return R.bm25(item_queries(t), docs(t))
@@ -190,9 +202,18 @@ def r19(t):
     return R.module_overlap(q, t.part.select(F.col("p_name").alias("name")).distinct())
 
 
-@query("r20_grep", """WITH l AS (SELECT source || '/' || lpad(doc_id::VARCHAR, 8, '0') AS path, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents),
-h AS (SELECT * FROM l WHERE contains(lower(line), 'license')), f AS (SELECT DISTINCT path FROM h ORDER BY path LIMIT 30)
-SELECT path, line_no, line FROM h WHERE path IN (SELECT path FROM f) ORDER BY path, line_no LIMIT 100""")
+def grep_sql(needle):
+    return f"""WITH l AS (SELECT source || '/' || lpad(doc_id::VARCHAR, 8, '0') AS path, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents),
+h AS (SELECT * FROM l WHERE contains(lower(line), '{needle}')), f AS (SELECT DISTINCT path FROM h ORDER BY path LIMIT 30)
+SELECT path, line_no, line FROM h WHERE path IN (SELECT path FROM f) ORDER BY path, line_no LIMIT 100"""
+
+
+@query("r20_grep", grep_sql("license"))
 def r20(t):
-    files = t.documents.select(F.concat("source", F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 8, "0")).alias("path"), "text")
-    return R.grep(files, "License")
+    return R.grep(stored.document_files(t), "License")
+
+
+@query("r20_indexed", grep_sql("apache"))
+def r20_indexed(t):
+    """From the trigram index: only files that hold the needle's rarest trigrams are tested."""
+    return stored.lines(t).grep("Apache")

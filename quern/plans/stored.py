@@ -4,7 +4,12 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quern.operators.grep_index import GrepIndex
 from quern.operators.segments import Segments
+from quern.operators.vector_index import VectorIndex
 from quern.session import shared_dir
 
 _BUILT: dict[tuple, str] = {}
@@ -36,3 +41,19 @@ def once(t, name: str, table: str, build) -> str:
 def documents(t) -> Segments:
     """The inverted index of the documents: they are tokenised once."""
     return Segments(t.spark, once(t, "segments", "documents", lambda f: Segments(t.spark, f).upsert(t.documents, "doc_id", new=True)))
+
+
+def vectors(t) -> VectorIndex:
+    """The inverted lists of the embeddings."""
+    rows = lambda: t.embeddings.selectExpr("vec_id as id", "embedding as vec")
+    return VectorIndex(t.spark, once(t, "vectors", "embeddings", lambda f: VectorIndex(t.spark, f).build(rows())))
+
+
+def document_files(t) -> DataFrame:
+    """Documents as files named by their source."""
+    return t.documents.select(F.concat("source", F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 8, "0")).alias("path"), "text")
+
+
+def lines(t) -> GrepIndex:
+    """The substring index of the documents."""
+    return GrepIndex(t.spark, once(t, "grams", "documents", lambda f: GrepIndex(t.spark, f).build(document_files(t))))

@@ -41,3 +41,30 @@ def test_nearest_walk_makes_few_rows(spark):
     # hubs are cut before they are joined
     assert graph._adjacency(edges, False, None, 5).count() == 55
     assert "WindowGroupLimit" in plan.toString()
+
+
+def power_iteration(edges, damping=0.85, rounds=300):
+    nodes = sorted({x for e in edges for x in (e[0], e[2])})
+    out = {v: [e[2] for e in edges if e[0] == v] for v in nodes}
+    rank = {v: 1 / len(nodes) for v in nodes}
+    for _ in range(rounds):
+        held = sum(rank[v] for v in nodes if not out[v])
+        new = {v: (1 - damping + damping * held) / len(nodes) for v in nodes}
+        for v in nodes:
+            for w in out[v]:
+                new[w] += damping * rank[v] / len(out[v])
+        rank = new
+    return rank
+
+
+def test_pagerank_equals_power_iteration(spark):
+    """Hubs, loops, repeated edges, nodes without outgoing edges."""
+    rows = random_edges(5, nodes=30, n=60) + [("n3", "CALLS", "end")]
+    edges = spark.createDataFrame([*rows, (None, "CALLS", "n1")], "src string, rel string, dst string")
+    ranks, rounds = graph.pagerank(edges, tolerance=1e-5)
+    got, want = {r.node: r.rank for r in ranks.collect()}, power_iteration(rows)
+    assert set(got) == set(want) and abs(sum(got.values()) - 1) < 1e-9
+    assert max(abs(got[v] - want[v]) for v in want) < 1e-5 and 3 < rounds < 100
+    few, n = graph.pagerank(edges, tolerance=0.5)
+    assert n < rounds and few.count() == len(want)
+    assert graph.pagerank(edges.limit(0))[0].collect() == []
