@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 from quern.functions import fixed
 from quern.operators import dml as D
 from quern.operators import memory as M
+from quern.plans import stored
 from quern.plans.registry import query
 from quern.plans.retrieval_plans import MIXED, dense_sql, fuse_sql, item_queries, mixed_queries, sparse_sql, vectors
 from quern.session import shared_dir
 from quern.sources import tables as S
+from quern.sources import trees
 
 _MEM = """m AS (SELECT conv_id, turn, role, text AS content, ['general','architecture_decision','semantic','odd'][turn % 4 + 1] AS memory_type, CASE WHEN turn % 3 = 0 THEN 'archived' ELSE 'active' END AS status, CASE WHEN conv_id % 2 = 0 THEN conv_id + turn END AS valid_to FROM conversations),
 l AS (SELECT *, CASE memory_type WHEN 'architecture_decision' THEN 'decision' WHEN 'semantic' THEN 'semantic' ELSE 'episodic' END AS layer FROM m)"""
@@ -178,6 +180,36 @@ def listing(t):
     return t.documents.select("doc_id", F.concat(pick(["", "src/", "bin/", "web/.hidden/", "a/migrations/", "out/", ".agent/", ".agent/deep/", "build/x/"]), pick(["a.py", "b.ts", "c.CS", "README.md", "rules.md", "d.rb", "e.java", "noext", "f.tsx.bak", "g.cs"])).alias("path"))
 
 
+def tree(t):
+    """The documents as files on disk, in folders of which some are left out by each scan."""
+    rows = listing(t).join(t.documents.select("doc_id", "text"), "doc_id")
+    return stored.once(t, "tree", "documents", lambda folder: trees.write_tree(rows.select(F.concat(F.lit("d"), "doc_id", F.lit("/"), "path").alias("path"), "text"), folder))
+
+
+def scanned(t, purpose):
+    t.spark.dataSource.register(trees.SourceTree)
+    return t.spark.read.format("source_tree").option("purpose", purpose).load(tree(t)).select("path", F.char_length("text").alias("n"))
+
+
+def tree_sql(where):
+    return f"WITH {_LISTING} SELECT 'd' || doc_id || '/' || path AS path, length(coalesce(text, ''))::INT AS n FROM f JOIN documents USING (doc_id) WHERE {where}"
+
+
+@query("s1_tree", tree_sql("doc_id % 9 NOT IN (2, 4) AND doc_id % 10 IN (0, 1, 9)"))
+def s1_tree(t):
+    return scanned(t, "index")
+
+
+@query("s2_tree", tree_sql("doc_id % 9 NOT IN (2, 4) AND doc_id % 10 IN (0, 1, 6, 9)"))
+def s2_tree(t):
+    return scanned(t, "profile")
+
+
+@query("s3_tree", tree_sql("doc_id % 9 IN (0, 1, 4) AND doc_id % 10 IN (0, 1, 2, 5, 6, 9)"))
+def s3_tree(t):
+    return scanned(t, "analysis")
+
+
 @query("s1_source_files", f"WITH {_LISTING} SELECT doc_id, path FROM f WHERE doc_id % 9 NOT IN (2, 4) AND doc_id % 10 IN (0, 1, 9)")
 def s1(t):
     return S.scan_files(listing(t), "index")

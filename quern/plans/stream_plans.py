@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from quern.plans.lifecycle_plans import BREAKER_SQL
 from quern.plans.memory_plans import TASKS_SQL, order_steps
 from quern.plans.registry import query
 from quern.session import shared_dir
+from quern.sources import logs
+from quern.sources.tables import LOG
 from quern.streaming import events as S
 from quern.streaming import keyed as K
 
@@ -75,6 +78,19 @@ def y1_tail(t):
     return _finished(t, S.tail(_events(t), ["error", "purchase"]), "append").select("event_id", "event_type")
 
 
+@query("y1_log_tail", "SELECT event_id, level FROM (SELECT event_id, CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'purchase' THEN 'WARNING' ELSE 'INFO' END AS level FROM events ORDER BY event_id DESC LIMIT 200) WHERE level <> 'INFO'")
+def y1_log(t):
+    """The events as a log of JSON lines: its last 200 lines are replayed, and warnings and errors among them kept."""
+    base = _base(t, "log")
+    level = F.when(F.col("event_type") == "error", "ERROR").when(F.col("event_type") == "purchase", "WARNING").otherwise("INFO")
+    lines = t.events.select("event_id", F.to_json(F.struct(level.alias("level"), F.col("event_id").cast("string").alias("msg"))).alias("value"))
+    # one log is one file
+    lines.repartitionByRange(1, "event_id").sortWithinPartitions("event_id").select("value").write.text(f"{base}/log")
+    (file,) = [f for f in t.spark.read.text(f"{base}/log").inputFiles()]
+    S.run_to_table(logs.tail(t.spark, unquote(file.removeprefix("file://")), "WARNING"), f"{base}/checkpoint", "append", S.appended(f"{base}/out"))
+    return t.spark.read.schema(LOG).parquet(f"{base}/out").select(F.col("msg").cast("long").alias("event_id"), "level")
+
+
 @query("y7_stream_sync", "SELECT user_id, max(event_id) AS event_id FROM events GROUP BY user_id")
 def y7(t):
     """Batches hold new and changed keys and old versions; only what changed is written."""
