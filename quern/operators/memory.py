@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import re
 import shlex
 
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quern.functions import fixed
+from quern.functions import braces, fixed
 from quern.functions.text import ladder, lookup
 from quern.operators import retrieval
 from quern.operators.aggregates import folded
@@ -122,31 +123,11 @@ def _python_chunks(path: str, source: str) -> list[tuple]:
 
 
 def _brace_chunks(path: str, source: str, language: str) -> list[tuple]:
-    """Definitions of a brace language: found by their heads, ended by the matching brace outside strings and comments."""
-    import re
-
-    head = re.compile(r"\b(?:(class|interface)\s+(\w+)(?:\s*(?:extends|implements|:)\s*([\w<>., ]+))?|(?:function\s+(\w+)|(?:public|private|protected|internal|static|async|export)\s[\w<>\[\],.?\s]*?(\w+))\s*\([^)]*\)\s*(?::\s*[\w<>\[\]|. ]+)?)\s*\{")
-    masked = re.sub(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`", lambda m: re.sub(r"[^\n]", " ", m[0]), source, flags=re.S)
+    """Definitions of a brace language, with the imports of the file."""
     imports = sorted(set(re.findall(r"^(?:import\s.+|using\s+[\w.]+;)", source, re.M)))
-    classes: list[tuple[int, int, str]] = []
-    out: list[tuple] = []
-    for m in head.finditer(masked):
-        depth, end = 0, len(masked)
-        for i in range(m.end() - 1, len(masked)):
-            depth += (masked[i] == "{") - (masked[i] == "}")
-            if not depth:
-                end = i + 1
-                break
-        owner = next((n for a, b, n in reversed(classes) if a <= m.start() < b), None)
-        body = masked[m.end() : end]
-        kind, name = (m[1], m[2]) if m[1] else ("function", m[4] or m[5])
-        if m[1]:
-            classes.append((m.start(), end, name))
-        calls = sorted(set(re.findall(r"\b([A-Za-z_][\w.]*)\s*\(", body)) - {"if", "for", "while", "switch", "catch", "return", "function"})
-        bases = [b.strip() for b in (m[3] or "").split(",") if b.strip()]
-        first, last = source.count("\n", 0, m.start()) + 1, source.count("\n", 0, end) + 1
-        out.append((path, language, kind, name, first, last, owner, None, imports, calls, bases, 0, source[m.start() : end]))
-    return out
+    starts = [0, *(m.end() for m in re.finditer("\n", source))]
+    line = lambda at: braces.line_of(starts, at)
+    return [(path, language, c["kind"], c["name"], line(c["start"]), line(max(c["start"], c["end"] - 1)), c["owner"], None, imports, c["calls"], c["bases"], c["methods"], source[c["start"] : c["end"]]) for c in braces.definitions(source, language)]
 
 
 def code_chunks(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
