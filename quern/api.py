@@ -18,6 +18,7 @@ from quern.functions import fixed
 from quern.functions.text import lookup, word_tokens
 from quern.operators import chunking, dml, graph, memory, ranking, retrieval
 from quern.session import plain_unions
+from quern.trace import Trace
 
 
 def hashed_embedding(texts: pd.Series, size: int = 64) -> pd.Series:
@@ -45,14 +46,15 @@ def embed_column(text: Column, embed: Callable[[pd.Series], pd.Series] = hashed_
 class Engine:
     """chunks (id, source, text, kind, collection, updated_days), vectors (id, vec), edges (src, rel, dst) by chunk name.
 
-    With ``stored`` the postings of all chunks are written once, and every search reads those of its terms only.
+    With ``stored`` the postings of all chunks are written once, and every search reads those of its terms only. With a ``trace`` each
+    step of the read path is run and recorded as it comes; without, all is one lazy plan.
     """
 
-    def __init__(self, spark: SparkSession, chunks: DataFrame, vectors: DataFrame | None = None, edges: DataFrame | None = None, memories: DataFrame | None = None, score: Callable[[Column, Column, Column], Column] = ranking.rerank_score, stored: bool = False):
+    def __init__(self, spark: SparkSession, chunks: DataFrame, vectors: DataFrame | None = None, edges: DataFrame | None = None, memories: DataFrame | None = None, score: Callable[[Column, Column, Column], Column] = ranking.rerank_score, stored: bool = False, trace: Trace | None = None):
         plain_unions(spark)
         self.spark, self.chunks, self.edges, self.memories, self.score = spark, chunks, edges, memories, score
         self.vectors = vectors if vectors is not None else chunks.select("id", embed_column(F.col("text")).alias("vec"))
-        self.stored, self._index = stored, None
+        self.stored, self._index, self.trace = stored, None, trace
 
     @property
     def corpus(self) -> DataFrame | retrieval.Index:
@@ -64,22 +66,25 @@ class Engine:
             self._index = retrieval.Index(texts)
         return self._index
 
+    def _step(self, name: str, df: DataFrame) -> DataFrame:
+        return df if self.trace is None else self.trace.step(name, df)
+
     def _queries(self, queries: DataFrame) -> DataFrame:
         return queries if "vec" in queries.columns else queries.withColumn("vec", embed_column(F.col("text")))
 
     def search_code(self, queries: DataFrame, keep: DataFrame | None = None, fetch: int = 30, k: int = 10) -> DataFrame:
         """The whole read path for (query_id, text[, vec]): classify, hybrid search, augmentation by the graph, rerank, greedy
         dedup, centrality and recency, final score, packing to the type's budget; one row a kept chunk with the gate's verdict."""
-        q = self._queries(queries).withColumn("query_type", retrieval.classify(F.col("text")))
-        hits = retrieval.hybrid(q, self.vectors, self.corpus, keep, k=fetch)
+        q = self._step("classify", self._queries(queries).withColumn("query_type", retrieval.classify(F.col("text"))))
+        hits = self._step("retrieve", retrieval.hybrid(q, self.vectors, self.corpus, keep, k=fetch))
         if self.edges is not None:
-            hits = self.augment(q, hits, fetch)
+            hits = self._step("augment", self.augment(q, hits, fetch))
         full = hits.drop("rn").join(self.chunks, "id").join(q.select("query_id", F.col("text").alias("query_text"), "query_type"), "query_id")
         full = full.withColumn("rerank_score", self.score(F.col("query_text"), F.col("text"), F.col("source")))
         w = Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), F.desc("score"), "id")
-        ranked = full.withColumn("rn", F.row_number().over(w).cast("long")).where(F.col("rn") <= F.lit(24))
+        ranked = self._step("rerank", full.withColumn("rn", F.row_number().over(w).cast("long")).where(F.col("rn") <= F.lit(24)))
         kept = ranking.greedy_dedup(ranked.select(F.col("query_id").cast("string").alias("query_id"), "rn", "id", "text")).select(F.col("query_id").cast("long").alias("query_id"), "id")
-        ranked = ranked.join(kept, ["query_id", "id"], "left_semi").withColumn("score", ranking.min_max("score", "query_id"))
+        ranked = self._step("dedup", ranked.join(kept, ["query_id", "id"], "left_semi")).withColumn("score", ranking.min_max("score", "query_id"))
         if self.edges is not None:
             central = graph.degree(self.edges).select(F.col("node").alias("source"), "centrality")
             ranked = ranked.join(central, "source", "left")
@@ -87,10 +92,11 @@ class Engine:
             ranked = ranked.withColumn("centrality", F.lit(0.0))
         recency = 1 / (1 + 0.1 * F.col("updated_days"))
         ranked = ranked.withColumn("final_score", ranking.final_score(F.col("score"), F.col("kind"), F.col("rerank_score"), F.col("centrality"), recency))
+        ranked = self._step("score", ranked)
         gate = ranking.answerability(ranked.drop("score").withColumnRenamed("final_score", "score").withColumn("kind", F.col("query_type")), "kind").select("query_id", "verdict")
         budget = lookup(F.col("query_type"), {t: n * fixed.CHARS_PER_TOKEN for t, n in fixed.TOKEN_BUDGET.items()})
         usable = ranking.fall_back(ranked, ~F.col("kind").isin("file", "module") | F.col("query_type").isin(fixed.WHOLE_FILE_TYPES))
-        packed = ranking.pack(usable.drop("rn"), budget, score="final_score", max_items=min(k, 8))
+        packed = self._step("pack", ranking.pack(usable.drop("rn"), budget, score="final_score", max_items=min(k, 8)))
         text, ratio = ranking.compress(F.col("text"))
         return packed.join(gate, "query_id").select("query_id", "query_type", "verdict", "rn", "id", "source", "final_score", "rerank_score", F.round("centrality", 6).alias("centrality"), ratio.alias("ratio"), text.alias("text"))
 

@@ -14,13 +14,14 @@ from quern.plans.graph_plans import near_sql, walk_sql
 from quern.plans.ranking_plans import _HITS
 from quern.plans.registry import query
 from quern.plans.retrieval_plans import MIXED, dense_sql, docs, fuse_sql, item_queries, mixed_queries, sparse_sql, vectors
+from quern.trace import Trace
 
 
-def engine(t, graph: bool = True, stored: bool = False) -> Engine:
+def engine(t, graph: bool = True, stored: bool = False, trace: Trace | None = None) -> Engine:
     kinds = F.array(*[F.lit(x) for x in ("function", "class", "doc", "summary", "module")])
     chunks = t.documents.select(F.col("doc_id").alias("id"), "source", "text", F.get(kinds, (F.col("doc_id") % 5).cast("int")).alias("kind"), (F.col("doc_id") % 30).alias("updated_days"))
     edges = t.documents.where("doc_id % 9 = 0").select(F.col("source").alias("src"), F.when(F.col("doc_id") % 2 == 0, "CALLS").otherwise("IMPLEMENTS").alias("rel"), F.concat(F.lit("src"), (F.col("doc_id") % 17).cast("string")).alias("dst")).distinct() if graph else None
-    return Engine(t.spark, chunks, vectors(t).select("id", "vec"), edges, stored=stored)
+    return Engine(t.spark, chunks, vectors(t).select("id", "vec"), edges, stored=stored, trace=trace)
 
 
 @query("r16_search_code")
@@ -28,6 +29,15 @@ def r16(t):
     return engine(t, stored=True).search_code(mixed_queries(t))
 
 
+@query("x12_trace_run", f"""WITH {dense_sql(who=MIXED)}, {sparse_sql()}, {fuse_sql(30)}, n AS (SELECT count(*) AS q FROM benchmark JOIN embeddings ON vec_id = item_id)
+SELECT 'classify' AS step, q AS rows FROM n UNION ALL SELECT 'retrieve', (SELECT count(*) FROM fused)""")
+def x12_run(t):
+    """The first steps' rows as the trace of a real search has them; a test holds the trace of all steps against the steps."""
+    trace = Trace(t.spark)
+    engine(t, stored=True, trace=trace).search_code(mixed_queries(t))
+    return trace.table().where("step in ('classify', 'retrieve')").select("step", "rows")
+
+
 @query("r17_explain")
 def r17(t):
     return engine(t, graph=False).explain(mixed_queries(t))

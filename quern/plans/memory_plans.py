@@ -304,6 +304,26 @@ def t1(t):
     return M.code_chunks(t.part.select(F.concat(F.lit("m"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), body.alias("content"))).select("path", "chunk_type", "name", "start_line", "end_line", "parent_class")
 
 
+#: A module of each brace language with the part's number and size in it; {{n}} and {{s}} are replaced.
+_BRACE_CODE = {
+    "ts": "import { a } from './a';\nexport class K{n} extends Base<T{s}> implements I {\n  public run(x: number): string {\n    return `}${fmt(x)}{`;\n  }\n}\nexport const g{n} = (y) => {\n  other.call{s}(y);\n};\n",
+    "cs": "using System;\nnamespace N {\n  public class K{n}<T> : Base<T>, I{s} where T : class {\n    string q = @\"}\\\";\n    public K{n}(int n) : base(n) { Init(); }\n    int Twice(int x) => Mul{s}(x);\n  }\n}\n",
+}
+
+
+@query("t1_brace_chunks", """SELECT 'm' || p_partkey || '.' || k.e AS path, k.kind AS chunk_type, replace(k.n, '#', p_partkey::VARCHAR) AS name, k.a::INT AS start_line, k.z::INT AS end_line, CASE WHEN k.o THEN 'K' || p_partkey END AS parent_class, replace(k.b, '#', p_size::VARCHAR) AS bases, replace(k.c, '#', p_size::VARCHAR) AS calls
+FROM part, (VALUES ('ts', 'class', 'K#', 2, 6, false, 'Base<T#>|I', 'fmt'), ('ts', 'function', 'run', 3, 5, true, '', 'fmt'), ('ts', 'function', 'g#', 7, 9, false, '', 'other.call#'), ('cs', 'class', 'K#', 3, 7, false, 'Base<T>|I#', 'Init|Mul#'), ('cs', 'function', 'K#', 5, 5, true, '', 'Init'), ('cs', 'function', 'Twice', 6, 6, true, '', 'Mul#')) k(e, kind, n, a, z, o, b, c)""")
+def t1_braces(t):
+    """A TypeScript and a C# module of each part, with braces in strings, templates, generics and an expression body."""
+    number, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    files = None
+    for end, code in _BRACE_CODE.items():
+        text = F.replace(F.replace(F.lit(code), F.lit("{n}"), number), F.lit("{s}"), size)
+        rows = t.part.select(F.concat(F.lit("m"), number, F.lit(f".{end}")).alias("path"), text.alias("content"))
+        files = rows if files is None else files.union(rows)
+    return M.code_chunks(files).select("path", "chunk_type", "name", "start_line", "end_line", "parent_class", F.array_join("bases", "|").alias("bases"), F.array_join("calls", "|").alias("calls"))
+
+
 @query("t2_imports", "SELECT 'm' || p_partkey || '.py' AS path, k.name, CASE k.name WHEN 'C' THEN 'class' ELSE 'function' END AS chunk_type, 'from m' || p_size || ' import x|import os' AS imports, CASE k.name WHEN 'helper' THEN '' ELSE 'helper|len' END AS calls, CASE k.name WHEN 'C' THEN 'Base' || p_size ELSE '' END AS bases, CASE k.name WHEN 'run' THEN 'C' END AS parent_class FROM part, (SELECT unnest(['C', 'run', 'helper']) AS name) k")
 def t2(t):
     """Imports (each once), calls and bases of the chunks of a module a part."""

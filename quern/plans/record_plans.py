@@ -61,9 +61,17 @@ def u5(t):
     return t.labels.select("doc_id").join(t.documents, "doc_id", "left_anti").agg((F.count("*") == 0).alias("is_subset"))
 
 
-@query("x2_python_smells", "SELECT 'm' || p_partkey || '.py' AS path, 'Big' AS name, 'GOD_CLASS' AS smell, (2 * (p_size // 2 + 1) + 1)::INT AS value FROM part WHERE p_size // 2 + 1 > 15")
+_X2 = """WITH p AS (SELECT 'm' || p_partkey || '.py' AS path, p_size FROM part)
+SELECT path, 'Big' AS name, 'GOD_CLASS' AS smell, (2 * (p_size // 2 + 1) + 1)::INT AS value FROM p WHERE p_size // 2 + 1 > 15 UNION ALL SELECT path, 'long', 'LONG_METHOD', (p_size + 11)::INT FROM p WHERE p_size + 11 > 50"""
+
+
+@query("x2_python_smells", _X2)
 def x2(t):
-    body = F.concat(F.lit("class Big:\n"), F.array_join(F.transform(F.sequence(F.lit(0), (F.col("p_size") / 2).cast("int")), lambda i: F.concat(F.lit("    def m"), i.cast("string"), F.lit("(self):\n        pass"))), "\n"), F.lit("\n"))
+    """Each part is a module with a class of p_size / 2 + 1 methods and a function of p_size + 11 lines."""
+    lines = lambda n, f: F.array_join(F.transform(F.sequence(F.lit(0), n.cast("int")), f), "\n")
+    methods = lines(F.col("p_size") / 2, lambda i: F.concat(F.lit("    def m"), i.cast("string"), F.lit("(self):\n        pass")))
+    long = lines(F.col("p_size") + 9, lambda i: F.concat(F.lit("    x = "), i.cast("string")))
+    body = F.concat(F.lit("class Big:\n"), methods, F.lit("\n\ndef long():\n"), long, F.lit("\n"))
     return M.python_smells(M.code_chunks(t.part.select(F.concat(F.lit("m"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), body.alias("content"))))
 
 
