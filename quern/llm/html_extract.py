@@ -11,7 +11,8 @@ Within an ``article`` or ``main`` only what stands on nearly all of the host's p
 What the markup itself says comes in two grades. Elements that are never text (scripts, nav, footer, form, hidden parts, roles) are
 left out. Class names and ids are read by their head word ("legal-notice-story" is a story): names of adverts, menus, comments and
 the like (``_FIRM``) are left out, names that may also stand on prose (``_VAGUE``) are a weight only: running text below them stays,
-if the host has enough pages for the slots to tell whether it varies, or if it is a paragraph within the article.
+if the host has enough pages for the slots to tell whether it varies, or if it is a paragraph within the article. Within the article
+names of widgets and the like (``_LOOSE``) are vague, too, and a name that only begins with such a word ("menu-review") says nothing.
 
 Tree matching works on shapes: trees of equal names are one shape, each pair of shapes is compared once, bottom up and without
 recursion, so neither depth nor breadth of the markup is limited.
@@ -27,6 +28,7 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -57,8 +59,9 @@ GAINS, KEPT = 4_000_000, 500_000
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp noembed noframes".split())
-_DROP = frozenset("script style noscript template head title nav footer aside form button select option textarea input label iframe object embed svg math canvas audio video dialog menu map".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr img ruby rt rp".split())
+_DROP = frozenset("script style noscript template head title nav footer aside form button select option textarea input label iframe object embed svg canvas audio video dialog menu map annotation annotation-xml".split())
+_UNSEEN = frozenset("script style template annotation annotation-xml".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr img ruby rt rp math mi mn mo ms mtext mspace mrow mfrac msqrt mroot msub msup msubsup mover munder munderover mmultiscripts mtable mtr mtd mstyle mpadded mphantom menclose semantics".split())
 _SELF_CLOSE = {"p": frozenset("p address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split())}
 _CLOSES_SAME = frozenset("li dt dd tr td th option".split())
 _WORD = re.compile(r"[A-Z]*[a-z]+|[A-Z]+")
@@ -89,18 +92,33 @@ _SPACE = re.compile(r"\s+")
 
 class Node:
     """An element: ``tag``, ``name`` (tag with its class), children (Node or str), whether its markup says template (``boiler``) or
-    may say so (``vague``), its slot and its shape."""
+    may say so (``vague``, a grade), its slot, its shape, the child elements that matter for alignment (``frame``), and whether it
+    is or holds more than markup within a line (``holds``)."""
 
-    __slots__ = ("tag", "name", "kids", "boiler", "vague", "slot", "shape")
+    __slots__ = ("tag", "name", "kids", "boiler", "vague", "slot", "shape", "frame", "holds")
 
-    def __init__(self, tag: str, name: str, boiler: bool, vague: bool = False):
+    def __init__(self, tag: str, name: str, boiler: bool, vague: int = 0):
         self.tag, self.name, self.boiler, self.vague = tag, name, boiler, vague
         self.kids: list = []
+        self.frame: list = []
+        self.holds = True
         self.slot = self.shape = -1
 
 
+#: Grades of names.
+LEAD, PERHAPS, LOOSE, FIRM = 1, 2, 3, 4
+#: Names of _FIRM that parts of an article have as well.
+_LOOSE = frozenset("widget widgets share sharing social copyright".split())
+
+
 def grade(value: str) -> int:
     """What a class attribute or id says of the element: 2 template, 1 perhaps, 0 nothing."""
+    return {FIRM: 2, LOOSE: 2, PERHAPS: 1, LEAD: 1}.get(fine_grade(value), 0)
+
+
+def fine_grade(value: str) -> int:
+    """What a class attribute or id says of the element: FIRM template, LOOSE template outside the article and perhaps within, PERHAPS,
+    LEAD perhaps, but nothing within the article (its first words say it), 0 nothing."""
     best, titled = 0, False
     for token in value.split():
         words = [x.lower() for x in _WORD.findall(token)]
@@ -111,22 +129,30 @@ def grade(value: str) -> int:
             k -= 1
         head, before = words[k - 1], words[: k - 1]
         if head in _FIRM or head.endswith(_ENDINGS):
-            best = 2
+            best = max(best, LOOSE if head in _LOOSE else FIRM)
         elif head in _TITLED and not any(x in _VAGUE and x in ("related", "recommended", "promoted") for x in before):
             titled = True
         elif head == "header" and not _TITLED.isdisjoint(before):
             titled = True
-        elif head in _VAGUE or any(x in _FIRM or x in ("related", "recommended", "promoted") for x in before):
-            best = max(best, 1)
-    return 0 if best == 1 and titled else best
+        elif head in _VAGUE or any(x in ("related", "recommended", "promoted") for x in before):
+            best = max(best, PERHAPS)
+        elif any(x in _FIRM for x in before):
+            best = max(best, LEAD)
+    return 0 if best in (LEAD, PERHAPS) and titled else best
 
 
-def _marks(tag: str, attrs: str) -> tuple[str, bool, bool]:
+def _quoted(value: str) -> bool:
+    """Whether a class names a quotation, as of pull quotes set in an aside."""
+    return any(w in ("quote", "pullquote", "blockquote") for token in value.split() for w in (x.lower() for x in _WORD.findall(token)))
+
+
+def _marks(tag: str, attrs: str) -> tuple[str, bool, int]:
     """The node's name for alignment, and whether its tag or attributes mark it as template, surely or perhaps."""
-    if tag in _DROP:
-        return tag, True, False
+    quote = tag == "aside" and "quote" in attrs.lower() and any(m[1].lower() == "class" and _quoted(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(attrs))
+    if tag in _DROP and not quote:
+        return tag, True, 0
     if not attrs or "=" not in attrs and "hidden" not in attrs.lower():
-        return tag, False, False
+        return tag, False, 0
     name, bad, said = tag, False, 0
     for m in _ATTR.finditer(attrs):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
@@ -135,7 +161,7 @@ def _marks(tag: str, attrs: str) -> tuple[str, bool, bool]:
             if key == "class":
                 name = f"{tag}.{low}"
             if tag not in ("html", "body", "main"):
-                said = max(said, grade(value))
+                said = max(said, fine_grade(value))
         elif key == "role":
             bad |= low in _ROLES
         elif key == "hidden":
@@ -144,7 +170,7 @@ def _marks(tag: str, attrs: str) -> tuple[str, bool, bool]:
             bad |= low == "true"
         elif key == "style":
             bad |= any(x in low.replace(" ", "") for x in ("display:none", "visibility:hidden"))
-    return name, bad or said == 2, said == 1
+    return name, bad or said == FIRM, 0 if said == FIRM else said
 
 
 def parse(source: str) -> Node:
@@ -236,7 +262,11 @@ class Matcher:
             if not node.boiler:
                 todo += _elements(node)
         for node in reversed(order):
-            key = (node.name, node.boiler, () if node.boiler else tuple(x.shape for x in _elements(node)))
+            # in a paragraph, markup within a line is no structure: paragraphs that differ only in it are one shape
+            inner = [] if node.boiler else _elements(node)
+            node.holds = node.boiler or node.tag not in _INLINE or any(x.holds for x in inner)
+            node.frame = [x for x in inner if x.holds] if node.tag in _PARAGRAPHS else inner
+            key = (node.name, node.boiler, tuple(x.shape for x in node.frame))
             got = self.ids.get(key)
             if got is None:
                 got = self.ids[key] = len(self.name)
@@ -258,21 +288,38 @@ class Matcher:
 
     def score(self, x: int, y: int) -> int:
         """``gain``, after counting what it needs from the bottom up."""
-        todo = [(x, y)]
+        todo = [self._work(x, y)]
         while todo:
-            a, b = todo[-1]
+            a, b, rest = todo[-1]
             if self.gain(a, b) is not None:
                 todo.pop()
                 continue
-            left, right = self._middle(self.kids[a], self.kids[b])
-            open_ = [(k, m) for k in set(left) for m in set(right) if self.gain(k, m) is None]
+            # one row of pairs at a time, so that what waits is short
+            open_ = next((row for row in rest if row), None)
             if open_:
-                todo += open_
+                todo += [self._work(k, m) for k, m in open_]
                 continue
             todo.pop()
             self.memo[a, b] = 1 + self.pairs(self.kids[a], self.kids[b])[0]
         return self.gain(x, y)
 
+    def _work(self, a: int, b: int) -> tuple:
+        """A pair, and row by row the pairs of children that are still to be counted."""
+
+        def rows() -> Iterator[list]:
+            left, right = self._middle(self.kids[a], self.kids[b])
+            right = tuple(set(right))
+            for k in set(left):
+                yield [(k, m) for m in right if self.gain(k, m) is None]
+
+        return a, b, rows()
+
+    def _children(self, x: int, y: int) -> None:
+        """Count the gains of the children of two shapes whose own is known."""
+        for row in self._work(x, y)[2]:
+            for k, m in row:
+                self.score(k, m)
+
     @staticmethod
     def _ends(a: tuple, b: tuple) -> tuple[int, int]:
         """Lengths of the equal head and tail of two lists: some greatest match pairs them, since no other partner of a tree gains
@@ -366,8 +413,12 @@ class Matcher:
         """The pairs of children in the greatest match of two matched nodes."""
         if p.boiler or r.boiler:
             return []
+        if len(self.memo) > KEPT:
+            # what was counted for other pairs of parents; what this pair needs is counted again
+            self.memo.clear()
         self.score(p.shape, r.shape)
-        x, y = _elements(p), _elements(r)
+        self._children(p.shape, r.shape)
+        x, y = p.frame, r.frame
         return [(x[i], y[j]) for i, j in self.pairs(self.kids[p.shape], self.kids[r.shape])[1]]
 
 
@@ -383,12 +434,14 @@ def align(page: Node, reference: Node, matcher: Matcher) -> None:
 
 
 def _by_path(node: Node, met) -> None:
-    """Slots of all that is below the node, but for the children in ``met`` and what is below those."""
-    todo = [(k, node.slot) for k in _elements(node) if id(k) not in met]
+    """Slots of all that is below the node, but for the children in ``met`` and what is below those. Markup within a line of a
+    paragraph has the paragraph's slot."""
+    todo = [(k, node.slot, node.tag in _PARAGRAPHS) for k in _elements(node) if id(k) not in met]
     while todo:
-        k, above = todo.pop()
-        k.slot = -1 - (xxhash.xxh64_intdigest(f"{above} {k.name}") >> 1)
-        todo += [(x, k.slot) for x in _elements(k)]
+        k, above, line = todo.pop()
+        line &= not k.holds
+        k.slot = above if line else -1 - (xxhash.xxh64_intdigest(f"{above} {k.name}") >> 1)
+        todo += [(x, k.slot, line or k.tag in _PARAGRAPHS) for x in _elements(k)]
 
 
 def merge(reference: Node, page: Node, matcher: Matcher) -> None:
@@ -400,8 +453,8 @@ def merge(reference: Node, page: Node, matcher: Matcher) -> None:
             continue
         pairs = matcher.matched(p, r)
         met = {id(x): y for x, y in pairs}
-        kids, mine, at = [], _elements(r), 0
-        for k in _elements(p):
+        kids, mine, at = [], r.frame, 0
+        for k in p.frame:
             other = met.get(id(k))
             if other is None:
                 kids.append(k)
@@ -445,7 +498,7 @@ def _articles(root: Node) -> list[Node]:
         node, vague = todo.pop()
         if node.boiler:
             continue
-        vague |= node.vague
+        vague |= node.vague > 0
         if node.tag in ("article", "main"):
             found.append((node, vague))
             if node.tag == "article":
@@ -521,10 +574,12 @@ def blocks(root: Node, slots_tell: bool = True) -> list[tuple[int, bool, str]]:
             at[2] += len(node) if linked else 0
             parts.append(node)
             continue
-        if node.boiler or (node.tag == "header" and (not inside or not _titled(node))):
-            flush()
+        if node.boiler or (node.vague == LOOSE and not inside) or (node.tag == "header" and (not inside or not _titled(node))):
+            # what shows nothing breaks no line
+            if node.tag not in _UNSEEN:
+                flush()
             continue
-        if node.vague:
+        if node.vague > (LEAD if inside else 0):
             vague = max(vague, 1 if inside and node.tag in _PARAGRAPHS else 2)
         linked |= node.tag == "a"
         if node.tag not in _INLINE:

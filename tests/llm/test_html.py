@@ -272,3 +272,56 @@ def test_texts_of_a_slot_go_by_themselves(spark, n):
     assert got == want
 
 
+
+
+def unlike(n, seed):
+    """Sibling paragraphs with unlike markup within their lines."""
+    rng = random.Random(seed)
+    return "".join("<p>" + "".join(f"<{t}>{i}</{t}> " for t in rng.choices(["b", "i", "a", "em", "code", "sup"], k=rng.randint(1, 9))) + f"w{i}</p>" for i in range(n))
+
+
+def test_unlike_siblings_cost_little():
+    import time
+
+    matcher = html_extract.Matcher()
+    began = time.process_time()
+    reference = html_extract.reference_of([unlike(2000, 1), unlike(2000, 2)], matcher)
+    page = html_extract.parse(unlike(2000, 3))
+    matcher.shape(page)
+    html_extract.align(page, reference, matcher)
+    assert time.process_time() - began < 5 and len(matcher.memo) < 10_000
+    assert len({x[0] for x in html_extract.blocks(page)}) == 2000, "each paragraph has its slot"
+
+
+def test_unlike_structures_keep_a_bounded_memo(monkeypatch):
+    """Items of unlike structure, more pairs than are kept: the pairs are those of a matcher that keeps all."""
+    rng = random.Random(4)
+    item = lambda: "<li>" + "".join(f"<div>{'<p>x</p>' * rng.randint(1, 4)}</div>" for _ in range(rng.randint(1, 5))) + "</li>"
+    lists = ["".join("<section><ul>" + "".join(item() for _ in range(12)) + "</ul></section>" for _ in range(6)) for _ in range(2)]
+
+    def slots(kept):
+        monkeypatch.setattr(html_extract, "KEPT", kept)
+        matcher = html_extract.Matcher()
+        reference = html_extract.reference_of(lists[:1], matcher)
+        page = html_extract.parse(lists[1])
+        matcher.shape(page)
+        html_extract.align(page, reference, matcher)
+        return [x[0] for x in html_extract.blocks(page)]
+
+    assert slots(10) == slots(10**9)
+
+
+ARTICLE = "<header>Top</header><article><h1>Title</h1><p>Lead text of the day.</p>{}</article><footer>end</footer>"
+
+
+@pytest.mark.parametrize("inner,want", [
+    ("<p>Mass <math><mi>m</mi><mo>=</mo><mn>2</mn><annotation>m=2</annotation></math> grows.</p>", "Mass m=2 grows."),
+    ('<div class="menu-review">The soup was hot and the bread was fresh.</div>', "The soup was hot and the bread was fresh."),
+    ('<div class="share-of-market">It fell to a third last year.</div>', "It fell to a third last year."),
+    ('<div class="widget"><p>' + "A long text in a widget. " * 8 + "</p></div>", ("A long text in a widget. " * 8).strip()),
+    ('<aside class="pullquote"><p>Words that were said.</p></aside>', "Words that were said."),
+    ('<aside>Other news</aside><div class="widget">Tags</div><div class="share-buttons">Share</div><div class="comments"><p>' + "I think so too. " * 10 + "</p></div>", None),
+])
+def test_names_within_an_article(inner, want):
+    got = [x[2] for x in html_extract.blocks(html_extract.parse(ARTICLE.format(inner)))]
+    assert got == ["Title", "Lead text of the day."] + ([want] if want else [])
