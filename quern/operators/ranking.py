@@ -228,6 +228,18 @@ def evaluate_ids(expected: DataFrame, hits: DataFrame) -> DataFrame:
     return first.select("query_id", at(1).alias("hit1"), at(3).alias("hit3"), at(5).alias("hit5"), F.round(F.coalesce(1.0 / F.col("first"), F.lit(0.0)), 6).alias("mrr"))
 
 
+def faithfulness(answers: DataFrame, context: DataFrame) -> DataFrame:
+    """query_id, n_items, faithfulness: the share of a query's context items (query_id, item) that its answer (query_id, answer) holds,
+    in any case. Items without text don't count; without an answer or items it is 0. Items meet answers by query, one row each,
+    and are counted where they meet, so a query may have very many."""
+    asked = answers.select("query_id", F.lower(F.coalesce("answer", F.lit(""))).alias("answer"))
+    items = context.where("item <> ''").select("query_id", F.lower("item").alias("item"))
+    share = F.when(F.col("answer") != "", F.col("answer").contains(F.col("item"))).otherwise(False)
+    counts = items.join(asked, "query_id").groupBy("query_id").agg(F.count("*").alias("n_items"), F.count_if(share).alias("held"))
+    out = asked.select("query_id").join(counts, "query_id", "left")
+    return out.select("query_id", F.coalesce("n_items", F.lit(0)).alias("n_items"), F.round(F.coalesce(F.col("held") / F.col("n_items"), F.lit(0.0)), 6).alias("faithfulness"))
+
+
 #: Words of the runs by which passages are looked up; passages without inner words that are tested against a document at once.
 RUN, AT_ONCE = 5, 1_000
 

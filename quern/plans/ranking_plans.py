@@ -236,6 +236,16 @@ def x11(t):
     return N.evaluate_ids(found.select(F.col("passage_id").alias("query_id"), "id"), hits)
 
 
+@query("x11_faithfulness", """WITH a AS (SELECT conv_id AS query_id, arg_max(text, turn) AS answer FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
+i AS (SELECT conv_id AS query_id, unnest(string_split(text, ' ')) AS item FROM conversations WHERE role <> 'assistant')
+SELECT a.query_id, count(item) AS n_items, round(coalesce(avg((contains(lower(answer), lower(item)) AND answer <> '')::INT), 0), 6) AS faithfulness FROM a LEFT JOIN (SELECT * FROM i WHERE item <> '') i USING (query_id) GROUP BY a.query_id""")
+def x11_faithful(t):
+    """The last answer of each conversation against the words that it was asked with."""
+    c = t.conversations.withColumnRenamed("conv_id", "query_id")
+    answers = c.where("role = 'assistant'").groupBy("query_id").agg(F.max_by("text", "turn").alias("answer"))
+    return N.faithfulness(answers, c.where("role <> 'assistant'").select("query_id", F.explode(F.split("text", " ")).alias("item")))
+
+
 @query("n6_cosine", f"""WITH tf AS (SELECT doc_id, term, count(*) AS c FROM (SELECT doc_id, unnest({TOK.format('text')}) AS term FROM documents) GROUP BY ALL), n AS (SELECT doc_id, sqrt(sum(c * c)) AS n FROM tf GROUP BY doc_id),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1), d AS (SELECT p.a, p.b, sum(x.c * y.c) AS dot FROM p JOIN tf x ON x.doc_id = p.a JOIN tf y ON y.doc_id = p.b AND y.term = x.term GROUP BY 1, 2)
 SELECT p.a, p.b, coalesce(round(dot / (x.n * y.n), 6), 0.0::DOUBLE) AS cosine FROM p LEFT JOIN d USING (a, b) LEFT JOIN n x ON x.doc_id = p.a LEFT JOIN n y ON y.doc_id = p.b""")

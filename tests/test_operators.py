@@ -351,3 +351,11 @@ def test_tables_and_smells_cover_their_whole_tables(spark):
     methods = {r.p_partkey: r.p_size // 2 + 1 for r in spark.read.parquet(f"{folder}/part.parquet").collect()}
     got = {(r.path, r.smell, r.value) for r in catalogue.queries()["x2_python_smells"](spark, folder).collect()}
     assert got == {(f"m{k}.py", "GOD_CLASS", 1 + 2 * n) for k, n in methods.items() if n > 15}
+
+
+def test_faithfulness(spark):
+    """By definition: items in any case, repeated ones each; empty answers and missing items are 0."""
+    answers = spark.createDataFrame([(1, "The Cache is in Redis"), (2, ""), (3, None), (4, "alone")], "query_id long, answer string")
+    context = spark.createDataFrame([(1, "cache"), (1, "REDIS"), (1, "qdrant"), (1, ""), (1, None), (1, "cache"), (2, "x"), (3, "x"), (9, "x")], "query_id long, item string")
+    got = {r.query_id: (r.n_items, r.faithfulness) for r in ranking.faithfulness(answers, context).collect()}
+    assert got == {1: (4, 0.75), 2: (1, 0.0), 3: (1, 0.0), 4: (0, 0.0)}
