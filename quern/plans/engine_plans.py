@@ -11,9 +11,9 @@ from quern.functions import fixed
 from quern.operators import ranking, retrieval
 from quern.plans.chunk_plans import _redact_sql
 from quern.plans.graph_plans import near_sql, walk_sql
-from quern.plans.ranking_plans import _HITS
+from quern.plans.ranking_plans import _HITS, _MM, _RERANK, COMPRESS
 from quern.plans.registry import query
-from quern.plans.retrieval_plans import MIXED, dense_sql, docs, fuse_sql, item_queries, mixed_queries, sparse_sql, vectors
+from quern.plans.retrieval_plans import _CLASS, MIXED, TOK, dense_sql, docs, fuse_sql, item_queries, mixed_queries, sparse_sql, vectors
 from quern.trace import Trace
 
 
@@ -24,25 +24,6 @@ def engine(t, graph: bool = True, stored: bool = False, trace: Trace | None = No
     return Engine(t.spark, chunks, vectors(t).select("id", "vec"), edges, stored=stored, trace=trace)
 
 
-@query("r16_search_code")
-def r16(t):
-    return engine(t, stored=True).search_code(mixed_queries(t))
-
-
-@query("x12_trace_run", f"""WITH {dense_sql(who=MIXED)}, {sparse_sql()}, {fuse_sql(30)}, n AS (SELECT count(*) AS q FROM benchmark JOIN embeddings ON vec_id = item_id)
-SELECT 'classify' AS step, q AS rows FROM n UNION ALL SELECT 'retrieve', (SELECT count(*) FROM fused)""")
-def x12_run(t):
-    """The first steps' rows as the trace of a real search has them; a test holds the trace of all steps against the steps."""
-    trace = Trace(t.spark)
-    engine(t, stored=True, trace=trace).search_code(mixed_queries(t))
-    return trace.table().where("step in ('classify', 'retrieve')").select("step", "rows")
-
-
-@query("r17_explain")
-def r17(t):
-    return engine(t, graph=False).explain(mixed_queries(t))
-
-
 def restricted(condition, k):
     """A fused list of the documents that fulfil a condition on ``id``."""
     return f"{dense_sql(20, 'e.vec_id IN (SELECT doc_id FROM (SELECT doc_id, doc_id AS id FROM documents) WHERE ' + condition + ')', MIXED)}, {sparse_sql(20, condition)}, {fuse_sql(k)}"
@@ -62,14 +43,27 @@ def r13_docs(t):
 _E = "e AS (SELECT DISTINCT source AS src, CASE WHEN doc_id % 2 = 0 THEN 'CALLS' ELSE 'IMPLEMENTS' END AS rel, 'src' || doc_id % 17 AS dst FROM documents WHERE doc_id % 9 = 0)"
 
 
-@query("g2_augment", f"""WITH {dense_sql(who=MIXED)}, {sparse_sql()}, {fuse_sql()}, {_E}, top AS (SELECT DISTINCT query_id, d.source AS seed FROM fused JOIN documents d ON d.doc_id = id WHERE rn <= 5),
+def augment_sql(k, who="true"):
+    """aug (query_id, id, score, rn): the fused hits and those near their best five in the graph; ``who``: queries that are augmented."""
+    return f"""{_E}, top AS (SELECT DISTINCT query_id, d.source AS seed FROM fused JOIN documents d ON d.doc_id = id WHERE rn <= 5 AND {who}),
 {walk_sql('SELECT DISTINCT seed, seed AS node FROM top', fixed.EXPAND_TYPES, 3)}, o AS (SELECT * FROM w WHERE node <> seed), near AS (SELECT seed, node FROM {near_sql('o', 15)} UNION ALL SELECT seed, node FROM w0),
 names AS (SELECT query_id, source FROM (SELECT query_id, source, row_number() OVER (PARTITION BY query_id ORDER BY source) AS r FROM (SELECT DISTINCT query_id, node AS source FROM near JOIN top USING (seed))) WHERE r <= 20),
 al AS (SELECT query_id, doc_id AS id FROM documents JOIN names USING (source)),
 dw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rn FROM (SELECT al.query_id, al.id, round(list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) / sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]) * list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])), 6) + 0.0 AS score FROM al JOIN embeddings q ON q.vec_id = al.query_id JOIN embeddings v ON v.vec_id = al.id)) WHERE rn <= 20),
 sw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rn FROM (SELECT qt.query_id, p.id, round(sum(tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / 256))), 6) AS score FROM post p JOIN qt ON p.term = qt.term JOIN al ON al.query_id = qt.query_id AND al.id = p.id GROUP BY 1, 2)) WHERE rn <= 20),
-fw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rn FROM (SELECT query_id, id, round(sum(1.0::DOUBLE / (1 + rn)), 6) AS score FROM (SELECT query_id, id, rn FROM dw UNION ALL SELECT query_id, id, rn FROM sw) GROUP BY 1, 2)) WHERE rn <= 20)
-SELECT query_id, id, score, rn FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rn FROM (SELECT query_id, id, max(score) AS score FROM (SELECT query_id, id, score FROM fused UNION ALL SELECT query_id, id, score FROM fw) GROUP BY 1, 2)) WHERE rn <= 20""")
+fw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rn FROM (SELECT query_id, id, round(sum(1.0::DOUBLE / (1 + rn)), 6) AS score FROM (SELECT query_id, id, rn FROM dw UNION ALL SELECT query_id, id, rn FROM sw) GROUP BY 1, 2)) WHERE rn <= {k}),
+aug AS (SELECT query_id, id, score, rn FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rn FROM (SELECT query_id, id, max(score) AS score FROM (SELECT query_id, id, score FROM fused UNION ALL SELECT query_id, id, score FROM fw) GROUP BY 1, 2)) WHERE rn <= {k})"""
+
+
+def dedup_sql(table, steps):
+    """kept: rows of ``table`` (query_id, rn, t: tokens, ...) that the greedy deduplication keeps, a step a rank."""
+    return f"""tf AS (SELECT query_id, rn, term, count(*) AS c FROM (SELECT query_id, rn, unnest(t) AS term FROM {table}) GROUP BY ALL), nm AS (SELECT query_id, rn, sqrt(sum(c * c)) AS nrm FROM tf GROUP BY ALL),
+sim AS (SELECT a.query_id, a.rn AS lo, b.rn AS hi, round(sum(a.c * b.c) / any_value(x.nrm * y.nrm), 6) AS s FROM tf a JOIN tf b ON a.query_id = b.query_id AND a.term = b.term AND a.rn < b.rn JOIN nm x ON x.query_id = a.query_id AND x.rn = a.rn JOIN nm y ON y.query_id = b.query_id AND y.rn = b.rn GROUP BY 1, 2, 3 HAVING s > 0.92),
+g AS (SELECT DISTINCT query_id, 0::BIGINT AS step, []::BIGINT[] AS kept FROM {table} UNION ALL SELECT g.query_id, step + 1, CASE WHEN NOT EXISTS (SELECT 1 FROM {table} l WHERE l.query_id = g.query_id AND l.rn = step + 1) OR EXISTS (SELECT 1 FROM sim s WHERE s.query_id = g.query_id AND s.hi = step + 1 AND list_contains(kept, s.lo)) THEN kept ELSE list_append(kept, step + 1) END FROM g WHERE step < {steps}),
+kept AS (SELECT l.* FROM g JOIN {table} l ON l.query_id = g.query_id AND list_contains(kept, l.rn) WHERE step = {steps})"""
+
+
+@query("g2_augment", f"""WITH {dense_sql(who=MIXED)}, {sparse_sql()}, {fuse_sql()}, {augment_sql(20)} SELECT query_id, id, score, rn FROM aug""")
 def g2(t):
     e = engine(t, stored=True)
     q = mixed_queries(t)
@@ -85,3 +79,49 @@ def a13(t):
     cases = item_queries(t).select("query_id", F.array(F.lit("even")).alias("expected")).join(hits.select("query_id").distinct(), "query_id", "left_semi")
     e = ranking.evaluate(cases, hits)
     return e.agg(*[F.round(F.avg(c), 6).alias(c) for c in ("hit1", "hit3", "mrr")], F.count("*").alias("cases"))
+
+
+_TYPES = f"ty AS (SELECT item_id AS query_id, {_CLASS} AS query_type FROM (SELECT item_id, trim(lower(text)) AS low FROM benchmark))"
+_AMONG = lambda xs: "(" + ", ".join(f"'{x}'" for x in xs) + ")"
+_POINTS = "CASE kind " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in fixed.TYPE_POINTS.items()) + " ELSE 0 END"
+_CHARS = "CASE query_type " + " ".join(f"WHEN '{k}' THEN {v * fixed.CHARS_PER_TOKEN}" for k, v in fixed.TOKEN_BUDGET.items()) + " END"
+#: The whole read path, step by step as the engine takes it.
+_SEARCH = f"""WITH RECURSIVE {_TYPES}, {dense_sql(who=MIXED)}, {sparse_sql()}, {fuse_sql(30)}, {augment_sql(30, f"query_id IN (SELECT query_id FROM ty WHERE query_type IN {_AMONG(fixed.GRAPH_FIRST_TYPES)})")},
+{_RERANK.replace('FROM sparse s', 'FROM aug s')}, l AS (SELECT query_id, id, rn, score, source, text, rerank_score, {TOK.format('text')} AS t FROM rk WHERE rn <= 24), {dedup_sql('l', 24)},
+deg AS (SELECT node, count(*) AS n FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e) GROUP BY node), cen AS (SELECT node, round(n / (SELECT max(n) FROM deg), 6) AS centrality FROM deg),
+m AS (SELECT query_id, id, rn, source, text, rerank_score, {_MM.format('score')} AS score FROM kept WINDOW w AS (PARTITION BY query_id)),
+f AS (SELECT m.* EXCLUDE (score), query_type, kind, centrality, round(least(score * 0.51::DOUBLE + rerank_score * 0.3::DOUBLE + coalesce(centrality, 0) * 0.15::DOUBLE + (1 / (1 + 0.1::DOUBLE * (id % 30))) * 0.04::DOUBLE + {_POINTS} / 100.0::DOUBLE, 1), 4) AS fs
+  FROM (SELECT *, ['function', 'class', 'doc', 'summary', 'module'][id % 5 + 1] AS kind FROM m) m JOIN ty USING (query_id) LEFT JOIN cen ON node = source),
+q AS (SELECT query_id, min_by(fs, rn) AS top1, round(avg(fs), 6) AS mean, count(DISTINCT source) AS sources, sum(length(text)) AS chars, count(*) AS n, min_by(rerank_score, rn) AS rer, bool_or(query_type IN {_AMONG(fixed.WHOLE_FILE_TYPES)}) AS broad FROM f GROUP BY query_id),
+v AS (SELECT query_id, CASE WHEN top1 < 0.3 OR chars < 200 THEN 'insufficient' WHEN rer < 0.15 OR (broad AND sources / n < 0.4) OR (sources < 2 AND top1 < 0.55) OR (mean < 0.2 AND sources >= 2) THEN 'weak' ELSE 'answerable' END AS verdict FROM q),
+u AS (SELECT * FROM (SELECT *, kind NOT IN ('file', 'module') OR query_type IN {_AMONG(fixed.WHOLE_FILE_TYPES)} AS fine FROM f) QUALIFY fine OR NOT bool_or(fine) OVER (PARTITION BY query_id)),
+pk AS (SELECT * FROM (SELECT * EXCLUDE (rn), row_number() OVER z AS rn, sum(length(text)) OVER (PARTITION BY query_id ORDER BY fs DESC, id ROWS UNBOUNDED PRECEDING) AS used FROM u WINDOW z AS (PARTITION BY query_id ORDER BY fs DESC, id)) WHERE rn <= 8 AND (rn = 1 OR used <= {_CHARS})),
+d AS (SELECT DISTINCT id AS doc_id, text AS t FROM pk), {COMPRESS}
+SELECT query_id, query_type, verdict, rn, id, source, fs AS final_score, rerank_score, round(centrality, 6) AS centrality, CASE WHEN keep THEN 1.0 ELSE round(length(c) / length(r.t), 3) END::DOUBLE AS ratio, CASE WHEN keep THEN r.t ELSE c END AS text FROM pk JOIN v USING (query_id) JOIN r ON doc_id = id"""
+
+
+@query("r16_search_code", _SEARCH)
+def r16(t):
+    return engine(t, stored=True).search_code(mixed_queries(t))
+
+
+@query("x12_trace_run", f"""WITH {dense_sql(who=MIXED)}, {sparse_sql()}, {fuse_sql(30)}, n AS (SELECT count(*) AS q FROM benchmark JOIN embeddings ON vec_id = item_id)
+SELECT 'classify' AS step, q AS rows FROM n UNION ALL SELECT 'retrieve', (SELECT count(*) FROM fused)""")
+def x12_run(t):
+    """The first steps' rows as the trace of a real search has them; a test holds the trace of all steps against the steps."""
+    trace = Trace(t.spark)
+    engine(t, stored=True, trace=trace).search_code(mixed_queries(t))
+    return trace.table().where("step in ('classify', 'retrieve')").select("step", "rows")
+
+
+#: The chain of an explanation: fused candidates, rerank to 8, greedy dedup (a step a rank), compression.
+_EXPLAIN = f"""WITH RECURSIVE {dense_sql(24, who=MIXED)}, {sparse_sql(24)}, {fuse_sql(16)}, {_RERANK.replace('FROM sparse s', 'FROM fused s')},
+l AS (SELECT query_id, id, rn, source, text, {TOK.format('text')} AS t FROM rk WHERE rn <= 8),
+{dedup_sql('l', 8)},
+k AS (SELECT * FROM kept), d AS (SELECT DISTINCT id AS doc_id, text AS t FROM k), {COMPRESS}
+SELECT query_id, rn, id, source, CASE WHEN keep THEN r.t ELSE c END AS text, floor(len(regexp_extract_all(k.text, '\\S+')) / 0.75)::BIGINT AS n_words FROM k JOIN r ON doc_id = id"""
+
+
+@query("r17_explain", _EXPLAIN)
+def r17(t):
+    return engine(t, graph=False).explain(mixed_queries(t))

@@ -166,13 +166,17 @@ def _lit(x):
 
 _STRINGS = "'" + N._BLOCK.replace("'", "''") + "'"
 _CUT = f"CASE WHEN len(string_split(x, chr(10))) <= 4 THEN x ELSE array_to_string(string_split(x, chr(10))[1:4], chr(10)) || chr(10) || '    ' || CASE WHEN contains(x, {_lit(Q2)}) THEN {_lit(Q2)} ELSE {_lit(Q1)} END || {_lit(fixed.DOC_STRING_CUT)} END"
-_B3 = (
-    "WITH d AS (SELECT doc_id, [" + ", ".join(map(_lit, HEADS)) + "][doc_id % 7 + 1] || replace(text, '. ', '.  ' || chr(10) || chr(10) || chr(10) || chr(10)) AS t FROM documents),"
-    r" h AS (SELECT *, regexp_extract(regexp_extract(t, '\A(?:[^\n]*(?:\n|\z)){0,20}'), '(?im)\A[\s\S]{0,4}?^" + fixed.LICENSE_HEAD + "') AS head FROM d), b AS (SELECT *, substr(t, length(head) + 1) AS body FROM h),"
+#: From d (doc_id, t) to r (doc_id, t, c, keep): the text, the compressed text, and whether the text stays as it is.
+COMPRESS = (
+    r"h AS (SELECT *, regexp_extract(regexp_extract(t, '\A(?:[^\n]*(?:\n|\z)){0,20}'), '(?im)\A[\s\S]{0,4}?^" + fixed.LICENSE_HEAD + "') AS head FROM d), b AS (SELECT *, substr(t, length(head) + 1) AS body FROM h),"
     f" s AS (SELECT doc_id, t, array_to_string(list_transform(list_zip(string_split_regex(body, {_STRINGS}), list_transform(regexp_extract_all(body, {_STRINGS}), lambda x: {_CUT})), lambda z: z[1] || coalesce(z[2], '')), '') AS x FROM b),"
     r" c AS (SELECT doc_id, t, regexp_replace(regexp_replace(regexp_replace(x, '\n{3,}', chr(10) || chr(10), 'g'), '(?m)[ \t\r\f\v]+$', '', 'g'), '\A\s+|\s+\z', '', 'g') AS c FROM s),"
     " r AS (SELECT *, length(t) < 200 OR length(c) / greatest(length(t), 1) < 0.6 AS keep FROM c)"
-    " SELECT doc_id, length(t)::INT AS original_chars, length(CASE WHEN keep THEN t ELSE c END)::INT AS compressed_chars, CASE WHEN keep THEN 1.0 ELSE round(length(c) / length(t), 3) END::DOUBLE AS ratio, sha256(CASE WHEN keep THEN t ELSE c END) AS digest FROM r"
+)
+_B3 = (
+    "WITH d AS (SELECT doc_id, [" + ", ".join(map(_lit, HEADS)) + "][doc_id % 7 + 1] || replace(text, '. ', '.  ' || chr(10) || chr(10) || chr(10) || chr(10)) AS t FROM documents), "
+    + COMPRESS
+    + " SELECT doc_id, length(t)::INT AS original_chars, length(CASE WHEN keep THEN t ELSE c END)::INT AS compressed_chars, CASE WHEN keep THEN 1.0 ELSE round(length(c) / length(t), 3) END::DOUBLE AS ratio, sha256(CASE WHEN keep THEN t ELSE c END) AS digest FROM r"
 )
 
 
