@@ -135,3 +135,10 @@ SOLVED_TEXT = "Görev '%s' başarıyla %s ile %d reflection sonrası çözüldü
 FAILED_TITLE = "Başarısız pattern [%s]"
 FAILED_TEXT = "Pattern %s'da başarısız oldu (reflection=%d): %s"
 DEFAULT_STEP = "Görevi analiz et"
+# fixed patterns of HTTP routes in code: decorators with a path, decorators with a method, attributes of typed languages
+ENDPOINT_PATH = r"@[\w.]+\(\s*[\"']([^\"']+)[\"']"
+ENDPOINT_METHOD = r"@(?:api_view|require_http_methods)\(\s*\[?\s*[\"']([A-Z]+)[\"']"
+ENDPOINT_ATTRIBUTE = r"[@\[](?:Get|Post|Put|Delete|Patch|HttpGet|HttpPost|HttpPut|HttpDelete|HttpPatch|Route)\s*\(\s*[\"']?([^\"']*)[\"']?\s*\)"
+# fixed patterns of what a goal names: files, capitalised names, other names
+GOAL_FILE = r"\b[\w/.-]+\.(?:py|ts|tsx|js|go|java|rb|rs|cs|cpp|h)\b"
+GOAL_NAME, GOAL_SYMBOL = r"\b[A-Z][a-zA-Z0-9]{2,}\b", r"\b[a-z][a-z0-9_]{2,}\b"

@@ -196,9 +196,10 @@ def config_keys(code: Column, language: Column) -> Column:
 
 def endpoints(code: Column, language: Column, name: Column) -> Column:
     """HTTP routes in decorators and attributes, each once, sorted."""
-    deco = F.filter(F.regexp_extract_all(code, F.lit(r"@[\w.]+\(\s*[\"']([^\"']+)[\"']"), F.lit(1)), lambda v: v.startswith("/") | v.startswith("http") | v.startswith("api"))
-    verbs = F.transform(F.regexp_extract_all(code, F.lit(r"@(?:api_view|require_http_methods)\(\s*\[?\s*[\"']([A-Z]+)[\"']"), F.lit(1)), lambda v: F.concat(F.lit("["), v, F.lit("] "), F.coalesce(name, F.lit(""))))
-    attrs = F.transform(F.regexp_extract_all(code, F.lit(r"[@\[](?:Get|Post|Put|Delete|Patch|HttpGet|HttpPost|HttpPut|HttpDelete|HttpPatch|Route)\s*\(\s*[\"']?([^\"')]*)[\"']?\s*\)"), F.lit(1)), lambda v: F.when(v == "", F.concat(F.lit("["), F.coalesce(name, F.lit("unnamed")), F.lit("]"))).otherwise(v))
+    found = lambda pattern: F.regexp_extract_all(code, F.lit(pattern), F.lit(1))
+    deco = F.filter(found(fixed.ENDPOINT_PATH), lambda v: v.startswith("/") | v.startswith("http") | v.startswith("api"))
+    verbs = F.transform(found(fixed.ENDPOINT_METHOD), lambda v: F.concat(F.lit("["), v, F.lit("] "), F.coalesce(name, F.lit(""))))
+    attrs = F.transform(found(fixed.ENDPOINT_ATTRIBUTE), lambda v: F.when(v == "", F.concat(F.lit("["), F.coalesce(name, F.lit("unnamed")), F.lit("]"))).otherwise(v))
     return F.array_sort(F.array_distinct(F.when(language == "python", F.concat(deco, verbs)).when(language.isin("typescript", "csharp"), attrs).otherwise(F.array().cast("array<string>"))))
 
 

@@ -199,8 +199,8 @@ def task_type(goal: Column) -> Column:
 
 def spec(goal: Column) -> dict[str, Column]:
     """Features of a goal text: type, file references (10), symbols (8), language."""
-    files = F.slice(F.array_distinct(F.regexp_extract_all(goal, F.lit(r"\b[\w/.-]+\.(?:py|ts|tsx|js|go|java|rb|rs|cs|cpp|h)\b"), F.lit(0))), 1, 10)
-    names = F.concat(F.regexp_extract_all(goal, F.lit(r"\b[A-Z][a-zA-Z0-9]{2,}\b"), F.lit(0)), F.regexp_extract_all(goal, F.lit(r"\b[a-z][a-z0-9_]{2,}\b"), F.lit(0)))
+    files = F.slice(F.array_distinct(F.regexp_extract_all(goal, F.lit(fixed.GOAL_FILE), F.lit(0))), 1, 10)
+    names = F.concat(*[F.regexp_extract_all(goal, F.lit(p), F.lit(0)) for p in (fixed.GOAL_NAME, fixed.GOAL_SYMBOL)])
     stop = F.array(*[F.lit(x) for x in fixed.SYMBOL_STOP])
     symbols = F.slice(F.filter(F.array_distinct(names), lambda x: ~F.array_contains(stop, F.lower(x))), 1, 8)
     low = F.lower(goal)

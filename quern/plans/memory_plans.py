@@ -248,10 +248,10 @@ def s11(t):
 
 @query("s14_fixtures", "SELECT 'q' || item_id AS query, 'src/f' || item_id || '.py' AS files FROM benchmark")
 def s14(t):
-    """Cases written as one JSON file and read again."""
+    """Cases written as lines of JSON and read again."""
     one = t.benchmark.select(F.concat(F.lit("q"), F.col("item_id").cast("string")).alias("question"), F.array(F.concat(F.lit("src/f"), F.col("item_id").cast("string"), F.lit(".py"))).alias("expected_files"))
-    path = _file(t, one.agg(F.to_json(F.collect_list(F.struct("question", "expected_files"))).alias("value")), "cases")
-    return S.eval_cases(t.spark, path).select("query", F.array_join("expected_files", ",").alias("files"))
+    path = _file(t, S.case_lines(one), "cases")
+    return S.eval_cases(t.spark, path, lines=True).select("query", F.array_join("expected_files", ",").alias("files"))
 
 
 _PROFILES = f"""{_FILES}, q AS (SELECT project, path, regexp_extract(path, '(\\.[^./]+)$', 1) AS ext FROM p), lang AS (SELECT project, string_agg(DISTINCT 'python', ', ') AS languages, count(*) AS n_source FROM q WHERE ext = '.py' GROUP BY 1),
@@ -273,9 +273,9 @@ def t16(t):
 
 @query("s13_registry", f"WITH {_PROFILES} SELECT project AS collection, project AS project_name, len(roots[1:12])::INT AS n_roots FROM mr")
 def s13(t):
-    """The registry written as one JSON object and read again."""
-    path = _file(t, S.registry_json(M.project_profile(project_files(t)).drop("n_source")), "registry")
-    return S.registry(t.spark, path).select("collection", "project_name", F.size("module_roots").alias("n_roots"))
+    """The registry written as lines of JSON and read again."""
+    path = _file(t, S.registry_lines(M.project_profile(project_files(t)).drop("n_source")), "registry")
+    return S.registry(t.spark, path, lines=True).select("collection", "project_name", F.size("module_roots").alias("n_roots"))
 
 
 @query("h8_foundation", f"WITH {_PROFILES}, c AS (SELECT project, 2 + len(roots[1:12]) AS n FROM mr) SELECT project, n::BIGINT AS n_chunks FROM c UNION ALL SELECT 'old', 1")

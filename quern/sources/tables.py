@@ -69,14 +69,19 @@ def parse_cases(rows: DataFrame, json: str) -> DataFrame:
     return c.select(F.coalesce("question", "query", F.lit("")).alias("query"), F.coalesce("expected_files", none).alias("expected_files"), F.coalesce("expected_entities", "expected_symbols", none).alias("expected_entities"), F.coalesce("tags", none).alias("tags"))
 
 
-def eval_cases(spark: SparkSession, path: str) -> DataFrame:
-    """``parse_cases`` of the JSON files at a path."""
-    return parse_cases(spark.read.option("wholetext", "true").text(path), "value")
+def eval_cases(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """``parse_cases`` of the JSON files at a path: an array a file, or a case (or an array) a line, which is read in parts."""
+    return parse_cases(spark.read.option("wholetext", str(not lines).lower()).text(path), "value")
+
+
+def case_lines(cases: DataFrame) -> DataFrame:
+    """value: each case as a line of JSON."""
+    return cases.select(F.to_json(F.struct(*cases.columns)).alias("value"))
 
 
 def write_text(rows: DataFrame, path: str) -> None:
-    """Write the one text column of a small table as one file a row."""
-    rows.coalesce(1).write.mode("overwrite").option("lineSep", "\n").text(path)
+    """Write the one text column of a table as lines, in as many files as it has parts."""
+    rows.write.mode("overwrite").option("lineSep", "\n").text(path)
 
 
 LOG = "ts string, level string, logger string, msg string, correlation_id string, tool string, duration_ms double, collection string"
@@ -101,14 +106,14 @@ def parse_registry(rows: DataFrame, json: str) -> DataFrame:
     return rows.select(F.explode(F.from_json(json, f"map<string, {_PROFILE}>")).alias("key", "p")).select("p.*")
 
 
-def registry(spark: SparkSession, path: str) -> DataFrame:
-    """``parse_registry`` of the file at a path."""
-    return parse_registry(spark.read.option("wholetext", "true").text(path), "value")
+def registry(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """``parse_registry`` of the files at a path: an object a file, or one a line."""
+    return parse_registry(spark.read.option("wholetext", str(not lines).lower()).text(path), "value")
 
 
-def registry_json(profiles: DataFrame) -> DataFrame:
-    """The whole registry (a few projects) as one JSON object by collection."""
-    return profiles.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("collection", F.struct(*profiles.columns)))))).alias("value"))
+def registry_lines(profiles: DataFrame) -> DataFrame:
+    """value: each project as a line of JSON, an object by its collection."""
+    return profiles.select(F.to_json(F.create_map("collection", F.struct(*profiles.columns))).alias("value"))
 
 
 def replace(df: DataFrame, path: str) -> None:
