@@ -22,7 +22,7 @@ def root(tmp_path):
 
 
 @pytest.mark.parametrize("purpose", [*tables.SCANS, "docs"])
-@pytest.mark.parametrize("partitions", [1, 3, 500])
+@pytest.mark.parametrize("partitions", [3, 500])
 def test_tree_equals_a_filtered_listing(spark, root, purpose, partitions):
     spark.dataSource.register(trees.SourceTree)
     got = spark.read.format("source_tree").option("purpose", purpose).option("partitions", partitions).load(root).collect()
