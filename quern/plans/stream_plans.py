@@ -35,20 +35,20 @@ def _events(t) -> DataFrame:
     return S.event_stream(t.spark, t.folder)
 
 
-#: Files that rows arrive in, and how many of them before the query is stopped and started again.
-FILES, BEFORE = 4, 2
+#: Parts that rows arrive in; after each the query is stopped.
+FILES = 4
 
 
 def _restarted(t, rows: DataFrame, part: F.Column, make) -> DataFrame:
-    """What ``make(stream)`` has given for all rows, which arrive in files by ``part``; the query is stopped after the first files and
-    goes on from its checkpoint with the rest. Each batch's rows are written below its number."""
+    """What ``make(stream)`` has given for all rows, which arrive by ``part``, one batch a part; the query is stopped after each and goes on
+    from its checkpoint with the next. Each batch's rows are written below its number."""
     base = _base(t, "keyed")
     rows = rows.withColumn("_part", part.cast("int"))
     schema = rows.drop("_part").schema
-    for low, high in ((0, BEFORE), (BEFORE, FILES)):
-        for k in range(low, high):
-            rows.where(F.col("_part") == k).drop("_part").coalesce(1).write.mode("append").parquet(f"{base}/in")
-        stream = make(t.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in"))
+    for k in range(FILES):
+        # as many files as the rows have tasks: all that are there are one batch
+        rows.where(F.col("_part") == k).drop("_part").write.mode("append").parquet(f"{base}/in")
+        stream = make(t.spark.readStream.schema(schema).parquet(f"{base}/in"))
         S.run_to_table(stream, f"{base}/checkpoint", "update", S.appended(f"{base}/out"))
     return t.spark.read.schema(stream.schema).parquet(f"{base}/out").drop("batch")
 

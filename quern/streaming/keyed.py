@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,11 +81,12 @@ def last_n(stream: DataFrame, by: str, order: str, id_col: str, n: int) -> DataF
 
 
 class Expiring(_Processor):
-    """Entries (id, expiry) of a shard. One timer is set, for the entry that is due first; when it fires, all that are due go."""
+    """Entries (id, expiry) of a shard, as arrays of numbers: what a batch brings is one element of the state. One timer is set, for the
+    entry that is due first; when it fires, all that are due go."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.live = handle.getListState("live", "id bigint, expiry bigint")
+        self.live = handle.getListState("live", "ids binary, expiries binary")
         self.timer = handle.getValueState("timer", "at bigint")
 
     def _set(self, at: int) -> None:
@@ -97,23 +99,33 @@ class Expiring(_Processor):
         self.timer.update((at,))
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        new = _rows(rows, ["id", "expiry"])
-        self.live.appendList(new)
-        self._set(due(min(r[1] for r in new)))
-        yield pd.DataFrame({"id": [r[0] for r in new], "expiry": [r[1] for r in new], "live": True})
+        first = None
+        for part in rows:
+            ids, expiries = part["id"].to_numpy(np.int64), part["expiry"].to_numpy(np.int64)
+            if len(ids):
+                self.live.appendValue((ids.tobytes(), expiries.tobytes()))
+                first = min(int(expiries.min()), first) if first is not None else int(expiries.min())
+                yield pd.DataFrame({"id": ids, "expiry": expiries, "live": True})
+        if first is not None:
+            self._set(due(first))
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs() + LATE
-        gone, stay = [], []
-        for r in self.live.get():
-            (gone if r[1] <= now else stay).append(tuple(r))
+        stay, first = [], None
+        for a, b in self.live.get():
+            ids, expiries = np.frombuffer(bytes(a), np.int64), np.frombuffer(bytes(b), np.int64)
+            gone = expiries <= now
+            if not gone.all():
+                stay.append((ids[~gone].tobytes(), expiries[~gone].tobytes()))
+                least = int(expiries[~gone].min())
+                first = least if first is None else min(first, least)
+            yield pd.DataFrame({"id": ids[gone], "expiry": expiries[gone], "live": False})
         self.timer.clear()
         if stay:
             self.live.put(stay)
-            self._set(due(min(r[1] for r in stay)))
+            self._set(due(first))
         else:
             self.live.clear()
-        yield pd.DataFrame({"id": pd.Series([r[0] for r in gone], dtype="int64"), "expiry": pd.Series([r[1] for r in gone], dtype="int64"), "live": False})
 
 
 def expiring(stream: DataFrame, id_col: str, seconds: int, shards: int = 64) -> DataFrame:
@@ -163,24 +175,36 @@ def breaker(stream: DataFrame, by: str, id_col: str, ok: F.Column, failures: int
 
 
 class Tasks(_Processor):
-    """The state machine of each task, a step result at a time; gives the state after each batch that holds the task."""
+    """The state machines of a range of task ids, a step result at a time; gives the state of each task after each batch that holds it."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "node int, status string, reflections int, steps bigint")
+        self.states = handle.getListState("states", "task_id bigint, node int, status string, reflections int, steps bigint")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        *state, steps = tuple(self.state.get()) if self.state.exists() else (*task_start(), 0)
-        state = tuple(state)
-        for _, ok in sorted(_rows(rows, ["step", "ok"])):
-            state, steps = task_step(state, ok), steps + 1
-        self.state.update((*state, steps))
-        node, status, reflections = task_shown(state)
-        yield pd.DataFrame({"task_id": [key[0]], "node": [node], "status": [status], "reflections": [reflections], "version": [steps]})
+        held = {r[0]: (tuple(r[1:4]), r[4]) for r in map(tuple, self.states.get())}
+        changed = {}
+        # the tasks of a range are few, but the steps of one are not: they come sorted a task at a time
+        for task, _, ok in sorted(_rows(rows, ["task_id", "step", "ok"]), key=lambda r: (str(r[0]), *r[1:])):
+            task = None if task != task else task
+            state, steps = changed.get(task) or held.get(task) or (task_start(), 0)
+            changed[task] = task_step(state, ok), steps + 1
+        held.update(changed)
+        self.states.put([(task, *state, steps) for task, (state, steps) in held.items()])
+        shown = [task_shown(state) for state, _ in changed.values()]
+        yield pd.DataFrame({"task_id": pd.array([None if t is None else int(t) for t in changed], "Int64"), "node": [x[0] for x in shown], "status": [x[1] for x in shown], "reflections": [x[2] for x in shown], "version": [n for _, n in changed.values()]})
+
+
+#: Task ids of one entry in the state store: each entry costs calls of the store, whatever it holds.
+RANGE = 256
 
 
 def tasks(stream: DataFrame) -> DataFrame:
-    """(task_id, node, status, reflections, version) from step results (task_id, step, ok) that come in the order of the steps."""
-    return keyed(stream, ["task_id"], Tasks(), "task_id bigint, node string, status string, reflections int, version bigint")
+    """(task_id, node, status, reflections, version) from step results (task_id, step, ok) that come in the order of the steps.
+
+    State is kept by ranges of RANGE ids, so an entry of the store has no more tasks than that.
+    """
+    rows = stream.select("task_id", "step", "ok", F.floor(F.col("task_id") / RANGE).alias("_range"))
+    return keyed(rows, ["_range"], Tasks(), "task_id bigint, node string, status string, reflections int, version bigint")
 
 
 class Changed(_Processor):
