@@ -57,6 +57,40 @@ def test_bounds_leave_blocks_unread(spark, tmp_path):
     assert there > 25 and read < there / 2
 
 
+def test_postings_are_never_rows(spark, tmp_path, monkeypatch):
+    """Change, merge and search keep a block's postings packed: no plan unpacks them, and tombstones meet documents."""
+    from pyspark.sql import functions as F
+
+    index = Segments(spark, f"file://{tmp_path}/index")
+    docs = spark.range(600).selectExpr("id", "concat(repeat('common ', int(1 + id % 3)), 'own', id % 50) as text")
+    queries = spark.createDataFrame([(1, "common own7"), (2, "own3")], "query_id long, text string")
+    seen = []
+    write = index.tables.write
+    monkeypatch.setattr(index.tables, "write", lambda df: seen.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(df))
+    index.upsert(docs)
+    index.upsert(docs.where("id % 2 = 0").withColumn("text", F.lit("own7 other")))
+    index.delete(docs.where("id % 5 = 0"))
+    index.merge()
+    got = index.search(queries, 5, idf=True)
+    seen.append(got._jdf.queryExecution().optimizedPlan().toString())
+    assert seen and not any("Generate" in p and "terms" in p.split("Generate", 1)[1].split("\n")[0] or "inline" in p for p in seen)
+    live = docs.where("id % 2 = 1 and id % 5 > 0").union(docs.where("id % 2 = 0 and id % 5 > 0").select("id", F.lit("own7 other")))
+    assert rows(got) == rows(retrieval.bm25(queries, live, 5, n_docs=live.count()))
+    assert len(index._segments(index.tables.folders())) == 1
+
+
+def test_more_queries_than_a_block(spark, tmp_path, monkeypatch):
+    index = Segments(spark, f"file://{tmp_path}/index")
+    docs = spark.range(300).selectExpr("id", "concat('common own', id % 20, ' other', id % 7) as text")
+    index.upsert(docs)
+    index.delete(docs.where("id % 3 = 0"))
+    live, keep = docs.where("id % 3 > 0"), docs.where("id % 2 = 0")
+    queries = spark.range(5).selectExpr("id as query_id", "concat('own', id, ' other', id) as text")
+    want = [rows(retrieval.bm25(queries, live, 4, n_docs=live.count())), rows(retrieval.bm25(queries, live.join(keep.select("id"), "id", "left_semi"), 4))]
+    monkeypatch.setattr(retrieval, "BLOCK", 3)
+    assert [rows(index.search(queries, 4, idf=True)), rows(index.search(queries, 4, keep=keep))] == want
+
+
 def test_a_failed_upsert_leaves_the_index(spark, tmp_path):
     index = Segments(spark, f"file://{tmp_path}/index")
     index.upsert(spark.createDataFrame([(1, "a b")], "id long, text string"))
