@@ -67,3 +67,21 @@ def test_pagerank_equals_power_iteration(spark):
     few, n = graph.pagerank(edges, tolerance=0.5)
     assert n < rounds and few.count() == len(want)
     assert graph.pagerank(edges.limit(0))[0].collect() == []
+
+
+def test_pagerank_rounds_leave_receivers_out(spark, monkeypatch):
+    """3,000 nodes that only receive: a round moves the ranks of the two others, and all ranks are right."""
+    rows = [("a", "CALLS", "b"), ("b", "CALLS", "a"), *(("b" if k % 3 else "a", "CALLS", f"x{k}") for k in range(3000))]
+    edges = spark.createDataFrame(rows, "src string, rel string, dst string")
+    sizes, real = [], graph.stage
+    monkeypatch.setattr(graph, "stage", lambda df, name="stage": sizes.append((name, (out := real(df, name)).count())) or out)
+    ranks, _ = graph.pagerank(edges, tolerance=1e-6)
+    got = {r.node: r.rank for r in ranks.collect()}
+    rank, n = {v: 1 / 3002 for v in "ab"}, 3002
+    for _ in range(50):
+        held = 1 - sum(rank.values())
+        base = (0.15 + 0.85 * held) / n
+        rank = {"a": base + 0.85 * rank["b"] / 2001, "b": base + 0.85 * rank["a"] / 1001}
+    want = rank | {f"x{k}": base + 0.85 * (rank["b"] / 2001 if k % 3 else rank["a"] / 1001) for k in range(3000)}
+    assert set(got) == set(want) and max(abs(got[v] - want[v]) for v in want) < 1e-6 and abs(sum(got.values()) - 1) < 1e-9
+    assert max(n for name, n in sizes if name in ("shares", "links", "ranks")) <= 2
