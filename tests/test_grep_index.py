@@ -42,3 +42,15 @@ def test_few_files_are_tested(index, files):
 
 def test_trigrams_stay_within_lines():
     assert len(trigrams("ab\ncd")) == 0 and len(trigrams("abc\nabc")) == 1 and len(trigrams("ab")) == 0
+
+
+def test_postings_are_packed_by_block(spark, index, files):
+    """A row holds the trigrams of a bucket in a block, not a file's trigram or a trigram's files: rows don't follow either."""
+    rows = spark.read.parquet(f"{index.path}/grams")
+    blocks = rows.where("bucket = -1").count()
+    assert rows.count() <= blocks * 65 and rows.selectExpr("max(size(paths))").first()[0] <= 256
+    assert rows.where("bucket = -1").selectExpr("sum(size(paths))").first()[0] == files.count()
+    many = spark.range(700).selectExpr("lpad(id, 5, '0') as path", "concat('abc ', if(id % 300 = 7, 'seldom', 'often')) as text").coalesce(1)
+    some = GrepIndex(spark, index.path + "-many").build(many)
+    assert sorted(r.path for r in some.candidates("seldom").collect()) == ["00007", "00307", "00607"]
+    assert some.candidates("abc").count() == 700
