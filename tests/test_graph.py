@@ -42,6 +42,18 @@ def test_nearest_walk_makes_few_rows(spark):
     assert "WindowGroupLimit" in plan.toString()
 
 
+def test_seeds_grow_in_place(spark, monkeypatch):
+    """After the first hop few neighbours are no join: no exchange holds a seed's row again; more neighbours are joined, with the same rows."""
+    edges = spark.createDataFrame(random_edges(7), "src string, rel string, dst string")
+    seeds = spark.createDataFrame([(f"n{i}",) for i in range(60)], "seed string")
+    one, three = (graph.nearest_walk(seeds, edges, h, 5, True, ["CALLS", "OWNS"])._jdf.queryExecution().optimizedPlan().toString().count("Join") for h in (1, 3))
+    assert one == three
+    rows = lambda: sorted((r.seed, r.node, r.distance, r.rn) for r in graph.nearest_walk(seeds, edges, 3, 5, True, ["CALLS", "OWNS"]).collect())
+    got = rows()
+    monkeypatch.setattr(graph, "NAMES", 3)
+    assert rows() == got
+
+
 def power_iteration(edges, damping=0.85, rounds=300):
     nodes = sorted({x for e in edges for x in (e[0], e[2])})
     out = {v: [e[2] for e in edges if e[0] == v] for v in nodes}
