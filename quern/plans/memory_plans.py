@@ -149,7 +149,10 @@ def x15(t):
 
 def project_files(t):
     names = F.array(*[F.lit(x) for x in ("src/main.py", "pyproject.toml", "web/package.json", "a.sln", "Dockerfile", "lib/x.py", "app/angular.json")])
-    return t.documents.select(F.col("source").alias("project"), F.get(names, (F.col("doc_id") % F.col("n_chars") % 7).cast("int")).alias("path"))
+    # an empty document is a file without a path; as in SQL, places below 1 count from the end and there is none at 0 (not by
+    # element_at, which is the last name for a null place with Spark 4.1.2)
+    at = F.try_mod("doc_id", "n_chars") % 7
+    return t.documents.select(F.col("source").alias("project"), F.get(names, F.when(at < -1, at + 8).otherwise(at).cast("int")).alias("path"))
 
 
 _FILES = "p AS (SELECT source AS project, ['src/main.py','pyproject.toml','web/package.json','a.sln','Dockerfile','lib/x.py','app/angular.json'][doc_id % n_chars % 7 + 1] AS path FROM documents)"

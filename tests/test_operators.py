@@ -439,3 +439,19 @@ def test_clones_of_several_blocks(spark):
     vectors = spark.createDataFrame([(i, [float(i % 6), 1.0, float(i % 4)]) for i in range(60)], "id long, vec array<double>")
     got = dml.clones(vectors, 0.9, limit=40, block=16)
     assert list(map(tuple, got.collect())) == list(map(tuple, dml.clones(vectors, 0.9, limit=40).collect()))
+
+
+#: Rows of the queries on project files for the documents of ``test_files_of_empty_documents``.
+PROJECT_ROWS = {
+    "h8_foundation": [("a", 3), ("below", 2), ("empty", 2), ("old", 1), (None, 2)],
+}
+
+
+@pytest.mark.parametrize("name", PROJECT_ROWS)
+def test_files_of_empty_documents(spark, tmp_path, name):
+    """A document of no length has no path (1 GB failed by a remainder by zero); neither has a negative place of 0; files of no project count."""
+    docs = [(7, "a", 100), (14, "a", 100), (1, "a", 0), (2, "empty", 0), (3, "empty", None), (None, "empty", 5), (-1, "below", 5), (-2, "below", 5), (1, None, 5), (4, None, 0)]
+    spark.createDataFrame(docs, "doc_id long, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0,)], "r_regionkey long").write.parquet(f"{tmp_path}/region.parquet")
+    got = catalogue.queries()[name](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(PROJECT_ROWS[name], key=str)
