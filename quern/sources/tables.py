@@ -113,7 +113,7 @@ def registry(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
 
 def registry_lines(profiles: DataFrame) -> DataFrame:
     """value: each project as a line of JSON, an object by its collection."""
-    return profiles.select(F.to_json(F.create_map("collection", F.struct(*profiles.columns))).alias("value"))
+    return profiles.select(F.to_json(F.create_map(F.coalesce("collection", F.lit("")), F.struct(*profiles.columns))).alias("value"))
 
 
 def replace(df: DataFrame, path: str) -> None:

@@ -444,6 +444,7 @@ def test_clones_of_several_blocks(spark):
 #: Rows of the queries on project files for the documents of ``test_files_of_empty_documents``.
 PROJECT_ROWS = {
     "h8_foundation": [("a", 3), ("below", 2), ("empty", 2), ("old", 1), (None, 2)],
+    "s13_registry": [("a", "a", 1), ("below", "below", 0), ("empty", "empty", 0), (None, None, 0)],
 }
 
 
