@@ -446,6 +446,7 @@ PROJECT_ROWS = {
     "h8_foundation": [("a", 3), ("below", 2), ("empty", 2), ("old", 1), (None, 2)],
     "s13_registry": [("a", "a", 1), ("below", "below", 0), ("empty", "empty", 0), (None, None, 0)],
     "t16_summary_chunks": [(p, k, p and f"{p} {n}", p and f"summary://{p}/{k}") for p in ("a", "below", "empty", None) for k, n in (("repo_summary", "Repository Summary"), ("project_profile", "Project Profile"))] + [("a", "module_summary", "src Module Summary", "summary://a/module/src")],
+    "x17_verification": [("a", "none"), ("below", "none"), ("empty", "none"), (None, "python")],
 }
 
 
