@@ -448,6 +448,7 @@ PROJECT_ROWS = {
     "t16_summary_chunks": [(p, k, p and f"{p} {n}", p and f"summary://{p}/{k}") for p in ("a", "below", "empty", None) for k, n in (("repo_summary", "Repository Summary"), ("project_profile", "Project Profile"))] + [("a", "module_summary", "src Module Summary", "summary://a/module/src")],
     "x17_verification": [("a", "none"), ("below", "none"), ("empty", "none"), (None, "python")],
     "x6_profile": [("a", "", "", "main.py", 3), ("below", "Angular", "", "", 2), ("empty", "", "", "", 3), (None, "Python", "pip", "", 2)],
+    "x7_profile": [("a", "python", "src", 2), ("below", "", "", 0), ("empty", "", "", 0), (None, "", "", 0)],
 }
 
 
